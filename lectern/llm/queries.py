@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import decontaminate, matroska, simhash, token_ids
+from lectern.llm import decontaminate, language_id, matroska, quality, simhash, suffix_tree, token_ids
 from lectern.llm.common import table
 
 
@@ -16,6 +16,14 @@ def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.token_digests(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score_held_out(table(spark, sf_dir, "documents"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict_held_out(table(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.hit_digests(decontaminate.find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -24,5 +32,9 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digests(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_matroska, op2_token_ids, op5_decontaminate, op9_simhash)}
+def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_matroska, op2_token_ids, op3_suffix_tree, op4_language_id, op5_decontaminate, op9_simhash, op10_line_quality)}
 ORACLES: dict[str, str] = {}
