@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import decontaminate, language_id, matroska, quality, simhash, suffix_tree, token_ids
+from lectern.llm import decontaminate, language_id, line_chunks, matroska, mixing, quality, quotes, simhash, suffix_tree, token_ids
 from lectern.llm.common import table
 
 
@@ -28,6 +28,18 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.hit_digests(decontaminate.find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op6_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+def op7_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.digests(quotes.conversations(table(spark, sf_dir, "conversations")))
+
+
+def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_chunks.digests(line_chunks.drop_repeated_chunks(table(spark, sf_dir, "documents")))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digests(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
@@ -36,5 +48,5 @@ def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_matroska, op2_token_ids, op3_suffix_tree, op4_language_id, op5_decontaminate, op9_simhash, op10_line_quality)}
+QUERIES = {f.__name__: f for f in (op1_matroska, op2_token_ids, op3_suffix_tree, op4_language_id, op5_decontaminate, op6_pivotal_mix, op7_quotation_links, op8_line_chunks, op9_simhash, op10_line_quality)}
 ORACLES: dict[str, str] = {}
