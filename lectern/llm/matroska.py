@@ -31,7 +31,7 @@ from lectern.llm.common import batch, pieces, utf8
 FRAME = 576
 RATE = 8000
 FRAME_MS = FRAME * 1000 // RATE  # 72, whole
-LACED, PER_CLUSTER = 8, 64  # frames in a block, blocks in a cluster
+LACED, PER_CLUSTER = 8, 32  # frames in a block, blocks in a cluster: block times, relative to the cluster, have 16 bits
 
 #: Element ids of the format.
 EBML, SEGMENT, SEEK_HEAD, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x114D9B74, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
@@ -156,9 +156,12 @@ class Reader:
         """End of an element of unknown size: the next one of its level or above."""
         stop = {EBML, SEGMENT} if ident == SEGMENT else TOP | {EBML, SEGMENT}
         while at < limit:
-            if self.vint(at, limit, keep=True)[0] in stop:
+            try:
+                if self.vint(at, limit, keep=True)[0] in stop:
+                    return at
+                at = self.header(at, limit)[2]
+            except Fault:  # named again where it is met as an element of its own
                 return at
-            at = self.header(at, limit)[2]
         return limit
 
     def children(self, start: int, end: int) -> Iterator[tuple[int, int, int]]:

@@ -27,6 +27,7 @@ import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -142,31 +143,86 @@ def from_blob(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 class WordTokens:
     """Ids of texts by a tokenizer whose pre-tokens never span white space: the
     ids of a text are those of its white-space-separated words, and each
-    distinct word meets the tokenizer once while it is remembered."""
+    distinct word meets the tokenizer once while it is remembered.
 
-    def __init__(self, name: str, remember: int = 400_000):
+    A run of letters is one pre-token, ended by an id of the vocabulary's word
+    ends, and full stops and commas behind it are the next. So distinct runs of
+    letters are encoded many to a call and told apart by their word ends; any other
+    word, and any call whose word ends don't add up, is encoded by itself.
+    """
+
+    def __init__(self, name: str, remember: int = 600_000, together: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.remember = Tokenizer.from_file(public_tokenizers.path(name)), remember
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.remember, self.together = Tokenizer.from_file(public_tokenizers.path(name)), remember, together
+        # for runs of a-z, which normalising and the byte alphabet leave as they are: the same model without these steps
+        self.plain = Tokenizer.from_file(public_tokenizers.path(name))
+        self.plain.normalizer, self.plain.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+        self.is_end = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.is_end[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
         self.number: dict[bytes, int] = {}
+        self.letters: dict[str, int] = {}  # places among the numbers, too
         self.flat, self.start, self.count = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.waiting: list[list[int]] = []
+
+    def alone(self, words: list[str], tokenizer=None) -> list[list[int]]:
+        return [e.ids for e in (tokenizer or self.tokenizer).encode_batch_fast(words, add_special_tokens=False)]
+
+    def learn_letters(self, runs: list[str], tokenizer) -> None:
+        for i in range(0, len(runs), 64 * self.together):
+            groups = [runs[j : j + self.together] for j in range(i, min(i + 64 * self.together, len(runs)), self.together)]
+            for group, ids in zip(groups, self.alone([" ".join(g) for g in groups], tokenizer), strict=True):
+                ends = (np.flatnonzero(self.is_end[ids]) + 1).tolist()
+                if len(ends) == len(group) and ends[-1] == len(ids):
+                    found = [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+                else:
+                    found = self.alone(group)
+                self.letters.update(zip(group, self.add(found), strict=True))
+
+    def add(self, ids: list[list[int]]) -> range:
+        first = len(self.count) + len(self.waiting)
+        self.waiting += ids
+        return range(first, first + len(ids))
+
+    def settle(self) -> None:
+        counts = np.fromiter(map(len, self.waiting), np.int64, len(self.waiting))
+        self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(counts) - counts))
+        self.count = np.concatenate((self.count, counts))
+        self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(self.waiting), np.uint32, int(counts.sum()))))
+        self.waiting = []
 
     def learn(self, words: list[bytes]) -> None:
         if len(self.number) > self.remember:
             self.forget()
         new = [w for w in set(words) if w not in self.number]
-        if new:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)]
-            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
-            counts = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(counts) - counts))
-            self.count = np.concatenate((self.count, counts))
-            self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum()))))
+        if not new:
+            return
+        parts: list[tuple[bytes, str, bytes]] = []
+        others = []
+        for w in new:
+            core = w.rstrip(b".,")
+            if core.isalpha():  # of bytes: A-Z, a-z
+                parts.append((w, core.lower().decode(), w[len(core) :]))
+            elif (text := core.decode("utf-8", "replace")).isalpha() and is_normalized("NFC", text):
+                parts.append((w, text, w[len(core) :]))
+            else:
+                others.append(w)
+        fresh = [*dict.fromkeys(x for _, x, _ in parts if x not in self.letters)]
+        self.learn_letters([x for x in fresh if x.isascii()], self.plain)
+        self.learn_letters([x for x in fresh if not x.isascii()], self.tokenizer)
+        self.number.update(zip(others, self.add(self.alone([w.decode("utf-8", "replace") for w in others])), strict=True))
+        self.settle()
+        self.number.update((w, self.letters[x]) for w, x, t in parts if not t)
+        tails = [*{t for _, _, t in parts if t}]
+        tail = dict(zip(tails, self.alone([t.decode() for t in tails]), strict=True))
+        ended = [(w, self.letters[x], t) for w, x, t in parts if t]
+        self.number.update(zip((w for w, _, _ in ended), self.add([[*self.flat[self.start[k] : self.start[k] + self.count[k]].tolist(), *tail[t]] for _, k, t in ended]), strict=True))
+        self.settle()
 
     def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by ``end_id``; ids of each text)."""
