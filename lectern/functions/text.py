@@ -37,7 +37,7 @@ def trim_all(c: Column | str) -> Column:
 
 
 def collapse_letter_spacing(c: Column | str) -> Column:
-    """``M A S S`` -> ``MASS`` for runs of four or more single letters or digits: a
+    """``W O R D`` -> ``WORD`` for runs of four or more single letters or digits: a
     space goes if it stands within such a run, whichever its place there."""
     one, edge_left, edge_right = "[A-Za-z0-9]", "(?<![A-Za-z0-9])", "(?![A-Za-z0-9])"
     before = {n: f"(?<={edge_left}{' '.join([one] * n)})" for n in (1, 2, 3)}

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as t
+from lectern.functions.english import english_lexemes
 from lectern.operators import chunking, corpus, dedup, folds, grounding, index, pages, retrieval
 from lectern.plans import sql
 from lectern.sources.staging import shared_folder
@@ -270,6 +271,11 @@ def i1_tokenize(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", t.tokenize("text").alias("t")).select("doc_id", F.size("t").cast("long").alias("n"), F.md5(F.array_join("t", " ").cast("binary")).alias("m"))
 
 
+@query()
+def i2_english_lexemes(spark, sf_dir):
+    return index.chunk_terms(table(spark, sf_dir, "documents").where("lang = 'en'"), english_lexemes, id_col="doc_id").select("chunk_id", "word", "tf")
+
+
 @query(f"WITH {sql.INDEX} SELECT chunk_id, word, tf::int AS tf FROM terms")
 def i3_chunk_terms(spark, sf_dir):
     return doc_index(spark, sf_dir)["terms"].select("chunk_id", "word", "tf")
