@@ -14,7 +14,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lectern.functions.text import mark_terms, tokenize
 from lectern.operators.index import Analyzer
@@ -113,7 +112,11 @@ def all_terms_match(queries: DataFrame, chunks: DataFrame, limit: int = PER_ARM,
     Rows of candidates come from a join on one needed word of each alternative,
     the rarest; a helper then tests positions. Alternatives of lacks alone match nothing.
     """
-    parse = F.udf(parse_web_query, T.ArrayType(T.StructType([T.StructField("want", T.ArrayType(T.StringType())), T.StructField("lack", T.ArrayType(T.StringType()))])))
+
+    @F.pandas_udf("array<struct<want:array<string>,lack:array<string>>>")
+    def parse(texts):
+        return texts.map(parse_web_query)
+
     alternatives = queries.select("query_id", F.posexplode(parse("text")).alias("alt", "g"))
     phrases = lambda c: F.filter(F.transform(c, lambda p: analyzer(p)), lambda t: F.size(t) > 0)
     alternatives = alternatives.select("query_id", "alt", phrases(F.col("g.want")).alias("want"), phrases(F.col("g.lack")).alias("lack")).where(F.size("want") > 0)

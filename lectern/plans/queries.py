@@ -17,6 +17,7 @@ from lectern.functions import text as t
 from lectern.functions.english import english_lexemes
 from lectern.operators import chunking, corpus, dedup, folds, grounding, index, pages, retrieval
 from lectern.plans import sql
+from lectern.sources import files
 from lectern.sources.staging import shared_folder
 from lectern.streaming import jobs
 
@@ -781,6 +782,89 @@ def u4_sync_website(spark, sf_dir):
     return corpus.sync_website(old, p)["lexemes"]
 
 
+@query("""WITH c AS (SELECT doc_id, CASE WHEN doc_id % 50 = 7 THEN 'rewritten note of one line' ELSE text END AS text FROM documents) SELECT count(*) AS chunk_count FROM c WHERE doc_id % 50 = 7""")
+def v9_reindex_notes(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    old = chunking.chunk_documents(docs.select("doc_id", chunking.flat_segments("text").alias("segments"))).withColumn("embedding", F.lit(None).cast("array<float>"))
+    note = docs.where("doc_id % 50 = 7").select("doc_id", chunking.flat_segments(F.lit("rewritten note of one line")).alias("segments"))
+    return corpus.reindex_note(old, note)["chunks"].where("text = 'rewritten note of one line'").agg(F.count("*").alias("chunk_count"))
+
+
+# -- sources and checks of inputs ---------------------------------------------------------------------------------
+
+
+def _place(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT doc_id || '#0' AS id, doc_id::varchar AS doc_id, md5(text) AS m FROM documents")
+def s1_corpus_jsonl(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit("#0")).alias("id"), F.col("doc_id").cast("string").alias("doc_id"), "text")
+    path = _place(spark, "corpus")
+    files.write_corpus_jsonl(docs, path)
+    return files.read_corpus_jsonl(spark, path).select("id", "doc_id", t.text_md5("text").alias("m"))
+
+
+@query("SELECT lang, count(*) AS n FROM documents GROUP BY lang")
+def s6_versioned_index(spark, sf_dir):
+    docs, root = table(spark, sf_dir, "documents"), _place(spark, "index")
+    files.write_index({"chunks": docs.limit(0)}, root, "v1")
+    files.write_index({"chunks": docs}, root, "v2")
+    return files.read_index(spark, root, ["chunks"])["chunks"].groupBy("lang").agg(F.count("*").alias("n"))
+
+
+@query("SELECT source, CASE WHEN source = 'src3' THEN 1 ELSE 0 END AS replaced, count(*) AS n FROM documents WHERE source <> 'src3' OR doc_id % 3 = 0 GROUP BY source")
+def s7_replace_slice(spark, sf_dir):
+    docs, path = table(spark, sf_dir, "documents").select("doc_id", "source", F.lit(0).alias("replaced")), _place(spark, "slices")
+    files.replace_slice(docs, path, "source")
+    files.replace_slice(docs.where("source = 'src3' and doc_id % 3 = 0").withColumn("replaced", F.lit(1)), path, "source")
+    return spark.read.parquet(path).groupBy("source", "replaced").agg(F.count("*").alias("n"))
+
+
+@query()
+def t6_extract_text(spark, sf_dir):
+    raw = table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 9 == 0, ".xlsx").otherwise(".txt")).alias("path"), F.col("text").cast("binary").alias("content"))
+    return pages.extract_text(raw).select("path", F.size("segments").alias("segments"), "error")
+
+
+@query("""SELECT page_id, coalesce(nullif(trim(regexp_replace(ti, '(?i)[ ]*[|]\\s*.*$', '')), ''), url) AS title FROM (SELECT page_id, url, 'Page ' || page_id || ' | ' || url AS ti FROM pages)""")
+def t8_page_title(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").withColumn("raw", F.concat(F.lit("Page "), F.col("page_id").cast("string"), F.lit(" | "), "url"))
+    return p.select("page_id", pages.page_title("raw", "url", "http").alias("title"))
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'unsupported type exe' WHEN p_size * 1000000 > 26214400 THEN 'larger than 25 MB' END AS reason FROM part")
+def f8_validate_uploads(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat("p_name", F.when(F.col("p_partkey") % 3 == 0, ".exe").otherwise(".PDF")).alias("filename"), (F.col("p_size").cast("long") * 1_000_000).alias("size_bytes"))
+    good, bad = corpus.validate_upload(p)
+    return good.select("id", F.lit(None).cast("string").alias("reason")).unionByName(bad.select("id", "reason"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN length(text) > 300 THEN 'message length' WHEN role = 'system' THEN 'history item' WHEN turn % 2 = 1 THEN 'conversation id' END AS reason FROM (SELECT conv_id, turn, role, CASE WHEN length(text) > 300 THEN repeat('x', 301) ELSE text END AS text FROM conversations)""")
+def f9_validate_messages(spark, sf_dir):
+    ident = F.when(F.col("turn") % 2 == 1, F.lit("none")).otherwise(F.lit("123e4567-e89b-12d3-a456-426614174000"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.length("text") > 300, F.repeat(F.lit("x"), F.lit(2001))).otherwise(F.col("text")).alias("message"), F.array(F.struct("role", F.col("role").alias("content"))).alias("history"), ident.alias("conversation_id"), F.lit(None).cast("string").alias("source_url"))
+    good, bad = corpus.validate_messages(c)
+    return good.select("conv_id", "turn", F.lit(None).cast("string").alias("reason")).unionByName(bad.select("conv_id", "turn", "reason"))
+
+
+@query("SELECT doc_id, ceil(length(text) / 4)::int AS tokens FROM documents")
+def e3_estimate_tokens(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", t.estimate_tokens("text").alias("tokens"))
+
+
+@query()
+def e5_embed_batches(spark, sf_dir):
+    pending = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("body"), t.estimate_tokens("text").alias("tokens"))
+    return corpus.embed_batches(chunking.token_batches(pending), lambda bodies: [[float(len(b)), float(len(b.split()))] for b in bodies])
+
+
+@query()
+def c8_catalog_entries(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("Module "), (F.col("doc_id") % 5).cast("string"), F.lit(".zip")).alias("archive"), F.concat(F.col("doc_id").cast("string"), F.lit("_sheet.docx")).alias("path"), "text")
+    return chunking.catalog_entries(d)
+
+
 # -- streams ------------------------------------------------------------------------------------------------------
 
 
