@@ -23,21 +23,28 @@ from pyspark.sql import functions as F
 from lectern.llm.common import staged
 
 
+def _bind(value: Column, body) -> Column:
+    """An array expression ``body`` of a value that is computed once: the value is the element of a one-element array."""
+    return F.flatten(F.transform(F.array(value), body))
+
+
 def chunks_of(text: Column, window: int = 2, divisor: int = 2) -> Column:
     """array<struct<n_lines, chunk>> of a text; the chunks joined by newlines are the text."""
-    lines = F.split(text, "\n")
 
-    def cut(pair: Column) -> Column:
-        """Whether a boundary stands behind the last of the hashes."""
-        return F.pmod(F.xxhash64(pair), F.lit(divisor)) == 0
+    def from_ends(lines: Column, ends: Column) -> Column:
+        def chunk(e: Column, k: Column) -> Column:
+            before = F.when(k == 0, 0).otherwise(F.get(ends, k - 1))
+            return F.struct((e - before).alias("n_lines"), F.array_join(F.slice(lines, before + 1, e - before), "\n").alias("chunk"))
+
+        return F.transform(ends, chunk)
 
-    def chunk(lines: Column) -> Column:
-        hashes = F.transform(lines, lambda x: F.xxhash64(x))
-        ends = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: (i == F.size(lines)) | ((i >= window) & cut(F.slice(hashes, F.greatest(i - window + 1, F.lit(1)), window))))
-        return F.transform(ends, lambda e, k: F.struct((e - F.when(k == 0, 0).otherwise(F.get(ends, k - 1))).alias("n_lines"), F.array_join(F.slice(lines, F.when(k == 0, 1).otherwise(F.get(ends, k - 1) + 1), e - F.when(k == 0, 0).otherwise(F.get(ends, k - 1))), "\n").alias("chunk")))
+    def from_hashes(lines: Column, hashes: Column) -> Column:
+        rolling = lambda i: F.pmod(F.xxhash64(F.slice(hashes, i - window + 1, window)), F.lit(divisor)) == 0
+        # whether a boundary stands behind line i
+        ends = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: (i == F.size(lines)) | ((i >= window) & rolling(i)))
+        return _bind(ends, lambda e: from_ends(lines, e))
 
-    # the lines are bound once, as the element of a one-element array
-    return F.flatten(F.transform(F.array(lines), chunk))
+    return _bind(F.split(text, "\n"), lambda lines: _bind(F.transform(lines, lambda x: F.xxhash64(x)), lambda hashes: from_hashes(lines, hashes)))
 
 
 def _chunked(docs: DataFrame, window: int, divisor: int) -> DataFrame:
