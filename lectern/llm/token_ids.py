@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import batch, pieces, ranges, shared_folder, utf8
+from lectern.llm.common import LOWER, batch, pieces, ranges, shared_folder, utf8
 
 MAGIC = b"S8B1"
 BLOCK = 256
@@ -140,6 +140,21 @@ def from_blob(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return unpack(packed, offsets, raw, n), lengths
 
 
+def _letters(word: bytes) -> bool:
+    """Whether a word is letters alone, composed as normalising would compose them."""
+    try:
+        text = word.decode()
+    except UnicodeDecodeError:
+        return False
+    return text.isalpha() and is_normalized("NFC", text)
+
+
+def _lowered(text: bytes) -> bytes:
+    """A-Z in lower case, as the tokenizer would have them, unless a special token
+    or a mark that is composed with the letter before it (U+0300 to U+037F) may stand in the text."""
+    return text if b"<|" in text or b"\xcc" in text or b"\xcd" in text else text.translate(LOWER)
+
+
 class WordTokens:
     """Ids of texts by a tokenizer whose pre-tokens never span white space: the
     ids of a text are those of its white-space-separated words, and each
@@ -166,67 +181,67 @@ class WordTokens:
 
     def forget(self) -> None:
         self.number: dict[bytes, int] = {}
-        self.letters: dict[str, int] = {}  # places among the numbers, too
+        self.letters: dict[bytes, int] = {}  # places among the numbers, too
         self.flat, self.start, self.count = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.waiting: list[list[int]] = []
 
     def alone(self, words: list[str], tokenizer=None) -> list[list[int]]:
         return [e.ids for e in (tokenizer or self.tokenizer).encode_batch_fast(words, add_special_tokens=False)]
 
-    def learn_letters(self, runs: list[str], tokenizer) -> None:
+    def learn_letters(self, runs: list[bytes], tokenizer) -> None:
+        found: list[list[int]] = []
         for i in range(0, len(runs), 64 * self.together):
             groups = [runs[j : j + self.together] for j in range(i, min(i + 64 * self.together, len(runs)), self.together)]
-            for group, ids in zip(groups, self.alone([" ".join(g) for g in groups], tokenizer), strict=True):
+            for group, ids in zip(groups, self.alone([b" ".join(g).decode() for g in groups], tokenizer), strict=True):
                 ends = (np.flatnonzero(self.is_end[ids]) + 1).tolist()
                 if len(ends) == len(group) and ends[-1] == len(ids):
-                    found = [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+                    found += [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
                 else:
-                    found = self.alone(group)
-                self.letters.update(zip(group, self.add(found), strict=True))
+                    found += self.alone([g.decode() for g in group])
+        self.letters.update(zip(runs, self.add(found), strict=True))
 
     def add(self, ids: list[list[int]]) -> range:
-        first = len(self.count) + len(self.waiting)
-        self.waiting += ids
-        return range(first, first + len(ids))
+        """Numbers of new runs of ids."""
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        return self.add_flat(np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum())), counts)
 
-    def settle(self) -> None:
-        counts = np.fromiter(map(len, self.waiting), np.int64, len(self.waiting))
+    def add_flat(self, flat: np.ndarray, counts: np.ndarray) -> range:
+        first = len(self.count)
         self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(counts) - counts))
         self.count = np.concatenate((self.count, counts))
-        self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(self.waiting), np.uint32, int(counts.sum()))))
-        self.waiting = []
+        self.flat = np.concatenate((self.flat, flat))
+        return range(first, first + len(counts))
 
     def learn(self, words: list[bytes]) -> None:
         if len(self.number) > self.remember:
             self.forget()
-        new = [w for w in set(words) if w not in self.number]
+        new = [*(set(words) - self.number.keys())]
         if not new:
             return
-        parts: list[tuple[bytes, str, bytes]] = []
-        others = []
-        for w in new:
-            core = w.rstrip(b".,")
-            if core.isalpha():  # of bytes: A-Z, a-z
-                parts.append((w, core.lower().decode(), w[len(core) :]))
-            elif (text := core.decode("utf-8", "replace")).isalpha() and is_normalized("NFC", text):
-                parts.append((w, text, w[len(core) :]))
-            else:
-                others.append(w)
-        fresh = [*dict.fromkeys(x for _, x, _ in parts if x not in self.letters)]
-        self.learn_letters([x for x in fresh if x.isascii()], self.plain)
-        self.learn_letters([x for x in fresh if not x.isascii()], self.tokenizer)
+        cores = [w.rstrip(b".,") for w in new]
+        plain = [c.isalpha() for c in cores]  # of bytes: A-Z, a-z
+        runs = [c.lower() if p else c if _letters(c) else None for c, p in zip(cores, plain, strict=True)]
+        fresh = {r: p for r, p in zip(runs, plain, strict=True) if r is not None and r not in self.letters}
+        self.learn_letters([r for r, p in fresh.items() if p], self.plain)
+        self.learn_letters([r for r, p in fresh.items() if not p], self.tokenizer)
+        others = [w for w, r in zip(new, runs, strict=True) if r is None]
         self.number.update(zip(others, self.add(self.alone([w.decode("utf-8", "replace") for w in others])), strict=True))
-        self.settle()
-        self.number.update((w, self.letters[x]) for w, x, t in parts if not t)
-        tails = [*{t for _, _, t in parts if t}]
-        tail = dict(zip(tails, self.alone([t.decode() for t in tails]), strict=True))
-        ended = [(w, self.letters[x], t) for w, x, t in parts if t]
-        self.number.update(zip((w for w, _, _ in ended), self.add([[*self.flat[self.start[k] : self.start[k] + self.count[k]].tolist(), *tail[t]] for _, k, t in ended]), strict=True))
-        self.settle()
+        self.number.update((w, self.letters[r]) for w, c, r in zip(new, cores, runs, strict=True) if r is not None and len(c) == len(w))
+        # letters with full stops or commas behind them
+        ended = [(w, self.letters[r], w[len(c) :]) for w, c, r in zip(new, cores, runs, strict=True) if r is not None and len(c) < len(w)]
+        if ended:
+            tails = [*{t for _, _, t in ended}]
+            place = dict(zip(tails, self.add(self.alone([t.decode() for t in tails])), strict=True))
+            body, tail = np.array([k for _, k, _ in ended]), np.array([place[t] for _, _, t in ended])
+            counts = self.count[body] + self.count[tail]
+            first = np.cumsum(counts) - counts
+            flat = np.empty(int(counts.sum()), np.uint32)
+            flat[ranges(first, self.count[body])] = self.flat[ranges(self.start[body], self.count[body])]
+            flat[ranges(first + self.count[body], self.count[tail])] = self.flat[ranges(self.start[tail], self.count[tail])]
+            self.number.update(zip((w for w, _, _ in ended), self.add_flat(flat, counts), strict=True))
 
     def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by ``end_id``; ids of each text)."""
-        split = [t.split() for t in texts]
+        split = [_lowered(t).split() for t in texts]
         words = list(chain.from_iterable(split))
         self.learn(words)
         number = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
