@@ -22,7 +22,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -250,14 +250,18 @@ class Reader:
         return b"".join(self.data[p[2] : p[2] + p[3]] for p in self.packets if p[0] == track)
 
 
-def mux(df: DataFrame, payload: Column | str = "text", media: str = "media") -> DataFrame:
-    """Add a binary column with the Matroska file of a text's or binary column's bytes."""
+def mux(df: DataFrame, payload: str = "text", media: str = "media", keep: list[str] | None = None) -> DataFrame:
+    """``keep`` (all columns, if None) and a binary column with the Matroska file of a text's or binary column's bytes."""
+    kept = [c for c in (df.columns if keep is None else keep) if c != media]
+    schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(media, T.BinaryType())])
+    raw = utf8(payload) if isinstance(df.schema[payload].dataType, T.StringType) else F.coalesce(F.col(payload), F.lit(b""))
 
-    @F.pandas_udf(T.BinaryType())
-    def write(column):
-        return column.map(lambda b: to_matroska(padded(bytes(b))))
+    def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, "_payload"):
+            files = [to_matroska(padded(b)) for b in piece.column("_payload").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in kept), pa.array(files, pa.binary())], names=[*kept, media])
 
-    return df.withColumn(media, write(utf8(payload) if isinstance(payload, str) else payload))
+    return df.select(*kept, raw.alias("_payload")).mapInArrow(write, schema)
 
 
 def demux(df: DataFrame, media: str = "media", keys: list[str] | None = None) -> DataFrame:
@@ -317,5 +321,5 @@ def media_digests(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
                 "media_bytes": (columns[3], pa.int64()), "media_sha256": (columns[4], pa.string()), "feature": (columns[5], pa.string()),
             })
 
-    stored = mux(df.select(F.col(key).cast("long").alias(key), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), text), text)
-    return stored.drop(text).mapInArrow(read, f"{key} long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    rows = df.select(F.col(key).cast("long").alias(key), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), text)
+    return mux(rows, text, keep=[key, "n_bytes"]).mapInArrow(read, f"{key} long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
