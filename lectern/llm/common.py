@@ -14,7 +14,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space, as in ``[^\x20\x09-\x0D]+``.
@@ -69,6 +69,25 @@ def id_remainder(col: Column | str, n: int) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % n, F.lit(0).cast("long"))
 
 
+def bounded_sample(rows: DataFrame, by: str, n: int, key: str = "doc_id") -> DataFrame:
+    """At most ``n`` rows for each value of ``by``, in an order ``n`` that hashes of ``key`` fix.
+
+    Each value's count first sets how small a hash must be for about four times as
+    many rows to pass, so hardly more rows than are wanted are ever ranked.
+    """
+    rows = rows.withColumn("_u", (F.shiftrightunsigned(F.xxhash64(key), 11).cast("double") + 0.5) / float(1 << 53))
+    counts = rows.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("_count"))
+    few = rows.join(F.broadcast(counts), F.col(by) == F.col("_by")).where(F.col("_u") * F.col("_count") < 4 * n)
+    return few.withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy("_u", key))).where(F.col("n") <= n).drop("_u", "_by", "_count")
+
+
+def texts_of(docs: DataFrame, chosen: DataFrame, longest: int, key: str = "doc_id") -> DataFrame:
+    """``chosen`` (few rows) with the first ``longest`` characters of the text of each ``key``; of several texts, one."""
+    texts = docs.select(F.col(key).cast("long").alias(key), F.substring(F.coalesce("text", F.lit("")), 1, longest).alias("text")).join(F.broadcast(chosen.select(key).distinct()), key, "left_semi")
+    one = texts.groupBy(key).agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select(key, F.col("t.text").alias("text"))
+    return chosen.join(one, key)
+
+
 def utf8(col: str = "text") -> Column:
     """Bytes of a text; null is empty."""
     return F.coalesce(F.col(col), F.lit("")).cast("binary")

@@ -21,17 +21,16 @@ rows are each scored; an empty table gives an empty table; other columns are ign
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import batch, id_remainder, pieces, utf8
+from lectern.llm.common import batch, bounded_sample, id_remainder, pieces, texts_of, utf8
 from lectern.llm.crf import adam, marginals
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -42,6 +41,22 @@ def words_of(text: str) -> list[str]:
     return LETTERS.findall(text.lower())
 
 
+def gram_ids(words: list[str], bits: int, longest: int = 5) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length, the hashed runs of bytes of ``^word$`` and the words that they belong to, word after word."""
+    data = np.frombuffer(f"^{'$^'.join(words)}$".encode(), np.uint8)
+    first = np.flatnonzero(data == 94)
+    sizes = np.diff(np.append(first, len(data)))
+    owner = np.repeat(np.arange(len(words)), sizes)
+    left = np.repeat(first + sizes, sizes) - np.arange(len(data))
+    code = np.zeros(len(data), np.uint64)
+    for n in range(1, longest + 1):
+        code = code << np.uint64(8)
+        code[: len(data) - n + 1] |= data[n - 1 :]
+        at = np.flatnonzero(left >= n) if n > 1 else np.flatnonzero((left > 1) & (data != 94))
+        ids = (code[at] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)
+        yield ids.astype(np.int64), owner[at]
+
+
 class Model:
     def __init__(self, languages: list[str], bits: int, lexicon: dict[str, int]):
         self.languages, self.bits, self.lexicon = languages, bits, lexicon
@@ -49,22 +64,22 @@ class Model:
         self.weights = np.zeros(((1 << bits) + len(lexicon), k), np.float32)
         self.transition, self.start = np.zeros((k, k)), np.zeros(k)
 
-    def features(self, word: str) -> list[int]:
-        """Prefixes, suffixes and n-grams of one to three characters, hashed, and the word's place in the lexicon."""
-        mask, size = (1 << self.bits) - 1, len(word)
-        marked = f"^{word}$"
-        grams = {marked[i : i + n] for n in (2, 3, 4) for i in range(max(0, size + 3 - n))} | {*word}
-        out = [zlib.crc32(g.encode()) & mask for g in grams]
-        if word in self.lexicon:
-            out.append((1 << self.bits) + self.lexicon[word])
-        return out
+    def features(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(feature, word) pairs: affixes and n-grams, hashed, and the word's place in the lexicon; sorted by word."""
+        parts = [*gram_ids(words, self.bits)]
+        listed = [(i, self.lexicon[w]) for i, w in enumerate(words) if w in self.lexicon]
+        flat = np.concatenate([p[0] for p in parts] + [np.array([(1 << self.bits) + x for _, x in listed], np.int64)])
+        owner = np.concatenate([p[1] for p in parts] + [np.array([i for i, _ in listed], np.int64)])
+        order = np.argsort(owner, kind="stable")
+        return flat[order], owner[order]
 
     def emissions(self, words: list[str]) -> np.ndarray:
-        found = [self.features(w) for w in words]
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.int64, int(counts.sum()))
-        scale = np.repeat(1 / np.sqrt(np.maximum(counts, 1)), counts)
-        return np.add.reduceat(self.weights[flat] * scale[:, None], np.cumsum(counts) - counts, axis=0) if len(flat) else np.zeros((0, len(self.languages)))
+        out = np.zeros((len(words), len(self.languages)), np.float32)
+        for a in range(0, len(words), 20_000):
+            flat, owner = self.features(words[a : a + 20_000])
+            counts = np.bincount(owner)
+            out[a : a + 20_000] = np.add.reduceat(self.weights[flat], np.cumsum(counts) - counts, axis=0) / np.sqrt(counts)[:, None]
+        return out
 
 
 def fit(rows: list[tuple[str, str]], bits: int = 16, lexicon: int = 20_000, span: int = 120, steps: int = 60) -> Model:
@@ -92,12 +107,11 @@ def fit(rows: list[tuple[str, str]], bits: int = 16, lexicon: int = 20_000, span
     number = np.array([vocabulary[w] for s in sequences for w, _ in s])
     label = np.array([k for s in sequences for _, k in s])
     lengths = np.array([len(s) for s in sequences])
-    found = [model.features(w) for w in vocabulary]
-    counts = np.array([len(f) for f in found])
-    flat, first = np.fromiter(chain.from_iterable(found), np.int64), np.cumsum(counts) - counts
+    flat, owner = model.features([*vocabulary])
+    counts = np.bincount(owner)
+    first = np.cumsum(counts) - counts
     used, flat = np.unique(flat, return_inverse=True)
     scale = np.repeat(1 / np.sqrt(counts), counts)
-    owner = np.repeat(np.arange(len(vocabulary)), counts)
     k, n = len(languages), len(label)
     gold = np.zeros((n, k))
     gold[np.arange(n), label] = 1
@@ -123,11 +137,10 @@ def fit(rows: list[tuple[str, str]], bits: int = 16, lexicon: int = 20_000, span
     return model
 
 
-def sample(labelled: DataFrame, per_language: int) -> list[tuple[str, str]]:
-    """The bounded sample: of each language the rows of smallest hash, 20,000 bytes of each at most reach the driver."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    chosen = labelled.where("lang is not null and text is not null").select("lang", "doc_id", "text").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
-    rows = chosen.select("lang", "n", F.substring("text", 1, 5000).alias("text")).collect()
+def sample(labelled: DataFrame, per_language: int, longest: int = 5000) -> list[tuple[str, str]]:
+    """The bounded sample: ``per_language`` rows of each language, ``longest`` characters of each. Only ids are ranked."""
+    ids = labelled.where("lang is not null and text is not null").select("lang", F.col("doc_id").cast("long").alias("doc_id"))
+    rows = texts_of(labelled, bounded_sample(ids, "lang", per_language), longest).collect()
     return [(r.text, r.lang) for r in sorted(rows, key=lambda r: (r.lang, r.n))]
 
 
@@ -138,7 +151,7 @@ def learn(docs: DataFrame, train: Column, per_language: int = 250, **options) ->
 class Labeller:
     """Emission scores of words, kept for the words met last."""
 
-    def __init__(self, model: Model, remember: int = 300_000):
+    def __init__(self, model: Model, remember: int = 250_000):
         self.model, self.remember = model, remember
         self.number: dict[str, int] = {}
         self.scores = np.zeros((0, len(model.languages)), np.float32)
@@ -150,7 +163,7 @@ class Labeller:
         new = [w for w in dict.fromkeys(words) if w not in self.number]
         if new:
             self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
-            self.scores = np.concatenate((self.scores, self.model.emissions(new).astype(np.float32)))
+            self.scores = np.concatenate((self.scores, self.model.emissions(new)))
         number = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
         lengths = np.fromiter((len(s) for s in split if s), np.int64)
         return marginals(self.scores[number].astype(np.float64), lengths, self.model.transition, self.model.start)[0]
@@ -175,7 +188,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = _labeller(shared)
         languages = labeller.model.languages
-        for piece in pieces(batches, "text", 8 << 20):
+        for piece in pieces(batches, "text", 5 << 20):
             split = [words_of(t.decode("utf-8", "replace")) for t in piece.column("text").to_pylist()]
             split = [[w for w in s if w.isalpha() or any(map(str.isalpha, w))] for s in split] if languages else [[] for _ in split]
             guess, score = [UNKNOWN] * len(split), [0.0] * len(split)
