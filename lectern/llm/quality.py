@@ -8,8 +8,8 @@ their document's label; the weights that map a document's mean to a probability
 are learned on the same sample, after the field.
 
 Fitting takes ``per_label`` labelled rows of each label at most (those of
-smallest hash) and the first ``fit_lines`` lines of each; scoring reads whole
-texts. No shuffle; the model is a few hundred numbers.
+smallest hash) and the first ``fit_lines`` lines and 20,000 characters of each;
+scoring reads whole texts. No shuffle; the model is a few hundred numbers.
 
 Cases: a null or empty text is one empty line; lines end at newlines; rows with a
 null label are not learned from, and a document with several label rows counts
@@ -23,10 +23,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import batch, id_remainder, pieces, utf8
+from lectern.llm.common import batch, bounded_sample, id_remainder, pieces, texts_of, utf8
 from lectern.llm.crf import adam, marginals
 
 #: Byte classes that a line's counts are taken of.
@@ -153,10 +153,8 @@ def fit(rows: list[tuple[bytes, int]], fit_lines: int = 60, steps: int = 200) ->
 def learn(docs: DataFrame, labels: DataFrame, train: Column, per_label: int = 1500, fit_lines: int = 60) -> Model:
     """Fit on the bounded sample. Only ids and labels are ranked; texts are fetched for the chosen ids alone."""
     known = labels.where("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(train)
-    order = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_label).select("doc_id", "quality", "n")
-    # at most 2 * per_label small rows
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring(F.coalesce("text", F.lit("")), 1, 20_000).alias("text")).join(F.broadcast(chosen), "doc_id")
+    there = known.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    texts = texts_of(docs, bounded_sample(there, "quality", per_label), 20_000)
     rows = sorted((r.quality, r.n, r.text) for r in texts.collect())
     return fit([(text.encode(), k) for k, _, text in rows], fit_lines)
 
