@@ -158,9 +158,21 @@ def hit_digests(hits: DataFrame) -> DataFrame:
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes: int = 16 << 20) -> DataFrame:
-    """``docs`` without the documents that hold an item's window; all columns and repeated rows stay."""
-    hits = find_hits(docs, benchmark, n, block_bytes).where(F.size("items") > 0).select(F.col("doc_id").alias("_hit_id"), F.col("text_hash").alias("_hit_hash")).distinct()
-    return docs.join(hits, docs["doc_id"].cast("long").eqNullSafe(F.col("_hit_id")) & (F.xxhash64(docs["text"]) == F.col("_hit_hash")), "left_anti")
+    """``docs`` without the documents that hold an item's window; all columns and
+    repeated rows stay, and no row moves: each block of items is a filter."""
+
+    def clean(shared):
+        @F.pandas_udf("boolean")
+        def keep(texts):
+            windows = shared.value
+            get = windows.number.get
+            return texts.map(lambda t: next(windows.find(np.fromiter((get(w, 0) for w in bytes(t).translate(WORDS).split()), np.int64)), None) is None)
+
+        return keep
+
+    for block in _blocks(benchmark, block_bytes):
+        docs = docs.where(clean(docs.sparkSession.sparkContext.broadcast(Windows(block, n)))(utf8()))
+    return docs
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes: int = 16 << 20) -> DataFrame:
