@@ -76,7 +76,10 @@ def links(distinct: DataFrame, small: int = 64) -> DataFrame:
         # under the whole segment, and under the segment without bit j
         variants.append(F.struct(F.lit(-1 - segment).alias("slot"), part.alias("rest"), F.lit(0).alias("side")))
         variants += [F.struct(F.lit(32 * segment + j).alias("slot"), part.bitwiseAND(F.lit(HALF & ~(1 << j))).alias("rest"), F.getbit(fp, F.lit(32 * segment + j)).cast("int").alias("side")) for j in range(32)]
-    rows = distinct.select(fp, F.inline(F.array(*variants)))
+    # dealt out before each row becomes 66: few bytes of fingerprints would else be read by few tasks
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # (by another expression than the grouping's, which Spark would take as done already)
+    rows = distinct.repartition(parts, F.shiftright("fp", 1)).select(fp, F.inline(F.array(*variants)))
     bucket = rows.groupBy("slot", "rest").agg(F.count("*").alias("n"), F.sum("side").alias("n1"))
     # whole segments: two members at least; wildcards: both sides
     live = bucket.where(F.when(F.col("slot") < 0, F.col("n") > 1).otherwise((F.col("n1") > 0) & (F.col("n1") < F.col("n"))))
