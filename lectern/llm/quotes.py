@@ -36,7 +36,13 @@ MARKS = r"^[ \t]*((?:>[ \t]?)+)"
 def _lines(text: Column) -> Column:
     """array<struct<level, words>> of a message."""
     level = lambda line: F.length(F.regexp_replace(F.regexp_extract(line, MARKS, 1), r"[^>]", ""))
-    return F.transform(F.split(F.coalesce(text, F.lit("")), "\r?\n"), lambda line: F.struct(level(line).alias("level"), F.regexp_replace(line, MARKS, "").alias("words")))
+    marked = lambda line: F.struct(level(line).alias("level"), F.regexp_replace(line, MARKS, "").alias("words"))
+    return F.transform(F.split(F.coalesce(text, F.lit("")), "\r?\n"), lambda line: F.when(F.contains(line, F.lit(">")), marked(line)).otherwise(F.struct(F.lit(0).alias("level"), line.alias("words"))))
+
+
+def _bind(value: Column, body) -> Column:
+    """An array expression ``body`` of a value that is computed once: the value is the element of a one-element array."""
+    return F.flatten(F.transform(F.array(value), body))
 
 
 def normalised(text: Column) -> Column:
@@ -44,32 +50,42 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(lowered, r"[\x20\x09-\x0D]+", " "))
 
 
-def _passages(lines: Column) -> Column:
+def _passages(text: Column) -> Column:
     """array<struct<level, words>>: neighbouring lines of one level, joined; an empty line of level 0 parts paragraphs."""
-    kind = "array<struct<level:int,words:string,open:boolean>>"
+    blank = lambda line: (line["level"] == 0) & (F.trim(line["words"]) == "")
+
+    def joined(lines: Column, starts: Column) -> Column:
+        def passage(at: Column, k: Column) -> Column:
+            size = F.coalesce(F.get(starts, k + 1), F.size(lines)) - at
+            return F.struct(F.get(lines, at)["level"].alias("level"), F.array_join(F.transform(F.slice(lines, at + 1, size), lambda x: x["words"]), "\n").alias("words"))
+
+        return F.filter(F.transform(starts, passage), lambda p: F.trim(p["words"]) != "")
+
+    def parted(lines: Column) -> Column:
+        begins = lambda i: (i == 0) | (F.get(lines, i)["level"] != F.get(lines, i - 1)["level"]) | blank(F.get(lines, i)) | blank(F.get(lines, i - 1))
+        return _bind(F.filter(F.sequence(F.lit(0), F.size(lines) - 1), begins), lambda starts: joined(lines, starts))
+
+    return _bind(_lines(text), parted)
 
-    def add(acc: Column, line: Column) -> Column:
-        last = F.element_at(acc, -1)
-        blank = (line["level"] == 0) & (F.trim(line["words"]) == "")
-        same = (F.size(acc) > 0) & last["open"] & (last["level"] == line["level"]) & ~blank
-        grown = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["level"].alias("level"), F.concat_ws("\n", last["words"], line["words"]).alias("words"), F.lit(True).alias("open"))))
-        return F.when(same, grown).otherwise(F.concat(acc, F.array(F.struct(line["level"].alias("level"), line["words"].alias("words"), (~blank).alias("open")))))
 
-    return F.filter(F.aggregate(lines, F.array().cast(kind), add), lambda p: F.trim(p["words"]) != "")
+def _own_words(text: Column) -> Column:
+    """The lines of level 0."""
+    text = F.coalesce(text, F.lit(""))
+    kept = F.array_join(F.transform(F.filter(_lines(text), lambda x: x["level"] == 0), lambda x: x["words"]), "\n")
+    return F.when(F.contains(text, F.lit(">")), kept).otherwise(F.replace(text, F.lit("\r\n"), F.lit("\n")))
 
 
 def passages(messages: DataFrame) -> DataFrame:
     """conv_id, turn, at, level, words: the passages of every message, in order."""
-    found = messages.select("conv_id", "turn", F.posexplode(_passages(_lines(F.col("text")))).alias("at", "p"))
+    found = messages.select("conv_id", "turn", F.posexplode(_passages(F.col("text"))).alias("at", "p"))
     return found.select("conv_id", "turn", "at", F.col("p.level").alias("level"), normalised(F.col("p.words")).alias("words")).where("words != ''")
 
 
 def links(messages: DataFrame) -> DataFrame:
     """conv_id, turn, at, level, to_conv, to_turn: every linked quotation."""
-    parts = passages(messages)
-    body = messages.select("conv_id", "turn", F.lit(-1).alias("at"), F.lit(0).alias("level"), normalised(F.array_join(F.transform(F.filter(_lines(F.col("text")), lambda x: x["level"] == 0), lambda x: x["words"]), "\n")).alias("words")).where("words != ''")
-    quoted = parts.where("level > 0").withColumn("h", F.xxhash64("words"))
-    own = parts.where("level = 0").unionByName(body).withColumn("h", F.xxhash64("words"))
+    body = messages.select("conv_id", "turn", F.lit(-1).alias("at"), F.lit(0).alias("level"), normalised(_own_words(F.col("text"))).alias("words")).where("words != ''")
+    quoted = passages(messages.where(F.contains("text", F.lit(">")))).where("level > 0").withColumn("h", F.xxhash64("words"))
+    own = passages(messages).where("level = 0").unionByName(body).withColumn("h", F.xxhash64("words"))
     # only what is quoted somewhere is looked for
     wanted = quoted.select("h").distinct()
     own = own.join(wanted, "h", "left_semi")
@@ -101,10 +117,9 @@ def conversations(messages: DataFrame, max_rounds: int = 64) -> DataFrame:
         now = new.drop("moved")
         if not moved:
             break
-    lines = _lines(F.col("text"))
-    quotes = F.filter(_passages(lines), lambda p: p["level"] > 0)
-    clean = F.trim(F.array_join(F.transform(F.filter(lines, lambda x: x["level"] == 0), lambda x: x["words"]), "\n"))
-    given = messages.withColumns({"n_quotes": F.size(quotes), "max_level": F.coalesce(F.array_max(F.transform(quotes, lambda p: p["level"])), F.lit(0)), "clean": clean})
+    levels = F.filter(F.transform(_passages(F.col("text")), lambda p: p["level"]), lambda n: n > 0)
+    levels = F.when(F.contains("text", F.lit(">")), levels).otherwise(F.array().cast("array<int>"))
+    given = messages.withColumn("_levels", levels).withColumns({"n_quotes": F.size("_levels"), "max_level": F.coalesce(F.array_max("_levels"), F.lit(0)), "clean": F.trim(_own_words(F.col("text")))})
     out = given.join(now.drop("cycle"), ["conv_id", "turn"], "left")
     return out.select(*messages.columns, "n_quotes", "max_level", "reply_conv", "reply_turn", F.coalesce("root_conv", "conv_id").alias("root_conv"), F.coalesce("root_turn", "turn").alias("root_turn"), F.coalesce("depth", F.lit(0)).alias("depth"), "clean")
 
