@@ -5,7 +5,13 @@ the last ``window`` line hashes is 0 modulo ``divisor``. Boundaries thus depend
 the lines around them only, and a passage that moves within or between documents
 is cut alike. Of chunks of ``least_lines`` lines or more that occur again
 anywhere, the first (by doc_id, then text hash, then place) stays, and the others
-are removed. Chunks count as equal only if all their bytes are: they are grouped by
+are removed.
+
+``by_minimum`` instead cuts behind a line whose hash is the least among its
+neighbours, ``least_lines`` - 1 on each side, and not nearer than ``least_lines`` to
+either end of the text. Two such lines are ``least_lines`` apart at least, so the
+minimum holds by the cuts and no chunk is left out of the search; a text with fewer
+lines is one chunk. Chunks count as equal only if all their bytes are: they are grouped by
 hash and bytes, with partial aggregation, so that a chunk of many copies is
 summed where it is read.
 
@@ -28,33 +34,51 @@ def _bind(value: Column, body) -> Column:
     return F.flatten(F.transform(F.array(value), body))
 
 
-def chunks_of(text: Column, window: int = 2, divisor: int = 2) -> Column:
-    """array<struct<n_lines, chunk>> of a text; the chunks joined by newlines are the text."""
+def _from_ends(lines: Column, ends: Column) -> Column:
+    def chunk(e: Column, k: Column) -> Column:
+        before = F.when(k == 0, 0).otherwise(F.get(ends, k - 1))
+        return F.struct((e - before).alias("n_lines"), F.array_join(F.slice(lines, before + 1, e - before), "\n").alias("chunk"))
 
-    def from_ends(lines: Column, ends: Column) -> Column:
-        def chunk(e: Column, k: Column) -> Column:
-            before = F.when(k == 0, 0).otherwise(F.get(ends, k - 1))
-            return F.struct((e - before).alias("n_lines"), F.array_join(F.slice(lines, before + 1, e - before), "\n").alias("chunk"))
+    return F.transform(ends, chunk)
 
-        return F.transform(ends, chunk)
+
+def chunks_of(text: Column, window: int = 2, divisor: int = 2) -> Column:
+    """array<struct<n_lines, chunk>> of a text; the chunks joined by newlines are the text."""
 
     def from_hashes(lines: Column, hashes: Column) -> Column:
         rolling = lambda i: F.pmod(F.xxhash64(F.slice(hashes, i - window + 1, window)), F.lit(divisor)) == 0
         # whether a boundary stands behind line i
         ends = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: (i == F.size(lines)) | ((i >= window) & rolling(i)))
-        return _bind(ends, lambda e: from_ends(lines, e))
+        return _bind(ends, lambda e: _from_ends(lines, e))
 
     return _bind(F.split(text, "\n"), lambda lines: _bind(F.transform(lines, lambda x: F.xxhash64(x)), lambda hashes: from_hashes(lines, hashes)))
 
 
-def _chunked(docs: DataFrame, window: int, divisor: int) -> DataFrame:
-    return docs.withColumn("_chunks", chunks_of(F.coalesce("text", F.lit("")), window, divisor))
+def chunks_by_minimum(text: Column, least_lines: int = 2) -> Column:
+    """As ``chunks_of``, cut behind local minima of the line hashes; no chunk has fewer lines than ``least_lines`` unless the text has."""
+    near = max(1, least_lines - 1)
+
+    def ends(lines: Column, hashes: Column) -> Column:
+        def cut(i: Column) -> Column:
+            own = F.get(hashes, i - 1)
+            before, behind = F.slice(hashes, F.greatest(i - near, F.lit(1)), near), F.slice(hashes, i + 1, near)
+            return (i >= least_lines) & (i <= F.size(lines) - least_lines) & (own < F.array_min(before)) & (own <= F.array_min(behind))
+
+        return F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: (i == F.size(lines)) | F.coalesce(cut(i), F.lit(False)))
+
+    return _bind(F.split(text, "\n"), lambda lines: _bind(F.transform(lines, lambda x: F.xxhash64(x)), lambda hashes: _bind(ends(lines, hashes), lambda e: _from_ends(lines, e))))
+
+
+def _cut(window: int, divisor: int, least_lines: int, by_minimum: bool) -> Column:
+    text = F.coalesce("text", F.lit(""))
+    return chunks_by_minimum(text, least_lines) if by_minimum else chunks_of(text, window, divisor)
 
 
-def repeats(docs: DataFrame, window: int = 2, divisor: int = 2, least_lines: int = 2) -> DataFrame:
+def repeats(docs: DataFrame, window: int = 2, divisor: int = 2, least_lines: int = 2, by_minimum: bool = False) -> DataFrame:
     """doc_id, text_hash, at, nth: the occurrences to remove (``nth`` of the equal rows of an id and text, from 1)."""
     key = ["doc_id", "text_hash"]
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(chunks_of(F.coalesce("text", F.lit("")), window, divisor)).alias("at", "c")).where(F.col("c.n_lines") >= least_lines)
+    searched = F.octet_length("text") > 0 if by_minimum else F.col("c.n_lines") >= least_lines
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), F.posexplode(_cut(window, divisor, least_lines, by_minimum)).alias("at", "c")).where(searched)
     rows = rows.select(*key, "at", F.xxhash64("c.chunk").alias("h"), F.col("c.chunk").alias("chunk"))
     # grouped by bytes: equal hashes of unequal chunks stay apart
     first = rows.groupBy("h", "chunk").agg(F.count("*").alias("n"), F.min(F.struct(*key, "at")).alias("first")).where("n > 1")
@@ -63,14 +87,14 @@ def repeats(docs: DataFrame, window: int = 2, divisor: int = 2, least_lines: int
     return marked.select(*key, "at", F.col("first").eqNullSafe(F.struct(*key, "at")).alias("is_first")).groupBy(*key, "at").agg(F.count("*").alias("rows"), F.max("is_first").alias("is_first"))
 
 
-def drop_repeated_chunks(docs: DataFrame, window: int = 2, divisor: int = 2, least_lines: int = 2) -> DataFrame:
+def drop_repeated_chunks(docs: DataFrame, window: int = 2, divisor: int = 2, least_lines: int = 2, by_minimum: bool = False) -> DataFrame:
     """``docs`` with the remaining text in ``text``, and n_lines, n_chunks, removed_chunks, removed_lines.
 
     A text of which nothing remains becomes empty.
     """
     added = ["n_lines", "n_chunks", "removed_chunks", "removed_lines"]
     docs = docs.drop(*added)
-    found = repeats(docs, window, divisor, least_lines).groupBy("doc_id", "text_hash").agg(F.collect_list(F.when(~F.col("is_first"), F.col("at"))).alias("gone"), F.collect_list(F.when(F.col("is_first"), F.col("at"))).alias("once"), F.max("rows").alias("rows"))
+    found = repeats(docs, window, divisor, least_lines, by_minimum).groupBy("doc_id", "text_hash").agg(F.collect_list(F.when(~F.col("is_first"), F.col("at"))).alias("gone"), F.collect_list(F.when(F.col("is_first"), F.col("at"))).alias("once"), F.max("rows").alias("rows"))
     found = found.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), "gone", "once", "rows")
     given = docs.withColumn("_h0", F.xxhash64("text"))
     joined = given.join(found, given["doc_id"].eqNullSafe(found["_d"]) & (given["_h0"] == found["_h"]), "left")
@@ -78,7 +102,7 @@ def drop_repeated_chunks(docs: DataFrame, window: int = 2, divisor: int = 2, lea
     twin = F.when(F.col("rows") > 1, F.row_number().over(Window.partitionBy("doc_id", "_h0").orderBy(F.lit(1)))).otherwise(1)
     joined = joined.withColumn("_nth", twin)
     drop = F.when(F.col("_nth") > 1, F.concat("gone", "once")).otherwise(F.col("gone"))
-    chunked = _chunked(joined.withColumn("_drop", F.coalesce(drop, F.array().cast("array<int>"))), window, divisor)
+    chunked = joined.withColumn("_drop", F.coalesce(drop, F.array().cast("array<int>"))).withColumn("_chunks", _cut(window, divisor, least_lines, by_minimum))
     kept = F.filter("_chunks", lambda c, i: ~F.array_contains("_drop", i))
     lines = lambda chunks: F.aggregate(chunks, F.lit(0), lambda a, c: a + c["n_lines"]).cast("long")
     text = F.when(F.size("_drop") == 0, F.col("text")).otherwise(F.array_join(F.transform(kept, lambda c: c["chunk"]), "\n"))

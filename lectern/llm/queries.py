@@ -37,7 +37,7 @@ def op7_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_chunks.digests(line_chunks.drop_repeated_chunks(table(spark, sf_dir, "documents")))
+    return line_chunks.digests(line_chunks.drop_repeated_chunks(table(spark, sf_dir, "documents"), by_minimum=True))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

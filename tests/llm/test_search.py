@@ -180,3 +180,22 @@ def test_line_chunks(spark):
     assert rows == sorted(want, key=str)
     assert sum(r[1] for r in rows) > 30
     assert line_chunks.drop_repeated_chunks(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_line_chunks_leave_nothing_of_a_copy(spark):
+    dice = random.Random(8)
+    texts = ["\n".join(f"line {i} {dice.random()}" for _ in range(n)) for i, n in enumerate([1, 2, 3, 4, 5, 9, 30] * 6)]
+    passage = "\n".join(f"passage {j}" for j in range(40))
+    docs = list(enumerate(texts)) + [(1000 + i, t) for i, t in enumerate(texts)] + [(2000 + k, f"a {k}\n{passage}\nb {k}\nc {k}") for k in range(5)] + [(3000, None), (3001, ""), (3002, ""), (3003, "\n")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    queries_cut = line_chunks.drop_repeated_chunks(df, by_minimum=True)
+    by = {r.doc_id: r for r in queries_cut.collect()}
+    assert len(by) == len(docs)
+    for i, t in enumerate(texts):
+        assert by[i].text == t and by[1000 + i].text == "" and by[1000 + i].removed_lines == len(t.split("\n"))
+    assert all(by[2000 + k].removed_lines >= 30 and f"a {k}" in by[2000 + k].text for k in range(1, 5)) and by[2000].removed_lines == 0
+    assert by[3000].text is None and by[3000].removed_chunks == by[3002].removed_chunks == 0
+    cut = df.select("text", line_chunks.chunks_by_minimum(line_chunks.F.coalesce("text", line_chunks.F.lit(""))).alias("c")).collect()
+    for r in cut:
+        assert "\n".join(c.chunk for c in r.c) == (r.text or "") and sum(c.n_lines for c in r.c) == (r.text or "").count("\n") + 1
+        assert len(r.c) == 1 or min(c.n_lines for c in r.c) >= 2
