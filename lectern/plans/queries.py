@@ -394,15 +394,6 @@ def r3_cosine_top_k(spark, sf_dir):
     return semantic_arm(spark, sf_dir).select("query_id", "chunk_id", F.round("raw", 5).alias("raw"))
 
 
-def lexical_arms(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Questions by the ids of ``embeddings``' queries: the words of that document's head."""
-    docs = table(spark, sf_dir, "documents")
-    scored = retrieval.bm25_scores(word_queries(spark, sf_dir), doc_index(spark, sf_dir))
-    bm = retrieval.limit_per_query(scored.select("query_id", "chunk_id", "raw"), 40)
-    strict = retrieval.all_terms_match(word_queries(spark, sf_dir), docs, id_col="doc_id")
-    return bm, strict
-
-
 KEYWORD_SQL = f"""WITH {sql.BM25}, two AS (SELECT query_id, chunk_id, raw / 10 AS raw, row_number() OVER (PARTITION BY query_id ORDER BY round(raw / 10, 9) DESC, chunk_id) - 1 AS pos FROM bm WHERE (chunk_id + query_id) % 3 = 0),
 j AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.chunk_id, b.chunk_id) AS chunk_id, a.pos AS p1, a.raw AS r1, b.pos * 0.8 AS p2, b.raw AS r2 FROM bm a FULL JOIN two b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id),
 k AS (SELECT query_id, chunk_id, CASE WHEN p2 IS NOT NULL AND (p1 IS NULL OR p2 < p1) THEN p2 ELSE p1 END AS rank, CASE WHEN p2 IS NULL THEN r1 WHEN p1 IS NULL OR p2 < p1 THEN r2 ELSE greatest(r1, r2) END AS raw, coalesce(p1, p2 * 1000000) AS met FROM j),
@@ -410,28 +401,38 @@ kw AS (SELECT query_id, chunk_id, raw, row_number() OVER (PARTITION BY query_id
 
 
 def keyword_arm(spark, sf_dir) -> DataFrame:
-    """BM25 of the benchmark's questions, and a stand-in for the strict arm that SQL can follow."""
+    """BM25 of the benchmark's questions, and a stand-in for the strict arm that SQL can follow: only for queries with SQL."""
     bm = retrieval.bm25(questions(spark, sf_dir), doc_index(spark, sf_dir))
     two = retrieval.limit_per_query(bm.where("(chunk_id + query_id) % 3 = 0").select("query_id", "chunk_id", (F.col("raw") / 10).alias("raw")), 40)
     return retrieval.keyword_rank(bm, two)
 
 
+def strict_arm(spark, sf_dir, limit: int = retrieval.PER_ARM) -> DataFrame:
+    """The chunks with all terms of the benchmark's questions."""
+    return retrieval.all_terms_match(questions(spark, sf_dir), table(spark, sf_dir, "documents"), limit=limit, id_col="doc_id")
+
+
+def lexical_arms(spark, sf_dir) -> DataFrame:
+    """The two lexical arms as one: the whole of what ``keyword_arm`` stands in for."""
+    return retrieval.keyword_rank(retrieval.bm25(questions(spark, sf_dir), doc_index(spark, sf_dir)), strict_arm(spark, sf_dir))
+
+
 @query(f"{KEYWORD_SQL} SELECT query_id, chunk_id, pos::int AS pos, round(raw, 6) AS raw FROM kw")
-def r4_keyword_rank(spark, sf_dir):
-    return keyword_arm(spark, sf_dir).select("query_id", "chunk_id", "pos", F.round("raw", 6).alias("raw"))
+def r4_keyword_rank(spark, sf_dir, arm=keyword_arm):
+    return arm(spark, sf_dir).select("query_id", "chunk_id", "pos", F.round("raw", 6).alias("raw"))
 
 
 FUSED_SQL = f"""{KEYWORD_SQL}, {sql.COSINE}, u AS (SELECT query_id, chunk_id, pos, raw, 1 AS kw FROM kw UNION ALL SELECT query_id, chunk_id, pos, raw, 0 FROM sem),
 f AS (SELECT query_id, chunk_id, sum(1 / (60 + pos + 1)) AS score, greatest(0, coalesce(max(CASE WHEN kw = 1 THEN raw END), 0)) AS lex_score, greatest(0, coalesce(max(CASE WHEN kw = 0 THEN raw END), 0)) AS sem_score, string_agg(CASE WHEN kw = 1 THEN 'keyword' ELSE 'semantic' END, '+' ORDER BY kw DESC) AS arms FROM u GROUP BY ALL)"""
 
 
-def fused(spark, sf_dir) -> DataFrame:
-    return retrieval.rrf_fuse(keyword_arm(spark, sf_dir), semantic_arm(spark, sf_dir))
+def fused(spark, sf_dir, arm=keyword_arm) -> DataFrame:
+    return retrieval.rrf_fuse(arm(spark, sf_dir), semantic_arm(spark, sf_dir))
 
 
 @query(f"{FUSED_SQL} SELECT query_id, chunk_id, round(score, 8) AS score, round(lex_score, 5) AS lex_score, round(sem_score, 5) AS sem_score, arms FROM f")
-def r5_rrf_fuse(spark, sf_dir):
-    return fused(spark, sf_dir).select("query_id", "chunk_id", F.round("score", 8).alias("score"), F.round("lex_score", 5).alias("lex_score"), F.round("sem_score", 5).alias("sem_score"), F.array_join("arms", "+").alias("arms"))
+def r5_rrf_fuse(spark, sf_dir, arm=keyword_arm):
+    return fused(spark, sf_dir, arm).select("query_id", "chunk_id", F.round("score", 8).alias("score"), F.round("lex_score", 5).alias("lex_score"), F.round("sem_score", 5).alias("sem_score"), F.array_join("arms", "+").alias("arms"))
 
 
 WEIGHTS = {"src0": 1.3, "src1": 1.1, "src2": 0.92}
@@ -439,52 +440,52 @@ HITS_SQL = f"""{FUSED_SQL}, w AS (SELECT query_id, chunk_id, score * CASE source
 h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) - 1 AS rank FROM w) WHERE rank < 8)"""
 
 
-def hits(spark, sf_dir) -> DataFrame:
+def hits(spark, sf_dir, arm=keyword_arm) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     chunks = docs.select(F.col("doc_id").alias("id"), "doc_id", "text", F.lit(None).cast("string").alias("heading"), F.lit(None).cast("string").alias("locator"))
     documents = docs.select("doc_id", F.col("source").alias("source_type"), F.concat(F.lit("Document "), "doc_id").alias("source_label"))
-    return retrieval.retrieve(keyword_arm(spark, sf_dir), semantic_arm(spark, sf_dir), chunks, documents, WEIGHTS, [3, 50])
+    return retrieval.retrieve(arm(spark, sf_dir), semantic_arm(spark, sf_dir), chunks, documents, WEIGHTS, [3, 50])
 
 
 @query(f"{HITS_SQL} SELECT query_id, chunk_id, rank::int AS rank, round(score, 8) AS score, length(text) AS n FROM h")
-def r7_retrieve(spark, sf_dir):
-    return hits(spark, sf_dir).select("query_id", "chunk_id", "rank", F.round("score", 8).alias("score"), F.length("text").cast("long").alias("n"))
+def r7_retrieve(spark, sf_dir, arm=keyword_arm):
+    return hits(spark, sf_dir, arm).select("query_id", "chunk_id", "rank", F.round("score", 8).alias("score"), F.length("text").cast("long").alias("n"))
 
 
 @query(f"{FUSED_SQL} SELECT query_id, chunk_id, round(score * CASE source WHEN 'src0' THEN 1.3 WHEN 'src1' THEN 1.1 WHEN 'src2' THEN 0.92 ELSE 1 END, 8) AS score FROM f JOIN documents ON doc_id = chunk_id")
-def r6_source_weights(spark, sf_dir):
+def r6_source_weights(spark, sf_dir, arm=keyword_arm):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "doc_id", F.col("source").alias("source_type"))
-    return retrieval.apply_source_weights(fused(spark, sf_dir).join(docs, "chunk_id"), WEIGHTS).select("query_id", "chunk_id", F.round("score", 8).alias("score"))
+    return retrieval.apply_source_weights(fused(spark, sf_dir, arm).join(docs, "chunk_id"), WEIGHTS).select("query_id", "chunk_id", F.round("score", 8).alias("score"))
 
 
 @query(f"{HITS_SQL} SELECT item_id AS query_id, coalesce(lex < 20 AND sem < 0.35, true) AS thin FROM benchmark LEFT JOIN (SELECT query_id, max(lex_score) AS lex, max(sem_score) AS sem FROM h GROUP BY query_id) ON item_id = query_id")
-def r8_is_thin(spark, sf_dir):
-    return retrieval.is_thin(questions(spark, sf_dir), hits(spark, sf_dir), min_lex=20.0)
+def r8_is_thin(spark, sf_dir, arm=keyword_arm):
+    return retrieval.is_thin(questions(spark, sf_dir), hits(spark, sf_dir, arm), min_lex=20.0)
 
 
 @query(f"{HITS_SQL} SELECT query_id, string_agg('Document ' || chunk_id || '#' || length(text), ' ' ORDER BY rank) AS blocks FROM h GROUP BY query_id")
-def r9_context_blocks(spark, sf_dir):
-    b = retrieval.context_blocks(hits(spark, sf_dir))
+def r9_context_blocks(spark, sf_dir, arm=keyword_arm):
+    b = retrieval.context_blocks(hits(spark, sf_dir, arm))
     return b.select("query_id", F.array_join(F.transform("blocks", lambda x: F.concat(x["title"], F.lit("#"), F.length(x["text"]).cast("string"))), " ").alias("blocks"))
 
 
 @query()
 def r10_search_passages(spark, sf_dir):
-    return retrieval.search_passages(questions(spark, sf_dir), hits(spark, sf_dir)).select("query_id", "rank", "label", t.text_md5("passage").alias("m"))
+    return retrieval.search_passages(questions(spark, sf_dir), hits(spark, sf_dir, lexical_arms)).select("query_id", "rank", "label", t.text_md5("passage").alias("m"))
 
 
 @query(f"""{HITS_SQL}, b AS (SELECT query_id, string_agg(text, chr(10) ORDER BY rank) AS body, arg_min(chunk_id, rank) AS top_chunk FROM h GROUP BY query_id)
 SELECT item_id AS query_id, coalesce(contains(lower(body), lower(regexp_extract(text, '[A-Za-z]+ [A-Za-z]+'))), false) AS passed, top_chunk FROM benchmark LEFT JOIN b ON item_id = query_id""")
-def r11_evaluate(spark, sf_dir):
+def r11_evaluate(spark, sf_dir, arm=keyword_arm):
     cases = questions(spark, sf_dir).select("query_id", F.regexp_extract("text", "[A-Za-z]+ [A-Za-z]+", 0).alias("want"))
-    return retrieval.evaluate_retrieval(cases, hits(spark, sf_dir))
+    return retrieval.evaluate_retrieval(cases, hits(spark, sf_dir, arm))
 
 
 @query(f"""{HITS_SQL}, b AS (SELECT item_id % 2 = 0 AS answerable, greatest(0, coalesce(max(lex_score), 0)) AS best FROM benchmark LEFT JOIN h ON item_id = query_id GROUP BY item_id)
 SELECT answerable, round(min(best), 5) AS least, round(max(best), 5) AS greatest, count(*) AS n FROM b GROUP BY answerable""")
-def r12_score_separation(spark, sf_dir):
+def r12_score_separation(spark, sf_dir, arm=keyword_arm):
     q = questions(spark, sf_dir).withColumn("answerable", F.col("query_id") % 2 == 0)
-    return retrieval.score_separation(q, hits(spark, sf_dir))[1].select("answerable", F.round("least", 5).alias("least"), F.round("greatest", 5).alias("greatest"), "n")
+    return retrieval.score_separation(q, hits(spark, sf_dir, arm))[1].select("answerable", F.round("least", 5).alias("least"), F.round("greatest", 5).alias("greatest"), "n")
 
 
 # -- grounding ----------------------------------------------------------------------------------------------------
@@ -540,8 +541,22 @@ def g3_enforce_grounding(spark, sf_dir):
 
 @query(f"""{HITS_SQL}, m AS (SELECT DISTINCT query_id, upper(a[1]) || lower(a[2:]) || ' ' || b AS c FROM (SELECT query_id, unnest(regexp_extract_all(text, '(?i)\\b(the|of|in|and)[ ]+(that|this|for|with)\\b', 1)) AS a, unnest(regexp_extract_all(text, '(?i)\\b(the|of|in|and)[ ]+(that|this|for|with)\\b', 2)) AS b FROM h)),
 g AS (SELECT query_id, CASE WHEN count(*) > 1 THEN string_agg(c, '|' ORDER BY c) ELSE '' END AS labels FROM m GROUP BY query_id) SELECT query_id, coalesce(labels, '') AS labels FROM (SELECT DISTINCT query_id FROM h) LEFT JOIN g USING (query_id)""")
-def g5_conflicts(spark, sf_dir):
-    return grounding.detect_cohort_conflict(hits(spark, sf_dir), PAIR).select("query_id", F.array_join("labels", "|").alias("labels"))
+def g5_conflicts(spark, sf_dir, arm=keyword_arm):
+    return grounding.detect_cohort_conflict(hits(spark, sf_dir, arm), PAIR).select("query_id", F.array_join("labels", "|").alias("labels"))
+
+
+def _strict(f: Query) -> None:
+    """``f`` over the real strict arm, which SQL can't follow: tests hold it against a plain version."""
+
+    def whole(spark, sf_dir):
+        return f(spark, sf_dir, lexical_arms)
+
+    whole.__name__ = f"{f.__name__}_strict"
+    QUERIES[whole.__name__] = whole
+
+
+for _f in (r4_keyword_rank, r5_rrf_fuse, r6_source_weights, r7_retrieve, r8_is_thin, r9_context_blocks, r11_evaluate, r12_score_separation, g5_conflicts):
+    _strict(_f)
 
 
 @query("""WITH r AS (SELECT conv_id AS response_id, turn AS round, text, length(text) % 4 = 0 AS grounded, length(text) % 5 = 0 AS has_tools FROM conversations WHERE role <> 'system'),
