@@ -6,7 +6,13 @@ message's own words are its lines of level 0: as a whole, and in paragraphs.
 Quotations and own words are normalised (marks off, A-Z lower-cased, white space
 collapsed), meet by hash, and count as linked only if the normalised texts are
 equal. The original is the first message of the same conversation that says so
-before the quoting one, else the first such message of all.
+before the quoting one, else the first message of the other conversations.
+
+A quotation that no message holds as a whole is linked by its parts: paragraphs
+(parted by blank quoted lines), lines, and runs of two lines. Each part proposes its
+first earlier message of the same conversation and the first one of the others;
+the original is the message with the most linked lines, of equals one of the same
+conversation, then the first.
 
 A message replies to the original of its shallowest linked quotation (the first
 of these). Replies are followed to the message that starts the thread by pointer
@@ -75,27 +81,68 @@ def _own_words(text: Column) -> Column:
     return F.when(F.contains(text, F.lit(">")), kept).otherwise(F.replace(text, F.lit("\r\n"), F.lit("\n")))
 
 
+def _raw_passages(messages: DataFrame) -> DataFrame:
+    """conv_id, turn, at, level, raw, words: as ``passages``, with the lines as they are."""
+    found = messages.select("conv_id", "turn", F.posexplode(_passages(F.col("text"))).alias("at", "p"))
+    return found.select("conv_id", "turn", "at", F.col("p.level").alias("level"), F.col("p.words").alias("raw"), normalised(F.col("p.words")).alias("words")).where("words != ''")
+
+
 def passages(messages: DataFrame) -> DataFrame:
     """conv_id, turn, at, level, words: the passages of every message, in order."""
-    found = messages.select("conv_id", "turn", F.posexplode(_passages(F.col("text"))).alias("at", "p"))
-    return found.select("conv_id", "turn", "at", F.col("p.level").alias("level"), normalised(F.col("p.words")).alias("words")).where("words != ''")
+    return _raw_passages(messages).drop("raw")
+
+
+def _parts(raw: Column) -> Column:
+    """array<struct<words, start, size>>: the paragraphs, lines and runs of two lines of a text; start and size count its lines that are not blank."""
+
+    def part(words: Column, start: Column, size: Column) -> Column:
+        return F.struct(words.alias("words"), start.cast("int").alias("start"), size.cast("int").alias("size"))
+
+    said = lambda text: F.filter(F.transform(F.split(text, "\n"), normalised), lambda w: w != "")
+
+    def of_lines(lines: Column) -> Column:
+        single = F.transform(lines, lambda w, i: part(w, i, F.lit(1)))
+        pair = F.transform(F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0))), lambda w, i: part(F.concat_ws(" ", w, F.get(lines, i + 1)), i, F.lit(2)))
+        return F.concat(single, pair)
+
+    def of_paragraphs(counted: Column) -> Column:
+        before = lambda k: F.aggregate(F.slice(counted, 1, k), F.lit(0), lambda n, p: n + p["size"])
+        return F.filter(F.transform(counted, lambda p, k: part(p["words"], before(k), p["size"])), lambda p: p["size"] > 2)
+
+    counted = F.transform(F.split(raw, r"\n(?:[\x20\x09-\x0D]*\n)+"), lambda p: F.struct(normalised(p).alias("words"), F.size(said(p)).alias("size")))
+    # a paragraph of one or two lines is among the lines and runs
+    return F.concat(_bind(said(raw), of_lines), _bind(counted, of_paragraphs))
+
+
+def _met(quoted: DataFrame, own: DataFrame) -> DataFrame:
+    """``quoted`` with ``here``, the first earlier message of the same conversation that has the words, and ``there``, the first one of the others."""
+    # only what is quoted somewhere is looked for
+    own = own.join(quoted.select("h").distinct(), "h", "left_semi")
+    first_here = own.groupBy("h", "words", "conv_id").agg(F.min("turn").alias("first_turn"))
+    first = first_here.groupBy("h", "words").agg(F.min(F.struct("conv_id", F.col("first_turn").alias("turn"))).alias("first"))
+    # the first message outside the first one's conversation
+    second = first_here.join(first, ["h", "words"]).where(F.col("conv_id") != F.col("first.conv_id")).groupBy("h", "words").agg(F.min(F.struct("conv_id", F.col("first_turn").alias("turn"))).alias("second"))
+    met = quoted.join(first_here, ["h", "words", "conv_id"], "left").join(first, ["h", "words"], "left").join(second, ["h", "words"], "left")
+    here = F.when(F.col("first_turn") < F.col("turn"), F.struct("conv_id", F.col("first_turn").alias("turn")))
+    there = F.when(F.col("first.conv_id") == F.col("conv_id"), F.col("second")).otherwise(F.col("first"))
+    return met.withColumns({"here": here, "there": there}).drop("first_turn", "first", "second")
 
 
 def links(messages: DataFrame) -> DataFrame:
     """conv_id, turn, at, level, to_conv, to_turn: every linked quotation."""
-    body = messages.select("conv_id", "turn", F.lit(-1).alias("at"), F.lit(0).alias("level"), normalised(_own_words(F.col("text"))).alias("words")).where("words != ''")
-    quoted = passages(messages.where(F.contains("text", F.lit(">")))).where("level > 0").withColumn("h", F.xxhash64("words"))
-    own = passages(messages).where("level = 0").unionByName(body).withColumn("h", F.xxhash64("words"))
-    # only what is quoted somewhere is looked for
-    wanted = quoted.select("h").distinct()
-    own = own.join(wanted, "h", "left_semi")
-    first_here = own.groupBy("h", "words", "conv_id").agg(F.min("turn").alias("here"))
-    first = own.groupBy("h", "words").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
-    met = quoted.join(first_here, ["h", "words", "conv_id"], "left").join(first, ["h", "words"])
-    here = F.col("here").isNotNull() & (F.col("here") < F.col("turn"))
-    there = F.when(~((F.col("first.conv_id") == F.col("conv_id")) & (F.col("first.turn") >= F.col("turn"))), F.col("first"))
-    to = F.when(here, F.struct("conv_id", F.col("here").alias("turn"))).otherwise(there)
-    return met.select("conv_id", "turn", "at", "level", to.alias("to")).where("to is not null").select("conv_id", "turn", "at", "level", F.col("to.conv_id").alias("to_conv"), F.col("to.turn").alias("to_turn"))
+    body = messages.select("conv_id", "turn", normalised(_own_words(F.col("text"))).alias("words")).where("words != ''")
+    quoted = _raw_passages(messages.where(F.contains("text", F.lit(">")))).where("level > 0").withColumn("h", F.xxhash64("words"))
+    own = passages(messages).where("level = 0").select("conv_id", "turn", "words").unionByName(body).withColumn("h", F.xxhash64("words"))
+    key = ["conv_id", "turn", "at", "level"]
+    whole = staged(_met(quoted, own).select(*key, "raw", F.coalesce("here", "there").alias("to")))
+    # by parts: what has no whole match
+    in_parts = whole.where("to is null").select(*key, F.inline(_parts(F.col("raw")))).withColumn("h", F.xxhash64("words"))
+    own_parts = messages.select("conv_id", "turn", F.inline(_parts(_own_words(F.col("text"))))).select("conv_id", "turn", "words").withColumn("h", F.xxhash64("words"))
+    proposed = _met(in_parts, own_parts).select(*key, "start", "size", F.explode(F.array("here", "there")).alias("to")).where("to is not null")
+    lines = proposed.select(*key, "to", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("line")).distinct().groupBy(*key, "to").agg(F.count("*").alias("n"))
+    best = lines.groupBy(*key).agg(F.min(F.struct((-F.col("n")).alias("n"), (F.col("to.conv_id") != F.col("conv_id")).alias("elsewhere"), "to")).alias("m")).select(*key, F.col("m.to").alias("to"))
+    found = whole.where("to is not null").select(*key, "to").unionByName(best)
+    return found.select(*key, F.col("to.conv_id").alias("to_conv"), F.col("to.turn").alias("to_turn"))
 
 
 def conversations(messages: DataFrame, max_rounds: int = 64) -> DataFrame:

@@ -116,3 +116,23 @@ def test_pipeline_stages(spark):
     ordered = sorted(last, key=lambda r: r.start)
     assert all(a.start + a.n_tokens == b.start for a, b in zip(ordered, ordered[1:], strict=False))
     assert sorted(map(tuple, corpus_pipeline.run(spark, SMALL).collect())) == sorted(map(tuple, last))
+
+
+def test_quotes_of_parts(spark):
+    three = "First part\nof two lines\n\nSecond part\n\nThird part"
+    rows = [
+        (1, 0, three),
+        (1, 1, "> first part\n> of two lines\n>\n> third part\nto two of three paragraphs"),
+        (1, 2, "> of two lines\nto a line"),
+        (1, 3, "Alpha\nBravo\nCharlie\nDelta"),
+        (1, 4, "> Bravo\n> Charlie\n> said nowhere\nto lines among others"),
+        (2, 0, "Alpha"), (2, 1, "Bravo"),
+        # each line was first said elsewhere, the run of them here
+        (3, 0, "Bravo"), (3, 1, "Charlie"), (3, 2, "Alpha\nBravo\nCharlie\nEcho"), (3, 3, "> Alpha\n> Bravo\n> Charlie\nto a run"),
+        # the first of all is the quoting conversation's own later message
+        (4, 0, "> only here and later\nme"), (4, 1, "only here and later"), (5, 0, "only here and later"),
+        (6, 0, "> one thing\n> and another\n> and no other\nto a rewrapped paragraph\n\n> lost"), (7, 0, "intro\n\none thing and\nanother and no other"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, text string")
+    by = {(r.conv_id, r.turn): (r.reply_conv, r.reply_turn) for r in quotes.conversations(df).collect() if r.reply_turn is not None}
+    assert by == {(1, 1): (1, 0), (1, 2): (1, 0), (1, 4): (1, 3), (3, 3): (3, 2), (4, 0): (5, 0), (6, 0): (7, 0)}
