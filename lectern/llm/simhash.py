@@ -55,15 +55,17 @@ def fingerprint(text: bytes, width: int = 3) -> int:
     return int(np.packbits(counts * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id, fp (the 64 bits as a long) of every row."""
+def fingerprints(docs: DataFrame, width: int = 3, hashed: bool = False) -> DataFrame:
+    """doc_id, fp (the 64 bits as a long) of every row; ``hashed``: also text_hash."""
+    own = ["doc_id", "text_hash"] if hashed else ["doc_id"]
 
     def compute(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text"):
             values = np.array([fingerprint(t, width) for t in piece.column("text").to_pylist()], np.uint64)
-            yield batch({"doc_id": (piece.column("doc_id"), None), "fp": (values.view(np.int64), pa.int64())})
+            yield batch({c: (piece.column(c), None) for c in own} | {"fp": (values.view(np.int64), pa.int64())})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")).mapInArrow(compute, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), utf8().alias("text"))
+    return rows.select(*own, "text").mapInArrow(compute, ", ".join(f"{c} long" for c in [*own, "fp"]))
 
 
 def links(distinct: DataFrame, small: int = 64) -> DataFrame:
@@ -92,6 +94,12 @@ def links(distinct: DataFrame, small: int = 64) -> DataFrame:
     return by_pairs.unionByName(stars).distinct()
 
 
+def _rooted(classes: DataFrame, small: int) -> DataFrame:
+    """``classes`` (one row of each fp) with the root of its component."""
+    groups = connected(links(classes.select("fp"), small))  # fp, root: of linked fingerprints only
+    return classes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, small: int = 64) -> DataFrame:
     """doc_id, fp, component_id of every row."""
     from lectern.llm.common import staged
@@ -99,8 +107,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, small: int = 64) -> DataFra
     marked = staged(fingerprints(docs, width))
     # one representative of each fingerprint: its smallest id
     classes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    groups = connected(links(classes.select("fp"), small))  # fp, root: of linked fingerprints only
-    rooted = classes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = _rooted(classes, small)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
@@ -111,11 +118,15 @@ def digests(found: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 3, small: int = 64) -> DataFrame:
-    """``docs`` with one document of each component: the row of the smallest id (of repeated rows of it, one)."""
+    """``docs`` with one row of each component: of the smallest id (null last), then the smallest text hash; of rows equal in both, one."""
     from pyspark.sql import Window
 
-    kept = near_duplicates(docs, width, small).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    out = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("_kept"))).drop("_kept")
-    # the row_number needs a group only where rows repeat an id; ids are the partition keys, so groups are those repeats
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return out.withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row").select(*docs.columns)
+    from lectern.llm.common import staged
+
+    marked = staged(fingerprints(docs, width, hashed=True))
+    classes = marked.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("least"))
+    kept = _rooted(classes, small).groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("_d"), F.col("least.text_hash").alias("_h"))
+    out = docs.withColumn("_h0", F.xxhash64("text")).join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("_d")) & (F.col("_h0") == F.col("_h")), "left_semi")
+    # a number among the rows of one id and text only
+    order = Window.partitionBy("doc_id", "_h0").orderBy(F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind]))
+    return out.withColumn("_row", F.row_number().over(order)).where("_row = 1").select(*docs.columns)

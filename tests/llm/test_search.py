@@ -199,3 +199,13 @@ def test_line_chunks_leave_nothing_of_a_copy(spark):
     for r in cut:
         assert "\n".join(c.chunk for c in r.c) == (r.text or "") and sum(c.n_lines for c in r.c) == (r.text or "").count("\n") + 1
         assert len(r.c) == 1 or min(c.n_lines for c in r.c) >= 2
+
+
+def test_one_row_of_every_component_stays(spark):
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(30))
+    # components without any id, and two texts under one id of which one repeats a smaller id's
+    docs = [(None, text(1)), (None, text(1)), (None, text(2)), (None, text(3)), (4, text(3)), (5, text(5)), (7, text(5)), (7, text(7)), (8, text(8)), (8, text(8)), (9, text(8))]
+    df = spark.createDataFrame([(*d, "a") for d in docs], "doc_id long, text string, source string")
+    kept = [tuple(r) for r in s.drop_near_duplicates(df).collect()]
+    want = [(None, text(1)), (None, text(2)), (4, text(3)), (5, text(5)), (7, text(7)), (8, text(8))]
+    assert sorted(kept, key=str) == sorted(((*w, "a") for w in want), key=str)
