@@ -166,6 +166,7 @@ PAIR = r"(?i)\b(the|of|in|and)[ ]+(that|this|for|with)\b"
 
 @query("""SELECT doc_id AS source, upper(a[1]) || lower(a[2:]) || ' ' || b AS cohort, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)\\b(the|of|in|and)[ ]+(that|this|for|with)\\b', 1)) AS a, unnest(regexp_extract_all(text, '(?i)\\b(the|of|in|and)[ ]+(that|this|for|with)\\b', 2)) AS b FROM documents WHERE lang = 'en' AND regexp_matches(text, '^[\\x00-\\x7F]*$')) GROUP BY ALL""")
 def f6_pattern_mentions(spark, sf_dir):
+    """Of the rows on which SQL's patterns agree; all rows: ``f6_pattern_mentions_whole``."""
     docs = table(spark, sf_dir, "documents").where("lang = 'en'").where(F.col("text").rlike("^[\\x00-\\x7F]*$")).withColumn("source", F.col("doc_id"))
     return grounding.find_cohort_mentions(docs, PAIR).groupBy("source", "cohort").agg(F.count("*").alias("n"))
 
@@ -173,10 +174,23 @@ def f6_pattern_mentions(spark, sf_dir):
 @query("""WITH m AS (SELECT DISTINCT upper(a[1]) || lower(a[2:]) || ' ' || b AS c FROM (SELECT unnest(regexp_extract_all(text, '(?i)\\b(the|of)[ ]+(that|for)\\b', 1)) AS a, unnest(regexp_extract_all(text, '(?i)\\b(the|of)[ ]+(that|for)\\b', 2)) AS b FROM documents WHERE lang = 'en' AND regexp_matches(text, '^[\\x00-\\x7F]*$')))
 SELECT array_to_string(list_sort(list(c)), '|') AS labels, count(*) > 1 AS conflict FROM m""")
 def f7_audit_cohorts(spark, sf_dir):
+    """Of the rows on which SQL's patterns agree; all rows: ``f7_audit_cohorts_whole``."""
     docs = table(spark, sf_dir, "documents").where("lang = 'en'").where(F.col("text").rlike("^[\\x00-\\x7F]*$")).withColumn("source", F.col("doc_id"))
     return grounding.audit_cohorts(grounding.find_cohort_mentions(docs, r"(?i)\b(the|of)[ ]+(that|for)\b")).select(F.array_join("labels", "|").alias("labels"), "conflict")
 
 
+@query()
+def f6_pattern_mentions_whole(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("source", F.col("doc_id"))
+    return grounding.find_cohort_mentions(docs, PAIR).groupBy("source", "cohort").agg(F.count("*").alias("n"))
+
+
+@query()
+def f7_audit_cohorts_whole(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("source", F.col("doc_id"))
+    return grounding.audit_cohorts(grounding.find_cohort_mentions(docs, r"(?i)\b(the|of)[ ]+(that|for)\b")).select(F.array_join("labels", "|").alias("labels"), "conflict")
+
+
 # -- dedup --------------------------------------------------------------------------------------------------------
 
 
@@ -274,7 +288,7 @@ def i1_tokenize(spark, sf_dir):
 
 @query()
 def i2_english_lexemes(spark, sf_dir):
-    return index.chunk_terms(table(spark, sf_dir, "documents").where("lang = 'en'"), english_lexemes, id_col="doc_id").select("chunk_id", "word", "tf")
+    return index.chunk_terms(table(spark, sf_dir, "documents"), english_lexemes, id_col="doc_id").select("chunk_id", "word", "tf")
 
 
 @query(f"WITH {sql.INDEX} SELECT chunk_id, word, tf::int AS tf FROM terms")
@@ -379,9 +393,15 @@ def r2_all_terms(spark, sf_dir):
     return hits.select("query_id", "chunk_id")
 
 
+@query()
+def r2_all_terms_whole(spark, sf_dir):
+    """Whole questions, with ``or``, which SQL's list functions can't follow."""
+    return strict_arm(spark, sf_dir, limit=1 << 30).select("query_id", "chunk_id")
+
+
 @query()
 def r2_cover_density(spark, sf_dir):
-    return retrieval.all_terms_match(word_queries(spark, sf_dir), table(spark, sf_dir, "documents"), id_col="doc_id")
+    return strict_arm(spark, sf_dir)
 
 
 def semantic_arm(spark, sf_dir) -> DataFrame:

@@ -56,3 +56,24 @@ def test_strict_arm_enters_the_fusion(spark, place):
     assert (0, "Document 100") in {(r.query_id, r.label) for r in queries.r10_search_passages(spark, d).collect()}
     names = "r4_keyword_rank r5_rrf_fuse r6_source_weights r7_retrieve r8_is_thin r9_context_blocks r11_evaluate r12_score_separation g5_conflicts".split()
     assert {f"{n}_strict" for n in names} <= set(queries.QUERIES) - set(queries.ORACLES)
+
+
+def test_whole_questions(spark, place):
+    d, docs, items = place
+    want = plain_strict(docs, items)
+    assert {(r.query_id, r.chunk_id) for r in queries.r2_all_terms_whole(spark, d).collect()} == set(want)
+    assert {(r.query_id, r.chunk_id): round(r.raw, 9) for r in queries.r2_cover_density(spark, d).collect()} == {k: round(v, 9) for k, v in want.items()}
+
+
+def test_all_languages_and_bytes(spark, tmp_path):
+    rows = [(1, "the that", "en"), (2, "OF for, caf\u00e9 of  FOR", "en"), (3, "the that und in this", "de"), (4, None, "fr"), (5, "rien", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    d = str(tmp_path)
+    mentions = {}
+    for i, text, _ in rows:
+        for a, b in re.findall(queries.PAIR, text or ""):
+            key = (i, f"{a.capitalize()} {b}")
+            mentions[key] = mentions.get(key, 0) + 1
+    assert {(r.source, r.cohort): r.n for r in queries.f6_pattern_mentions_whole(spark, d).collect()} == mentions and {i for i, _ in mentions} == {1, 2, 3}
+    assert tuple(queries.f7_audit_cohorts_whole(spark, d).first()) == ("Of FOR|Of for|The that", True)
+    assert {1, 2, 3, 5} >= {r.chunk_id for r in queries.i2_english_lexemes(spark, d).collect()} >= {3, 5}
