@@ -26,16 +26,17 @@ import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import LOWER, batch, pieces, ranges, shared_folder, utf8
+from lectern.llm.common import batch, pieces, ranges, shared_folder, utf8
 
 MAGIC = b"S8B1"
 BLOCK = 256
@@ -140,19 +141,23 @@ def from_blob(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return unpack(packed, offsets, raw, n), lengths
 
 
-def _letters(word: bytes) -> bool:
-    """Whether a word is letters alone, composed as normalising would compose them."""
-    try:
-        text = word.decode()
-    except UnicodeDecodeError:
-        return False
-    return text.isalpha() and is_normalized("NFC", text)
+#: What may stand behind a run of letters as a pre-token of its own: ASCII that is no letter, digit or white space.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-def _lowered(text: bytes) -> bytes:
-    """A-Z in lower case, as the tokenizer would have them, unless a special token
-    or a mark that is composed with the letter before it (U+0300 to U+037F) may stand in the text."""
-    return text if b"<|" in text or b"\xcc" in text or b"\xcd" in text else text.translate(LOWER)
+def _letters(word: str) -> bool:
+    """Whether a word is letters alone when lower-cased, as normalising would compose them.
+
+    A lower-cased letter may bring a mark along (U+0130 does). Letters from U+0530 on are
+    left to the tokenizer: newer ones may not be letters to its own tables.
+    """
+    low = word.lower()
+    return low.isalpha() and max(low) < "\u0530" and is_normalized("NFC", word)
+
+
+def _strings(words: pa.Array) -> list[str]:
+    """Python strings; by way of NumPy, which is several times faster than one scalar at a time."""
+    return words.to_numpy(zero_copy_only=False).tolist()
 
 
 class WordTokens:
@@ -160,13 +165,14 @@ class WordTokens:
     ids of a text are those of its white-space-separated words, and each
     distinct word meets the tokenizer once while it is remembered.
 
-    A run of letters is one pre-token, ended by an id of the vocabulary's word
-    ends, and full stops and commas behind it are the next. So distinct runs of
+    Arrow splits a piece of texts and numbers its distinct words; what follows per
+    word of the text is array look-ups. A run of letters is one pre-token, ended by an id
+    of the vocabulary's word ends, and ASCII marks behind it are the next. So distinct runs of
     letters are encoded many to a call and told apart by their word ends; any other
     word, and any call whose word ends don't add up, is encoded by itself.
     """
 
-    def __init__(self, name: str, remember: int = 600_000, together: int = 64):
+    def __init__(self, name: str, remember: int = 600_000, together: int = 256):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         from tokenizers import Tokenizer, pre_tokenizers
@@ -180,75 +186,92 @@ class WordTokens:
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.letters: dict[bytes, int] = {}  # places among the numbers, too
+        self.number: dict[str, int] = {}
+        self.letters: dict[str, int] = {}  # places among the numbers, too
         self.flat, self.start, self.count = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def alone(self, words: list[str], tokenizer=None) -> list[list[int]]:
         return [e.ids for e in (tokenizer or self.tokenizer).encode_batch_fast(words, add_special_tokens=False)]
 
-    def learn_letters(self, runs: list[bytes], tokenizer) -> None:
-        found: list[list[int]] = []
-        for i in range(0, len(runs), 64 * self.together):
-            groups = [runs[j : j + self.together] for j in range(i, min(i + 64 * self.together, len(runs)), self.together)]
-            for group, ids in zip(groups, self.alone([b" ".join(g).decode() for g in groups], tokenizer), strict=True):
-                ends = (np.flatnonzero(self.is_end[ids]) + 1).tolist()
-                if len(ends) == len(group) and ends[-1] == len(ids):
-                    found += [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-                else:
-                    found += self.alone([g.decode() for g in group])
-        self.letters.update(zip(runs, self.add(found), strict=True))
-
-    def add(self, ids: list[list[int]]) -> range:
-        """Numbers of new runs of ids."""
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        return self.add_flat(np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum())), counts)
-
-    def add_flat(self, flat: np.ndarray, counts: np.ndarray) -> range:
+    def learn_letters(self, runs: list[str], tokenizer) -> None:
+        groups = [runs[i : i + self.together] for i in range(0, len(runs), self.together)]
+        for i in range(0, len(groups), 64):
+            some = groups[i : i + 64]
+            flat, counts = [], []
+            for group, ids in zip(some, self.alone([" ".join(g) for g in some], tokenizer), strict=True):
+                ids = np.array(ids, np.uint32)
+                ends = np.flatnonzero(self.is_end[ids]) + 1
+                if len(ends) != len(group) or ends[-1] != len(ids):
+                    apart = self.alone(group)
+                    ids, ends = np.fromiter(chain.from_iterable(apart), np.uint32), np.cumsum([len(x) for x in apart])
+                flat.append(ids)
+                counts.append(np.diff(ends, prepend=0))
+            self.letters.update(zip(chain.from_iterable(some), self.add(np.concatenate(flat), np.concatenate(counts)), strict=True))
+
+    def add(self, flat: np.ndarray, counts: np.ndarray) -> range:
+        """Numbers of new runs of ids, which lie one behind the other in ``flat``."""
         first = len(self.count)
         self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(counts) - counts))
         self.count = np.concatenate((self.count, counts))
         self.flat = np.concatenate((self.flat, flat))
         return range(first, first + len(counts))
 
-    def learn(self, words: list[bytes]) -> None:
-        if len(self.number) > self.remember:
-            self.forget()
-        new = [*(set(words) - self.number.keys())]
-        if not new:
-            return
-        cores = [w.rstrip(b".,") for w in new]
-        plain = [c.isalpha() for c in cores]  # of bytes: A-Z, a-z
-        runs = [c.lower() if p else c if _letters(c) else None for c, p in zip(cores, plain, strict=True)]
-        fresh = {r: p for r, p in zip(runs, plain, strict=True) if r is not None and r not in self.letters}
-        self.learn_letters([r for r, p in fresh.items() if p], self.plain)
-        self.learn_letters([r for r, p in fresh.items() if not p], self.tokenizer)
-        others = [w for w, r in zip(new, runs, strict=True) if r is None]
-        self.number.update(zip(others, self.add(self.alone([w.decode("utf-8", "replace") for w in others])), strict=True))
-        self.number.update((w, self.letters[r]) for w, c, r in zip(new, cores, runs, strict=True) if r is not None and len(c) == len(w))
-        # letters with full stops or commas behind them
-        ended = [(w, self.letters[r], w[len(c) :]) for w, c, r in zip(new, cores, runs, strict=True) if r is not None and len(c) < len(w)]
-        if ended:
-            tails = [*{t for _, _, t in ended}]
-            place = dict(zip(tails, self.add(self.alone([t.decode() for t in tails])), strict=True))
-            body, tail = np.array([k for _, k, _ in ended]), np.array([place[t] for _, _, t in ended])
+    def add_alone(self, words: list[str]) -> range:
+        ids = self.alone(words)
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        return self.add(np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum())), counts)
+
+    def learn(self, new: pa.Array) -> np.ndarray:
+        """Numbers of words that have none."""
+        cores = pc.utf8_rtrim(new, MARKS)
+        plain = pc.ascii_is_alpha(cores)
+        runs = pc.if_else(plain, pc.ascii_lower(cores), cores).dictionary_encode()
+        distinct = _strings(runs.dictionary)
+        is_plain = pc.ascii_is_alpha(runs.dictionary).to_numpy(zero_copy_only=False).tolist()
+        fresh = [(r, p) for r, p in zip(distinct, is_plain, strict=True) if r not in self.letters and (p or (r and _letters(r)))]
+        self.learn_letters([r for r, p in fresh if p], self.plain)
+        self.learn_letters([r for r, p in fresh if not p], self.tokenizer)
+        out = np.fromiter(map(self.letters.get, distinct, repeat(-1)), np.int64, len(distinct))[runs.indices.to_numpy(zero_copy_only=False)]
+        size = pc.binary_length(cores).to_numpy(zero_copy_only=False)
+        marks = pc.binary_length(new).to_numpy(zero_copy_only=False) - size
+        # letters with marks behind them
+        ended = np.flatnonzero((out >= 0) & (marks > 0))
+        if len(ended):
+            tails = pa.array([w[-m:] for w, m in zip(_strings(new.take(pa.array(ended))), marks[ended].tolist(), strict=True)]).dictionary_encode()
+            place = np.array(self.add_alone(_strings(tails.dictionary)))
+            body, tail = out[ended], place[tails.indices.to_numpy(zero_copy_only=False)]
             counts = self.count[body] + self.count[tail]
             first = np.cumsum(counts) - counts
             flat = np.empty(int(counts.sum()), np.uint32)
             flat[ranges(first, self.count[body])] = self.flat[ranges(self.start[body], self.count[body])]
             flat[ranges(first + self.count[body], self.count[tail])] = self.flat[ranges(self.start[tail], self.count[tail])]
-            self.number.update(zip((w for w, _, _ in ended), self.add_flat(flat, counts), strict=True))
+            out[ended] = np.array(self.add(flat, counts))
+        others = np.flatnonzero(out < 0)
+        if len(others):
+            out[others] = np.array(self.add_alone(_strings(new.take(pa.array(others)))))
+        return out
+
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """The number of each of these distinct words."""
+        if len(self.number) > self.remember:
+            self.forget()
+        listed = _strings(words)
+        out = np.fromiter(map(self.number.get, listed, repeat(-1)), np.int64, len(listed))
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            out[new] = self.learn(words.take(pa.array(new)))
+            self.number.update(zip(map(listed.__getitem__, new.tolist()), out[new].tolist(), strict=True))
+        return out
 
-    def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array | list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by ``end_id``; ids of each text)."""
-        split = [_lowered(t).split() for t in texts]
-        words = list(chain.from_iterable(split))
-        self.learn(words)
-        number = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        split = pc.ascii_split_whitespace(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        words = split.flatten().dictionary_encode()
+        number = self.numbers(words.dictionary)[words.indices.to_numpy(zero_copy_only=False)]
         counts = self.count[number]
         ids = self.flat[ranges(self.start[number], counts)] if len(number) else np.zeros(0, np.uint32)
         sums = np.concatenate(([0], np.cumsum(counts)))
-        lengths = np.diff(sums[np.concatenate(([0], np.cumsum([len(s) for s in split])))]) + 1
+        lengths = np.diff(sums[np.concatenate(([0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))))]) + 1
         ends = np.cumsum(lengths) - 1
         out = np.empty(int(lengths.sum()), np.uint32)
         own = np.ones(len(out), bool)
@@ -270,7 +293,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: in
         tokens = _word_tokens(tokenizer)
         part, before = TaskContext.get().partitionId(), 0
         for piece in pieces(batches, "text"):
-            ids, lengths = tokens.encode(piece.column("text").to_pylist(), end_id)
+            ids, lengths = tokens.encode(piece.column("text").cast(pa.string()), end_id)
             yield batch({
                 "part": ([part], pa.int32()), "before": ([before], pa.int64()), "n_docs": ([len(lengths)], pa.int32()), "n_ids": ([len(ids)], pa.int64()),
                 "doc_ids": ([piece.column("doc_id").to_pylist()], pa.list_(pa.int64())), "blob": ([to_blob(ids, lengths)], pa.binary()),

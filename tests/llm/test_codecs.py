@@ -115,8 +115,35 @@ def test_words_match_whole_texts(spark):
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(150).collect()]
     texts += ["é ́x", "A B C", "İstanbul ΣΑΣ ΣΑΣ.", "don't we'll\x0b'LL", "<|startoftext|>a <|endoftext|>", "\x1c a\x85b"]
     tok = Tokenizer.from_file(public_tokenizers.path(t.TOKENIZER))
-    ids, lengths = t.WordTokens(t.TOKENIZER).encode([x.encode() for x in texts], 1)
+    ids, lengths = t.WordTokens(t.TOKENIZER).encode(texts, 1)
     at = 0
     for text, n in zip(texts, lengths.tolist(), strict=True):
         assert ids[at : at + n].tolist() == [*tok.encode(text, add_special_tokens=False).ids, 1]
         at += n
+
+
+def test_words_match_the_tokenizer_on_random_texts():
+    dice = random.Random(11)
+    letters = "aAbBzZ \u00e9\u00c9\u00f1\u00fc\u0130\u0131\u011e\u03c3\u03a3\u03c2\u0416\u044f\u4e2d\u3042'.,.,!?;:-*$%&#<>|()\"0129\u00bd\u00b2\u00aa\u0338\u0301\u0307\u1e9e\u00c5\u212b\u00a0\u2003\x85\x1c\x0b\t\n\ud7a3\u0560\u1c8a_"
+    words = ["B\u0130R\u0130NC\u0130.", "ANKARA \u0130L\u0130, T\u00dcRK\u0130YE", "\u0130,", "don't", "we'LL.", "x's'", "a<|endoftext|>b.", "caf\u00e9***", "\ufb01ne.", "\u01c4ungla."]
+    word = lambda: dice.choice(words) if dice.random() < 0.3 else "".join(dice.choice(letters) for _ in range(dice.randrange(9)))
+    texts = ["".join(word() + dice.choice([" ", "  ", "\n", "", "\u2003"]) for _ in range(dice.randrange(12))) for _ in range(12_000)] + words
+    tok = Tokenizer.from_file(public_tokenizers.path(t.TOKENIZER))
+    for together, remember in ((256, 600_000), (3, 50)):
+        tokens, at, want = t.WordTokens(t.TOKENIZER, remember, together), 0, [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+        got = [tokens.encode(texts[i : i + 1000], 1) for i in range(0, len(texts), 1000)]
+        ids, lengths = np.concatenate([x for x, _ in got]), np.concatenate([x for _, x in got])
+        for text, n, w in zip(texts, lengths.tolist(), want, strict=True):
+            assert ids[at : at + n].tolist() == [*w, 1], repr(text)
+            at += n
+
+
+def test_read_ids(spark, docs):
+    path = f"{t.shared_folder(spark)}/ids-{random.random()}"
+    t.write_ids(docs.withColumnsRenamed({"media": "part", "ids": "before"}), path)
+    tok = Tokenizer.from_file(public_tokenizers.path(t.TOKENIZER))
+    got = sorted((str(r.doc_id), r.ids) for r in t.read_ids(spark, path).collect())
+    assert got == sorted((str(i), [*tok.encode(x or "", add_special_tokens=False).ids, 1]) for i, x in TEXTS)
+    empty = f"{path}-empty"
+    t.write_ids(docs.limit(0), empty)
+    assert t.read_ids(spark, empty).collect() == []
