@@ -63,6 +63,16 @@ def drop_staged(df: DataFrame) -> None:
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def row_of(df: DataFrame) -> Column:
+    """The given row as one column ``given``, beside which helper columns can't clash with its own."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("given")
+
+
+def columns_of(df: DataFrame, **replaced: Column) -> list[Column]:
+    """The given row's columns out of ``given``, some of them replaced."""
+    return [replaced[c].alias(c) if c in replaced else F.col(f"given.`{c}`").alias(c) for c in df.columns]
+
+
 def id_remainder(col: Column | str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as remainder 0."""
     c = F.col(col) if isinstance(col, str) else col
