@@ -16,7 +16,6 @@ benchmark or table gives no hits; other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import LOWER, batch, pieces, utf8
+from lectern.llm.common import LOWER, batch, cut_by_bytes, pieces, utf8
 
 #: Lower-cases A-Z; what is no word character becomes a space.
 WORDS = bytes(b if 48 <= b <= 57 or b >= 128 else l if 97 <= (l := LOWER[b]) <= 122 else 32 for b in range(256))
@@ -76,6 +75,25 @@ class Windows:
                         yield i, m, window
 
 
+def occurrences(windows: Windows, texts: list[bytes]) -> tuple[np.ndarray, Iterator[tuple[int, int, int, tuple[int, ...]]]]:
+    """(words of each text; (text, first word, length, window) of each occurrence)."""
+    get = windows.number.get
+    split = [t.translate(WORDS).split() for t in texts]
+    lengths = np.fromiter(map(len, split), np.int64, len(split))
+    ids = np.fromiter((get(w, 0) for w in chain.from_iterable(split)), np.int64, int(lengths.sum()))
+    # a 0 behind each text keeps windows within it
+    spaced = np.zeros(len(ids) + len(split), np.int64)
+    spaced[np.arange(len(ids)) + np.repeat(np.arange(len(split)), lengths)] = ids
+    first = np.cumsum(lengths) - lengths + np.arange(len(split))
+
+    def found() -> Iterator[tuple[int, int, int, tuple[int, ...]]]:
+        for at, m, window in windows.find(spaced):
+            d = int(np.searchsorted(first, at, side="right")) - 1
+            yield d, at - int(first[d]), m, window
+
+    return lengths, found()
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -113,25 +131,16 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes: i
 
         def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             windows = shared.value
-            get = windows.number.get
             for piece in pieces(batches, "text"):
-                split = [t.translate(WORDS).split() for t in piece.column("text").to_pylist()]
-                lengths = np.fromiter(map(len, split), np.int64, len(split))
-                ids = np.fromiter((get(w, 0) for w in chain.from_iterable(split)), np.int64, int(lengths.sum()))
-                ends = np.cumsum(lengths)
-                # a 0 behind each document keeps windows within it
-                spaced = np.zeros(len(ids) + len(split), np.int64)
-                spaced[np.arange(len(ids)) + np.repeat(np.arange(len(split)), lengths)] = ids
-                first = ends - lengths + np.arange(len(split))
+                lengths, found = occurrences(windows, piece.column("text").to_pylist())
                 spans, items = defaultdict(list), defaultdict(set)
-                for at, m, window in windows.find(spaced):
-                    d = int(np.searchsorted(first, at, side="right")) - 1
-                    spans[d].append((at - int(first[d]), at - int(first[d]) + m))
+                for d, at, m, window in found:
+                    spans[d].append((at, at + m))
                     items[d].update(windows.owners[window])
                 yield batch({
                     "doc_id": (piece.column("doc_id"), None), "text_hash": (piece.column("text_hash"), None), "n_words": (lengths, pa.int64()),
-                    "spans": ([[{"start": a, "end": b} for a, b in merged(spans[d])] if d in spans else [] for d in range(len(split))], SPANS),
-                    "items": ([sorted(items[d]) if d in items else [] for d in range(len(split))], pa.list_(pa.string())),
+                    "spans": ([[{"start": a, "end": b} for a, b in merged(spans[d])] if d in spans else [] for d in range(len(lengths))], SPANS),
+                    "items": ([sorted(items[d]) if d in items else [] for d in range(len(lengths))], pa.list_(pa.string())),
                 })
 
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), utf8().alias("text")).mapInArrow(search, FOUND)
@@ -164,9 +173,11 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_b
     def clean(shared):
         @F.pandas_udf("boolean")
         def keep(texts):
-            windows = shared.value
-            get = windows.number.get
-            return texts.map(lambda t: next(windows.find(np.fromiter((get(w, 0) for w in bytes(t).translate(WORDS).split()), np.int64)), None) is None)
+            out, at = np.ones(len(texts), bool), 0
+            for some in cut_by_bytes([bytes(t) for t in texts]):
+                out[[at + d for d, *_ in occurrences(shared.value, some)[1]]] = False
+                at += len(some)
+            return type(texts)(out)
 
         return keep
 
@@ -198,7 +209,3 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes
 
     joined = docs.join(hits, docs["doc_id"].cast("long").eqNullSafe(F.col("_hit_id")) & (F.xxhash64(docs["text"]) == F.col("_hit_hash")), "left")
     return joined.select(*[cut(docs["text"], F.col("_spans")).alias("text") if c == "text" else docs[c] for c in docs.columns])
-
-
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()

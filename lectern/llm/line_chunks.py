@@ -17,8 +17,9 @@ summed where it is read.
 
 Cases: a null or empty text is one empty line and is never removed; lines end at
 newlines; repeated rows keep their chunks in one of them, all rows of a repeated
-id and text being told apart by number; an empty table gives an empty table;
-other columns are kept.
+id and text being told apart by number, in the order of their other columns' hash; an
+empty table gives an empty table; other columns are kept, but for those with the names
+of results, which are replaced.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import staged
+from lectern.llm.common import columns_of, row_of, staged, with_class
 
 
 def _bind(value: Column, body) -> Column:
@@ -75,15 +76,17 @@ def _cut(window: int, divisor: int, least_lines: int, by_minimum: bool) -> Colum
 
 
 def repeats(docs: DataFrame, window: int = 2, divisor: int = 2, least_lines: int = 2, by_minimum: bool = False) -> DataFrame:
-    """doc_id, text_hash, at, nth: the occurrences to remove (``nth`` of the equal rows of an id and text, from 1)."""
+    """doc_id, text_hash, at, rows, is_first: the repeated chunks, with how many equal rows hold them, and whether this occurrence stays."""
     key = ["doc_id", "text_hash"]
     searched = F.octet_length("text") > 0 if by_minimum else F.col("c.n_lines") >= least_lines
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), F.posexplode(_cut(window, divisor, least_lines, by_minimum)).alias("at", "c")).where(searched)
     rows = rows.select(*key, "at", F.xxhash64("c.chunk").alias("h"), F.col("c.chunk").alias("chunk"))
+    sign = F.sha2(F.col("chunk").cast("binary"), 256).alias("sign")
     # grouped by bytes: equal hashes of unequal chunks stay apart
     first = rows.groupBy("h", "chunk").agg(F.count("*").alias("n"), F.min(F.struct(*key, "at")).alias("first")).where("n > 1")
-    signed = staged(first.select("h", F.sha2(F.col("chunk").cast("binary"), 256).alias("sign"), "first"))
-    marked = rows.select(*key, "at", "h", F.sha2(F.col("chunk").cast("binary"), 256).alias("sign")).join(signed, ["h", "sign"])
+    signed = staged(first.select("h", sign, "first", "n"))
+    # a chunk that a thousandth of all repeated ones are copies of meets them by broadcast
+    marked = with_class(rows.select(*key, "at", "h", sign), signed, ["h", "sign"], "n")
     return marked.select(*key, "at", F.col("first").eqNullSafe(F.struct(*key, "at")).alias("is_first")).groupBy(*key, "at").agg(F.count("*").alias("rows"), F.max("is_first").alias("is_first"))
 
 
@@ -95,19 +98,22 @@ def drop_repeated_chunks(docs: DataFrame, window: int = 2, divisor: int = 2, lea
     added = ["n_lines", "n_chunks", "removed_chunks", "removed_lines"]
     docs = docs.drop(*added)
     found = repeats(docs, window, divisor, least_lines, by_minimum).groupBy("doc_id", "text_hash").agg(F.collect_list(F.when(~F.col("is_first"), F.col("at"))).alias("gone"), F.collect_list(F.when(F.col("is_first"), F.col("at"))).alias("once"), F.max("rows").alias("rows"))
-    found = found.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), "gone", "once", "rows")
-    given = docs.withColumn("_h0", F.xxhash64("text"))
-    joined = given.join(found, given["doc_id"].eqNullSafe(found["_d"]) & (given["_h0"] == found["_h"]), "left")
-    # equal rows of an id: the first one keeps the first occurrences
-    twin = F.when(F.col("rows") > 1, F.row_number().over(Window.partitionBy("doc_id", "_h0").orderBy(F.lit(1)))).otherwise(1)
-    joined = joined.withColumn("_nth", twin)
-    drop = F.when(F.col("_nth") > 1, F.concat("gone", "once")).otherwise(F.col("gone"))
-    chunked = joined.withColumn("_drop", F.coalesce(drop, F.array().cast("array<int>"))).withColumn("_chunks", _cut(window, divisor, least_lines, by_minimum))
-    kept = F.filter("_chunks", lambda c, i: ~F.array_contains("_drop", i))
+    found = found.select(F.col("doc_id").alias("f_id"), F.col("text_hash").alias("f_hash"), "gone", "once", "rows")
+    given = docs.select(row_of(docs), F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("hash"))
+    joined = given.join(found, given["id"].eqNullSafe(found["f_id"]) & (given["hash"] == found["f_hash"]), "left")
+    # equal rows of an id: the first one, by its other columns, keeps the first occurrences
+    order = F.xxhash64(*[F.col(f"given.`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
+    twin = F.when(F.col("rows") > 1, F.row_number().over(Window.partitionBy("id", "hash").orderBy(order))).otherwise(1)
+    joined = joined.withColumn("nth", twin)
+    drop = F.when(F.col("nth") > 1, F.concat("gone", "once")).otherwise(F.col("gone"))
+    chunked = joined.select("given", "text", F.coalesce(drop, F.array().cast("array<int>")).alias("drop"), _cut(window, divisor, least_lines, by_minimum).alias("chunks"))
+    kept = F.filter("chunks", lambda c, i: ~F.array_contains("drop", i))
     lines = lambda chunks: F.aggregate(chunks, F.lit(0), lambda a, c: a + c["n_lines"]).cast("long")
-    text = F.when(F.size("_drop") == 0, F.col("text")).otherwise(F.array_join(F.transform(kept, lambda c: c["chunk"]), "\n"))
-    out = chunked.withColumns({"n_lines": lines(F.col("_chunks")), "n_chunks": F.size("_chunks").cast("long"), "removed_chunks": (F.size("_chunks") - F.size(kept)).cast("long"), "removed_lines": lines(F.col("_chunks")) - lines(kept), "_text": text})
-    return out.select(*[F.col("_text").alias("text") if c == "text" else F.col(c) for c in docs.columns], *added)
+    text = F.when(F.size("drop") == 0, F.col("text")).otherwise(F.array_join(F.transform(kept, lambda c: c["chunk"]), "\n"))
+    return chunked.select(
+        *columns_of(docs, text=text), lines(F.col("chunks")).alias("n_lines"), F.size("chunks").cast("long").alias("n_chunks"), (F.size("chunks") - F.size(kept)).cast("long").alias("removed_chunks"),
+        (lines(F.col("chunks")) - lines(kept)).alias("removed_lines"),
+    )
 
 
 def digests(deduped: DataFrame) -> DataFrame:

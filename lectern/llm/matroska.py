@@ -22,11 +22,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import batch, pieces, utf8
+from lectern.llm.common import batch, pieces, unused, utf8
 
 FRAME = 576
 RATE = 8000
@@ -253,20 +253,24 @@ class Reader:
 def mux(df: DataFrame, payload: str = "text", media: str = "media", keep: list[str] | None = None) -> DataFrame:
     """``keep`` (all columns, if None) and a binary column with the Matroska file of a text's or binary column's bytes."""
     kept = [c for c in (df.columns if keep is None else keep) if c != media]
+    own = unused("payload", [*kept, media])
     schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(media, T.BinaryType())])
     raw = utf8(payload) if isinstance(df.schema[payload].dataType, T.StringType) else F.coalesce(F.col(payload), F.lit(b""))
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, "_payload"):
-            files = [to_matroska(padded(b)) for b in piece.column("_payload").to_pylist()]
+        for piece in pieces(batches, own):
+            files = [to_matroska(padded(b)) for b in piece.column(own).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in kept), pa.array(files, pa.binary())], names=[*kept, media])
 
-    return df.select(*kept, raw.alias("_payload")).mapInArrow(write, schema)
+    return df.select(*kept, raw.alias(own)).mapInArrow(write, schema)
 
 
 def demux(df: DataFrame, media: str = "media", keys: list[str] | None = None) -> DataFrame:
-    """keys, packets array, cues array, error of each file; ``packets`` and ``cues`` explode it."""
-    keys = [c for c in df.columns if c != media] if keys is None else keys
+    """keys, packets array, cues array, error of each file; ``packets`` and ``cues`` explode it.
+
+    Keys with the names of results are left out, as in ``packets`` and ``cues``.
+    """
+    keys = [c for c in (df.columns if keys is None else keys) if c != media and c.lower() not in ("packets", "cues", "error")]
     schema = T.StructType([*(df.schema[k] for k in keys), T.StructField("packets", T.ArrayType(PACKET)), T.StructField("cues", T.ArrayType(CUE)), T.StructField("error", T.StringType())])
     packet_type = pa.list_(pa.struct([("track", pa.int64()), ("timestamp_ns", pa.int64()), ("offset", pa.int64()), ("size", pa.int64()), ("keyframe", pa.bool_()), ("lacing", pa.int32()), ("cluster_offset", pa.int64())]))
     cue_type = pa.list_(pa.struct([("timestamp_ns", pa.int64()), ("track", pa.int64()), ("cluster_offset", pa.int64())]))
@@ -285,13 +289,18 @@ def demux(df: DataFrame, media: str = "media", keys: list[str] | None = None) ->
 
 def packets(df: DataFrame, media: str = "media", keys: list[str] | None = None) -> DataFrame:
     """The packet table: one row per frame with its byte range in the file."""
-    found = demux(df, media, keys)
-    return found.select(*[c for c in found.columns if c not in ("packets", "cues", "error")], F.posexplode("packets").alias("packet", "p")).select("*", "p.*").drop("p")
+    return _exploded(demux(df, media, keys), F.posexplode("packets").alias("packet", "row"), ["packet", *PACKET.names])
 
 
 def cues(df: DataFrame, media: str = "media", keys: list[str] | None = None) -> DataFrame:
-    found = demux(df, media, keys)
-    return found.select(*[c for c in found.columns if c not in ("packets", "cues", "error")], F.inline("cues"))
+    return _exploded(demux(df, media, keys), F.posexplode("cues").alias("cue", "row"), CUE.names)
+
+
+def _exploded(found: DataFrame, explode: Column, names: list[str]) -> DataFrame:
+    keys = [c for c in found.columns if c not in ("packets", "cues", "error")]
+    rows = found.select(F.struct(*[F.col(f"`{c}`") for c in keys], F.lit(1).alias(unused("none", keys))).alias("given"), explode)
+    kept = [F.col(f"given.`{c}`").alias(c) for c in keys if c.lower() not in names]
+    return rows.select(*kept, *[F.col(n) if n == "packet" else F.col(f"row.{n}") for n in names])
 
 
 def feature(reader: Reader, payload: bytes) -> str:
