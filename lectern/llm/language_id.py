@@ -9,9 +9,10 @@ labels (``label_words``); a document's language is the one with the most
 marginal weight over its letters.
 
 Fitting takes ``per_language`` labelled rows of each language at most (those of
-smallest hash, so reruns agree) and ``span`` words of each; prediction reads
-whole texts. The model is a few arrays of fixed size: ``2**bits`` feature rows and
-at most ``lexicon`` words.
+smallest hash, so reruns agree) and of each at most ``span`` words, in runs of
+neighbouring words at hashed places of the whole text; prediction reads whole texts. The
+model is a few arrays, ``2**bits`` feature rows and at most ``lexicon`` words, with a
+number for each language: labels are meant to be a few hundred languages at most.
 
 Cases: a null text, or one without letters, is ``und`` with score 0; ties go to the
 language that sorts first; without labelled rows every text is ``und``; repeated
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import batch, bounded_sample, id_remainder, pieces, texts_of, utf8
+from lectern.llm.common import batch, bounded_sample, id_remainder, pieces, runs_of, staged, texts_of, utf8
 from lectern.llm.crf import adam, marginals
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -83,9 +84,9 @@ class Model:
 
 
 def fit(rows: list[tuple[str, str]], bits: int = 16, lexicon: int = 20_000, span: int = 120, steps: int = 60) -> Model:
-    """rows: (text, language). Maximum likelihood of the labels of switching sequences, with a Gaussian prior."""
+    """rows: (words joined by spaces, language). Maximum likelihood of the labels of switching sequences, with a Gaussian prior."""
     languages = sorted({lang for _, lang in rows})
-    split = [(languages.index(lang), words_of(text)[:span]) for text, lang in rows]
+    split = [(languages.index(lang), text.split(" ")) for text, lang in rows if text]
     split = [(k, w) for k, w in split if w]
     often = Counter(chain.from_iterable(set(w) for _, w in split))
     model = Model(languages, bits, {w: i for i, (w, n) in enumerate(sorted(often.items(), key=lambda x: (-x[1], x[0]))[:lexicon]) if n > 1})
@@ -137,15 +138,25 @@ def fit(rows: list[tuple[str, str]], bits: int = 16, lexicon: int = 20_000, span
     return model
 
 
-def sample(labelled: DataFrame, per_language: int, longest: int = 5000) -> list[tuple[str, str]]:
-    """The bounded sample: ``per_language`` rows of each language, ``longest`` characters of each. Only ids are ranked."""
-    ids = labelled.where("lang is not null and text is not null").select("lang", F.col("doc_id").cast("long").alias("doc_id"))
-    rows = texts_of(labelled, bounded_sample(ids, "lang", per_language), longest).collect()
-    return [(r.text, r.lang) for r in sorted(rows, key=lambda r: (r.lang, r.n))]
+def sample(labelled: DataFrame, per_language: int, span: int = 120, run: int = 30) -> list[tuple[str, str]]:
+    """The bounded sample: ``per_language`` rows of each language, ``span`` words of each. Only ids and text hashes are ranked; whole texts stay in tasks."""
+    ids = labelled.where("lang is not null and text is not null").select("lang", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
+    rows = texts_of(labelled, staged(bounded_sample(ids, "lang", per_language, ["doc_id", "text_hash"])), "lang")
 
+    def pick(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, "text"):
+            out = []
+            for text, seed in zip(piece.column("text").to_pylist(), piece.column("text_hash").to_pylist(), strict=True):
+                words = words_of(text.decode("utf-8", "replace"))
+                out.append(" ".join(chain.from_iterable(words[a:b] for a, b in runs_of(len(words), seed, span, run))))
+            yield batch({"lang": (piece.column("lang"), None), "n": (piece.column("n"), None), "words": (out, pa.string())})
 
-def learn(docs: DataFrame, train: Column, per_language: int = 250, **options) -> Model:
-    return fit(sample(docs.where(train), per_language), **options)
+    found = rows.select("lang", "n", "text_hash", F.col("text").cast("binary").alias("text")).mapInArrow(pick, "lang string, n int, words string").collect()
+    return [(r.words, r.lang) for r in sorted(found, key=lambda r: (r.lang, r.n))]
+
+
+def learn(docs: DataFrame, train: Column, per_language: int = 250, span: int = 120, **options) -> Model:
+    return fit(sample(docs.where(train), per_language, span), span=span, **options)
 
 
 class Labeller:

@@ -36,6 +36,79 @@ def test_marginals_match_enumeration():
     assert abs(total - logs) < 1e-9 and np.allclose(pairs, want_pairs)
 
 
+@pytest.mark.parametrize("longest", [64, 7, 1])
+def test_pieces_of_a_long_sequence_give_its_marginals(longest):
+    dice = np.random.default_rng(3)
+    lengths, k = np.array([900, 1, 7, 65, 64, 128, 0, 300]), 4
+    e, t, s = dice.normal(size=(lengths.sum(), k)) * 3, dice.normal(size=(k, k)) * 2, dice.normal(size=k)
+    whole, cut = (crf.marginals(e, lengths, t, s, pairs=True, longest=n) for n in (10_000, longest))
+    assert np.abs(whole[0] - cut[0]).max() < 1e-9 and abs(whole[1] - cut[1]) < 1e-7 and np.abs(whole[2] - cut[2]).max() < 1e-7
+
+
+def plain_forward_backward(emission, transition, start):
+    """Marginals of one sequence, position by position."""
+    z = lambda xs: max(xs) + math.log(sum(math.exp(x - max(xs)) for x in xs))
+    k = range(len(start))
+    forward = [[start[y] + emission[0][y] for y in k]]
+    for e in emission[1:]:
+        forward.append([e[y] + z([forward[-1][a] + transition[a][y] for a in k]) for y in k])
+    backward = [[0.0] * len(start)]
+    for e in reversed(emission[1:]):
+        backward.insert(0, [z([transition[y][b] + e[b] + backward[0][b] for b in k]) for y in k])
+    return [[math.exp(f[y] + b[y] - z([f[a] + b[a] for a in k])) for y in k] for f, b in zip(forward, backward, strict=True)]
+
+
+def plain_line(line):
+    """The features of one line, each by its own words."""
+    n, words = len(line), line.split()
+    kinds = [bytes(c) for c in quality.CLASSES.values()]
+    counts = [sum(b in c for b in line) for c in kinds]
+    counts.append(n - sum(counts))
+    most = max(1, len(words))
+    return [math.sqrt(c / max(1, n)) for c in counts] + [
+        math.log1p(n) / 6, math.log1p(len(words)) / 5, (n - line.count(b" ") - line.count(b"\t")) / most / 10, 1 - len(set(words)) / most, line[:1].isupper(),
+        line.rstrip().endswith((b".", b"!", b"?")), sum(a == b for a, b in zip(words, words[1:], strict=False)) / most, n == 0,
+    ]
+
+
+def test_quality_score_by_hand():
+    dice = np.random.default_rng(5)
+    model = quality.Model()
+    model.weights, model.transition, model.start, model.scale, model.bias = dice.normal(size=model.weights.shape), dice.normal(size=(2, 2)), dice.normal(size=2), 0.7, -0.2
+    texts = ["One line.\n\nTwo  two | lines!\nOne line.\n\ttab é 12", "", "\n", "x", "a b\n" * 40]
+    for text, got in zip(texts, model.scores([t.encode() for t in texts]).tolist(), strict=True):
+        lines = text.encode().split(b"\n")
+        own, none = [plain_line(x) for x in lines], [0.0] * quality.OWN
+        rows = [own[i] + (own[i - 1] if i else none) + (own[i + 1] if i + 1 < len(own) else none) + [i == 0, i + 1 == len(own), lines[i] in lines[:i], 1] for i in range(len(lines))]
+        emission = [[sum(f * w for f, w in zip(row, model.weights[:, y], strict=True)) for y in (0, 1)] for row in rows]
+        good = [g[1] for g in plain_forward_backward(emission, model.transition.tolist(), model.start.tolist())]
+        mean = min(1 - 1e-4, max(1e-4, sum(g * (len(x) + 1) for g, x in zip(good, lines, strict=True)) / sum(len(x) + 1 for x in lines)))
+        assert abs(got - 1 / (1 + math.exp(-(0.7 * math.log(mean / (1 - mean)) - 0.2)))) < 1e-5
+    assert len(model.scores([b"\n" * (1 << 20), b"a\n" * 300_000])) == 2
+
+
+def test_language_score_by_hand(spark):
+    rows = [("the cat and the dog sat", "en"), ("the house of the cat", "en"), ("der hund und die katze", "de"), ("die maus und der hund", "de")] * 3
+    model = language_id.fit(rows, bits=10)
+    texts = ["The dog und die Katze", "der, der 12 x_y", "straße " * 3000]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, text in enumerate(texts):
+        words = re.findall(r"[^\W\d_]+", text.lower())
+        emission = []
+        for w in words:
+            data, ids = f"^{w}$".encode(), []
+            for n in range(1, 6):
+                for a in range(len(data) - n + 1):
+                    if n > 1 or 0 < a < len(data) - 1:
+                        ids.append((int.from_bytes(data[a : a + n], "big") + n) * 0x9E3779B97F4A7C15 % 2**64 >> 54)
+            ids += [1024 + model.lexicon[w]] if w in model.lexicon else []
+            emission.append([sum(float(model.weights[x, y]) for x in ids) / math.sqrt(len(ids)) for y in (0, 1)])
+        gamma = plain_forward_backward(emission, model.transition.tolist(), model.start.tolist())
+        share = [sum(g[y] * len(w) for g, w in zip(gamma, words, strict=True)) / sum(map(len, words)) for y in (0, 1)]
+        best = max((0, 1), key=lambda y: share[y])  # noqa: B023
+        assert got[i][0] == model.languages[best] and abs(got[i][1] - share[best]) < 1e-5
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     return spark.read.parquet(f"{SMALL}/documents.parquet")
@@ -74,7 +147,7 @@ def test_quality(spark, docs):
     kept = {r.doc_id for r in quality.keep_good(docs, model).collect()}
     scored = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
     assert kept == {i for i, v in scored.items() if v >= 0.3}
-    assert {r.score for r in quality.score(docs.limit(2), quality.fit([])).collect()} == {0.5}
+    assert {r.score for r in quality.score(docs.limit(2), quality.Model()).collect()} == {0.5}
     assert quality.score(docs.limit(0), model).collect() == []
 
 
