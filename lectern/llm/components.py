@@ -1,8 +1,9 @@
 """Connected components by alternating star contractions, edges only.
 
 Every round is two grouped aggregations and joins over the edges that are left;
-no node's neighbours are ever gathered, so hubs do no harm, and each round's
-edges are written to the shared folder. Edges become stars around the smallest
+no node's neighbours are ever gathered. A hub's edges meet one row, the smallest of
+its neighbours, in a join whose larger side adaptive execution splits. Each round's
+edges are written to the shared folder, and the round's before are removed. Edges become stars around the smallest
 node of each component in a number of rounds that grows as the logarithm of the
 longest chain.
 """

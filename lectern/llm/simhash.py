@@ -2,24 +2,28 @@
 
 Fingerprints of 64 bits are cut into two segments: of two that differ in at most
 ``distance`` = 2 bits, one segment differs by at most one bit. Every distinct
-fingerprint is indexed under its segments with one bit left out (a wildcard) and
-under the whole segments; rows with equal signatures meet, and pairs are verified
-on all 64 bits.
-
-Buckets. A wildcard's bucket only serves pairs that differ in the bit left out,
-so what it pairs is its side with that bit 0 and its side with 1. A bucket of more
-than ``small`` fingerprints is never expanded into pairs: its members go by the
-exact way instead, of which no bucket can hold more than 65 fingerprints: every
-member is put down under itself and its 64 one-bit neighbours, and members that
-meet under a value are within two bits; two within two bits always meet. Only a
-star of links to the smallest member is kept, so components come out whole.
-
-Copies share a fingerprint and never meet as pairs.
+fingerprint is indexed under its two whole segments, and looked up under them and under
+their variants with one bit left out, the wildcard; what is found is verified on all 64
+bits. A variant that leaves out a bit that is 0 is the segment itself and is not put
+down twice, so look-ups are made for the bits that are 1, and of a pair the
+fingerprint that has the bit finds the other.
+
+Buckets. An index entry of up to ``small`` fingerprints is one row that holds them, and
+a look-up meets at most ``small`` of them. Fingerprints in a larger entry, and those
+whose look-ups lead there, go by the exact way instead, of which no bucket can hold more
+than 65 fingerprints: each is put down under itself and its 64 one-bit neighbours, and
+those that meet under a value are within two bits; two within two bits always meet.
+Only a star of links to the smallest is kept, so components come out whole.
+
+Copies share a fingerprint and never meet as pairs. A fingerprint that over a
+thousandth of all rows share is joined to them by broadcast (there are fewer than a
+thousand of these), the others by shuffle.
 
 Cases: a null or empty text, or one of white space, has the fingerprint zero,
 which links like any other; of fewer than ``width`` words the whole sequence is
 the one shingle; repeated rows are all returned; a null id stands last among the
-ids of a component; an empty table gives an empty table; other columns are ignored.
+ids of a component; an empty table gives an empty table; other columns are ignored
+by ``near_duplicates`` and kept by ``drop_near_duplicates``.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import LOWER, batch, pieces, utf8
+from lectern.llm.common import LOWER, batch, columns_of, pieces, row_of, staged, utf8, with_class
 from lectern.llm.components import connected
 
 HALF = 0xFFFFFFFF
@@ -69,48 +73,46 @@ def fingerprints(docs: DataFrame, width: int = 3, hashed: bool = False) -> DataF
 
 
 def links(distinct: DataFrame, small: int = 64) -> DataFrame:
-    """Links (a, b), a < b, between fingerprints ``fp`` within two bits: all pairs
-    that meet in small buckets, stars in the others."""
+    """Links (a, b), a < b, between the distinct fingerprints ``fp`` within two bits: all pairs
+    that meet in small entries, stars in the others."""
     fp = F.col("fp")
-    variants = []
-    for segment in (0, 1):
-        part = F.shiftrightunsigned(fp, 32 * segment).bitwiseAND(HALF)
-        # under the whole segment, and under the segment without bit j
-        variants.append(F.struct(F.lit(-1 - segment).alias("slot"), part.alias("rest"), F.lit(0).alias("side")))
-        variants += [F.struct(F.lit(32 * segment + j).alias("slot"), part.bitwiseAND(F.lit(HALF & ~(1 << j))).alias("rest"), F.getbit(fp, F.lit(32 * segment + j)).cast("int").alias("side")) for j in range(32)]
-    rows = distinct.select(fp, F.inline(F.array(*variants)))
-    bucket = rows.groupBy("slot", "rest").agg(F.count("*").alias("n"), F.sum("side").alias("n1"))
-    # whole segments: two members at least; wildcards: both sides
-    live = bucket.where(F.when(F.col("slot") < 0, F.col("n") > 1).otherwise((F.col("n1") > 0) & (F.col("n1") < F.col("n"))))
-    member = rows.join(live.select("slot", "rest", "n"), ["slot", "rest"])
-    near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= 2
-    few = member.where(F.col("n") <= small).groupBy("slot", "rest").agg(F.sort_array(F.collect_list(F.struct("side", "fp"))).alias("m"))
-    pairs = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (x["fp"] < y["fp"]) & ((F.col("slot") < 0) | (x["side"] != y["side"])) & near(x["fp"], y["fp"])), lambda y: F.struct(x["fp"].alias("a"), y["fp"].alias("b")))))
-    by_pairs = few.select(F.inline(pairs))
-    # the exact way for members of large buckets
-    crowd = member.where(F.col("n") > small).select("fp").distinct()
+    part = lambda segment: F.shiftrightunsigned(fp, 32 * segment).bitwiseAND(HALF)
+    entry = lambda segment, value: F.struct(F.lit(segment).alias("segment"), value.alias("value"))
+    index = distinct.select("fp", F.inline(F.array(*[entry(i, part(i)) for i in (0, 1)])))
+    size = index.groupBy("segment", "value").agg(F.count("*").alias("n"))
+    key = ["segment", "value"]
+    held = index.join(size.where(F.col("n") <= small), key).groupBy(*key).agg(F.sort_array(F.collect_list("fp")).alias("held"))
+    large = size.where(F.col("n") > small).select(*key)
+    bits = F.array(*[F.when(F.getbit(fp, F.lit(32 * i + j)) == 1, entry(i, part(i).bitwiseAND(F.lit(HALF & ~(1 << j))))) for i in (0, 1) for j in range(32)])
+    lookups = distinct.select("fp", F.inline(F.array_compact(bits)))
+    near = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= 2
+    pair = lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    found = lookups.join(held, key).select(F.inline(F.transform(F.filter("held", lambda y: near(fp, y)), lambda y: pair(fp, y))))
+    same = held.where(F.size("held") > 1).select(F.inline(F.flatten(F.transform("held", lambda x: F.transform(F.filter("held", lambda y: (x < y) & near(x, y)), lambda y: pair(x, y))))))
+    # the exact way for what meets in large entries
+    crowd = index.join(large, key).select("fp").unionByName(lookups.join(large, key).select("fp")).distinct()
     centre = crowd.select("fp", F.explode(F.array(fp, *[fp.bitwiseXOR(F.shiftleft(F.lit(1).cast("long"), j)) for j in range(64)])).alias("centre"))
     stars = centre.groupBy("centre").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("all")).where(F.size("all") > 1).select("a", F.explode("all").alias("b")).where("a < b")
-    return by_pairs.unionByName(stars).distinct()
+    return found.unionByName(same).unionByName(stars).distinct()
 
 
 def _rooted(classes: DataFrame, small: int) -> DataFrame:
     """``classes`` (one row of each fp) with the root of its component."""
-    groups = connected(links(classes.select("fp"), small))  # fp, root: of linked fingerprints only
+    # 32 look-ups for each fingerprint: dealt out first, however few bytes the fingerprints are
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = connected(links(classes.select("fp").repartition(parts, "fp"), small))  # fp, root: of linked fingerprints only
     return classes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, small: int = 64) -> DataFrame:
     """doc_id, fp, component_id of every row."""
-    from lectern.llm.common import staged
-
     marked = staged(fingerprints(docs, width))
     # one representative of each fingerprint: its smallest id
-    classes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    rooted = _rooted(classes, small)
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    classes = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    rooted = staged(_rooted(classes, small))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("rows"))
+    named = rooted.join(least, "root").select("fp", "component_id", "n")
+    return with_class(marked, named, ["fp"], "n").select("doc_id", "fp", "component_id")
 
 
 def digests(found: DataFrame) -> DataFrame:
@@ -118,15 +120,19 @@ def digests(found: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 3, small: int = 64) -> DataFrame:
-    """``docs`` with one row of each component: of the smallest id (null last), then the smallest text hash; of rows equal in both, one."""
-    from pyspark.sql import Window
-
-    from lectern.llm.common import staged
+    """``docs`` with one row of each component: of the smallest id (null last), then the smallest text hash; of rows equal in both, one.
 
+    Rows are kept by a join on id and text hash. Only of ids and texts that occur several
+    times one row has to be chosen, by an aggregation that each task begins with its own rows.
+    """
     marked = staged(fingerprints(docs, width, hashed=True))
-    classes = marked.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("least"))
-    kept = _rooted(classes, small).groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("_d"), F.col("least.text_hash").alias("_h"))
-    out = docs.withColumn("_h0", F.xxhash64("text")).join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("_d")) & (F.col("_h0") == F.col("_h")), "left_semi")
-    # a number among the rows of one id and text only
-    order = Window.partitionBy("doc_id", "_h0").orderBy(F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind]))
-    return out.withColumn("_row", F.row_number().over(order)).where("_row = 1").select(*docs.columns)
+    classes = staged(marked.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("least")))
+    kept = _rooted(classes, small).groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("k_id"), F.col("least.text_hash").alias("k_hash"))
+    often = marked.groupBy(F.col("doc_id").alias("r_id"), F.col("text_hash").alias("r_hash")).agg(F.count("*").alias("rows")).where("rows > 1")
+    counted = staged(kept.join(often, F.col("k_id").eqNullSafe(F.col("r_id")) & (F.col("k_hash") == F.col("r_hash")), "left").select("k_id", "k_hash", F.col("rows").isNotNull().alias("again")))
+    given = docs.select(row_of(docs), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"))
+    match = F.col("id").eqNullSafe(F.col("k_id")) & (F.col("hash") == F.col("k_hash"))
+    once = given.join(counted.where("not again"), match, "left_semi")
+    order = F.xxhash64(*[F.col(f"given.`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
+    one = given.join(counted.where("again"), match, "left_semi").groupBy("id", "hash").agg(F.min_by("given", order).alias("given"))
+    return once.select("given").unionByName(one.select("given")).select(*columns_of(docs))
