@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import LOWER, batch, cut_by_bytes, pieces, utf8
+from lectern.llm.common import LOWER, batch, columns_of, cut_by_bytes, pieces, row_of, utf8
 
 #: Lower-cases A-Z; what is no word character becomes a space.
 WORDS = bytes(b if 48 <= b <= 57 or b >= 128 else l if 97 <= (l := LOWER[b]) <= 122 else 32 for b in range(256))
@@ -188,7 +188,7 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_b
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes: int = 16 << 20) -> DataFrame:
     """``docs`` with the hit words cut out of their texts (what stands between words of a span goes, too)."""
-    hits = find_hits(docs, benchmark, n, block_bytes).where(F.size("items") > 0).select(F.col("doc_id").alias("_hit_id"), F.col("text_hash").alias("_hit_hash"), F.col("spans").alias("_spans")).dropDuplicates(["_hit_id", "_hit_hash"])
+    hits = find_hits(docs, benchmark, n, block_bytes).where(F.size("items") > 0).select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"), "spans").dropDuplicates(["hit_id", "hit_hash"])
 
     @F.pandas_udf("string")
     def cut(texts, spans):
@@ -207,5 +207,6 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes
             out.append(text)
         return type(texts)(out)
 
-    joined = docs.join(hits, docs["doc_id"].cast("long").eqNullSafe(F.col("_hit_id")) & (F.xxhash64(docs["text"]) == F.col("_hit_hash")), "left")
-    return joined.select(*[cut(docs["text"], F.col("_spans")).alias("text") if c == "text" else docs[c] for c in docs.columns])
+    given = docs.select(row_of(docs), "text", F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"))
+    joined = given.join(hits, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("hash") == F.col("hit_hash")), "left").select("given", cut("text", "spans").alias("remaining"))
+    return joined.select(*columns_of(docs, text=F.col("remaining")))

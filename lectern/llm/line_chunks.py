@@ -110,10 +110,11 @@ def drop_repeated_chunks(docs: DataFrame, window: int = 2, divisor: int = 2, lea
     kept = F.filter("chunks", lambda c, i: ~F.array_contains("drop", i))
     lines = lambda chunks: F.aggregate(chunks, F.lit(0), lambda a, c: a + c["n_lines"]).cast("long")
     text = F.when(F.size("drop") == 0, F.col("text")).otherwise(F.array_join(F.transform(kept, lambda c: c["chunk"]), "\n"))
-    return chunked.select(
-        *columns_of(docs, text=text), lines(F.col("chunks")).alias("n_lines"), F.size("chunks").cast("long").alias("n_chunks"), (F.size("chunks") - F.size(kept)).cast("long").alias("removed_chunks"),
+    made = chunked.select(
+        "given", text.alias("remaining"), lines(F.col("chunks")).alias("n_lines"), F.size("chunks").cast("long").alias("n_chunks"), (F.size("chunks") - F.size(kept)).cast("long").alias("removed_chunks"),
         (lines(F.col("chunks")) - lines(kept)).alias("removed_lines"),
     )
+    return made.select(*columns_of(docs, text=F.col("remaining")), *added)
 
 
 def digests(deduped: DataFrame) -> DataFrame:
