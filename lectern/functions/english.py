@@ -3,12 +3,9 @@ published second Porter algorithm. A helper over Arrow batches; each distinct
 word of a batch is stemmed once."""
 
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from lectern.functions.analysis import analyzer
 
 #: The stop words of the English text-search configuration.
 STOP_WORDS = frozenset(
@@ -119,11 +116,5 @@ def lexemes(text: str | None) -> list[str]:
     return out
 
 
-def english_lexemes(c: Column | str) -> Column:
-    """An analyzer for index and query: array of lexemes, in order, repeats included."""
-
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(lexemes)
-
-    return F.pandas_udf(run, "array<string>")(F.col(c) if isinstance(c, str) else c)
+#: An analyzer for index and query: array of lexemes, in order, repeats included.
+english_lexemes = analyzer(lexemes)

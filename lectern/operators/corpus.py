@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import any_of, estimate_tokens, text_md5
@@ -32,9 +32,9 @@ def apply_source_policy(files: DataFrame, allow: DataFrame, excluded_archives: D
     file before, full text, unsupported (named in the catalog), catalog. A
     top-level file that is not listed is ignored.
     """
-    j = files.join(F.broadcast(allow.select("path").distinct().withColumn("_listed", F.lit(True))), "path", "left").join(F.broadcast(excluded_archives.select("archive", F.col("why").alias("_why"))), "archive", "left")
+    j = files.join(allow.select("path").distinct().withColumn("_listed", F.lit(True)), "path", "left").join(excluded_archives.select("archive", F.col("why").alias("_why")), "archive", "left")
     if root_duplicates is not None:
-        j = j.join(F.broadcast(root_duplicates.select("archive", F.col("folder").alias("_folder"))), "archive", "left")
+        j = j.join(root_duplicates.select("archive", F.col("folder").alias("_folder")), "archive", "left")
     else:
         j = j.withColumn("_folder", F.lit(None).cast("string"))
     secret = F.coalesce(F.col("path").rlike(f"(?i){any_of(confidential)}"), F.lit(False))
@@ -181,7 +181,3 @@ def reindex_note(old_chunks: DataFrame, note: DataFrame) -> dict[str, DataFrame]
     counts = index.token_count(old_chunks)
     stats = index.refresh_stats(old["terms"], old["lexemes"], counts, fresh, gone.select(F.col("id").alias("chunk_id")))
     return {"chunks": chunks, **stats}
-
-
-def first_by(df: DataFrame, key: str, order: list) -> DataFrame:
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")

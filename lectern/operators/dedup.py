@@ -1,18 +1,27 @@
 """Exact and near-duplicate removal with the order-dependent rules of a corpus build.
 
-Near duplicates are exact set similarities of word shingles. Candidates come
-from prefix filtering: under one global order of shingles, rare ones first, two
-sets that reach the threshold share a shingle within short prefixes of both.
-Frequent shingles stand at the ends of that order and so hardly ever in prefixes,
-which keeps posting lists short; copies of one text are represented by one row.
+Near duplicates are exact set similarities of word shingles. Rows with equal sets are
+one class, whose members are listed once and never paired. Candidate pairs of classes
+come from prefix filtering: under one global order of shingles, frequent ones last, two
+sets that reach the threshold share a shingle within short prefixes of both. Shingles
+count as frequent by a list of bounded length, which tasks get by broadcast, so only
+prefixes leave a row.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from functools import reduce
+from operator import and_
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from lectern.functions.text import shingles
+from lectern.functions.analysis import shingled
 from lectern.sources.staging import staged
 
 THRESHOLD = 0.6
@@ -34,70 +43,144 @@ def drop_exact_duplicates(df: DataFrame, hash_col: str, order_cols: list[str], l
     return kept, skipped
 
 
-def shingle_sets(docs: DataFrame, key: str = "key", text: str = "text", n: int = 5) -> DataFrame:
-    """key, length, s (sorted hashes of the distinct shingles)."""
-    return docs.select(F.col(key).alias("key"), F.length(text).alias("length"), F.array_sort(F.transform(shingles(text, n), lambda x: F.xxhash64(x))).alias("s"))
-
-
-def jaccard_pairs(docs: DataFrame, threshold: float = THRESHOLD, key: str = "key", text: str = "text", n: int = 5, by: list[str] | None = None) -> DataFrame:
-    """a, b, similarity of all pairs of rows a < b (within equal ``by`` columns) that reach the threshold.
+def shingle_classes(docs: DataFrame, key: str = "key", text: str = "text", n: int = 5, by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(members(key, cls), classes(cls, *by, s)): rows of equal shingle sets (within equal ``by``) are a class, ``cls`` is its smallest key.
 
-    Rows with equal sets are classes of one member while candidates are sought, and
-    are expanded to the pairs that the reference's result has at the very end.
+    Sets are sorted arrays of hashes; rows without shingles are in no class. Written once: what follows reads it several times.
     """
     by = by or []
-    sets = docs.select(F.col(key).alias("key"), *by, F.array_distinct(F.array_sort(F.transform(shingles(text, n), lambda x: F.xxhash64(x)))).alias("s")).where(F.size("s") > 0)
-    sets = sets.withColumn("cls", F.xxhash64("s", *by))
-    classes = sets.groupBy("cls").agg(F.first("s").alias("s"), *[F.first(c).alias(c) for c in by])
-    tokens = classes.select("cls", *by, F.size("s").alias("size"), F.explode("s").alias("t"))
-    df = tokens.groupBy("t").agg(F.count("*").alias("df"))
-    ranked = tokens.join(df, "t").groupBy("cls", "size", *by).agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("o"))
-    # the epsilon keeps a product that is a whole number from being rounded up past it
-    keep = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1
-    prefix = ranked.select("cls", "size", *by, F.explode(F.transform(F.slice("o", 1, keep.cast("int")), lambda x: x["t"])).alias("t"))
+    sets = staged(shingled(docs.select(F.col(key).alias("key"), *by, F.col(text).alias("text")), n).where(F.size("s") > 0).withColumn("h", F.sha2(F.concat_ws(" ", F.col("s").cast("array<string>"), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by]).cast("binary"), 256)))
+    first = sets.groupBy("h").agg(F.min("key").alias("cls"), F.first("s").alias("s"), *[F.first(c).alias(c) for c in by])
+    first = staged(first)
+    return sets.select("key", "h").join(first.select("h", "cls"), "h").select("key", "cls"), first.select("cls", *by, "s")
+
+
+def _frequent(classes: DataFrame, longest_list: int = 1_000_000, least: int = 32) -> np.ndarray:
+    """Hashes of the shingles that over ``least`` classes hold, and more than one in ``longest_list`` of all there are; sorted."""
+    total = classes.agg(F.coalesce(F.sum(F.size("s")), F.lit(0))).first()[0]
+    often = classes.select(F.explode("s").alias("t")).groupBy("t").agg(F.count("*").alias("df")).where(F.col("df") > max(least, total // longest_list))
+    return np.sort(often.select("t").toArrow().column("t").to_numpy())
+
+
+def _prefixes(classes: DataFrame, threshold: float, by: list[str]) -> DataFrame:
+    """cls, size, *by, t: the shingles of each class's prefix."""
+    shared = classes.sparkSession.sparkContext.broadcast(_frequent(classes))
+    schema = T.StructType([*(classes.schema[c] for c in ("cls", *by)), T.StructField("size", T.IntegerType()), T.StructField("o", T.ArrayType(T.LongType()))])
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = shared.value
+        for b in batches:
+            sizes = b.column("s").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = b.column("s").flatten().to_numpy(zero_copy_only=False)
+            late = frequent[np.minimum(np.searchsorted(frequent, flat), len(frequent) - 1)] == flat if len(frequent) else np.zeros(len(flat), bool)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            flat = flat[np.lexsort((flat, late, owner))]
+            # the epsilon keeps a product that is a whole number from being rounded up past it
+            keep = sizes - np.ceil(sizes * threshold - 1e-9).astype(np.int64) + 1
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            offsets = pa.array(np.concatenate(([0], np.cumsum(keep))).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column("cls"), *(b.column(c) for c in by), pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(flat[place < keep[owner]]))], names=["cls", *by, "size", "o"])
+
+    return classes.mapInArrow(cut, schema).select("cls", "size", *by, F.explode("o").alias("t"))
+
+
+def similar_classes(classes: DataFrame, threshold: float = THRESHOLD, by: list[str] | None = None) -> DataFrame:
+    """a, b, similarity of all pairs of classes a < b that reach the threshold."""
+    by = by or []
+    prefix = _prefixes(classes, threshold, by)
     left, right = prefix.select(F.col("cls").alias("a"), F.col("size").alias("na"), "t", *by), prefix.select(F.col("cls").alias("b"), F.col("size").alias("nb"), "t", *by)
     near = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9)
-    candidates = left.join(right, ["t", *by]).where(near).select("a", "b").distinct()
-    s = classes.select("cls", "s")
-    both = candidates.join(s.withColumnRenamed("cls", "a").withColumnRenamed("s", "sa"), "a").join(s.withColumnRenamed("cls", "b").withColumnRenamed("s", "sb"), "b")
+    on = reduce(and_, [left[c].eqNullSafe(right[c]) for c in by], left["t"] == right["t"])
+    candidates = left.join(right, on).where(near).select("a", "b").distinct()
+    both = candidates.join(classes.select(F.col("cls").alias("a"), F.col("s").alias("sa")), "a").join(classes.select(F.col("cls").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    similar = both.select("a", "b", (shared / (F.size("sa") + F.size("sb") - shared)).alias("similarity")).where(F.col("similarity") >= threshold)
-    same = sets.select(F.col("cls").alias("a"), F.col("cls").alias("b")).distinct().withColumn("similarity", F.lit(1.0))
-    member = sets.select("cls", "key")
-    linked = similar.unionByName(same)
-    pairs = linked.join(member.select(F.col("cls").alias("a"), F.col("key").alias("ka")), "a").join(member.select(F.col("cls").alias("b"), F.col("key").alias("kb")), "b")
-    return pairs.where((F.col("a") != F.col("b")) | (F.col("ka") < F.col("kb"))).select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), "similarity")
+    return both.select("a", "b", (shared / (F.size("sa") + F.size("sb") - shared)).alias("similarity")).where(F.col("similarity") >= threshold)
+
 
+def jaccard_pairs(docs: DataFrame, threshold: float = THRESHOLD, key: str = "key", text: str = "text", n: int = 5, by: list[str] | None = None) -> DataFrame:
+    """a, b, similarity: pairs of classes by their smallest keys a < b, and each other member b of a class beside its smallest key a.
+
+    Members of classes a and b are as similar as a and b are; these pairs are not written out.
+    """
+    members, classes = shingle_classes(docs, key, text, n, by)
+    same = members.where("key <> cls").select(F.col("cls").alias("a"), F.col("key").alias("b"), F.lit(1.0).alias("similarity"))
+    return similar_classes(classes, threshold, by).unionByName(same)
 
-def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, key: str = "key", text: str = "text", by: list[str] | None = None, max_rounds: int = 200) -> tuple[DataFrame, DataFrame]:
+
+def _settle(edges: DataFrame) -> DataFrame:
+    """q, kept of every row behind a similar one: by the greedy rule over ``edges(p, q, po, qo)``, p before q in the order ``po``, ``qo``.
+
+    A round ranges the rows that are not settled by their place and walks each range in order. What
+    depends on its own range, or on settled rows, is settled; of a chain of drafts that is all
+    but what crosses a border, so rounds are as many as ranges at most.
+    """
+    schema = T.StructType([T.StructField("q", edges.schema["q"].dataType), T.StructField("kept", T.BooleanType())])
+
+    def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[object, bool] = {}  # rows of this range
+        at, state, waits = None, True, False
+        out: tuple[list, list] = ([], [])
+
+        def close():
+            if at is not None and not (state and waits):
+                known[at] = state
+                out[0].append(at)
+                out[1].append(state)
+
+        for b in batches:
+            for q, p, kept in zip(*(b.column(c).to_pylist() for c in ("q", "p", "p_kept")), strict=True):
+                if q != at:
+                    close()
+                    at, state, waits = q, True, False
+                kept = known.get(p) if kept is None else kept
+                if kept:
+                    state = False
+                elif kept is None:
+                    waits = True
+            if len(out[0]) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1])], schema=to_arrow_schema(schema))
+                out = ([], [])
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], to_arrow_schema(schema).field("q").type), pa.array(out[1], pa.bool_())], schema=to_arrow_schema(schema))
+
+    behind = edges.select(F.col("q").alias("p")).distinct().withColumn("behind", F.lit(True))
+    # rows with no similar one before them are kept
+    open_ = staged(edges.join(behind, "p", "left").withColumn("p_kept", F.when(F.col("behind").isNull(), True)).drop("behind"))
+    settled = None
+    while True:
+        new = staged(open_.repartitionByRange("qo", "q").sortWithinPartitions("qo", "q", "po", "p").select("q", "p", "p_kept").mapInArrow(walk, schema))
+        settled = new if settled is None else settled.unionByName(new)
+        rest = open_.join(new.select("q"), "q", "left_anti").join(new.select(F.col("q").alias("p"), F.col("kept").alias("now")), "p", "left")
+        open_ = staged(rest.withColumn("p_kept", F.coalesce("p_kept", "now")).drop("now"))
+        if open_.isEmpty():
+            return settled
+
+
+def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, key: str = "key", text: str = "text", by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(kept, dupes(kept, dropped, similarity)): longest first, a row is dropped if a kept row
     before it is similar, and names the first such row.
 
-    Rounds over the pairs alone: an undecided row without an undecided or kept row
-    before it is kept; one with a kept row before it is dropped. Each round decides
-    the first undecided row of every group at least.
+    A class goes as its first row does: if that is kept, the others are its duplicates, and if not,
+    all have the same kept rows before them. So only first rows are compared.
     """
-    place = docs.select(F.col(key).alias("k"), F.struct((-F.length(text)).alias("l"), F.col(key).alias("k")).alias("o"))
-    pairs = jaccard_pairs(docs, threshold, key, text, by=by)
-    ordered = pairs.join(place.select(F.col("k").alias("a"), F.col("o").alias("oa")), "a").join(place.select(F.col("k").alias("b"), F.col("o").alias("ob")), "b")
-    first, second = F.when(F.col("oa") < F.col("ob"), F.col("oa")).otherwise(F.col("ob")), F.when(F.col("oa") < F.col("ob"), F.col("ob")).otherwise(F.col("oa"))
-    edges = staged(ordered.select(first.alias("p"), second.alias("q"), "similarity"))  # p stands before q
-    nodes = edges.select(F.col("p").alias("v")).unionByName(edges.select(F.col("q").alias("v"))).distinct()
-    state = staged(nodes.withColumn("st", F.lit(0)))  # 0 undecided, 1 kept, 2 dropped
-    for _ in range(max_rounds):
-        if state.where("st = 0").limit(1).count() == 0:
-            break
-        before = edges.join(state.withColumnRenamed("v", "p"), "p").groupBy("q").agg(F.max((F.col("st") == 1).cast("int")).alias("kept"), F.max((F.col("st") == 0).cast("int")).alias("open")).withColumnRenamed("q", "v")
-        nxt = state.join(before, "v", "left").select("v", F.when(F.col("st") != 0, F.col("st")).when(F.col("kept") == 1, 2).when(F.coalesce("open", F.lit(0)) == 0, 1).otherwise(0).alias("st"))
-        state = staged(nxt)
-    else:
-        raise RuntimeError(f"undecided rows after {max_rounds} rounds")
-    gone = state.where("st = 2").select(F.col("v").alias("q"))
-    stays = state.where("st = 1").select(F.col("v").alias("p"))
-    match = edges.join(gone, "q", "left_semi").join(stays, "p", "left_semi").groupBy("q").agg(F.min(F.struct("p", "similarity")).alias("m"))
-    dupes = match.select(F.col("m.p.k").alias("kept"), F.col("q.k").alias("dropped"), F.round("m.similarity", 3).alias("similarity"))
-    kept = docs.join(dupes.select(F.col("dropped").alias(key)), key, "left_anti")
-    return kept, dupes
+    members, classes = shingle_classes(docs, key, text, by=by)
+    place = docs.select(F.col(key).alias("key"), (-F.length(text)).alias("l"))
+    ordered = members.join(place, "key")
+    first = staged(ordered.groupBy("cls").agg(F.min(F.struct("l", "key")).alias("f")))
+    side = lambda c: first.select(F.col("cls").alias(c), F.col("f").alias(f"f{c}"))
+    pairs = similar_classes(classes, threshold, by).join(side("a"), "a").join(side("b"), "b")
+    before = F.col("fa") < F.col("fb")
+    pick = lambda x, y: F.when(before, F.col(x)).otherwise(F.col(y))
+    edges = staged(pairs.select(pick("fa", "fb").alias("p"), pick("fb", "fa").alias("q"), "similarity").select(F.col("p.key").alias("p"), F.col("p.l").alias("po"), F.col("q.key").alias("q"), F.col("q.l").alias("qo"), "similarity"))
+    settled = _settle(edges.select("p", "q", "po", "qo"))
+    gone = settled.where("not kept").select("q")
+    # kept rows: those that were settled so, and those that stand behind no similar one
+    match = edges.join(gone, "q", "left_semi").join(settled.select(F.col("q").alias("p"), "kept"), "p", "left").where("coalesce(kept, true)").groupBy("q").agg(F.min(F.struct("po", "p", "similarity")).alias("m"))
+    of_first = match.select("q", F.col("m.p").alias("kept"), "m.similarity")
+    named = ordered.join(first, "cls").join(of_first, F.col("f.key") == F.col("q"), "left")
+    dupes = named.where("q is not null or key <> f.key").select(F.coalesce("kept", "f.key").alias("kept"), F.col("key").alias("dropped"), F.round(F.coalesce("similarity", F.lit(1.0)), 3).alias("similarity"))
+    dupes = staged(dupes)
+    return docs.join(dupes.select(F.col("dropped").alias(key)), key, "left_anti"), dupes
 
 
 def drop_duplicate_uploads(uploads: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -104,7 +104,8 @@ def resolve_route(df: DataFrame, routes: DataFrame, fallback: str = "general") -
     """route and url of each row; an unknown route is the fallback."""
     known = routes.select("route", "url")
     other = known.where(F.col("route") == fallback).select(F.col("url").alias("_url"))
-    j = df.withColumn("route", F.coalesce(blank_to_null("route"), F.lit(fallback))).join(F.broadcast(known), "route", "left").join(F.broadcast(other), F.lit(True), "left")
+    # the fallback is one row
+    j = df.withColumn("route", F.coalesce(blank_to_null("route"), F.lit(fallback))).join(known, "route", "left").join(F.broadcast(other.limit(1)), F.lit(True), "left")
     return j.withColumn("route", F.when(F.col("url").isNull(), fallback).otherwise(F.col("route"))).withColumn("url", F.coalesce("url", "_url")).drop("_url")
 
 
@@ -115,7 +116,7 @@ def version_trail(edits: DataFrame, defaults: DataFrame | None = None) -> DataFr
     """
     default = F.lit("")
     if defaults is not None:
-        edits = edits.join(F.broadcast(defaults.select("key", F.col("value").alias("_default"))), "key", "left")
+        edits = edits.join(defaults.select("key", F.col("value").alias("_default")), "key", "left")
         default = F.coalesce("_default", F.lit(""))
     order = Window.partitionBy("key").orderBy("seq")
     previous = F.coalesce(F.lag("value").over(order), default)

@@ -119,7 +119,7 @@ def find_cohort_mentions(docs: DataFrame, pattern: str = COHORT, before: int = 6
 
 def audit_cohorts(mentions: DataFrame) -> DataFrame:
     """One row: the distinct labels, and whether there is more than one."""
-    return mentions.agg(F.sort_array(F.collect_set("cohort")).alias("labels")).select("labels", (F.size("labels") > 1).alias("conflict"))
+    return mentions.select("cohort").distinct().agg(F.sort_array(F.collect_list("cohort")).alias("labels")).select("labels", (F.size("labels") > 1).alias("conflict"))
 
 
 def response_disposition(rounds: DataFrame) -> DataFrame:

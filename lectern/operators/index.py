@@ -1,7 +1,8 @@
 """Term index: postings, document frequencies, corpus statistics and their refresh.
 
 A chunk's term counts are made within its row, before any row is exploded, so
-postings need no shuffle; document frequencies are one map-side combined
+postings need no shuffle: by a helper that counts the analyzer's plain function, if
+it has one, else by built-in expressions. Document frequencies are one map-side combined
 aggregation. Postings carry their chunk's length, which saves scoring a join.
 """
 
@@ -12,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.text import tokenize
+from lectern.functions.analysis import counted, tokenize
 from lectern.sources.staging import staged
 
 Analyzer = Callable[[Column], Column]
@@ -25,18 +26,22 @@ def analyzed(chunks: DataFrame, analyzer: Analyzer = tokenize, id_col: str = "id
 def term_counts(chunks: DataFrame, analyzer: Analyzer = tokenize, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """chunk_id, token_count, terms array<struct<word, tf>> of every chunk, without a shuffle.
 
-    The tokens of a chunk are sorted; a term's count is the distance between the
+    An analyzer of built-in expressions: the tokens of a chunk are sorted; a term's count is the distance between the
     places where it starts and where the next one does. Arrays that are needed
     more than once are bound as the element of a one-element array.
     """
 
-    def counted(t: Column) -> Column:
+    words = getattr(analyzer, "words", None)
+    if words is not None:
+        return counted(chunks.select(F.col(id_col).alias("chunk_id"), F.col(text_col).alias("text")), words)
+
+    def runs(t: Column) -> Column:
         starts = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1)))
         return F.flatten(F.transform(F.array(starts), lambda s: F.transform(s, lambda i, k: F.struct(F.get(t, i).alias("word"), (F.coalesce(F.get(s, k + 1), F.size(t)) - i).alias("tf")))))
 
     rows = analyzed(chunks, analyzer, id_col, text_col).select("chunk_id", F.array_sort("tokens").alias("t"))
     none = F.array().cast("array<struct<word:string,tf:int>>")
-    return rows.select("chunk_id", F.greatest(F.size("t"), F.lit(0)).alias("token_count"), F.when(F.size("t") > 0, F.flatten(F.transform(F.array("t"), counted))).otherwise(none).alias("terms"))
+    return rows.select("chunk_id", F.greatest(F.size("t"), F.lit(0)).alias("token_count"), F.when(F.size("t") > 0, F.flatten(F.transform(F.array("t"), runs))).otherwise(none).alias("terms"))
 
 
 def chunk_terms(chunks: DataFrame, analyzer: Analyzer = tokenize, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -50,6 +55,8 @@ def _postings(counted: DataFrame) -> DataFrame:
 
 def token_count(chunks: DataFrame, analyzer: Analyzer = tokenize, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """chunk_id, token_count; 0 for a chunk without terms. No shuffle."""
+    if getattr(analyzer, "words", None) is not None:
+        return term_counts(chunks, analyzer, id_col, text_col).select("chunk_id", "token_count")
     return analyzed(chunks, analyzer, id_col, text_col).select("chunk_id", F.greatest(F.size("tokens"), F.lit(0)).alias("token_count"))
 
 

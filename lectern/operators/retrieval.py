@@ -15,8 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import mark_terms, tokenize
+from lectern.functions.analysis import tokenize
+from lectern.functions.text import mark_terms
 from lectern.operators.index import Analyzer
+from lectern.sources.staging import staged
 
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -48,10 +50,14 @@ def _small(df: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame:
 def bm25_scores(queries: DataFrame, index: dict[str, DataFrame], k1: float = K1, b: float = B, analyzer: Analyzer = tokenize, distinct_terms: bool = True) -> DataFrame:
     """query_id, chunk_id, raw, matched (distinct terms that the chunk holds), of every chunk with a term.
 
-    The questions' terms with their document frequencies are the small side: the
-    postings are filtered by it where they lie and shuffle by (question, chunk).
+    Whether the questions' terms are few is seen from the questions alone. If they are, the postings are filtered
+    by them where they lie, before document frequencies are counted, and shuffle by (question, chunk).
     """
-    terms = _small(query_terms(queries, analyzer, distinct_terms).join(index["lexemes"], "word"))
+    terms = query_terms(queries, analyzer, distinct_terms)
+    few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    small = F.broadcast if few else (lambda df: df)
+    known = index["lexemes"].join(small(terms.select("word").distinct()), "word", "left_semi")
+    terms = small(terms.join(known, "word"))
     stats = F.broadcast(index["stats"].select(F.col("chunk_count").cast("double").alias("n"), F.greatest("avg_len", F.lit(1.0)).alias("avg_len")))
     hits = index["terms"].join(terms, "word").crossJoin(stats)
     idf = F.log(1 + (F.col("n") - F.col("ndoc") + 0.5) / (F.col("ndoc") + 0.5))
@@ -118,16 +124,21 @@ def all_terms_match(queries: DataFrame, chunks: DataFrame, limit: int = PER_ARM,
         return texts.map(parse_web_query)
 
     alternatives = queries.select("query_id", F.posexplode(parse("text")).alias("alt", "g"))
-    phrases = lambda c: F.filter(F.transform(c, lambda p: analyzer(p)), lambda t: F.size(t) > 0)
-    alternatives = alternatives.select("query_id", "alt", phrases(F.col("g.want")).alias("want"), phrases(F.col("g.lack")).alias("lack")).where(F.size("want") > 0)
-    tokens = chunks.select(F.col(id_col).alias("chunk_id"), analyzer(F.col(text_col)).alias("tokens"))
+    said = alternatives.select("query_id", "alt", F.inline(F.concat(F.transform("g.want", lambda p: F.struct(F.lit(True).alias("wanted"), p.alias("p"))), F.transform("g.lack", lambda p: F.struct(F.lit(False).alias("wanted"), p.alias("p"))))))
+    said = said.select("query_id", "alt", "wanted", analyzer(F.col("p")).alias("terms")).where(F.size("terms") > 0)
+    # a phrase that is said twice is one condition
+    alternatives = said.groupBy("query_id", "alt").agg(F.sort_array(F.collect_set(F.when(F.col("wanted"), F.col("terms")))).alias("want"), F.sort_array(F.collect_set(F.when(~F.col("wanted"), F.col("terms")))).alias("lack")).where(F.size("want") > 0)
+    alternatives = staged(alternatives)
+    texts = chunks.select(F.col(id_col).alias("chunk_id"), F.col(text_col).alias("text"))
     words = alternatives.select("query_id", "alt", F.explode(F.array_distinct(F.flatten("want"))).alias("word"))
     wanted = _small(words.select("word").distinct())
-    postings = tokens.select("chunk_id", F.explode(F.array_distinct("tokens")).alias("word")).join(wanted, "word")
+    # of the chunks' terms only those of the questions are kept
+    postings = staged(texts.select("chunk_id", F.explode(F.array_distinct(analyzer(F.col("text")))).alias("word")).join(wanted, "word"))
     # an alternative's candidates hold its rarest word; a word that no chunk holds leaves none
     df = postings.groupBy("word").agg(F.count("*").alias("n"))
-    key = words.join(df, "word", "left").groupBy("query_id", "alt").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("k")).where("k.n > 0").select("query_id", "alt", F.col("k.word").alias("word"))
-    pairs = postings.join(_small(key), "word").select("query_id", "alt", "chunk_id")
+    key = staged(words.join(df, "word", "left").groupBy("query_id", "alt").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("k")).where("k.n > 0").select("query_id", "alt", F.col("k.word").alias("word")))
+    pairs = staged(postings.join(_small(key), "word").select("query_id", "alt", "chunk_id"))
+    tokens = texts.join(_small(pairs.select("chunk_id").distinct()), "chunk_id", "left_semi").select("chunk_id", analyzer(F.col("text")).alias("tokens"))
     full = pairs.join(_small(alternatives), ["query_id", "alt"]).join(tokens, "chunk_id")
 
     @F.pandas_udf("double")
@@ -236,8 +247,8 @@ def apply_source_weights(hits: DataFrame, weights: dict[str, float], boosted_ids
     return hits.withColumn("score", F.col("score") * factor)
 
 
-def retrieve(keyword: DataFrame, semantic: DataFrame, chunks: DataFrame, documents: DataFrame, weights: dict[str, float] | None = None, boosted_ids: Iterable[str] = (), boost: float = 1.12, top_k: int = TOP_K) -> DataFrame:
-    """Fused, weighted and cut hits with their chunk and document columns.
+def fuse_hits(keyword: DataFrame, semantic: DataFrame, chunks: DataFrame, documents: DataFrame, weights: dict[str, float] | None = None, boosted_ids: Iterable[str] = (), boost: float = 1.12, top_k: int = TOP_K) -> DataFrame:
+    """Fused, weighted and cut hits of ready arms with their chunk and document columns.
 
     ``chunks(id, doc_id, text, ...)`` and ``documents(doc_id, source_type, ...)``.
     Texts join the few rows per question that are left.
@@ -250,6 +261,22 @@ def retrieve(keyword: DataFrame, semantic: DataFrame, chunks: DataFrame, documen
     return late.join(documents.drop("source_type"), "doc_id")
 
 
+def lexical(queries: DataFrame, index: dict[str, DataFrame], chunks: DataFrame, analyzer: Analyzer = tokenize, limit: int = PER_ARM) -> DataFrame:
+    """BM25 and all terms of the same questions over ``chunks(id, text)`` and their index, as one vote."""
+    return keyword_rank(bm25(queries, index, limit, analyzer=analyzer), all_terms_match(queries, chunks, limit, analyzer))
+
+
+def retrieve(queries: DataFrame, query_vecs: DataFrame | None, index: dict[str, DataFrame], chunks: DataFrame, documents: DataFrame, analyzer: Analyzer = tokenize, per_arm: int = PER_ARM, **options) -> DataFrame:
+    """The whole of hybrid retrieval: ``queries(query_id, text)`` by BM25, by all their terms and, where
+    ``query_vecs(query_id, embedding)`` has their vector, by cosine, over ``chunks(id, doc_id, text, embedding, ...)``."""
+    keyword = lexical(queries, index, chunks, analyzer, per_arm)
+    if query_vecs is None or "embedding" not in chunks.columns:
+        semantic = keyword.limit(0)
+    else:
+        semantic = cosine_top_k(query_vecs.join(queries.select("query_id"), "query_id", "left_semi"), chunks.select(F.col("id").alias("chunk_id"), "embedding"), per_arm)
+    return fuse_hits(keyword, semantic, chunks.drop("embedding"), documents, **options)
+
+
 def is_thin(queries: DataFrame, hits: DataFrame, min_lex: float = MIN_LEX, min_sem: float = MIN_SEM) -> DataFrame:
     """query_id, thin: whether a question's hits are too weak to answer from."""
     best = hits.groupBy("query_id").agg(F.max("lex_score").alias("lex"), F.max("sem_score").alias("sem"))
@@ -275,8 +302,7 @@ def evaluate_retrieval(cases: DataFrame, hits: DataFrame) -> DataFrame:
     """query_id, passed, top_chunk: whether a case's pattern is met by its hits' texts."""
     texts = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "chunk_id", "text"))).alias("h"))
     joined = cases.join(texts, "query_id", "left")
-    body = F.array_join(F.transform("h", lambda x: x["text"]), "\n")
-    return joined.select("query_id", F.coalesce(F.expr("regexp_like(array_join(transform(h, x -> x.text), '\n'), concat('(?i)', want))"), F.lit(False)).alias("passed"), F.get(F.col("h"), F.lit(0))["chunk_id"].alias("top_chunk")) if body is not None else joined
+    return joined.select("query_id", F.coalesce(F.expr("regexp_like(array_join(transform(h, x -> x.text), '\n'), concat('(?i)', want))"), F.lit(False)).alias("passed"), F.get(F.col("h"), F.lit(0))["chunk_id"].alias("top_chunk"))
 
 
 def score_separation(queries: DataFrame, hits: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -42,6 +42,21 @@ scored AS (SELECT query_id, t.chunk_id, sum(ln(1 + (n - ndoc + 0.5) / (ndoc + 0.
   FROM q JOIN terms t USING (word) JOIN lexemes USING (word) JOIN lens USING (chunk_id) CROSS JOIN stats GROUP BY ALL),
 bm AS (SELECT * FROM (SELECT query_id, chunk_id, raw, row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 9) DESC, chunk_id) - 1 AS pos FROM scored) WHERE pos < 40)"""
 
-COSINE = """qv AS (SELECT vec_id AS query_id, embedding AS qe FROM embeddings WHERE vec_id % 50 = 0),
+
+def cosine(questions: str) -> str:
+    """Top 40 of every vector that meets the condition."""
+    return f"""qv AS (SELECT vec_id AS query_id, embedding AS qe FROM embeddings WHERE {questions}),
 cs AS (SELECT query_id, vec_id AS chunk_id, list_cosine_similarity(qe::double[], embedding::double[]) AS raw FROM qv CROSS JOIN embeddings),
 sem AS (SELECT * FROM (SELECT query_id, chunk_id, raw, row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 9) DESC, chunk_id) - 1 AS pos FROM cs) WHERE pos < 40)"""
+
+
+#: All terms of the benchmark's questions and cover density over ``tok(chunk_id, t)``. The questions hold no quotes and no minus; ``or`` parts alternatives.
+#: From a place x the span that ends there starts at the least of the terms' last places; each start counts with its first end.
+STRICT = f"""alt AS (SELECT item_id AS query_id, list_distinct({tokens('part')}) AS w, n FROM (SELECT item_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS n FROM (SELECT item_id, regexp_split_to_array(text, '(?i)(?:^|[[:space:]]+)or(?:[[:space:]]+|$)') AS parts FROM benchmark))),
+held AS (SELECT query_id, n, chunk_id, w, t FROM alt JOIN tok ON len(w) > 0 AND list_has_all(t, w)),
+places AS (SELECT * FROM (SELECT query_id, n, chunk_id, w, unnest(t) AS word, generate_subscripts(t, 1) AS x FROM held) WHERE list_contains(w, word)),
+lasts AS (SELECT a.query_id, a.n, a.chunk_id, a.x, len(a.w) AS need, b.word, max(b.x) AS latest FROM places a JOIN places b ON a.query_id = b.query_id AND a.n = b.n AND a.chunk_id = b.chunk_id AND b.x <= a.x GROUP BY ALL),
+spans AS (SELECT query_id, n, chunk_id, x, min(latest) AS first_x FROM lasts GROUP BY query_id, n, chunk_id, x, need HAVING count(*) = need),
+ended AS (SELECT query_id, n, chunk_id, first_x, min(x) AS x FROM spans GROUP BY ALL),
+cover AS (SELECT query_id, chunk_id, max(raw) AS raw FROM (SELECT query_id, n, chunk_id, sum(1 / (x - first_x + 1)) AS raw FROM ended GROUP BY ALL) GROUP BY ALL),
+strict_arm AS (SELECT * FROM (SELECT query_id, chunk_id, raw, row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 9) DESC, chunk_id) - 1 AS pos FROM cover) WHERE pos < 40)"""

@@ -1,4 +1,4 @@
-"""Registered queries over whole tables, which SQL can't follow, against plain versions."""
+"""Registered queries over whole tables against plain versions."""
 
 import re
 
@@ -41,7 +41,7 @@ def test_strict_arm_enters_the_fusion(spark, place):
     assert set(want) == {(0, 100), (0, 101), (2, 102)}
     bm = {(r.query_id, r.chunk_id): r.pos for r in queries.r1_bm25(spark, d).collect()}
     assert (0, 100) not in bm and (0, 101) not in bm
-    ranked = {(r.query_id, r.chunk_id): r for r in queries.QUERIES["r4_keyword_rank_strict"](spark, d).collect()}
+    ranked = {(r.query_id, r.chunk_id): r for r in queries.QUERIES["r4_keyword_rank"](spark, d).collect()}
     assert set(ranked) == set(bm) | set(want)
     # a question's order: the place in the first arm, or 0.8 times that in the second, if this is less
     for q in items:
@@ -51,17 +51,15 @@ def test_strict_arm_enters_the_fusion(spark, place):
         assert [c for c in sorted(chunks, key=lambda c: ranked[q, c].pos)] == sorted(chunks, key=key)  # noqa: B023
     assert abs(ranked[0, 101].raw - want[0, 101]) < 1e-6
     assert ranked[0, 100].pos == 1
-    for name in ("r5_rrf_fuse_strict", "r6_source_weights_strict", "r7_retrieve_strict"):
+    for name in ("r5_rrf_fuse", "r6_source_weights", "r7_retrieve"):
         assert (0, 100) in {(r.query_id, r.chunk_id) for r in queries.QUERIES[name](spark, d).collect()}, name
     assert (0, "Document 100") in {(r.query_id, r.label) for r in queries.r10_search_passages(spark, d).collect()}
-    names = "r4_keyword_rank r5_rrf_fuse r6_source_weights r7_retrieve r8_is_thin r9_context_blocks r11_evaluate r12_score_separation g5_conflicts".split()
-    assert {f"{n}_strict" for n in names} <= set(queries.QUERIES) - set(queries.ORACLES)
 
 
 def test_whole_questions(spark, place):
     d, docs, items = place
     want = plain_strict(docs, items)
-    assert {(r.query_id, r.chunk_id) for r in queries.r2_all_terms_whole(spark, d).collect()} == set(want)
+    assert {(r.query_id, r.chunk_id) for r in queries.r2_all_terms(spark, d).collect()} == set(want)
     assert {(r.query_id, r.chunk_id): round(r.raw, 9) for r in queries.r2_cover_density(spark, d).collect()} == {k: round(v, 9) for k, v in want.items()}
 
 
@@ -74,6 +72,6 @@ def test_all_languages_and_bytes(spark, tmp_path):
         for a, b in re.findall(queries.PAIR, text or ""):
             key = (i, f"{a.capitalize()} {b}")
             mentions[key] = mentions.get(key, 0) + 1
-    assert {(r.source, r.cohort): r.n for r in queries.f6_pattern_mentions_whole(spark, d).collect()} == mentions and {i for i, _ in mentions} == {1, 2, 3}
-    assert tuple(queries.f7_audit_cohorts_whole(spark, d).first()) == ("Of FOR|Of for|The that", True)
+    assert {(r.source, r.cohort): r.n for r in queries.f6_pattern_mentions(spark, d).collect()} == mentions and {i for i, _ in mentions} == {1, 2, 3}
+    assert tuple(queries.f7_audit_cohorts(spark, d).first()) == ("Of FOR|Of for|The that", True)
     assert {1, 2, 3, 5} >= {r.chunk_id for r in queries.i2_english_lexemes(spark, d).collect()} >= {3, 5}
