@@ -87,10 +87,11 @@ def links(distinct: DataFrame, small: int = 64) -> DataFrame:
     lookups = distinct.select("fp", F.inline(F.array_compact(bits)))
     near = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= 2
     pair = lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    found = lookups.join(held, key).select(F.inline(F.transform(F.filter("held", lambda y: near(fp, y)), lambda y: pair(fp, y))))
+    # by shuffle: Spark takes a table's look-ups to be as small as the table, and would broadcast them
+    found = lookups.join(held.hint("merge"), key).select(F.inline(F.transform(F.filter("held", lambda y: near(fp, y)), lambda y: pair(fp, y))))
     same = held.where(F.size("held") > 1).select(F.inline(F.flatten(F.transform("held", lambda x: F.transform(F.filter("held", lambda y: (x < y) & near(x, y)), lambda y: pair(x, y))))))
     # the exact way for what meets in large entries
-    crowd = index.join(large, key).select("fp").unionByName(lookups.join(large, key).select("fp")).distinct()
+    crowd = index.join(large, key).select("fp").unionByName(lookups.join(large.hint("merge"), key).select("fp")).distinct()
     centre = crowd.select("fp", F.explode(F.array(fp, *[fp.bitwiseXOR(F.shiftleft(F.lit(1).cast("long"), j)) for j in range(64)])).alias("centre"))
     stars = centre.groupBy("centre").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("all")).where(F.size("all") > 1).select("a", F.explode("all").alias("b")).where("a < b")
     return found.unionByName(same).unionByName(stars).distinct()
