@@ -207,6 +207,6 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes
             out.append(text)
         return type(texts)(out)
 
-    given = docs.select(row_of(docs), "text", F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"))
-    joined = given.join(hits, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("hash") == F.col("hit_hash")), "left").select("given", cut("text", "spans").alias("remaining"))
+    given = docs.select(row_of(docs), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"))
+    joined = given.join(hits, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("hash") == F.col("hit_hash")), "left").select("given", cut("given.text", "spans").alias("remaining"))
     return joined.select(*columns_of(docs, text=F.col("remaining")))

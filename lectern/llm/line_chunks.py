@@ -70,8 +70,8 @@ def chunks_by_minimum(text: Column, least_lines: int = 2) -> Column:
     return _bind(F.split(text, "\n"), lambda lines: _bind(F.transform(lines, lambda x: F.xxhash64(x)), lambda hashes: _bind(ends(lines, hashes), lambda e: _from_ends(lines, e))))
 
 
-def _cut(window: int, divisor: int, least_lines: int, by_minimum: bool) -> Column:
-    text = F.coalesce("text", F.lit(""))
+def _cut(text: Column, window: int, divisor: int, least_lines: int, by_minimum: bool) -> Column:
+    text = F.coalesce(text, F.lit(""))
     return chunks_by_minimum(text, least_lines) if by_minimum else chunks_of(text, window, divisor)
 
 
@@ -79,7 +79,7 @@ def repeats(docs: DataFrame, window: int = 2, divisor: int = 2, least_lines: int
     """doc_id, text_hash, at, rows, is_first: the repeated chunks, with how many equal rows hold them, and whether this occurrence stays."""
     key = ["doc_id", "text_hash"]
     searched = F.octet_length("text") > 0 if by_minimum else F.col("c.n_lines") >= least_lines
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), F.posexplode(_cut(window, divisor, least_lines, by_minimum)).alias("at", "c")).where(searched)
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), F.posexplode(_cut(F.col("text"), window, divisor, least_lines, by_minimum)).alias("at", "c")).where(searched)
     rows = rows.select(*key, "at", F.xxhash64("c.chunk").alias("h"), F.col("c.chunk").alias("chunk"))
     sign = F.sha2(F.col("chunk").cast("binary"), 256).alias("sign")
     # grouped by bytes: equal hashes of unequal chunks stay apart
@@ -99,17 +99,18 @@ def drop_repeated_chunks(docs: DataFrame, window: int = 2, divisor: int = 2, lea
     docs = docs.drop(*added)
     found = repeats(docs, window, divisor, least_lines, by_minimum).groupBy("doc_id", "text_hash").agg(F.collect_list(F.when(~F.col("is_first"), F.col("at"))).alias("gone"), F.collect_list(F.when(F.col("is_first"), F.col("at"))).alias("once"), F.max("rows").alias("rows"))
     found = found.select(F.col("doc_id").alias("f_id"), F.col("text_hash").alias("f_hash"), "gone", "once", "rows")
-    given = docs.select(row_of(docs), F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("hash"))
+    # the text moves once, in its row
+    given, given_text = docs.select(row_of(docs), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash")), F.col("given.text")
     joined = given.join(found, given["id"].eqNullSafe(found["f_id"]) & (given["hash"] == found["f_hash"]), "left")
     # equal rows of an id: the first one, by its other columns, keeps the first occurrences
     order = F.xxhash64(*[F.col(f"given.`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
     twin = F.when(F.col("rows") > 1, F.row_number().over(Window.partitionBy("id", "hash").orderBy(order))).otherwise(1)
     joined = joined.withColumn("nth", twin)
     drop = F.when(F.col("nth") > 1, F.concat("gone", "once")).otherwise(F.col("gone"))
-    chunked = joined.select("given", "text", F.coalesce(drop, F.array().cast("array<int>")).alias("drop"), _cut(window, divisor, least_lines, by_minimum).alias("chunks"))
+    chunked = joined.select("given", F.coalesce(drop, F.array().cast("array<int>")).alias("drop"), _cut(given_text, window, divisor, least_lines, by_minimum).alias("chunks"))
     kept = F.filter("chunks", lambda c, i: ~F.array_contains("drop", i))
     lines = lambda chunks: F.aggregate(chunks, F.lit(0), lambda a, c: a + c["n_lines"]).cast("long")
-    text = F.when(F.size("drop") == 0, F.col("text")).otherwise(F.array_join(F.transform(kept, lambda c: c["chunk"]), "\n"))
+    text = F.when(F.size("drop") == 0, given_text).otherwise(F.array_join(F.transform(kept, lambda c: c["chunk"]), "\n"))
     made = chunked.select(
         "given", text.alias("remaining"), lines(F.col("chunks")).alias("n_lines"), F.size("chunks").cast("long").alias("n_chunks"), (F.size("chunks") - F.size(kept)).cast("long").alias("removed_chunks"),
         (lines(F.col("chunks")) - lines(kept)).alias("removed_lines"),
