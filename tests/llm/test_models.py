@@ -4,10 +4,11 @@ import itertools
 import math
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.llm import crf, language_id, quality, suffix_tree
 
@@ -176,21 +177,118 @@ def test_suffix_tree(spark, docs, hot):
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
+def plain_scores(rows, train_ids, reach, detail, depth, least_divergence, weight):
+    """The tree's scores, by counting tuples of symbols one text at a time."""
+    split = [("" if t is None else t).encode().translate(suffix_tree.LOWER).split() + [b""] for _, t in rows]
+    learned = [w for w, (i, _) in zip(split, rows, strict=True) if i in train_ids]
+    c = Counter(w for ws in learned for w in ws)
+    total = sum(c.values())
+    least = max(8.0, reach * math.sqrt(total))
+    ones, twos = sum(n == 1 for n in c.values()), sum(n == 2 for n in c.values())
+    discount = min(0.9, max(0.1, ones / (ones + 2 * twos)))
+    tails = Counter()
+    for w, n in c.items():
+        if w and n < least:
+            tails[w[-2:]] += n
+
+    def symbol(w):
+        if not w or c[w] >= least:
+            return w
+        return ("class", w[-2:] if tails[w[-2:]] >= least else "pooled")
+
+    mass, kinds = Counter({("class", "pooled"): 0}), Counter()
+    for w, n in c.items():
+        mass[symbol(w)] += n
+        kinds[symbol(w)] += isinstance(symbol(w), tuple)
+    root = {s: (m + 0.5) / (total + 0.5 * len(mass)) for s, m in mass.items()}
+    after = defaultdict(Counter)
+    for ws in learned:
+        run = [b"", *map(symbol, ws)]
+        for i in range(1, len(run)):
+            for k in range(1, min(depth, i) + 1):
+                after[tuple(run[i - k : i])][run[i]] += 1
+    contexts = {x for x, n in after.items() if n.total() >= least}
+    cut = max(2.0, least / detail)
+
+    def p(s, x):
+        """Of a symbol behind a context of which all suffixes are contexts."""
+        if not x:
+            return root[s]
+        kept = {y: n for y, n in after[x].items() if n >= cut}
+        return (kept.get(s, 0) + (after[x].total() - sum(kept.values()) + weight) * p(s, x[1:])) / (after[x].total() + weight)
+
+    retained = set()
+    for x in contexts:
+        n = after[x].total()
+        kept = {y: m / n for y, m in after[x].items() if m >= cut}
+        divergence = sum(q * math.log(q / p(y, x[1:])) for y, q in kept.items())
+        rest, below = 1 - sum(kept.values()), 1 - sum(p(y, x[1:]) for y in kept)
+        if rest > 1e-12 and below > 1e-12:
+            divergence += rest * math.log(rest / below)
+        if divergence >= least_divergence:
+            retained |= {x[k:] for k in range(len(x))}
+    scores = []
+    for ws in split:
+        run, logs = [b"", *map(symbol, ws)], 0.0
+        for i in range(1, len(run)):
+            x = ()
+            for k in range(1, min(depth, i) + 1):
+                if tuple(run[i - k : i]) not in retained:
+                    break
+                x = tuple(run[i - k : i])
+            logs += math.log10(p(run[i], x))
+            if isinstance(run[i], tuple):
+                w = ws[i - 1]
+                logs += math.log10((c[w] - discount if c[w] else discount * kinds[run[i]] + 1) / (mass[run[i]] + 1))
+        scores.append(logs)
+    return scores, retained
+
+
+@pytest.mark.parametrize("chunk", [1_000_000, 2_000])
+def test_suffix_tree_matches_plain_counting(spark, docs, chunk):
+    rows = [(r.doc_id, r.text) for r in docs.limit(80).collect()] + [(5000, None), (5001, ""), (5002, "Zzz zzz q")]
+    options = {"reach": 0.12, "detail": 4.0, "depth": 3, "least_divergence": 0.05, "weight": 5.0}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in suffix_tree.score(df, F.col("doc_id") % 4 != 0, hot_share=1e-3, chunk=chunk, **options).collect()}
+    want, retained = plain_scores(rows, {i for i, _ in rows if i % 4}, **options)
+    assert {len(x) for x in retained} == {1, 2, 3}
+    for (i, _), w in zip(rows, want, strict=True):
+        assert abs(got[i] - w) < 1e-6 * max(1, -w)
+
+
 def test_suffix_tree_is_a_distribution(spark, docs):
     train = docs.limit(60)
     counts = suffix_tree.staged(suffix_tree.count_words(train))
-    a, tree = suffix_tree.learn(train, counts)
-    assert np.allclose((10.0 ** tree.logp.astype(float)).sum(axis=1), 1, atol=1e-3) and len(tree.logp) > 1
+    a, least, _ = suffix_tree.alphabet_of(counts, 0.2)
+    found = suffix_tree.staged(suffix_tree.encode(train, F.lit(True), spark.sparkContext.broadcast(a)))
+    tree = suffix_tree.learn(found, a, least)
+    text = np.frombuffer(max((bytes(r.ids) for r in found.collect()), key=len), np.int32)[:40]
+    for before in range(0, 40, 3):
+        # the same text up to a position, with every symbol there
+        ids = np.concatenate([np.append(np.append(text[:before], s), 1) for s in range(a.symbols)]).astype(np.int32)
+        at = np.arange(a.symbols) * (before + 2) + before
+        logs = tree.log_probs(ids, np.tile(np.arange(before + 2), a.symbols))
+        assert abs((10.0 ** logs[at]).sum() - 1) < 1e-9
     # within a class: the known words' shares and the unknown's
     tails = {}
     for r in counts.collect():
         w, c = bytes(r.word), r.c
-        if w and c < 1e-4 * a.total:
+        if w and c < least:
             tails.setdefault(a.symbol_of.get(w[-2:], 0), []).append(c)
     for k, cs in tails.items():
         assert abs(sum((c - a.discount) / (a.mass[k] + 1) for c in cs) + 10 ** a.unknown[k] - 1) < 1e-6
 
 
+def test_contexts_grow_with_the_corpus(spark, docs):
+    sizes = []
+    for n in (25, 100, 200):
+        counts = suffix_tree.staged(suffix_tree.count_words(docs.orderBy("doc_id").limit(n)))
+        a, least, _ = suffix_tree.alphabet_of(counts, 0.2)
+        found = suffix_tree.staged(suffix_tree.encode(docs.orderBy("doc_id").limit(n), F.lit(True), spark.sparkContext.broadcast(a)))
+        sizes.append(len(suffix_tree.learn(found, a, least).context))
+    assert sizes == sorted(set(sizes)) and sizes[2] > 1.5 * sizes[0]
+
+
 def test_suffix_tree_without_training(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     got = suffix_tree.score(df, suffix_tree.F.lit(False)).collect()
