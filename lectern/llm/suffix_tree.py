@@ -17,7 +17,8 @@ retained suffix of what stands before it.
 grow with the corpus, as its root at most, and so does what is broadcast (at most
 ``(depth + 1) * detail / reach`` times that root of listed runs). No run is lost: one
 of ``share`` of all positions has that share of some chunk of positions, so chunks name
-their own frequent runs and a second pass counts every named run over all texts.
+their own frequent contexts, then their frequent symbols behind any named context, and a
+third pass counts what was named over all texts.
 Texts are split once; the passes over runs read symbols.
 
 A text's words under ``hot_share`` travel as (row, word, count) to a join with the
@@ -167,18 +168,44 @@ def _symbols(ids: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(ids, np.int32), (np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
 
 
-def _candidates(train: DataFrame, share: float, depth: int, chunk: int) -> DataFrame:
-    """Every run of 2 to depth + 1 symbols that may have ``share`` of all positions: key, m, last symbol, keys without the farthest and without the last symbol."""
+def _contexts(train: DataFrame, share: float, depth: int, chunk: int) -> DataFrame:
+    """key of every run of 2 to ``depth`` symbols that may have ``share`` of all positions and does not end a text."""
 
     def name(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, place in _chunks(batches, chunk):
             cut = share * len(ids)
             at, key = np.arange(len(ids)), _mix(0, ids)
-            keep = (np.bincount(ids) >= cut)[ids]
-            for m in range(2, depth + 2):
+            keep = (np.bincount(ids) >= cut)[ids] & (ids != ENDED)
+            for m in range(2, depth + 1):
                 at, key = _longer(at[keep], key[keep], ids, place, m)
                 found, counts = np.unique(key, return_counts=True)
                 found = found[counts >= cut]
+                if not len(found):
+                    break
+                keep, _ = _find(found, key)
+                yield batch({"key": (found.view(np.int64), pa.int64())})
+
+    return train.mapInArrow(name, "key long").distinct()
+
+
+def _candidates(train: DataFrame, shared, share: float, depth: int, chunk: int) -> DataFrame:
+    """Every symbol behind one of the shared contexts that may have ``share`` of all positions, as the run of both: key, m, last symbol, keys without the farthest and without the last symbol."""
+
+    def name(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        contexts = shared.value
+        for ids, place in _chunks(batches, chunk):
+            cut = share * len(ids)
+            at, key = np.arange(len(ids)), _mix(0, ids)
+            keep, before = (np.bincount(ids) >= cut)[ids], _mix(0, ids[at - 1])
+            for m in range(2, depth + 2):
+                at, key, before = at[keep], key[keep], before[keep]
+                if m > 2:
+                    before = _mix(before[place[at] >= m - 2], ids[at[place[at] >= m - 2] - (m - 1)])
+                at, key = _longer(at, key, ids, place, m)
+                behind, _ = _find(contexts, before)
+                at, key, before = at[behind], key[behind], before[behind]
+                found, counts = np.unique(key, return_counts=True)
+                found = found[counts >= cut]
                 if not len(found):
                     break
                 keep, which = _find(found, key)
@@ -290,20 +317,24 @@ def alphabet_of(counts: DataFrame, reach: float = 1.0, hot_share: float = 2e-6)
     return Alphabet(total, types, n1, n2, sorted((bytes(r.word), r.c) for r in hot.toLocalIterator()), sorted((bytes(t), int(a), int(b)) for t, a, b in tails.collect()), least), least, hot_cut
 
 
-def learn(train: DataFrame, alphabet: Alphabet, least: float, depth: int = 4, detail: float = 16.0, least_divergence: float = 0.01, weight: float = 10.0, chunk: int = 4_000_000) -> Tree:
+def learn(train: DataFrame, alphabet: Alphabet, least: float, depth: int = 4, detail: float = 16.0, least_divergence: float = 0.01, weight: float = 10.0, chunk: int = 3_000_000) -> Tree:
     """The tree of encoded training rows (ids, n_tokens)."""
     listed = max(2.0, least / detail)
     train = train.select("ids", "n_tokens")
     if not alphabet.total:
         named = {c: np.zeros(0, np.int64) for c in ("key", "m", "last", "suffix", "context", "n")}
     else:
-        named = _arrays(_candidates(train, listed / alphabet.total, depth, chunk))
-        shared = train.sparkSession.sparkContext.broadcast(np.sort(named["key"].view(np.uint64)))
+        send = train.sparkSession.sparkContext.broadcast
+        single = _mix(0, np.flatnonzero(np.array(alphabet.mass) >= least))
+        contexts = send(np.sort(np.concatenate((single, _arrays(_contexts(train, least / alphabet.total, depth, chunk))["key"].view(np.uint64)))))
+        named = _arrays(_candidates(train, contexts, listed / alphabet.total, depth, chunk))
+        shared = send(np.sort(named["key"].view(np.uint64)))
         counted = _arrays(_count_runs(train, shared, depth, chunk).where(F.col("n") >= listed))
         named = {c: v[np.argsort(named["key"].view(np.uint64))] for c, v in named.items()}
         met, which = _find(np.sort(counted["key"].view(np.uint64)), named["key"].view(np.uint64))
         named = {c: v[met] for c, v in named.items()}
         named["n"] = counted["n"][np.argsort(counted["key"].view(np.uint64))][which[met]]
+        contexts.unpersist()
         shared.unpersist()
     runs = {c: v.view(np.uint64) if c in ("key", "suffix", "context") else v.astype(np.int64) for c, v in named.items()}
     return Tree(alphabet.mass, runs, least, depth, least_divergence, weight)
