@@ -151,17 +151,21 @@ def _key_of(ids: np.ndarray, at: np.ndarray, m: int) -> np.ndarray:
 
 
 def _chunks(batches: Iterable[pa.RecordBatch], chunk: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(symbols, their places in their texts) of whole texts, of ``chunk`` symbols and the rest of a piece at most."""
-    held, sizes, count = [], [], 0
+    """(symbols, their places in their texts) of whole texts, of ``chunk`` symbols and more; a task's rest joins its last chunk, since few positions name runs by chance."""
+    ready, held, count = [], [], 0
     for piece in pieces(batches, "ids"):
-        held.append(b"".join(piece.column("ids").to_pylist()))
-        sizes.append(piece.column("n_tokens").to_numpy())
-        count += int(sizes[-1].sum())
+        held.append((b"".join(piece.column("ids").to_pylist()), piece.column("n_tokens").to_numpy()))
+        count += int(held[-1][1].sum())
         if count >= chunk:
-            yield _symbols(b"".join(held), np.concatenate(sizes))
-            held, sizes, count = [], [], 0
-    if held:
-        yield _symbols(b"".join(held), np.concatenate(sizes))
+            if ready:
+                yield _joined(ready)
+            ready, held, count = held, [], 0
+    if ready or held:
+        yield _joined(ready + held)
+
+
+def _joined(parts: list[tuple[bytes, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    return _symbols(b"".join(ids for ids, _ in parts), np.concatenate([sizes for _, sizes in parts]))
 
 
 def _symbols(ids: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -317,7 +321,7 @@ def alphabet_of(counts: DataFrame, reach: float = 1.0, hot_share: float = 2e-6)
     return Alphabet(total, types, n1, n2, sorted((bytes(r.word), r.c) for r in hot.toLocalIterator()), sorted((bytes(t), int(a), int(b)) for t, a, b in tails.collect()), least), least, hot_cut
 
 
-def learn(train: DataFrame, alphabet: Alphabet, least: float, depth: int = 4, detail: float = 16.0, least_divergence: float = 0.01, weight: float = 10.0, chunk: int = 3_000_000) -> Tree:
+def learn(train: DataFrame, alphabet: Alphabet, least: float, depth: int = 4, detail: float = 16.0, least_divergence: float = 0.01, weight: float = 10.0, chunk: int = 2_500_000) -> Tree:
     """The tree of encoded training rows (ids, n_tokens)."""
     listed = max(2.0, least / detail)
     train = train.select("ids", "n_tokens")
