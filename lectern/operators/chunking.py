@@ -10,11 +10,12 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.functions.text import SPACE, module_of, trim_all
+from lectern.sources.staging import staged
 
 TARGET, MOST, OVERLAP, LEAST = 1800, 2600, 220, 120
 SEGMENTS = "array<struct<ordinal:int,ordinal_label:string,text:string>>"
@@ -189,23 +190,36 @@ def slug_collisions(docs: DataFrame) -> DataFrame:
     return docs.groupBy("doc_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_set("title")).alias("titles")).where("n > 1")
 
 
-def token_batches(pending: DataFrame, budget: int = 8000, ordered: bool = False) -> DataFrame:
-    """part, batch added to ``pending(id, tokens)``: in the order of ids, a new batch begins where the sum would pass
-    the budget. Ranges of ids are batched independently; ``ordered`` takes one range, as a single reader would."""
-    ranged = pending.coalesce(1) if ordered else pending.repartitionByRange("id")
-    schema = T.StructType([*ranged.schema.fields, T.StructField("part", T.IntegerType()), T.StructField("batch", T.IntegerType())])
+def token_batches(pending: DataFrame, budget: int = 8000, per_part: int = 1000, ordered: bool = False) -> DataFrame:
+    """part, batch added to ``pending(id, tokens)``: in the order of ids, a new batch begins where the sum would pass the budget.
+
+    A part is what begins within ``per_part`` budgets of the running sum of tokens, and its first row begins a batch, so
+    the result depends on ids and tokens alone, however many tasks there are; ``ordered`` is one part, and one task.
+    """
+    ranged = staged(pending.repartitionByRange("id", "tokens").withColumn("_range", F.spark_partition_id()))
+    # one row of each range: how many tokens stand before it
+    sums = ranged.groupBy("_range").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n")).collect()
+    ahead, total = [], 0
+    for r in sorted(sums, key=lambda r: r["_range"]):
+        ahead.append((r["_range"], total))
+        total += r["n"]
+    offsets = F.broadcast(pending.sparkSession.createDataFrame(ahead, "_range int, _ahead long"))
+    before = F.coalesce(F.sum("tokens").over(Window.partitionBy("_range").orderBy("id", "tokens").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    part = F.lit(0) if ordered else F.floor((F.col("_ahead") + before) / (budget * per_part)).cast("int")
+    parts = ranged.join(offsets, "_range").withColumn("part", part).select(*pending.columns, "part")
+    schema = T.StructType([*parts.schema.fields, T.StructField("batch", T.IntegerType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, number, filled = TaskContext.get().partitionId(), 0, 0
+        at, number, filled = None, 0, 0
         for b in batches:
             numbers = []
-            for n in b.column("tokens").to_pylist():
-                if filled and filled + n > budget:
+            for p, n in zip(b.column("part").to_pylist(), b.column("tokens").to_pylist(), strict=True):
+                if p != at:
+                    at, number, filled = p, 0, 0
+                elif filled and filled + n > budget:
                     number, filled = number + 1, 0
                 filled += n
                 numbers.append(number)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([part] * b.num_rows, pa.int32()), pa.array(numbers, pa.int32())], names=[*b.schema.names, "part", "batch"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(numbers, pa.int32())], names=[*b.schema.names, "batch"])
 
-    return ranged.sortWithinPartitions("id").mapInArrow(run, schema)
+    return parts.repartition("part").sortWithinPartitions("part", "id", "tokens").mapInArrow(run, schema)

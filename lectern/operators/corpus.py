@@ -8,9 +8,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.text import any_of, estimate_tokens, text_md5
+from lectern.functions.text import any_of, estimate_tokens, text_md5, word_count
 from lectern.operators import chunking, grounding, index, pages
-from lectern.operators.dedup import drop_exact_duplicates
+from lectern.operators.dedup import THRESHOLD, drop_exact_duplicates, drop_near_duplicates
+from lectern.sources.staging import staged
 
 EXTENSIONS = ("pdf", "docx", "pptx", "txt", "md")
 LARGEST = 25 * 1024 * 1024
@@ -57,6 +58,34 @@ def apply_source_policy(files: DataFrame, allow: DataFrame, excluded_archives: D
     )
 
 
+def apply_draft_policy(files: DataFrame, confidential: Iterable[str], threshold: float = THRESHOLD, seen: DataFrame | None = None) -> DataFrame:
+    """``files(archive, archive_no, path, sha256, text, error)`` of archives that hold drafts, with disposition and reason.
+
+    The steps in order: confidential path, exact copy (of ``seen(sha256, label)``, what stands in the corpus
+    already, or of a file before), failed extraction, draft of a longer or earlier text of its archive, full text.
+    A file's label is its archive and path.
+    """
+    label = F.concat_ws(":", "archive", "path")
+    base = files.columns
+    open_, secret = drop_confidential(files, confidential)
+    known = seen.groupBy("sha256").agg(F.min("label").alias("_seen")) if seen is not None else files.select("sha256", F.lit(None).cast("string").alias("_seen")).limit(0)
+    named = open_.withColumn("_label", label).join(known, "sha256", "left")
+    kept, copies = drop_exact_duplicates(named.where("_seen is null"), "sha256", ["archive_no", "path"], "_label")
+    readable = staged(kept.where("error is null"))
+    _, drafts = drop_near_duplicates(readable, threshold, key="_label", by=["archive"])
+    drafts = drafts.select(F.col("kept").alias("_kept"), F.col("dropped").alias("_label"), F.regexp_replace(F.col("similarity").cast("string"), "[.]0$", "").alias("_alike"))
+    marked = readable.join(drafts, "_label", "left")
+    draft = F.concat(F.lit('near-duplicate draft of "'), F.regexp_replace("_kept", "^.*[:/]", ""), F.lit('" (jaccard '), "_alike", F.lit(")"))
+    row = lambda rows, what, why: rows.select(*base, F.lit(what).alias("disposition") if isinstance(what, str) else what.alias("disposition"), why.alias("reason"))
+    return (
+        row(secret, "confidential", F.lit("confidential"))
+        .unionByName(row(named.where("_seen is not null"), "exact_duplicate", F.concat(F.lit("duplicate content of "), "_seen")))
+        .unionByName(row(copies, "exact_duplicate", F.col("reason")))
+        .unionByName(row(kept.where("error is not null"), "extraction_failed", F.concat(F.lit("extraction failed: "), "error")))
+        .unionByName(row(marked, F.when(F.col("_kept").isNull(), "full_text").otherwise("near_duplicate"), draft))
+    )
+
+
 def drop_excluded(documents: DataFrame, chunks: DataFrame, excluded: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Removed documents stay removed, and their chunks go, too."""
     kept = documents.join(excluded.select("doc_id").distinct(), "doc_id", "left_anti")
@@ -153,18 +182,33 @@ def chunk_pages(cleaned: DataFrame, doc_id: str) -> DataFrame:
     return chunking.chunk_documents(cleaned.select(F.col(doc_id).cast("string").alias("doc_id"), chunking.flat_segments("text").alias("segments")))
 
 
-def sync_website(old_chunks: DataFrame, new_pages: DataFrame, site: str = "site", doc_id: str = "doc_id", expected: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Replace the website slice: pages to text, boilerplate off, chunks, vectors carried
-    over, statistics rebuilt. Refuses a crawl without pages."""
+def sync_website(old_chunks: DataFrame, new_pages: DataFrame, site: str = "site", doc_id: str = "doc_id", expected: DataFrame | None = None, note: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Replace the website slice, and the documents of ``note(doc_id, title, text)`` if it could be read.
+
+    Pages to text, boilerplate off, chunks, vectors carried over where id and text are unchanged, statistics
+    rebuilt. Returns chunks, documents (one row of each page or note that has chunks), the index's tables, cohorts,
+    counts(pages, chunks, carried, pending, note) and, with ``expected``, the pages that are missing. Refuses a crawl without pages.
+    """
     if new_pages.isEmpty():
         raise ValueError("no pages: the index stays as it is")
     cleaned = pages.strip_shared_boilerplate(pages.html_to_text(new_pages), site)
-    fresh = carry_embeddings(old_chunks, chunk_pages(cleaned, doc_id)).withColumn("source_type", F.lit("website"))
+    url = F.col("url") if "url" in cleaned.columns else F.col(doc_id).cast("string")
+    sources = cleaned.select(F.col(doc_id).cast("string").alias("doc_id"), "title", url.alias("origin"), F.lit("website").alias("source_type"), F.lit("html").alias("format"), "text")
     rest = old_chunks.where("source_type <> 'website'")
-    chunks = rest.unionByName(fresh, allowMissingColumns=True)
-    built = index.build_index(chunks)
-    mentions = grounding.find_cohort_mentions(cleaned.withColumn("source", F.col(doc_id)))
-    out = {"chunks": chunks, "cohorts": grounding.audit_cohorts(mentions), **built}
+    if note is not None:
+        sources = sources.unionByName(note.select(F.col("doc_id").cast("string").alias("doc_id"), "title", F.col("title").alias("origin"), F.lit("correction").alias("source_type"), F.lit("note").alias("format"), "text"))
+        rest = rest.join(note.select(F.col("doc_id").cast("string").alias("doc_id")), "doc_id", "left_anti")
+    sources = staged(sources)
+    fresh = carry_embeddings(old_chunks, chunk_pages(sources, "doc_id")).join(sources.select("doc_id", "source_type"), "doc_id")
+    fresh = staged(fresh)
+    chunks = staged(rest.unionByName(fresh, allowMissingColumns=True))
+    documents = sources.join(fresh.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "title", "origin", "source_type", "format", word_count("text").alias("words"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+    mentions = grounding.find_cohort_mentions(sources.withColumn("source", F.col("origin")))
+    n_pages = sources.agg(F.count(F.when(F.col("source_type") == "website", 1)).alias("pages"), F.max(F.when(F.col("source_type") == "correction", F.col("title"))).alias("note"))
+    n_chunks = fresh.agg(F.count("*").alias("chunks"), F.count("embedding").alias("carried"))
+    pending = chunks.agg(F.count(F.when(F.col("embedding").isNull(), 1)).alias("pending"))
+    counts = union_sources(n_pages, n_chunks, pending).agg(*[F.max(c).alias(c) for c in ("pages", "chunks", "carried", "pending", "note")])
+    out = {"chunks": chunks, "documents": documents, "cohorts": grounding.audit_cohorts(mentions), "counts": counts, **index.build_index(chunks)}
     if expected is not None:
         out["missing"] = missing_pages(expected, cleaned)
     return out

@@ -7,9 +7,13 @@ chunks, ``benchmark`` for questions, ``conversations`` for answers and turns,
 
 from __future__ import annotations
 
+import html
+import io
 import uuid
+import zipfile
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,7 +60,7 @@ def t2_normalize_whitespace(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", t.text_md5(t.normalize_whitespace("text", letters=False)).alias("m"))
 
 
-@query()
+@query(f"SELECT doc_id, md5({sql.collapsed('text')}) AS m FROM documents")
 def t1_collapse_letter_spacing(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", t.text_md5(t.collapse_letter_spacing("text")).alias("m"))
 
@@ -223,6 +227,23 @@ def d4_near_duplicates(spark, sf_dir):
     return dupes
 
 
+#: The same over the readable first copies, and what became of the others.
+DRAFTS_SQL = f"""{GREEDY_SQL.replace("FROM documents)", "FROM live)").replace("JOIN documents d", "JOIN live d").replace("WITH RECURSIVE", "WITH RECURSIVE every AS (SELECT *, min(doc_id) OVER (PARTITION BY md5(text)) AS first_id FROM documents WHERE doc_id % 11 <> 0), live AS (SELECT doc_id, text FROM every WHERE doc_id = first_id AND doc_id % 13 <> 0),").replace("SELECT coalesce(z.fid", ", drafts AS (SELECT coalesce(z.fid")})
+SELECT doc_id, 'confidential' AS disposition, 'confidential' AS reason FROM documents WHERE doc_id % 11 = 0
+UNION ALL SELECT doc_id, 'exact_duplicate', 'duplicate content of drafts.zip:' || lpad(first_id::varchar, 12, '0') FROM every WHERE doc_id <> first_id
+UNION ALL SELECT doc_id, 'extraction_failed', 'extraction failed: broken' FROM every WHERE doc_id = first_id AND doc_id % 13 = 0
+UNION ALL SELECT doc_id, CASE WHEN dropped IS NULL THEN 'full_text' ELSE 'near_duplicate' END, 'near-duplicate draft of "' || lpad(kept::varchar, 12, '0') || '" (jaccard ' || regexp_replace(similarity::double::varchar, '[.]0$', '') || ')' FROM live LEFT JOIN drafts ON dropped = doc_id"""
+
+
+@query(DRAFTS_SQL)
+def f1_draft_policy(spark, sf_dir):
+    """The rules of archives that hold drafts: every document a file of one archive."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat(F.when(F.col("doc_id") % 11 == 0, "secret ").otherwise(""), F.lpad(F.col("doc_id").cast("string"), 12, "0"))
+    rows = docs.select("doc_id", F.lit("drafts.zip").alias("archive"), F.lit(0).alias("archive_no"), path.alias("path"), t.text_md5("text").alias("sha256"), "text", F.when(F.col("doc_id") % 13 == 0, "broken").alias("error"))
+    return corpus.apply_draft_policy(rows, ["secret"]).select("doc_id", "disposition", "reason")
+
+
 @query("""WITH e AS (SELECT md5(text) AS h FROM documents WHERE doc_id % 7 = 0), u AS (SELECT doc_id, md5(text) AS h FROM documents WHERE doc_id % 7 <> 0)
 SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY h ORDER BY doc_id) AS n FROM u WHERE h NOT IN (SELECT h FROM e)) WHERE n = 1""")
 def d5_duplicate_uploads(spark, sf_dir):
@@ -257,7 +278,7 @@ def c5_locators(spark, sf_dir):
     return rows.select("l_orderkey", "l_linenumber", t.format_locator(F.lit("p."), "a", "b").alias("locator"))
 
 
-@query()
+@query(f"SELECT doc_id, {sql.purpose('text')} AS purpose FROM documents")
 def c6_catalog_purpose(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", chunking.catalog_purpose("text").alias("purpose"))
 
@@ -369,7 +390,11 @@ def e2_pending_embeddings(spark, sf_dir):
     return corpus.pending_embeddings(chunks).select("id", "tokens")
 
 
-@query()
+@query("""WITH RECURSIVE t AS (SELECT doc_id AS id, ceil(length(text) / 4)::int AS tokens FROM documents),
+o AS MATERIALIZED (SELECT *, row_number() OVER w AS n, floor((sum(tokens) OVER w - tokens) / 8000000)::int AS part FROM t WINDOW w AS (ORDER BY id, tokens ROWS UNBOUNDED PRECEDING)),
+r AS (SELECT 0::bigint AS n, -1 AS part, 0 AS batch, 0::bigint AS filled UNION ALL
+SELECT o.n, o.part, CASE WHEN o.part <> r.part THEN 0 WHEN r.filled > 0 AND r.filled + o.tokens > 8000 THEN r.batch + 1 ELSE r.batch END, CASE WHEN o.part <> r.part OR (r.filled > 0 AND r.filled + o.tokens > 8000) THEN o.tokens ELSE r.filled + o.tokens END FROM r JOIN o ON o.n = r.n + 1)
+SELECT id, tokens, o.part, batch FROM o JOIN r USING (n)""")
 def e4_token_batches(spark, sf_dir):
     pending = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), t.estimate_tokens("text").alias("tokens"))
     return chunking.token_batches(pending)
@@ -486,7 +511,8 @@ def r9_context_blocks(spark, sf_dir):
     return b.select("query_id", F.array_join(F.transform("blocks", lambda x: F.concat(x["title"], F.lit("#"), F.length(x["text"]).cast("string"))), " ").alias("blocks"))
 
 
-@query()
+@query(f"""{HITS_SQL}, asked AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9$]{{3,}}') AS w FROM benchmark), marks AS (SELECT item_id, list_filter(w, lambda x, i: list_position(w, x) = i) AS w FROM asked)
+SELECT query_id, rank::int AS rank, 'Document ' || chunk_id AS label, md5(list_reduce(list_prepend(text, w), lambda a, x: regexp_replace(a, '(?i)(' || replace(x, '$', '\\$') || ')', '[\\1]', 'g'))) AS m FROM h JOIN marks ON item_id = query_id WHERE rank < 5""")
 def r10_search_passages(spark, sf_dir):
     return retrieval.search_passages(questions(spark, sf_dir), hits(spark, sf_dir)).select("query_id", "rank", "label", t.text_md5("passage").alias("m"))
 
@@ -658,6 +684,17 @@ def l4_mirror_backlog(spark, sf_dir):
     return folds.mirror_backlog(leads.join(mirrored(spark, sf_dir), "conversation_id")).drop("source_url")
 
 
+@query(f"WITH {LEADS_SQL}, {MIRROR_SQL} SELECT created_at, name, email, company, interest, booking_route, NULL::varchar AS source_url, conversation_id FROM leads JOIN m USING (conversation_id) WHERE mirror_status <> 'synced'")
+def l4_mirror_sheet(spark, sf_dir):
+    """The backlog written as a sheet and read back."""
+    leads = folds.merge_leads(folds.clean_lead_fields(lead_calls(spark, sf_dir)))
+    backlog, path = folds.mirror_backlog(leads.join(mirrored(spark, sf_dir), "conversation_id")), _place(spark, "sheet")
+    files.write_sheet(backlog, path)
+    kinds = {c: kind for c, kind in backlog.dtypes}
+    sheet = files.read_sheet(spark, path, ", ".join(f"{c} string" for c in backlog.columns))
+    return sheet.select(*[F.col(c).cast(kinds[c]) for c in backlog.columns])
+
+
 def escalations(spark, sf_dir) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     turns = c.select(F.col("conv_id").alias("conversation_id"), F.col("turn").alias("seq"), "role", F.col("text").alias("content"))
@@ -682,7 +719,9 @@ def l6_escalation_backlog(spark, sf_dir):
     return folds.escalation_backlog(e, leads).select("id", "conversation_id", "lead.name", "lead.email")
 
 
-@query()
+@query(f"""WITH {LEADS_SQL}, {ESC_SQL}, said AS (SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS said FROM conversations GROUP BY conv_id)
+SELECT e.id, 'Question: ' || substr(regexp_replace(question, '[\r\n]+', ' ', 'g'), 1, 60) AS subject, concat_ws(chr(10), 'Why: No source for the answer', 'Question: ' || question, 'Contact: ' || coalesce(nullif(concat_ws(', ', l.name, l.email, l.company), ''), 'not given'), '', 'Transcript', said) AS body
+FROM esc e JOIN said ON said.conv_id = e.conversation_id LEFT JOIN leads l ON sha256(l.conversation_id::varchar) = e.lead_id""")
 def l7_render_escalations(spark, sf_dir):
     leads = folds.merge_leads(folds.clean_lead_fields(lead_calls(spark, sf_dir)))
     e = escalations(spark, sf_dir).join(leads.select(F.col("id").alias("lead_id"), F.struct("name", "email", "company").alias("lead")), "lead_id", "left")
@@ -795,9 +834,11 @@ def u3_scoped_replace(spark, sf_dir):
 
 @query()
 def u4_sync_website(spark, sf_dir):
+    """What the sync says of itself: pages, chunks, carried and pending vectors, the note."""
     p = table(spark, sf_dir, "pages").select(F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("doc_id"), F.regexp_extract("url", "://([^/]+)", 1).alias("site"), "url", "html")
     old = doc_chunks(spark, sf_dir).withColumns({"embedding": F.lit(None).cast("array<float>"), "source_type": F.lit("program_document")})
-    return corpus.sync_website(old, p)["lexemes"]
+    note = spark.createDataFrame([("client-knowledge", "Client knowledge", "What the client says goes first.")], "doc_id string, title string, text string")
+    return corpus.sync_website(old, p, note=note)["counts"]
 
 
 @query("""WITH c AS (SELECT doc_id, CASE WHEN doc_id % 50 = 7 THEN 'rewritten note of one line' ELSE text END AS text FROM documents) SELECT count(*) AS chunk_count FROM c WHERE doc_id % 50 = 7""")
@@ -839,7 +880,8 @@ def s7_replace_slice(spark, sf_dir):
     return spark.read.parquet(path).groupBy("source", "replaced").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""SELECT path, CASE WHEN sheet THEN 0 ELSE n END::int AS segments, CASE WHEN sheet THEN 'unsupported format .xlsx' WHEN n = 0 THEN 'no text' END AS error
+FROM (SELECT doc_id || CASE WHEN doc_id % 9 = 0 THEN '.xlsx' ELSE '.txt' END AS path, doc_id % 9 = 0 AS sheet, len(list_filter(string_split(text, chr(12)), lambda x: {sql.trim_all('x')} <> '')) AS n FROM documents)""")
 def t6_extract_text(spark, sf_dir):
     raw = table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 9 == 0, ".xlsx").otherwise(".txt")).alias("path"), F.col("text").cast("binary").alias("content"))
     return pages.extract_text(raw).select("path", F.size("segments").alias("segments"), "error")
@@ -871,18 +913,84 @@ def e3_estimate_tokens(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", t.estimate_tokens("text").alias("tokens"))
 
 
-@query()
+@query("SELECT doc_id::varchar AS id, length(text)::double AS characters, (length(text) - length(replace(text, 'e', '')))::double AS es FROM documents")
 def e5_embed_batches(spark, sf_dir):
     pending = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("body"), t.estimate_tokens("text").alias("tokens"))
-    return corpus.embed_batches(chunking.token_batches(pending), lambda bodies: [[float(len(b)), float(len(b.split()))] for b in bodies])
+    found = corpus.embed_batches(chunking.token_batches(pending), lambda bodies: [[float(len(b)), float(b.count("e"))] for b in bodies])
+    return found.select("id", F.col("embedding")[0].cast("double").alias("characters"), F.col("embedding")[1].cast("double").alias("es"))
 
 
-@query()
+@query(f"""SELECT name, module, coalesce(purpose, name || ' worksheet used during ' || module || ' of the program.') AS purpose FROM (SELECT doc_id || ' sheet' AS name, 'Module ' || (doc_id % 5) AS module, {sql.purpose('text')} AS purpose FROM documents)""")
 def c8_catalog_entries(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.concat(F.lit("Module "), (F.col("doc_id") % 5).cast("string"), F.lit(".zip")).alias("archive"), F.concat(F.col("doc_id").cast("string"), F.lit("_sheet.docx")).alias("path"), "text")
     return chunking.catalog_entries(d)
 
 
+@query("SELECT page_id, url, md5(html) AS m FROM pages")
+def s3_read_pages(spark, sf_dir):
+    return files.read_pages(spark, f"{sf_dir}/pages.parquet").select("page_id", "url", t.text_md5("html").alias("m"))
+
+
+def _zipped(docs: DataFrame, members: Callable[[str], dict[str, bytes]]) -> DataFrame:
+    """path, content: a zip file of each of ``docs(doc_id, text)``."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for text in b.column("text").to_pylist():
+                held = io.BytesIO()
+                with zipfile.ZipFile(held, "w") as z:
+                    for name, data in members(text or "").items():
+                        z.writestr(name, data)
+                out.append(held.getvalue())
+            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(out, pa.binary())], names=["path", "content"])
+
+    return docs.select("path", "text").mapInArrow(run, "path string, content binary")
+
+
+@query("""SELECT doc_id || '.zip' AS archive, 'whole.txt' AS path, md5(text) AS m, NULL::varchar AS error FROM documents UNION ALL SELECT doc_id || '.zip', 'lines/first.txt', md5(string_split(text, chr(10))[1]), NULL FROM documents""")
+def s5_expand_archives(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".zip")).alias("path"), "text")
+    zips = _zipped(docs, lambda text: {"whole.txt": text.encode(), "lines/": b"", "lines/first.txt": text.split("\n")[0].encode()})
+    return pages.expand_archives(zips).select("archive", "path", F.md5("content").alias("m"), "error")
+
+
+@query(f"SELECT doc_id || '.docx' AS path, md5({sql.normalized(sql.collapsed('text'))}) AS m FROM documents WHERE {sql.trim_all('text')} <> ''")
+def t5_office_text(spark, sf_dir):
+    """Every document as a word-processor file, a paragraph a line and all but ASCII as numeric entities, and its text read back."""
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".docx")).alias("path"), "text")
+
+    def members(text: str) -> dict[str, bytes]:
+        lines = "".join(f"<w:p><w:r><w:t>{html.escape(x)}</w:t></w:r></w:p>" for x in text.split("\n"))
+        return {"word/document.xml": f"<w:document><w:body>{lines}</w:body></w:document>".encode("ascii", "xmlcharrefreplace")}
+
+    found = pages.extract_text(_zipped(docs, members))
+    return found.where("error is null").select("path", t.text_md5(F.col("segments")[0]["text"]).alias("m"))
+
+
+NOTES_SQL = """d AS (SELECT doc_id, CASE WHEN doc_id % 50 = 7 THEN 'note number ' || doc_id || CASE WHEN doc_id % 100 = 7 THEN '' ELSE ' rewritten' END ELSE text END AS text FROM documents)"""
+
+
+def reindexed(spark, sf_dir) -> dict[str, DataFrame]:
+    """Every document a chunk with a vector; of the notes among them half have new words."""
+    i = F.col("doc_id").cast("string")
+    docs = table(spark, sf_dir, "documents")
+    is_note, said = F.col("doc_id") % 50 == 7, F.concat(F.lit("note number "), i)
+    old = docs.select(F.concat(i, F.lit("#0")).alias("id"), i.alias("doc_id"), F.when(is_note, said).otherwise(F.col("text")).alias("text"), F.array(F.col("doc_id").cast("float")).alias("embedding"))
+    new = F.when(F.col("doc_id") % 100 == 7, said).otherwise(F.concat(said, F.lit(" rewritten")))
+    return corpus.reindex_note(old, docs.where(is_note).select(i.alias("doc_id"), chunking.flat_segments(new).alias("segments")))
+
+
+@query(f"WITH {NOTES_SQL} SELECT doc_id || '#0' AS id, md5(text) AS m, CASE WHEN doc_id % 50 <> 7 OR doc_id % 100 = 7 THEN doc_id::float::double END AS vector FROM d")
+def v9_reindex_chunks(spark, sf_dir):
+    return reindexed(spark, sf_dir)["chunks"].select("id", t.text_md5("text").alias("m"), F.col("embedding")[0].cast("double").alias("vector"))
+
+
+@query(f"WITH {NOTES_SQL}, w AS (SELECT DISTINCT doc_id, unnest({sql.tokens('text')}) AS word FROM d) SELECT word, count(*) AS ndoc FROM w GROUP BY word")
+def v9_reindex_stats(spark, sf_dir):
+    return reindexed(spark, sf_dir)["lexemes"].select("word", "ndoc")
+
+
 # -- streams ------------------------------------------------------------------------------------------------------
 
 
@@ -916,6 +1024,20 @@ def x2_stream_leads(spark, sf_dir):
     return _run(jobs.stream_leads(calls), spark).drop("source_url")
 
 
+@query(f"""WITH d AS (SELECT DISTINCT text, length(text) % 9 = 0 AS exe, {sql.trim_all('text')} = '' AS bare, strlen(text) AS n FROM documents)
+SELECT CASE WHEN exe THEN 'unsupported type exe' WHEN n > 26214400 THEN 'larger than 25 MB' WHEN n <= 0 THEN 'empty' WHEN bare THEN 'no text' ELSE 'live' END AS status, count(*) AS n FROM d GROUP BY 1""")
+def x1_stream_uploads(spark, sf_dir):
+    """Every document an upload: equal bytes are taken once, whole or not at all."""
+    schema = table(spark, sf_dir, "documents").schema
+    docs = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(f"{sf_dir}/*.parquet")
+    ext = F.when(F.length("text") % 9 == 0, ".exe").otherwise(".txt")
+    uploads = docs.select(F.concat(F.col("doc_id").cast("string"), ext).alias("path"), F.col("text").cast("binary").alias("content"), F.octet_length("text").cast("long").alias("size_bytes"))
+    place = _place(spark, "uploads")
+    jobs.stream_uploads(uploads, f"{place}/chunks", f"{place}/failures", f"{place}/state").awaitTermination()
+    live = spark.read.parquet(f"{place}/chunks").select("doc_id").distinct().select(F.lit("live").alias("status"))
+    return live.unionByName(spark.read.parquet(f"{place}/failures").select(F.col("reason").alias("status"))).groupBy("status").agg(F.count("*").alias("n"))
+
+
 # -- one job ------------------------------------------------------------------------------------------------------
 
 ENTRY_SQL = f"""WITH keep AS (SELECT doc_id, text FROM (SELECT *, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS n FROM documents) WHERE n = 1),

@@ -60,3 +60,31 @@ spans AS (SELECT query_id, n, chunk_id, x, min(latest) AS first_x FROM lasts GRO
 ended AS (SELECT query_id, n, chunk_id, first_x, min(x) AS x FROM spans GROUP BY ALL),
 cover AS (SELECT query_id, chunk_id, max(raw) AS raw FROM (SELECT query_id, n, chunk_id, sum(1 / (x - first_x + 1)) AS raw FROM ended GROUP BY ALL) GROUP BY ALL),
 strict_arm AS (SELECT * FROM (SELECT query_id, chunk_id, raw, row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 9) DESC, chunk_id) - 1 AS pos FROM cover) WHERE pos < 40)"""
+
+
+def collapsed(text: str) -> str:
+    """Letter spacing collapsed: a blank goes if runs of lone letters or digits on both its sides are four long together."""
+    ends, starts, one = (f"regexp_matches(p[{{i}}], '{x}')" for x in ("(^|[^A-Za-z0-9])[A-Za-z0-9]$", "^[A-Za-z0-9]($|[^A-Za-z0-9])", "^[A-Za-z0-9]$"))
+
+    def run(side: str, i: str, step: str, more: int) -> str:
+        here = side.format(i=i)
+        onward = f" + CASE WHEN coalesce({one.format(i=i)}, false) THEN {run(side, f'{i} {step}', step, more - 1)} ELSE 0 END" if more else ""
+        return f"CASE WHEN coalesce({here}, false) THEN 1{onward} ELSE 0 END"
+
+    gone = f"({run(ends, 'i', '- 1', 2)}) > 0 AND ({run(starts, 'i + 1', '+ 1', 2)}) > 0 AND ({run(ends, 'i', '- 1', 2)}) + ({run(starts, 'i + 1', '+ 1', 2)}) >= 4"
+    return f"list_transform([string_split({text}, ' ')], lambda p: array_to_string(list_transform(range(1, len(p) + 1), lambda i: p[i] || CASE WHEN i = len(p) OR ({gone}) THEN '' ELSE ' ' END), ''))[1]"
+
+
+def normalized(text: str) -> str:
+    """Line ends, spaces and blank lines evened out."""
+    for pattern, by in (("\\r\\n?", "chr(10)"), ("\\x{00A0}", "' '"), ("[ \\t]+", "' '"), (" *\\n *", "chr(10)"), ("\\n{3,}", "chr(10) || chr(10)")):
+        text = f"regexp_replace({text}, '{pattern}', {by}, 'g')"
+    return trim_all(text)
+
+
+def purpose(text: str) -> str:
+    """The first line that describes a worksheet."""
+    lines = f"list_transform(string_split({text}, chr(10)), lambda x: {trim_all('x')})"
+    prose = r"length(x) BETWEEN 25 AND 240 AND NOT regexp_matches(x, '(_{3,}|\.{5,}|\[[\s]*\]|^\s*[-–—]\s*$)') AND x <> upper(x) AND NOT regexp_matches(x, '(?i)^(your|list|write|enter|describe|fill)\b')".replace("\\\\", "\\")
+    cut = f"list_transform(list_filter({lines}, lambda x: {prose}), lambda x: coalesce(nullif(regexp_extract(x, '^[^.!?]+[.!?]'), ''), x))"
+    return trim_all(f"list_filter({cut}, lambda x: length(x) >= 25)[1]")

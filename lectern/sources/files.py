@@ -68,6 +68,16 @@ def replace_slice(new: DataFrame, path: str, by: str = "source_type") -> None:
     new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
+def write_sheet(rows: DataFrame, path: str) -> None:
+    """Rows as CSV with a header, in the order that they have. Nulls are empty cells."""
+    rows.select(*[F.col(c).cast("string") for c in rows.columns]).write.option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+
+
+def read_sheet(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """``write_sheet``'s rows; an empty cell is null."""
+    return spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+
+
 def read_jdbc(spark: SparkSession, url: str, table: str, column: str | None = None, bounds: tuple[int, int] | None = None, parts: int = 8, **options: str) -> DataFrame:
     reader = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
     if column and bounds:

@@ -162,6 +162,11 @@ def test_website_and_notes(spark):
     old = spark.createDataFrame([("p1#0", "p1", "Alpha words here", [1.0], "website"), ("d#0", "d", "Kept", None, "program_document"), ("gone#0", "gone", "Old page", [2.0], "website")], "id string, doc_id string, text string, embedding array<float>, source_type string")
     out = corpus.sync_website(old, pages, expected=spark.createDataFrame([("/1",), ("/9",)], "path string"))
     assert {r.id: r.embedding for r in out["chunks"].collect()} == {"p1#0": [1.0], "p2#0": None, "d#0": None} and [r.path for r in out["missing"].collect()] == ["/9"]
+    told = spark.createDataFrame([("d", "Client note", "Said by the client. COHORT ONE"), ("blank", "Blank", " ")], "doc_id string, title string, text string")
+    both = corpus.sync_website(old, pages, note=told)
+    assert {(r.id, r.source_type, r.text): r.embedding for r in both["chunks"].collect()} == {("p1#0", "website", "Alpha words here"): [1.0], ("p2#0", "website", "Beta words"): None, ("d#0", "correction", "Said by the client. COHORT ONE"): None}
+    assert both["counts"].first().asDict() == {"pages": 2, "chunks": 3, "carried": 1, "pending": 2, "note": "Client note"}
+    assert {(r.doc_id, r.source_type, r.words) for r in both["documents"].collect()} == {("p1", "website", 3), ("p2", "website", 2), ("d", "correction", 6)}
     with pytest.raises(ValueError):
         corpus.sync_website(old, pages.limit(0))
     note = spark.createDataFrame([("d", [(None, None, "New words")])], "doc_id string, segments array<struct<ordinal:int,ordinal_label:string,text:string>>")
@@ -215,3 +220,28 @@ def test_stream_uploads(spark, tmp_path):
     jobs.stream_uploads(files, str(tmp_path / "chunks"), str(tmp_path / "failed"), str(tmp_path / "state")).awaitTermination()
     assert [r.text for r in spark.read.parquet(str(tmp_path / "chunks")).collect()] == ["Some words."]
     assert sorted(r.reason.split(":")[0] for r in spark.read.parquet(str(tmp_path / "failed")).collect()) == ["extraction failed", "unsupported type exe"]
+
+
+def test_draft_policy(spark):
+    long = " ".join(f"word{i}" for i in range(60))
+    near = long.replace("word59", "other")
+    rows = [
+        ("one.zip", 0, "a/final.docx", long, None), ("one.zip", 0, "a/draft.docx", near, None), ("one.zip", 0, "b/copy.docx", long, None), ("one.zip", 0, "prep/secret.docx", "unlike", None),
+        ("one.zip", 0, "z/broken.docx", None, "no zip file"), ("two.zip", 1, "other.docx", near + " more", None), ("two.zip", 1, "known.docx", "in the corpus", None), ("two.zip", 1, "short.docx", "two words", None),
+    ]
+    files_ = spark.createDataFrame(rows, "archive string, archive_no int, path string, text string, error string").withColumn("sha256", F.sha2(F.coalesce("text", F.lit("?")).cast("binary"), 256))
+    seen = files_.where("path = 'known.docx'").select("sha256", F.lit("program.zip:known.docx").alias("label"))
+    got = {r.path: (r.disposition, r.reason) for r in corpus.apply_draft_policy(files_, ["secret"], seen=seen).collect()}
+    # of texts of one length unlike, the longer one is kept: "word59" is longer than "other"
+    assert got == {
+        "a/final.docx": ("full_text", None), "a/draft.docx": ("near_duplicate", 'near-duplicate draft of "final.docx" (jaccard 0.965)'), "b/copy.docx": ("exact_duplicate", "duplicate content of one.zip:a/final.docx"), "prep/secret.docx": ("confidential", "confidential"),
+        "z/broken.docx": ("extraction_failed", "extraction failed: no zip file"), "other.docx": ("full_text", None), "known.docx": ("exact_duplicate", "duplicate content of program.zip:known.docx"), "short.docx": ("full_text", None),
+    }
+
+
+def test_sheet(spark, tmp_path):
+    rows = [(1, 'with "quotes", and\nlines', None), (2, None, "x"), (3, "İ é", "")]
+    df = spark.createDataFrame(rows, "id long, a string, b string")
+    src.write_sheet(df, str(tmp_path / "sheet"))
+    got = src.read_sheet(spark, str(tmp_path / "sheet"), "id long, a string, b string").orderBy("id").collect()
+    assert [tuple(r) for r in got] == [(1, rows[0][1], None), (2, None, "x"), (3, "İ é", None)]

@@ -173,6 +173,21 @@ def test_token_batches(spark):
     assert [r.batch for r in rows] == [0, 0, 1, 2, 3, 4, 4] or [r.batch for r in rows] == plain_batches(sizes)
 
 
+@pytest.mark.parametrize("tasks", [1, 3, 8])
+def test_token_batches_do_not_depend_on_tasks(spark, tasks):
+    sizes = [(i * 7919) % 40 + (i % 50 == 0) * 200 for i in range(400)]
+    rows = chunking.token_batches(spark.createDataFrame(list(enumerate(sizes)), "id long, tokens int").repartition(tasks), budget=100, per_part=7).orderBy("id").collect()
+    parts, total = [], 0
+    for n in sizes:
+        parts.append(total // 700)
+        total += n
+    want = []
+    for p in dict.fromkeys(parts):
+        want += [(p, k) for k in plain_batches([n for n, q in zip(sizes, parts, strict=True) if q == p], 100)]
+    assert [(r.part, r.batch) for r in rows] == want
+    assert chunking.token_batches(spark.createDataFrame([], "id long, tokens int")).collect() == []
+
+
 def plain_batches(sizes, budget=8000):
     out, total, number = [], 0, 0
     for n in sizes:
