@@ -10,8 +10,8 @@ hold hardly make lists. What meets in a list is kept only if the sizes and the p
 for the overlap that is needed. Of pairs, the union's sketch (the k smallest values
 of both) estimates the similarity, and what passes is verified on the full sets, which the sketches are for sets of up to k.
 
-Groups. First every list's members meet its hub only, the class that holds most frequent
-values; verified links make components. Then pairs of different components meet,
+Groups. First every list's members meet its hub only, the class whose prefix reaches the value
+first, which of near copies has least of its own; verified links make components. Then pairs of different components meet,
 in two-sided blocks where a list is long. So a group of n near copies costs n pairs, and no link between
 components is lost. Copies and members of a component are never expanded into pairs.
 
@@ -106,20 +106,23 @@ def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     return out
 
 
-def sketches(docs: DataFrame, width: int = 3, k: int = K) -> DataFrame:
-    """doc_id, text_hash, sign (of the whole set), n (its size), sketch (its k smallest hashes, in order) of every row."""
+def signs(docs: DataFrame, width: int = 3, sketched: int | None = None) -> DataFrame:
+    """doc_id, text_hash, sign (of the whole set), n (its size) of every row; ``sketched``: also sketch, so many of its smallest hashes, in order."""
+    schema = "doc_id long, text_hash long, sign binary, n int" + (", sketch array<bigint>" if sketched else "")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text", PIECE):
             sets = shingle_sets(piece.column("text").to_pylist(), width)
-            kept = [s[:k] for s in sets]
-            at = pa.array(np.concatenate(([0], np.cumsum([len(s) for s in kept]))), pa.int32())
-            values = pa.ListArray.from_arrays(at, pa.array(np.concatenate(kept) if kept else np.zeros(0, np.int64)))
-            signs = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-            yield batch({"doc_id": (piece.column("doc_id"), None), "text_hash": (piece.column("text_hash"), None), "sign": (signs, pa.binary()), "n": ([len(s) for s in sets], pa.int64()), "sketch": (values, None)})
+            made = {"doc_id": (piece.column("doc_id"), None), "text_hash": (piece.column("text_hash"), None), "sign": ([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), "n": ([len(s) for s in sets], pa.int32())}
+            yield batch(made | ({"sketch": (_lists([s[:sketched] for s in sets]), None)} if sketched else {}))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), utf8().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, sign binary, n long, sketch array<bigint>")
+    return rows.mapInArrow(run, schema)
+
+
+def _lists(sets: list[np.ndarray]) -> pa.Array:
+    at = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))
 
 
 @lru_cache(maxsize=4)
@@ -139,17 +142,72 @@ def _needed(na: Column, nb: Column, percent: int, k: int, floor: int) -> Column:
     return F.when((na <= k) & (nb <= k), o).otherwise(F.greatest(F.lit(k) - (na + nb - 2 * o), F.lit(floor)))
 
 
-def _entries(classes: DataFrame, percent: int, k: int, floor: int, longest: int = 1_000_000, least: int = 32) -> DataFrame:
-    """value, cls, n, place, common: the prefix of each class's sketch under the global order, and how many frequent values the sketch holds.
+def _frequent(classes: DataFrame, longest: int, least: int, per_bucket: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """(values, classes) of the values that over ``least`` classes and more than one in ``longest`` of all are; sorted.
 
-    Frequent are values of over ``least`` classes and more than one in ``longest`` of all values; the tasks get them, ``longest`` at most, by broadcast.
+    Each task counts the values that it reads. What it counted moves in buckets of the value's first bits, as sorted differences, which
+    are a few bytes each, and a bucket is counted up in one task; their number follows that of all values. Values are told apart by 40 bits:
+    two that share these have one count, and so one place in the order.
     """
-    spark = classes.sparkSession
     total = classes.agg(F.coalesce(F.sum(F.size("sketch")), F.lit(0))).first()[0]
-    often = classes.select(F.explode("sketch").alias("value")).groupBy("value").agg(F.count("*").alias("df")).where(F.col("df") > max(least, total // longest)).toArrow()
+    bits = min(20, max(3, (total // per_bucket).bit_length()))
+    low = 40 - bits
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def close() -> pa.RecordBatch:
+            value, n = np.unique(np.concatenate(held), return_counts=True)
+            cut = np.concatenate((np.searchsorted(value, np.arange(1 << bits) << low), [len(value)]))
+            step = np.diff(value, prepend=value[:1])
+            first = cut[:-1][np.diff(cut) > 0]
+            step[first] = value[first]
+            parts = [(k, step[a:b].tobytes(), n[a:b].tobytes()) for k, (a, b) in enumerate(zip(cut.tolist(), cut[1:].tolist(), strict=False)) if b > a]
+            return batch({c: (list(v), t) for c, v, t in zip(("bucket", "step", "n"), zip(*parts, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)})
+
+        for b in batches:
+            values = b.column("sketch").flatten().to_numpy(zero_copy_only=False)
+            if len(values):
+                held.append((values.view(np.uint64) >> np.uint64(24)).astype(np.int64))
+            if sum(map(len, held)) > per_bucket:
+                yield close()
+                held = []
+        if held:
+            yield close()
+
+    schema = "bucket int, value long, df long"
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, value, n = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def close() -> pa.RecordBatch:
+            often = n > max(least, total // longest)
+            return batch({"bucket": (np.full(often.sum(), at), pa.int32()), "value": (value[often], pa.int64()), "df": (n[often], pa.int64())})
+
+        for b in batches:
+            for bucket, step, counts in zip(*(b.column(c).to_pylist() for c in ("bucket", "step", "n")), strict=True):
+                if bucket != at:
+                    if at is not None:
+                        yield close()
+                    at, value, n = bucket, np.zeros(0, np.int64), np.zeros(0, np.int64)
+                value, place = np.unique(np.concatenate((value, np.cumsum(np.frombuffer(step, np.int64)))), return_inverse=True)
+                n = np.bincount(place, weights=np.concatenate((n, np.frombuffer(counts, np.int64)))).astype(np.int64)
+        if at is not None:
+            yield close()
+
+    counted = classes.select("sketch").mapInArrow(count, "bucket int, step binary, n binary")
+    often = counted.repartition(1 << bits, "bucket").sortWithinPartitions("bucket").mapInArrow(add, schema).toArrow()
     values, df = often.column("value").to_numpy(), often.column("df").to_numpy()
     order = np.argsort(values)
-    shared = spark.sparkContext.broadcast((values[order], df[order]))
+    return values[order], df[order]
+
+
+def _entries(classes: DataFrame, percent: int, k: int, floor: int, longest: int = 1_000_000, least: int = 32) -> DataFrame:
+    """value, cls, n, place: the prefix of each class's sketch under the global order.
+
+    Frequent are values of over ``least`` classes and more than one in ``longest`` of all values; the tasks get them, ``longest`` at most, by broadcast.
+    """
+    shared = classes.sparkSession.sparkContext.broadcast(_frequent(classes, longest, least))
     table = _least_needed(percent, k, floor)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,18 +216,17 @@ def _entries(classes: DataFrame, percent: int, k: int, floor: int, longest: int
             sizes = b.column("sketch").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             flat = b.column("sketch").flatten().to_numpy(zero_copy_only=False)
             owner = np.repeat(np.arange(len(sizes)), sizes)
-            at = np.minimum(np.searchsorted(values, flat), max(0, len(values) - 1))
-            rank = np.where(values[at] == flat, df[at], 0) if len(values) else np.zeros(len(flat), np.int64)
-            common = np.bincount(owner, weights=np.log1p(rank), minlength=len(sizes)) * 65536 // np.maximum(sizes, 1)
+            short = (flat.view(np.uint64) >> np.uint64(24)).astype(np.int64)
+            at = np.minimum(np.searchsorted(values, short), max(0, len(values) - 1))
+            rank = np.where(values[at] == short, df[at], 0) if len(values) else np.zeros(len(flat), np.int64)
             flat = flat[np.lexsort((flat, rank, owner))]
             n = b.column("n").to_numpy()
             prefix = sizes - table[np.minimum(n, len(table) - 1)] + 1
             place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             keep = place < prefix[owner]
-            own = pa.array(owner[keep])
-            yield batch({"value": (flat[keep], None), "cls": (b.column("cls").take(own), None), "n": (n[owner[keep]], pa.int64()), "place": (place[keep], pa.int32()), "common": (common[owner[keep]].astype(np.int32), None)})
+            yield batch({"value": (flat[keep], None), "cls": (b.column("cls").take(pa.array(owner[keep])), None), "n": (n[owner[keep]], pa.int32()), "place": (place[keep], pa.int32())})
 
-    return classes.select("cls", "n", "sketch").mapInArrow(run, "value long, cls long, n long, place int, common int")
+    return classes.select("cls", "n", "sketch").mapInArrow(run, "value long, cls long, n int, place int")
 
 
 class Sets:
@@ -177,9 +234,8 @@ class Sets:
 
     def __init__(self, docs: DataFrame, width: int, k: int, percent: int, share: float):
         self.docs, self.width, self.k, self.percent, self.floor = docs, width, k, percent, int(np.ceil(share * k))
-        self.marked = staged(sketches(docs, width, k))
         rep = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("rep")
-        grouped = self.marked.where("n > 0").groupBy("sign").agg(rep, F.count("*").alias("rows"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+        grouped = signs(docs, width, k).groupBy("sign").agg(rep, F.count("*").alias("rows"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
         # numbers of partition and row: fixed, as the table is written
         self.classes = staged(grouped.withColumn("cls", F.monotonically_increasing_id()))
 
@@ -199,9 +255,7 @@ class Sets:
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for piece in pieces(batches, "text", PIECE):
-                sets = shingle_sets(piece.column("text").to_pylist(), width)
-                at = pa.array(np.concatenate(([0], np.cumsum([len(s) for s in sets]))), pa.int32())
-                yield batch({"cls": (piece.column("cls"), None), "full": (pa.ListArray.from_arrays(at, pa.array(np.concatenate(sets))), None)})
+                yield batch({"cls": (piece.column("cls"), None), "full": (_lists(shingle_sets(piece.column("text").to_pylist(), width)), None)})
 
         # of repeated rows one
         return found.mapInArrow(run, "cls long, full array<bigint>").groupBy("cls").agg(F.first("full").alias("full"))
@@ -233,7 +287,7 @@ def links(sets: Sets, block: int = 4096) -> DataFrame:
     again = entries.groupBy("value").agg(F.count("*").alias("m")).where("m > 1").select("value")
     lists = staged(entries.join(again, "value"))
     drop_staged(entries)
-    hubs = lists.groupBy("value").agg(F.max(F.struct("common", "cls", "n", "place")).alias("hub")).select("value", *[F.col(f"hub.{c}").alias(f"{c}_h") for c in ("cls", "n", "place")])
+    hubs = lists.groupBy("value").agg(F.min(F.struct("place", "cls", "n")).alias("hub")).select("value", *[F.col(f"hub.{c}").alias(f"{c}_h") for c in ("cls", "n", "place")])
     named = lists.select("value", *[F.col(c).alias(f"{c}_m") for c in ("cls", "n", "place")])
     met = named.join(hubs, "value").where((F.col("cls_m") != F.col("cls_h")) & sets.near("_m", "_h"))
     first = staged(met.select(F.least("cls_m", "cls_h").alias("a"), F.greatest("cls_m", "cls_h").alias("b")).distinct())
@@ -259,8 +313,10 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, k: int =
     least = rooted.groupBy("root").agg(F.min("rep").alias("least")).select("root", F.col("least.doc_id").alias("component_id"))
     named = staged(rooted.join(least, "root").select("sign", "component_id", "rows"))
     drop_staged(rooted)
-    own = sets.marked.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return with_class(sets.marked.where("n > 0").select("doc_id", "n", "sign"), named, ["sign"], "rows").select("doc_id", "n", "component_id").unionByName(own)
+    # signs are made again, which costs less than keeping every row's sketch
+    marked = staged(signs(docs, width).select("doc_id", "n", "sign"))
+    met = with_class(marked, named, ["sign"], "rows")
+    return met.select("doc_id", F.col("n").cast("long").alias("n"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def digests(found: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ def same_columns(before, after):
 
 
 def test_names_and_repeated_ids(odd):
-    known, got = same_columns(odd, line_chunks.drop_repeated_chunks(odd, by_minimum=True))
+    known, got = same_columns(odd, line_chunks.drop_repeated_chunks(odd))
     assert got == known
     kept = simhash.drop_near_duplicates(odd)
     same_columns(odd, kept)

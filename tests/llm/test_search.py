@@ -140,62 +140,99 @@ def xx(*longs):
     return h
 
 
-def plain_chunks(text):
+def signed(h):
+    return h - (1 << 64) if h >> 63 else h
+
+
+def plain_chunks(text, least=2):
+    """Cuts behind local minima of the rolling hashes over two line hashes."""
     lines = (text or "").split("\n")
     hashes = [xxhash.xxh64_intdigest(x.encode(), 42) for x in lines]
+    rolling = [signed(xx(hashes[i - 1] if i else 0, hashes[i])) for i in range(len(lines))]
     out, start = [], 0
-    for i in range(1, len(lines) + 1):
-        if i == len(lines) or i >= 2 and xx(*hashes[i - 2 : i]) % 2 == 0:
-            out.append(lines[start:i])
-            start = i
+    for end in range(1, len(lines) + 1):
+        before, behind = rolling[max(0, end - least) : end - 1], rolling[end : end + least - 1]
+        least_here = all(rolling[end - 1] < x for x in before) and all(rolling[end - 1] <= x for x in behind)
+        if end == len(lines) or least <= end <= len(lines) - least and least_here:
+            out.append(lines[start:end])
+            start = end
     return out
 
 
-def test_line_chunks(spark):
-    dice = random.Random(5)
+def plain_removal(docs, least=2):
+    """(doc_id, removed chunks, remaining text) of each row: the first of equal chunks of two lines or more stays."""
+    hashed = lambda t: signed(xxhash.xxh64_intdigest(t.encode(), 42)) if t is not None else 42
+    seen, out = set(), []
+    for k in sorted(range(len(docs)), key=lambda k: (docs[k][0], hashed(docs[k][1]), k)):
+        kept, gone = [], 0
+        for c in plain_chunks(docs[k][1], least):
+            if len(c) >= least and tuple(c) in seen:
+                gone += 1
+            else:
+                kept += c
+            if len(c) >= least:
+                seen.add(tuple(c))
+        out.append((docs[k][0], gone, "\n".join(kept) if gone else docs[k][1]))
+    return sorted(out, key=str)
+
+
+def line_corpus(seed, n):
+    dice = random.Random(seed)
     shared = [[f"shared {k} {j}" for j in range(14)] for k in range(3)]
     docs = []
-    for i in range(60):
+    for i in range(n):
         lines = [f"own {i} {j}" for j in range(dice.randrange(0, 6))]
         if dice.random() < 0.6:
-            lines += shared[dice.randrange(3)]
+            block = shared[dice.randrange(3)]
+            lines += block[dice.randrange(4) : 14 - dice.randrange(4)]
         docs.append((i, "\n".join([*lines, *(f"tail {i} {j}" for j in range(dice.randrange(3)))])))
-    docs += [(100, None), (101, ""), (5, docs[5][1]), (102, "a\n\n\na\n\n\na"), (103, docs[7][1])]
-    seen, want = {}, []
-    signed = lambda h: h - (1 << 64) if h >> 63 else h
-    order = sorted(range(len(docs)), key=lambda k: (docs[k][0], signed(xxhash.xxh64_intdigest((docs[k][1] or "").encode(), 42)) if docs[k][1] is not None else 42, k))
-    for k in order:
-        kept, gone = [], 0
-        for c in plain_chunks(docs[k][1]):
-            if len(c) >= 2 and seen.setdefault(tuple(c), k) != k or len(c) >= 2 and (k, tuple(c)) in seen:
-                gone += 1
-            else:
-                kept += c
-            if len(c) >= 2:
-                seen[(k, tuple(c))] = 1
-        want.append((docs[k][0], gone, "\n".join(kept) if gone else docs[k][1]))
-    got = line_chunks.drop_repeated_chunks(spark.createDataFrame([(a, b, "x") for a, b in docs], "doc_id long, text string, n_chunks string"))
+    docs += [(1000, None), (1001, ""), (5, docs[5][1]), (1002, "a\n\n\na\n\n\na"), (1003, docs[7][1]), (1004, "a line"), (1005, "a line"), (5, docs[5][1]), (5, docs[6][1])]
+    return docs
+
+
+@pytest.mark.parametrize("least", [2, 3])
+def test_line_chunks(spark, least):
+    docs = line_corpus(5, 500)
+    got = line_chunks.drop_repeated_chunks(spark.createDataFrame([(a, b, "x") for a, b in docs], "doc_id long, text string, n_chunks string").repartition(3), least_lines=least)
     assert got.columns == ["doc_id", "text", "n_lines", "n_chunks", "removed_chunks", "removed_lines"]
     rows = sorted(((r.doc_id, r.removed_chunks, r.text) for r in got.collect()), key=str)
-    assert rows == sorted(want, key=str)
-    assert sum(r[1] for r in rows) > 30
+    assert rows == plain_removal(docs, least)
+    assert sum(r[1] for r in rows) > 300
     assert line_chunks.drop_repeated_chunks(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_line_chunks_that_share_a_hash(spark, monkeypatch):
+    monkeypatch.setattr(line_chunks, "hash_of", lambda c: line_chunks.F.pmod(line_chunks.F.xxhash64(c), line_chunks.F.lit(7)))
+    docs = line_corpus(6, 60)
+    got = line_chunks.drop_repeated_chunks(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted(((r.doc_id, r.removed_chunks, r.text) for r in got.collect()), key=str) == plain_removal(docs)
+
+
+def test_equal_rows_of_one_text_keep_it_once(spark):
+    """Thousands of equal rows, with maps and unlike columns beside them."""
+    text = "one line\nand another\nand a third\nand more"
+    rows = [(1, text, {"a": k % 3}, k % 2) for k in range(3000)] + [(2, text, None, 0)]
+    got = line_chunks.drop_repeated_chunks(spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>, k int"))
+    found = [(r.doc_id, tuple((r.m or {}).items()), r.k, r.text) for r in got.collect()]
+    assert sorted((str(x[:3]) for x in found)) == sorted(str((a, tuple((m or {}).items()), k)) for a, _, m, k in rows)
+    assert [t for *_, t in found if t] == [text] and next(x for x in found if x[3])[0] == 1
+
+
 def test_line_chunks_leave_nothing_of_a_copy(spark):
     dice = random.Random(8)
     texts = ["\n".join(f"line {i} {dice.random()}" for _ in range(n)) for i, n in enumerate([1, 2, 3, 4, 5, 9, 30] * 6)]
     passage = "\n".join(f"passage {j}" for j in range(40))
     docs = list(enumerate(texts)) + [(1000 + i, t) for i, t in enumerate(texts)] + [(2000 + k, f"a {k}\n{passage}\nb {k}\nc {k}") for k in range(5)] + [(3000, None), (3001, ""), (3002, ""), (3003, "\n")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    queries_cut = line_chunks.drop_repeated_chunks(df, by_minimum=True)
+    queries_cut = line_chunks.drop_repeated_chunks(df)
     by = {r.doc_id: r for r in queries_cut.collect()}
     assert len(by) == len(docs)
     for i, t in enumerate(texts):
-        assert by[i].text == t and by[1000 + i].text == "" and by[1000 + i].removed_lines == len(t.split("\n"))
+        n = t.count("\n") + 1
+        assert by[i].text == t and (by[1000 + i].text, by[1000 + i].removed_lines) == (("", n) if n > 1 else (t, 0))
     assert all(by[2000 + k].removed_lines >= 30 and f"a {k}" in by[2000 + k].text for k in range(1, 5)) and by[2000].removed_lines == 0
     assert by[3000].text is None and by[3000].removed_chunks == by[3002].removed_chunks == 0
-    cut = df.select("text", line_chunks.chunks_by_minimum(line_chunks.F.coalesce("text", line_chunks.F.lit(""))).alias("c")).collect()
+    cut = df.select("text", line_chunks.chunks_of(line_chunks.F.coalesce("text", line_chunks.F.lit(""))).alias("c")).collect()
     for r in cut:
         assert "\n".join(c.chunk for c in r.c) == (r.text or "") and sum(c.n_lines for c in r.c) == (r.text or "").count("\n") + 1
         assert len(r.c) == 1 or min(c.n_lines for c in r.c) >= 2
