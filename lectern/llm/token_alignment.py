@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -37,6 +38,10 @@ from lectern.llm.common import batch, drop_staged, pieces, ranges, staged, utf8
 TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text that are aligned at once, unless one text has more.
 PIECE = 1 << 20
+#: A space between two characters that are no white space.
+CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Parts of texts that a worker remembers at most; of their ids eight times as many.
+REMEMBERED = 400_000
 #: Links of a group beyond which it is expanded by its distinct ids.
 WIDE = 1 << 16
 FOUND = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<bigint>, times array<int>"
@@ -64,10 +69,62 @@ class Sides:
         self.length_a, self.length_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.bytes_a, self.bytes_b))
         # every id's text, followed by each of the three marks
         self.said = _objects([f"{i}{mark}" for i in range(max(self.size_a, self.size_b)) for mark in ",|;"])
-
-    def encode(self, texts: list[bytes]) -> tuple[list[list[int]], list[list[int]]]:
-        plain = [t.decode("utf-8", "replace") for t in texts]
-        return [e.ids for e in self.a.encode_batch_fast([f" {t}" for t in plain], add_special_tokens=False)], self.b.encode(plain, num_threads=1)
+        # whether no token of B spans a space behind another character, and no character is changed before encoding
+        probe = "ﬁ１Ǻ"
+        local = all("▁" not in self.b.id_to_piece(i).lstrip("▁") for i in range(self.size_b)) and b"".join(self.bytes_b[self.b.encode(probe)]) == f" {probe}".encode()
+        self.cut = CUT.split if local else lambda text: [text]
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        self.count = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        self.right = np.zeros(0, bool)
+
+    def plainly(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Both tokenizers' ids of each text behind a space."""
+        return [e.ids for e in self.a.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)], self.b.encode(texts, num_threads=1)
+
+    def learn(self, parts: list[str]) -> None:
+        """Encode parts that were not met before, and see whether their tokens spell them."""
+        right = np.ones(len(parts), bool)
+        for k, (lists, table) in enumerate(zip(self.plainly(parts), (self.bytes_a, self.bytes_b), strict=True)):
+            n = np.fromiter(map(len, lists), np.int64, len(lists))
+            ids = np.fromiter(chain.from_iterable(lists), np.int64, n.sum())
+            entries, at = table[ids].tolist(), np.concatenate(([0], np.cumsum(n))).tolist()
+            right &= np.fromiter((b"".join(entries[at[i] : at[i + 1]]) == b" " + p.encode() for i, p in enumerate(parts)), bool, len(parts))
+            self.flat[k], self.count[k] = np.concatenate((self.flat[k], ids)), np.concatenate((self.count[k], n))
+        self.known.update(zip(parts, range(len(self.known), len(self.known) + len(parts)), strict=True))
+        self.right = np.concatenate((self.right, right))
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """(whether both spell a text, for A and B all ids and how many each text has); a text that is not spelled has none.
+
+        No token spans a space between two other characters, so what stands between such spaces is encoded once, while a worker remembers it.
+        """
+        if len(self.known) > REMEMBERED or len(self.flat[0]) > 8 * REMEMBERED:
+            self.forget()
+        parts = [self.cut(t) if (t := _decoded(text)) else [] for text in texts]
+        new = set(chain.from_iterable(parts)).difference(self.known)
+        if new:
+            self.learn(sorted(new))
+        n = np.fromiter(map(len, parts), np.int64, len(parts))
+        place = np.fromiter(map(self.known.__getitem__, chain.from_iterable(parts)), np.int64, n.sum())
+        doc = np.repeat(np.arange(len(texts)), n)
+        spelled = (n > 0) & (np.bincount(doc, weights=~self.right[place], minlength=len(texts)) == 0)
+        place, doc = place[spelled[doc]], doc[spelled[doc]]
+        out = []
+        for flat, count in zip(self.flat, self.count, strict=True):
+            first = np.cumsum(count) - count
+            out.append((flat[ranges(first[place], count[place])], np.bincount(doc, weights=count[place], minlength=len(texts)).astype(np.int64)))
+        return spelled, out
+
+
+def _decoded(text: bytes) -> str | None:
+    try:
+        return text.decode()
+    except UnicodeDecodeError:  # no tokens spell it
+        return None
 
 
 def byte_characters() -> dict[str, int]:
@@ -104,20 +161,12 @@ class Aligned:
 
     def __init__(self, texts: list[bytes], both: Sides):
         self.both, self.n_docs = both, len(texts)
-        lists = both.encode(texts)
-        flat = [np.fromiter(chain.from_iterable(x), np.int64, sum(map(len, x))) for x in lists]
-        counts = [np.fromiter(map(len, x), np.int64, len(x)) for x in lists]
-        wanted = [b" " + t if t else b"" for t in texts]
-        spelled = np.fromiter(map(len, wanted), np.int64, len(wanted)) > 0
-        for ids, n, table in zip(flat, counts, (both.bytes_a, both.bytes_b), strict=True):
-            entries, at = table[ids].tolist(), np.concatenate(([0], np.cumsum(n))).tolist()
-            spelled &= np.fromiter((b"".join(entries[at[i] : at[i + 1]]) == w for i, w in enumerate(wanted)), bool, len(wanted))
-        size = np.where(spelled, np.fromiter(map(len, wanted), np.int64, len(wanted)), 0)
+        spelled, found = both.encode(texts)
+        size = np.where(spelled, np.fromiter(map(len, texts), np.int64, len(texts)) + 1, 0)
         base = np.cumsum(size) - size
         made = []
-        for side, (ids, n, lengths) in enumerate(zip(flat, counts, (both.length_a, both.length_b), strict=True)):
+        for side, ((ids, n), lengths) in enumerate(zip(found, (both.length_a, both.length_b), strict=True)):
             doc = np.repeat(np.arange(self.n_docs), n)
-            ids, doc = ids[spelled[doc]], doc[spelled[doc]]
             ends = np.cumsum(lengths[ids])  # the texts stand one behind the other
             made.append((ids, doc, ends - lengths[ids], ends, np.full(len(ids), side, np.int8)))
         ids, doc, starts, ends, side = (np.concatenate(x) for x in zip(*made, strict=True))

@@ -102,7 +102,7 @@ def test_near_copies_cost_rows_in_proportion(spark):
 
 def plain_alignment(rows):
     both = token_alignment.sides()
-    a, b = both.encode([(t or "").encode() for _, t in rows])
+    a, b = both.plainly([t or "" for _, t in rows])
     found, held = [], []
     for (d, text), x, y in zip(rows, a, b, strict=True):
         want = b" " + text.encode() if text else b""
