@@ -14,11 +14,12 @@ by the suffix's distribution. A position is scored in the state of the longest
 retained suffix of what stands before it.
 
 ``least`` is ``reach`` times the root of the training tokens: symbols and contexts
-grow with the corpus, as its root at most, and so does what is broadcast (at most
-``(depth + 1) * detail / reach`` times that root of listed runs). No run is lost: one
-of ``share`` of all positions has that share of some chunk of positions, so chunks name
-their own frequent contexts, then their frequent symbols behind any named context, and a
-third pass counts what was named over all texts.
+grow with the corpus, as its root at most, and so does what is collected and broadcast. No run is
+lost: chunks of positions name, with their counts, the runs that have ``NAMED`` of the cut's share in
+them, first contexts, then symbols behind any named context. What chunks leave unnamed of a run that reaches the cut
+is less than ``NAMED`` of the cut, so the run's named counts sum to the rest of the cut at least. Spark sums them, only runs that reach
+this rest leave the executors (``depth * detail / (1 - NAMED) / reach`` times the root at most, however small a chunk's
+share of the corpus is), and a third pass counts these over all texts.
 Texts are split once; the passes over runs read symbols.
 
 A text's words under ``hot_share`` travel as (row, word, count) to a join with the
@@ -46,6 +47,7 @@ from lectern.llm.common import LOWER, batch, id_remainder, pieces, staged, utf8
 
 END = b""  # no word is empty
 POOLED, ENDED = 0, 1  # symbols of the small classes and of the end
+NAMED = 0.75
 
 
 def count_words(train: DataFrame, hold: int = 300_000) -> DataFrame:
@@ -172,33 +174,33 @@ def _symbols(ids: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(ids, np.int32), (np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
 
 
-def _contexts(train: DataFrame, share: float, depth: int, chunk: int) -> DataFrame:
-    """key of every run of 2 to ``depth`` symbols that may have ``share`` of all positions and does not end a text."""
+def _contexts(train: DataFrame, least: float, total: int, depth: int, chunk: int) -> DataFrame:
+    """key of every run of 2 to ``depth`` symbols that may occur ``least`` times in ``total`` positions and does not end a text."""
 
     def name(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, place in _chunks(batches, chunk):
-            cut = share * len(ids)
+            cut = NAMED * least / total * len(ids)
             at, key = np.arange(len(ids)), _mix(0, ids)
             keep = (np.bincount(ids) >= cut)[ids] & (ids != ENDED)
             for m in range(2, depth + 1):
                 at, key = _longer(at[keep], key[keep], ids, place, m)
                 found, counts = np.unique(key, return_counts=True)
-                found = found[counts >= cut]
+                found, counts = found[counts >= cut], counts[counts >= cut]
                 if not len(found):
                     break
                 keep, _ = _find(found, key)
-                yield batch({"key": (found.view(np.int64), pa.int64())})
+                yield batch({"key": (found.view(np.int64), pa.int64()), "n": (counts, pa.int64())})
 
-    return train.mapInArrow(name, "key long").distinct()
+    return train.mapInArrow(name, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= (1 - NAMED) * least).select("key")
 
 
-def _candidates(train: DataFrame, shared, share: float, depth: int, chunk: int) -> DataFrame:
-    """Every symbol behind one of the shared contexts that may have ``share`` of all positions, as the run of both: key, m, last symbol, keys without the farthest and without the last symbol."""
+def _candidates(train: DataFrame, shared, least: float, total: int, depth: int, chunk: int) -> DataFrame:
+    """Every symbol behind one of the shared contexts that may occur ``least`` times in ``total`` positions, as the run of both: key, m, last symbol, keys without the farthest and without the last symbol."""
 
     def name(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         contexts = shared.value
         for ids, place in _chunks(batches, chunk):
-            cut = share * len(ids)
+            cut = NAMED * least / total * len(ids)
             at, key = np.arange(len(ids)), _mix(0, ids)
             keep, before = (np.bincount(ids) >= cut)[ids], _mix(0, ids[at - 1])
             for m in range(2, depth + 2):
@@ -209,19 +211,20 @@ def _candidates(train: DataFrame, shared, share: float, depth: int, chunk: int)
                 behind, _ = _find(contexts, before)
                 at, key, before = at[behind], key[behind], before[behind]
                 found, counts = np.unique(key, return_counts=True)
-                found = found[counts >= cut]
+                found, counts = found[counts >= cut], counts[counts >= cut]
                 if not len(found):
                     break
                 keep, which = _find(found, key)
                 example = np.zeros(len(found), np.int64)
                 example[which[keep]] = at[keep]
                 yield batch({
-                    "key": (found.view(np.int64), pa.int64()), "m": (np.full(len(found), m), pa.int32()), "last": (ids[example], pa.int32()),
+                    "key": (found.view(np.int64), pa.int64()), "n": (counts, pa.int64()), "m": (np.full(len(found), m), pa.int32()), "last": (ids[example], pa.int32()),
                     "suffix": (_key_of(ids, example, m - 1).view(np.int64), pa.int64()), "context": (_key_of(ids, example - 1, m - 1).view(np.int64), pa.int64()),
                 })
 
-    named = train.mapInArrow(name, "key long, m int, last int, suffix long, context long")
-    return named.groupBy("key").agg(*[F.first(c).alias(c) for c in ("m", "last", "suffix", "context")])
+    kept = ("m", "last", "suffix", "context")
+    named = train.mapInArrow(name, "key long, n long, m int, last int, suffix long, context long")
+    return named.groupBy("key").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in kept]).where(F.col("n") >= (1 - NAMED) * least).select("key", *kept)
 
 
 def _count_runs(train: DataFrame, shared, depth: int, chunk: int) -> DataFrame:
@@ -330,8 +333,8 @@ def learn(train: DataFrame, alphabet: Alphabet, least: float, depth: int = 4, de
     else:
         send = train.sparkSession.sparkContext.broadcast
         single = _mix(0, np.flatnonzero(np.array(alphabet.mass) >= least))
-        contexts = send(np.sort(np.concatenate((single, _arrays(_contexts(train, least / alphabet.total, depth, chunk))["key"].view(np.uint64)))))
-        named = _arrays(_candidates(train, contexts, listed / alphabet.total, depth, chunk))
+        contexts = send(np.sort(np.concatenate((single, _arrays(_contexts(train, least, alphabet.total, depth, chunk))["key"].view(np.uint64)))))
+        named = _arrays(_candidates(train, contexts, listed, alphabet.total, depth, chunk))
         shared = send(np.sort(named["key"].view(np.uint64)))
         counted = _arrays(_count_runs(train, shared, depth, chunk).where(F.col("n") >= listed))
         named = {c: v[np.argsort(named["key"].view(np.uint64))] for c, v in named.items()}

@@ -256,6 +256,21 @@ def test_suffix_tree_matches_plain_counting(spark, docs, chunk):
         assert abs(got[i] - w) < 1e-6 * max(1, -w)
 
 
+def test_few_runs_leave_the_executors_however_small_a_chunk(spark, docs):
+    """Chunks of a ten-thousandth of the least count's share name every run, as those of a corpus of billions of tokens do."""
+    counts = suffix_tree.staged(suffix_tree.count_words(docs))
+    a, least, _ = suffix_tree.alphabet_of(counts)
+    found = suffix_tree.staged(suffix_tree.encode(docs, F.lit(True), spark.sparkContext.broadcast(a))).select("ids", "n_tokens")
+    chunk, listed = 500, least / 16
+    assert suffix_tree.NAMED * least / a.total * chunk < 1.5
+    contexts = suffix_tree._contexts(found, least, a.total, 4, chunk).toPandas().key.to_numpy().astype("uint64")
+    assert 0 < len(contexts) <= 3 * a.total / ((1 - suffix_tree.NAMED) * least)
+    shared = spark.sparkContext.broadcast(np.sort(np.concatenate((suffix_tree._mix(0, np.flatnonzero(np.array(a.mass) >= least)), contexts))))
+    named = suffix_tree._candidates(found, shared, listed, a.total, 4, chunk).count()
+    every = len({tuple(x[max(0, i - m) : i + 1]) for r in found.collect() for x in [np.frombuffer(r.ids, np.int32).tolist()] for i in range(len(x)) for m in range(1, 5)})
+    assert 0 < named <= 4 * a.total / ((1 - suffix_tree.NAMED) * listed) and named < every / 10
+
+
 def test_suffix_tree_is_a_distribution(spark, docs):
     train = docs.limit(60)
     counts = suffix_tree.staged(suffix_tree.count_words(train))
