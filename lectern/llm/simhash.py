@@ -36,40 +36,71 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import LOWER, batch, columns_of, pieces, row_of, staged, utf8, with_class
+from lectern.llm.common import LOWER, batch, columns_of, drop_staged, pieces, row_of, staged, utf8, with_class
 from lectern.llm.components import connected
 
 HALF = 0xFFFFFFFF
 
 
-def fingerprint(text: bytes, width: int = 3) -> int:
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """The hash of each shingle of a text, in order."""
     words = text.translate(LOWER).split()
-    if not words:
-        return 0
     line = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     if len(words) <= width:
-        return digest(line, 42)
+        return np.array([digest(line, 42)] if words else [], "<u8")
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate(([0], ends[:-width])).tolist()
-    h = np.array([digest(line[a:b], 42) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)], "<u8")
+    return np.array([digest(line[a:b], 42) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)], "<u8")
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    if not len(h):
+        return 0
     counts = np.zeros(64, np.int64)
     for i in range(0, len(h), 4096):
         counts += np.unpackbits(h[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(counts * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3, hashed: bool = False) -> DataFrame:
-    """doc_id, fp (the 64 bits as a long) of every row; ``hashed``: also text_hash."""
-    own = ["doc_id", "text_hash"] if hashed else ["doc_id"]
+def fingerprint(text: bytes, width: int = 3) -> int:
+    return majority(shingle_hashes(text, width))
+
+
+def several(text: bytes, width: int, tables: int) -> list[int]:
+    """The fingerprint, and those of the same shingles under ``tables`` - 1 other hash functions."""
+    h = shingle_hashes(text, width)
+    out = [majority(h)]
+    for k in range(1, tables):
+        mixed = h * np.uint64(0x9E3779B97F4A7C15 + 2 * k)
+        mixed = (mixed ^ mixed >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+        out.append(majority(mixed ^ mixed >> np.uint64(29)))
+    return out
+
+
+def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
+    """doc_id, fp (the 64 bits as a long) of every row."""
 
     def compute(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text"):
             values = np.array([fingerprint(t, width) for t in piece.column("text").to_pylist()], np.uint64)
-            yield batch({c: (piece.column(c), None) for c in own} | {"fp": (values.view(np.int64), pa.int64())})
+            yield batch({"doc_id": (piece.column("doc_id"), None), "fp": (values.view(np.int64), pa.int64())})
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")).mapInArrow(compute, "doc_id long, fp long")
+
+
+def fingerprint_tables(docs: DataFrame, width: int, tables: int) -> DataFrame:
+    """doc_id, text_hash, f0, f1, ...: ``tables`` fingerprints of every row."""
+    names = [f"f{k}" for k in range(tables)]
+
+    def compute(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, "text"):
+            values = np.array([several(t, width, tables) for t in piece.column("text").to_pylist()], np.uint64).reshape(-1, tables).view(np.int64)
+            yield batch({c: (piece.column(c), None) for c in ("doc_id", "text_hash")} | {c: (np.ascontiguousarray(values[:, k]), pa.int64()) for k, c in enumerate(names)})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), utf8().alias("text"))
-    return rows.select(*own, "text").mapInArrow(compute, ", ".join(f"{c} long" for c in [*own, "fp"]))
+    return rows.mapInArrow(compute, ", ".join(f"{c} long" for c in ["doc_id", "text_hash", *names]))
 
 
 def links(distinct: DataFrame, small: int = 64) -> DataFrame:
@@ -120,15 +151,41 @@ def digests(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, width: int = 3, small: int = 64) -> DataFrame:
+def _rooted_tables(classes: DataFrame, tables: int, small: int) -> DataFrame:
+    """node, root of the rows of ``classes(node, f0, f1, ...)`` that are linked to others, within two bits in one table at least."""
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edges, held = None, []
+    for k in range(tables):
+        own = classes.select("node", F.col(f"f{k}").alias("fp"))
+        first = staged(own.groupBy("fp").agg(F.min("node").alias("first")))
+        same = own.join(first, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+        side = lambda c: first.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_first"))  # noqa: B023, E731
+        across = links(first.select("fp").repartition(parts, "fp"), small).join(side("a"), "a").join(side("b"), "b")
+        found = staged(same.unionByName(across.select(F.least("a_first", "b_first").alias("a"), F.greatest("a_first", "b_first").alias("b"))))
+        drop_staged(first)
+        held.append(found)
+        edges = found if edges is None else edges.unionByName(found)
+    out = staged(connected(edges.distinct()))
+    for table in held:
+        drop_staged(table)
+    return out
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 2, tables: int = 8, small: int = 64) -> DataFrame:
     """``docs`` with one row of each component: of the smallest id (null last), then the smallest text hash; of rows equal in both, one.
 
+    Links are within two bits of 64 in one of ``tables`` fingerprints under as many hash functions: a near copy that one function sets apart is met by another.
+
     Rows are kept by a join on id and text hash. Only of ids and texts that occur several
     times one row has to be chosen, by an aggregation that each task begins with its own rows.
     """
-    marked = staged(fingerprints(docs, width, hashed=True))
-    classes = staged(marked.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("least")))
-    kept = _rooted(classes, small).groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("k_id"), F.col("least.text_hash").alias("k_hash"))
+    marked = staged(fingerprint_tables(docs, width, tables))
+    names = [f"f{k}" for k in range(tables)]
+    grouped = marked.groupBy(*names).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("least"))
+    # numbers of partition and row: fixed, as the table is written
+    classes = staged(grouped.withColumn("node", F.monotonically_increasing_id()))
+    rooted = classes.join(_rooted_tables(classes, tables, small), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    kept = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("k_id"), F.col("least.text_hash").alias("k_hash"))
     often = marked.groupBy(F.col("doc_id").alias("r_id"), F.col("text_hash").alias("r_hash")).agg(F.count("*").alias("rows")).where("rows > 1")
     counted = staged(kept.join(often, F.col("k_id").eqNullSafe(F.col("r_id")) & (F.col("k_hash") == F.col("r_hash")), "left").select("k_id", "k_hash", F.col("rows").isNotNull().alias("again")))
     given = docs.select(row_of(docs), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"))
