@@ -9,8 +9,8 @@ search and look-ups.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -59,38 +59,65 @@ def terms(text: str | None) -> list[str]:
     return [t for t in map(_terms.__getitem__, RAW.findall((text or "").lower())) if t]
 
 
-def analyzer(words: Words) -> Callable[[Column | str], Column]:
-    """A column function, array of terms in order, of a plain function of a text, which ``.words`` keeps."""
+def analyzer(words: Words, placed: Callable[[str | None], list[tuple[str, int]]] | None = None) -> Callable[[Column | str], Column]:
+    """A column function, array of terms in order, of a plain function of a text, which ``.words`` keeps.
+
+    ``placed`` gives terms with their positions, where these are not the terms' own numbers; ``.placed`` keeps it.
+    """
 
     def tokens(c: Column | str) -> Column:
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for texts in batches:
-                yield texts.map(words)
+                yield pd.Series(list(map(words, texts)), index=texts.index, dtype=object)
 
         return F.pandas_udf(run, "array<string>")(F.col(c) if isinstance(c, str) else c)
 
-    tokens.words = words
+    tokens.words, tokens.placed = words, placed
     return tokens
 
 
 tokenize = analyzer(terms)
 
 _TERM = pa.struct([("word", pa.string()), ("tf", pa.int32())])
+COUNTED = "token_count int, terms array<struct<word:string,tf:int>>, gaps array<array<int>>"
+
 
+def counted(rows: DataFrame, words: Words, placed: Callable[[str | None], list[tuple[str, int]]] | None = None) -> DataFrame:
+    """chunk_id, token_count, terms array<struct<word, tf>>, gaps of ``rows(chunk_id, text)``. No shuffle.
 
-def counted(rows: DataFrame, words: Words) -> DataFrame:
-    """chunk_id, token_count, terms array<struct<word, tf>> of ``rows(chunk_id, text)``. No shuffle."""
+    ``gaps`` has, for each of the terms, its first position and the distances from one to the next.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [Counter(words(text)) for text in b.column("text").to_pylist()]
-            offsets = [0]
-            for c in found:
-                offsets.append(offsets[-1] + len(c))
-            pairs = pa.StructArray.from_arrays([pa.array([w for c in found for w in c], pa.string()), pa.array([n for c in found for n in c.values()], pa.int32())], fields=list(_TERM))
-            yield pa.RecordBatch.from_arrays([b.column("chunk_id"), pa.array([c.total() for c in found], pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)], names=["chunk_id", "token_count", "terms"])
-
-    schema = T.StructType([rows.schema["chunk_id"], *T._parse_datatype_string("token_count int, terms array<struct<word:string,tf:int>>").fields])
+            texts = b.column("text").to_pylist()
+            if placed is None:
+                found = list(map(words, texts))
+                sizes = np.fromiter(map(len, found), np.int64, len(found))
+                place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                said = list(chain.from_iterable(found))
+            else:
+                pairs = list(map(placed, texts))
+                sizes = np.fromiter(map(len, pairs), np.int64, len(pairs))
+                said = [w for p in pairs for w, _ in p]
+                place = np.fromiter((x for p in pairs for _, x in p), np.int64, len(said))
+            codes = pa.array(said, pa.string()).dictionary_encode()
+            word = codes.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((place, word, owner))
+            word, owner, place = word[order], owner[order], place[order]
+            first = np.ones(len(word), bool)
+            first[1:] = (word[1:] != word[:-1]) | (owner[1:] != owner[:-1])
+            at = np.flatnonzero(first)
+            gap = np.diff(place, prepend=0)
+            gap[at] = place[at]
+            runs = np.append(at, len(word))
+            per_text = pa.array(np.searchsorted(owner[at], np.arange(len(sizes) + 1)), pa.int32())
+            term = pa.StructArray.from_arrays([codes.dictionary.take(pa.array(word[at])), pa.array(np.diff(runs), pa.int32())], fields=list(_TERM))
+            gaps = pa.ListArray.from_arrays(pa.array(runs, pa.int32()), pa.array(gap, pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column("chunk_id"), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(per_text, term), pa.ListArray.from_arrays(per_text, gaps)], names=["chunk_id", "token_count", "terms", "gaps"])
+
+    schema = T.StructType([rows.schema["chunk_id"], *T._parse_datatype_string(COUNTED).fields])
     return rows.select("chunk_id", "text").mapInArrow(run, schema)
 
 

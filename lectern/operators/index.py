@@ -3,7 +3,9 @@
 A chunk's term counts are made within its row, before any row is exploded, so
 postings need no shuffle: by a helper that counts the analyzer's plain function, if
 it has one, else by built-in expressions. Document frequencies are one map-side combined
-aggregation. Postings carry their chunk's length, which saves scoring a join.
+aggregation. Postings carry their chunk's length, which saves scoring a join. Positions lie
+beside the counts, as distances, in a column that only phrases and cover density read.
+``impact_blocks`` deals postings to ranges of chunks, with the best weight of each, for scoring that skips.
 """
 
 from __future__ import annotations
@@ -24,24 +26,33 @@ def analyzed(chunks: DataFrame, analyzer: Analyzer = tokenize, id_col: str = "id
 
 
 def term_counts(chunks: DataFrame, analyzer: Analyzer = tokenize, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """chunk_id, token_count, terms array<struct<word, tf>> of every chunk, without a shuffle.
+    """chunk_id, token_count, terms array<struct<word, tf>>, gaps (each term's first position and the distances between its positions) of every chunk, without a shuffle.
 
-    An analyzer of built-in expressions: the tokens of a chunk are sorted; a term's count is the distance between the
+    An analyzer of built-in expressions: the tokens of a chunk are sorted with their places; a term's count is the distance between the
     places where it starts and where the next one does. Arrays that are needed
     more than once are bound as the element of a one-element array.
     """
 
     words = getattr(analyzer, "words", None)
     if words is not None:
-        return counted(chunks.select(F.col(id_col).alias("chunk_id"), F.col(text_col).alias("text")), words)
+        return counted(chunks.select(F.col(id_col).alias("chunk_id"), F.col(text_col).alias("text")), words, getattr(analyzer, "placed", None))
+
+    bind = lambda value, body: F.flatten(F.transform(F.array(value), body))
 
     def runs(t: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1)))
-        return F.flatten(F.transform(F.array(starts), lambda s: F.transform(s, lambda i, k: F.struct(F.get(t, i).alias("word"), (F.coalesce(F.get(s, k + 1), F.size(t)) - i).alias("tf")))))
+        starts = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (F.get(t, i)["w"] != F.get(t, i - 1)["w"]))
+
+        def run(s: Column, i: Column, k: Column) -> Column:
+            n = F.coalesce(F.get(s, k + 1), F.size(t)) - i
+            gaps = F.transform(F.sequence(i, i + n - 1), lambda x: F.get(t, x)["i"] - F.when(x == i, 0).otherwise(F.get(t, x - 1)["i"]))
+            return F.struct(F.get(t, i)["w"].alias("word"), n.alias("tf"), gaps.alias("gaps"))
+
+        return bind(starts, lambda s: F.transform(s, lambda i, k: run(s, i, k)))
 
-    rows = analyzed(chunks, analyzer, id_col, text_col).select("chunk_id", F.array_sort("tokens").alias("t"))
-    none = F.array().cast("array<struct<word:string,tf:int>>")
-    return rows.select("chunk_id", F.greatest(F.size("t"), F.lit(0)).alias("token_count"), F.when(F.size("t") > 0, F.flatten(F.transform(F.array("t"), runs))).otherwise(none).alias("terms"))
+    rows = analyzed(chunks, analyzer, id_col, text_col).select("chunk_id", F.array_sort(F.transform("tokens", lambda w, i: F.struct(w.alias("w"), i.alias("i")))).alias("t"))
+    none = F.array().cast("array<struct<word:string,tf:int,gaps:array<int>>>")
+    found = rows.select("chunk_id", F.greatest(F.size("t"), F.lit(0)).alias("token_count"), F.when(F.size("t") > 0, bind(F.col("t"), runs)).otherwise(none).alias("r"))
+    return found.select("chunk_id", "token_count", F.transform("r", lambda x: F.struct(x["word"].alias("word"), x["tf"].alias("tf"))).alias("terms"), F.col("r.gaps").alias("gaps"))
 
 
 def chunk_terms(chunks: DataFrame, analyzer: Analyzer = tokenize, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -53,6 +64,25 @@ def _postings(counted: DataFrame) -> DataFrame:
     return counted.select("chunk_id", F.inline("terms"), "token_count").select("chunk_id", "word", "tf", "token_count")
 
 
+def _places(counted: DataFrame) -> DataFrame:
+    """chunk_id, word, gaps."""
+    return counted.select("chunk_id", F.inline(F.arrays_zip("terms", "gaps"))).select("chunk_id", "terms.word", "gaps")
+
+
+def impact_blocks(index: dict[str, DataFrame], size: int = 128, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """word, range, best, postings array<struct<chunk_id, tf, token_count>>: the postings of a word in a range of chunks, with the best of their weights.
+
+    A range is about ``size`` chunks, by a hash of their id, so a row holds few postings, and one of a word that all chunks hold no more than others.
+    Written in the order of words, so that a scan for some words skips the others' row groups.
+    """
+    stats = index["stats"].select(F.col("chunk_count").alias("n"), F.greatest("avg_len", F.lit(1.0)).alias("avg_len"))
+    rows = index["terms"].crossJoin(F.broadcast(stats))
+    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("token_count") / F.col("avg_len")))
+    rows = rows.select("word", F.pmod(F.xxhash64("chunk_id"), F.ceil(F.col("n") / size)).alias("range"), weight.alias("weight"), F.struct("chunk_id", "tf", "token_count").alias("posting"))
+    blocks = rows.groupBy("word", "range").agg(F.max("weight").alias("best"), F.collect_list("posting").alias("postings"))
+    return staged(blocks.repartitionByRange("word", "range").sortWithinPartitions("word", "range"))
+
+
 def token_count(chunks: DataFrame, analyzer: Analyzer = tokenize, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """chunk_id, token_count; 0 for a chunk without terms. No shuffle."""
     if getattr(analyzer, "words", None) is not None:
@@ -71,10 +101,10 @@ def corpus_stats(counts: DataFrame) -> DataFrame:
 
 
 def build_index(chunks: DataFrame, analyzer: Analyzer = tokenize, id_col: str = "id", text_col: str = "text") -> dict[str, DataFrame]:
-    """terms, lexemes, stats. The analysis is written to the shared folder once; the tables are read from it."""
+    """terms, places, lexemes, stats. The analysis is written to the shared folder once; the tables are read from it."""
     counted = staged(term_counts(chunks, analyzer, id_col, text_col))
     terms = _postings(counted)
-    return {"terms": terms, "lexemes": lexeme_stats(terms), "stats": corpus_stats(counted.select("chunk_id", "token_count"))}
+    return {"terms": terms, "places": _places(counted), "lexemes": lexeme_stats(terms), "stats": corpus_stats(counted.select("chunk_id", "token_count"))}
 
 
 def refresh_stats(old_terms: DataFrame, old_lexemes: DataFrame, old_counts: DataFrame, new_chunks: DataFrame, replaced: DataFrame, analyzer: Analyzer = tokenize) -> dict[str, DataFrame]:

@@ -69,6 +69,54 @@ def bm25(queries: DataFrame, index: dict[str, DataFrame], limit: int = PER_ARM,
     return limit_per_query(bm25_scores(queries, index, **options).select("query_id", "chunk_id", "raw"), limit)
 
 
+def weighted_terms(queries: DataFrame, index: dict[str, DataFrame], analyzer: Analyzer = tokenize, distinct_terms: bool = True) -> DataFrame:
+    """query_id, word, weight: what a posting's own weight is multiplied with, of the questions' words that the index holds."""
+    terms = query_terms(queries, analyzer, distinct_terms)
+    known = index["lexemes"].join(_small(terms.select("word").distinct()), "word", "left_semi")
+    n = F.broadcast(index["stats"].select(F.col("chunk_count").cast("double").alias("n")))
+    idf = F.log(1 + (F.col("n") - F.col("ndoc") + 0.5) / (F.col("ndoc") + 0.5))
+    return terms.join(_small(known), "word").crossJoin(n).select("query_id", "word", (F.col("qtf") * idf).alias("weight"))
+
+
+def range_bounds(terms: DataFrame, blocks: DataFrame) -> DataFrame:
+    """query_id, range, bound: no chunk of the range scores more. Reads no posting."""
+    return blocks.select("word", "range", "best").join(_small(terms), "word").groupBy("query_id", "range").agg(F.sum(F.col("weight") * F.col("best")).alias("bound"))
+
+
+def _score_ranges(chosen: DataFrame, terms: DataFrame, index: dict[str, DataFrame], blocks: DataFrame, k1: float, b: float) -> DataFrame:
+    """query_id, range, chunk_id, raw of every chunk of the ranges ``chosen(query_id, range)`` that holds a term."""
+    stats = F.broadcast(index["stats"].select(F.greatest("avg_len", F.lit(1.0)).alias("avg_len")))
+    asked = chosen.select("query_id", "range").join(_small(terms), "query_id")
+    hits = blocks.join(_small(asked), ["word", "range"]).select("query_id", "range", "weight", F.inline("postings")).crossJoin(stats)
+    own = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("token_count") / F.col("avg_len")))
+    return hits.groupBy("query_id", "range", "chunk_id").agg(F.sum(F.col("weight") * own).alias("raw"))
+
+
+def ranges_to_score(bounds: DataFrame, first: DataFrame, limit: int) -> DataFrame:
+    """The ranges, beside those of ``first``'s scored chunks, whose bound reaches the question's threshold: its ``limit``-th best score in ``first``.
+
+    Rankings compare nine decimals, so a bound counts as reached within a millionth.
+    """
+    order = Window.partitionBy("query_id").orderBy(F.desc("raw"))
+    threshold = first.withColumn("n", F.row_number().over(order)).where(F.col("n") == limit).select("query_id", F.col("raw").alias("threshold"))
+    rest = bounds.join(first.select("query_id", "range").distinct(), ["query_id", "range"], "left_anti").join(threshold, "query_id", "left")
+    return rest.where(F.col("threshold").isNull() | (F.col("bound") + 1e-6 >= F.col("threshold"))).select("query_id", "range")
+
+
+def bm25_by_blocks(queries: DataFrame, index: dict[str, DataFrame], blocks: DataFrame, limit: int = PER_ARM, seeds: int = 16, k1: float = K1, b: float = B, analyzer: Analyzer = tokenize, distinct_terms: bool = True) -> DataFrame:
+    """``bm25`` over ``index.impact_blocks``, skipping the postings of ranges that can't reach a question's best ``limit``.
+
+    A question's ``seeds`` ranges of the highest bounds are scored first; its ``limit``-th best score there is the threshold. ``k1`` and ``b`` are those that the blocks were made with.
+    """
+    terms = staged(weighted_terms(queries, index, analyzer, distinct_terms))
+    bounds = staged(range_bounds(terms, blocks))
+    order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "range")
+    seeded = bounds.withColumn("n", F.row_number().over(order)).where(F.col("n") <= seeds)
+    first = staged(_score_ranges(seeded, terms, index, blocks, k1, b))
+    rest = _score_ranges(staged(ranges_to_score(bounds, first, limit)), terms, index, blocks, k1, b)
+    return limit_per_query(first.unionByName(rest).select("query_id", "chunk_id", "raw"), limit)
+
+
 TOKEN = re.compile(r'(-?)"([^"]*)"?|(\S+)')
 
 
@@ -111,12 +159,58 @@ def cover_density(positions: list[list[int]]) -> float:
     return total
 
 
-def all_terms_match(queries: DataFrame, chunks: DataFrame, limit: int = PER_ARM, analyzer: Analyzer = tokenize, id_col: str = "id", text_col: str = "text") -> DataFrame:
+def _spans(row: np.ndarray, term: np.ndarray, place: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Cover density of many chunks at once: ``place`` holds a place of the ``term``-th of the row's ``need`` terms.
+
+    At each place, the terms' last places so far are running maxima; where all terms were met, the least of them starts a span that ends here.
+    A start counts with its first end.
+    """
+    order = np.lexsort((term, place, row))
+    row, term, place = row[order], term[order], place[order]
+    base = row * ((1 << 32) + 1)  # runs over into no other row
+    start = np.full(len(row), np.iinfo(np.int64).max)
+    for k in range(int(need.max(initial=0))):
+        last = np.maximum.accumulate(np.where(term == k, base + place + 1, base)) - base
+        start = np.where(k < need[row], np.minimum(start, last), start)
+    whole = np.flatnonzero(start > 0)
+    row, start, end = row[whole], start[whole], place[whole] + 1
+    first = np.ones(len(row), bool)
+    first[1:] = (row[1:] != row[:-1]) | (start[1:] != start[:-1])
+    return np.bincount(row[first], 1.0 / (end[first] - start[first] + 1), len(need))
+
+
+def _cover(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """query_id, chunk_id, raw of the chunks that hold all that is wanted and nothing that is not, from their positions."""
+    for b in batches:
+        rows, terms, places, need = [], [], [], np.zeros(b.num_rows, np.int64)
+        for i, (held, want, lack) in enumerate(zip(*(b.column(c).to_pylist() for c in ("held", "want", "lack")), strict=True)):
+            at = {h["word"]: np.cumsum(h["gaps"]) for h in held}
+
+            def starts(phrase: list[str]) -> np.ndarray:
+                """Where a phrase begins: its words' places, each moved back by the word's number, met in all."""
+                found = at.get(phrase[0], np.zeros(0, np.int64))  # noqa: B023
+                for k, word in enumerate(phrase[1:], 1):
+                    found = np.intersect1d(found, at.get(word, np.zeros(0, np.int64)) - k, assume_unique=True)  # noqa: B023
+                return found
+
+            found = [starts(p) for p in want]
+            if all(map(len, found)) and not any(len(starts(p)) for p in lack):
+                need[i] = len(want)
+                rows += [np.full(len(x), i) for x in found]
+                terms += [np.full(len(x), k) for k, x in enumerate(found)]
+                places += found
+        if rows:
+            raw = _spans(np.concatenate(rows), np.concatenate(terms), np.concatenate(places), need)
+            keep = pa.array(need > 0)
+            yield pa.RecordBatch.from_arrays([b.column("query_id").filter(keep), b.column("chunk_id").filter(keep), pa.array(raw[need > 0])], names=["query_id", "chunk_id", "raw"])
+
+
+def all_terms_match(queries: DataFrame, index: dict[str, DataFrame], limit: int = PER_ARM, analyzer: Analyzer = tokenize) -> DataFrame:
     """Chunks that satisfy a question in web-search syntax (all words, "phrases",
-    ``or``, ``-word``), ranked by cover density.
+    ``or``, ``-word``), ranked by cover density, from the index alone; only questions are analysed.
 
-    Rows of candidates come from a join on one needed word of each alternative,
-    the rarest; a helper then tests positions. Alternatives of lacks alone match nothing.
+    An alternative's candidates hold its rarest word. For these, and for its other words, positions are looked
+    up by chunk and word; phrases are intersections of shifted positions. Alternatives of lacks alone match nothing.
     """
 
     @F.pandas_udf("array<struct<want:array<string>,lack:array<string>>>")
@@ -129,36 +223,21 @@ def all_terms_match(queries: DataFrame, chunks: DataFrame, limit: int = PER_ARM,
     # a phrase that is said twice is one condition
     alternatives = said.groupBy("query_id", "alt").agg(F.sort_array(F.collect_set(F.when(F.col("wanted"), F.col("terms")))).alias("want"), F.sort_array(F.collect_set(F.when(~F.col("wanted"), F.col("terms")))).alias("lack")).where(F.size("want") > 0)
     alternatives = staged(alternatives)
-    texts = chunks.select(F.col(id_col).alias("chunk_id"), F.col(text_col).alias("text"))
-    words = alternatives.select("query_id", "alt", F.explode(F.array_distinct(F.flatten("want"))).alias("word"))
-    wanted = _small(words.select("word").distinct())
-    # of the chunks' terms only those of the questions are kept
-    postings = staged(texts.select("chunk_id", F.explode(F.array_distinct(analyzer(F.col("text")))).alias("word")).join(wanted, "word"))
-    # an alternative's candidates hold its rarest word; a word that no chunk holds leaves none
-    df = postings.groupBy("word").agg(F.count("*").alias("n"))
-    key = staged(words.join(df, "word", "left").groupBy("query_id", "alt").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("k")).where("k.n > 0").select("query_id", "alt", F.col("k.word").alias("word")))
-    pairs = staged(postings.join(_small(key), "word").select("query_id", "alt", "chunk_id"))
-    tokens = texts.join(_small(pairs.select("chunk_id").distinct()), "chunk_id", "left_semi").select("chunk_id", analyzer(F.col("text")).alias("tokens"))
-    full = pairs.join(_small(alternatives), ["query_id", "alt"]).join(tokens, "chunk_id")
-
-    @F.pandas_udf("double")
-    def rank(have, want, lack):
-        out = []
-        for t, w, no in zip(have, want, lack, strict=True):
-            t = list(t)
-            where: dict[str, list[int]] = {}
-            for i, x in enumerate(t):
-                where.setdefault(x, []).append(i)
-
-            def starts(p):
-                p = list(p)
-                return [i for i in where.get(p[0], []) if t[i : i + len(p)] == p]  # noqa: B023
-
-            held = [starts(p) for p in w]
-            out.append(0.0 if any(starts(p) for p in no) else cover_density(held))
-        return type(have)(out, dtype="float64")
-
-    scored = full.select("query_id", "chunk_id", rank("tokens", "want", "lack").alias("raw")).where("raw > 0")
+    wanted = F.array_distinct(F.flatten("want"))
+    words = alternatives.select("query_id", "alt", wanted.alias("w"), F.explode(F.array_distinct(F.concat(wanted, F.flatten("lack")))).alias("word")).select("query_id", "alt", "word", F.array_contains("w", F.col("word")).alias("wanted"), F.size("w").alias("need"))
+    words = staged(words)
+    df = index["lexemes"].join(_small(words.select("word").distinct()), "word", "left_semi")
+    # a wanted word that no chunk holds leaves no candidates
+    key = words.where("wanted").join(_small(df), "word", "left").groupBy("query_id", "alt").agg(F.min(F.struct(F.coalesce("ndoc", F.lit(0)).alias("n"), "word")).alias("k")).where("k.n > 0").select("query_id", "alt", F.col("k.word").alias("word"))
+    pairs = index["terms"].select("chunk_id", "word").join(_small(staged(key)), "word").select("query_id", "alt", "chunk_id")
+    asked = pairs.join(_small(words), ["query_id", "alt"])
+    asked = staged(asked)
+    # equal look-ups of several questions are one
+    found = index["places"].join(_small(words.select("word").distinct()), "word", "left_semi").join(_small(asked.select("chunk_id", "word").distinct()), ["chunk_id", "word"], "left_semi")
+    met = asked.join(found, ["chunk_id", "word"]).groupBy("query_id", "alt", "chunk_id").agg(F.collect_list(F.struct("word", "gaps")).alias("held"), F.sum(F.col("wanted").cast("int")).alias("n"), F.first("need").alias("need"))
+    full = met.where("n = need").join(_small(alternatives), ["query_id", "alt"]).select("query_id", "chunk_id", "held", "want", "lack")
+    kinds = {c: dict(full.dtypes)[c] for c in ("query_id", "chunk_id")}
+    scored = full.mapInArrow(_cover, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, raw double")
     return limit_per_query(scored.groupBy("query_id", "chunk_id").agg(F.max("raw").alias("raw")), limit)
 
 
@@ -261,15 +340,15 @@ def fuse_hits(keyword: DataFrame, semantic: DataFrame, chunks: DataFrame, docume
     return late.join(documents.drop("source_type"), "doc_id")
 
 
-def lexical(queries: DataFrame, index: dict[str, DataFrame], chunks: DataFrame, analyzer: Analyzer = tokenize, limit: int = PER_ARM) -> DataFrame:
-    """BM25 and all terms of the same questions over ``chunks(id, text)`` and their index, as one vote."""
-    return keyword_rank(bm25(queries, index, limit, analyzer=analyzer), all_terms_match(queries, chunks, limit, analyzer))
+def lexical(queries: DataFrame, index: dict[str, DataFrame], analyzer: Analyzer = tokenize, limit: int = PER_ARM) -> DataFrame:
+    """BM25 and all terms of the same questions over an index, as one vote."""
+    return keyword_rank(bm25(queries, index, limit, analyzer=analyzer), all_terms_match(queries, index, limit, analyzer))
 
 
 def retrieve(queries: DataFrame, query_vecs: DataFrame | None, index: dict[str, DataFrame], chunks: DataFrame, documents: DataFrame, analyzer: Analyzer = tokenize, per_arm: int = PER_ARM, **options) -> DataFrame:
     """The whole of hybrid retrieval: ``queries(query_id, text)`` by BM25, by all their terms and, where
     ``query_vecs(query_id, embedding)`` has their vector, by cosine, over ``chunks(id, doc_id, text, embedding, ...)``."""
-    keyword = lexical(queries, index, chunks, analyzer, per_arm)
+    keyword = lexical(queries, index, analyzer, per_arm)
     if query_vecs is None or "embedding" not in chunks.columns:
         semantic = keyword.limit(0)
     else:

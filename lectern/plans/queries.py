@@ -408,6 +408,13 @@ def r1_bm25(spark, sf_dir):
     return retrieval.bm25(questions(spark, sf_dir), doc_index(spark, sf_dir)).select("query_id", "chunk_id", F.round("raw", 6).alias("raw"), "pos")
 
 
+@query(f"WITH {sql.BM25} SELECT query_id, chunk_id, round(raw, 6) AS raw, pos::int AS pos FROM bm")
+def r1_bm25_by_blocks(spark, sf_dir):
+    """The same rows, from blocks of postings with bounds."""
+    built = doc_index(spark, sf_dir)
+    return retrieval.bm25_by_blocks(questions(spark, sf_dir), built, index.impact_blocks(built)).select("query_id", "chunk_id", F.round("raw", 6).alias("raw"), "pos")
+
+
 @query(f"""WITH tok AS (SELECT doc_id AS chunk_id, {sql.tokens('text')} AS t FROM documents), {sql.STRICT} SELECT DISTINCT query_id, chunk_id FROM cover""")
 def r2_all_terms(spark, sf_dir):
     return strict_arm(spark, sf_dir, limit=1 << 30).select("query_id", "chunk_id")
@@ -420,7 +427,7 @@ def r2_cover_density(spark, sf_dir):
 
 def strict_arm(spark, sf_dir, limit: int = retrieval.PER_ARM) -> DataFrame:
     """The chunks with all terms of the benchmark's questions."""
-    return retrieval.all_terms_match(questions(spark, sf_dir), table(spark, sf_dir, "documents"), limit=limit, id_col="doc_id")
+    return retrieval.all_terms_match(questions(spark, sf_dir), doc_index(spark, sf_dir), limit=limit)
 
 
 @query(f"WITH {sql.cosine('vec_id % 50 = 0')} SELECT query_id, chunk_id, round(raw, 5) AS raw FROM sem")
@@ -443,7 +450,7 @@ kw AS (SELECT query_id, chunk_id, raw, row_number() OVER (PARTITION BY query_id
 
 def keyword_arm(spark, sf_dir) -> DataFrame:
     """BM25 and all terms of the benchmark's questions as one vote."""
-    return retrieval.keyword_rank(retrieval.bm25(questions(spark, sf_dir), doc_index(spark, sf_dir)), strict_arm(spark, sf_dir))
+    return retrieval.lexical(questions(spark, sf_dir), doc_index(spark, sf_dir))
 
 
 @query(f"{KEYWORD_SQL} SELECT query_id, chunk_id, pos::int AS pos, round(raw, 6) AS raw FROM kw")
