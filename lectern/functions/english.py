@@ -1,6 +1,11 @@
-"""The production analyzer: English words without stop words, stemmed by the
-published second Porter algorithm. A helper over Arrow batches; each distinct
-word of a batch is stemmed once."""
+"""The production analyzer: a text's tokens by type, English words without stop words
+and stemmed by the published second Porter algorithm, all others as they are. A helper
+over Arrow batches; each distinct word is stemmed once while a worker remembers it.
+
+Token types: mail addresses, web addresses (the whole, its host and its path), hosts, file
+paths, versions, numbers with fraction or sign, hyphenated words (the whole and its
+parts), words and words with digits. Protocols, tags and character entities are no tokens.
+Positions count all tokens, stop words among them, so that a phrase knows where one was left out."""
 
 import re
 from functools import lru_cache
@@ -105,16 +110,47 @@ def stem(word: str) -> str:
     return word.replace("Y", "y")
 
 
-def lexemes(text: str | None) -> list[str]:
-    """Stems in the order of the text; numbers stay whole."""
-    words = re.findall(r"[0-9]+(?:\.[0-9]+)*|[^\W\d_]+(?:'[^\W\d_]+)?", (text or "").lower())
-    out = []
-    for w in words:
-        base = w.split("'")[0] if "'" in w else w
-        if base and base not in STOP_WORDS:
-            out.append(stem(base) if base.isascii() else base)
+_LETTER = r"[^\W\d_]"
+_PART = rf"(?=\d*{_LETTER})[^\W_]+"  # letters, or digits and letters
+_HOST = r"(?:[a-z0-9](?:[a-z0-9_-]*[a-z0-9])?\.)+[a-z][a-z0-9]+"
+_STEP = r"[a-z0-9_~](?:[a-z0-9_.~-]*[a-z0-9_])?"  # between two slashes of a path
+#: What a token can begin as, the longer kinds first.
+_KINDS = re.compile(
+    rf"""(?P<skip></?[a-z][^<>]*>|&(?:[a-z]+|\#[0-9]+|\#x[0-9a-f]+);|[a-z][a-z0-9+.-]*://)
+    |(?P<mail>[a-z0-9][a-z0-9._+-]*@{_HOST})
+    |(?P<host>{_HOST})(?![\w@])(?P<path>/[^\s<>"]*[a-z0-9_/\#=&-]|/)?
+    |(?P<file>(?<![\w/])(?:[~.]{{0,2}}|{_STEP})(?:/{_STEP})+)
+    |(?P<plain>(?<![\w.])\d+(?:\.\d+){{2,}}|(?:(?<![\w.])|[-+])\d+\.\d+(?:e[-+]?\d+)?(?!\w)|[-+]\d+(?!\w))
+    |(?P<compound>{_PART}(?:-{_PART})+)
+    |(?P<word>[^\W_]+)""",
+    re.VERBOSE,
+)
+
+
+def tokens(text: str | None) -> list[tuple[str, bool]]:
+    """(token, whether it is a word of letters) of a text in lower case."""
+    out: list[tuple[str, bool]] = []
+    for m in _KINDS.finditer((text or "").lower()):
+        kind, found = m.lastgroup, m.group()
+        if kind == "skip":
+            continue
+        if kind == "path":
+            out += [(found, False), (m["host"], False), (m["path"], False)]
+        elif kind == "compound":
+            out += [(x, not re.search(r"\d", x)) for x in (found, *found.split("-"))]
+        else:
+            out.append((found, kind == "word" and not re.search(r"\d", found)))
     return out
 
 
-#: An analyzer for index and query: array of lexemes, in order, repeats included.
-english_lexemes = analyzer(lexemes)
+def placed(text: str | None) -> list[tuple[str, int]]:
+    """(lexeme, position) of a text, in order."""
+    return [(stem(x) if word else x, i) for i, (x, word) in enumerate(tokens(text)) if not (word and x in STOP_WORDS)]
+
+
+def lexemes(text: str | None) -> list[str]:
+    return [x for x, _ in placed(text)]
+
+
+#: An analyzer for index and query: array of lexemes, in order, repeats included; an index takes their positions over stop words.
+english_lexemes = analyzer(lexemes, placed)
