@@ -7,10 +7,13 @@ helper over Arrow batches, one document after the other; it needs no shuffle.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -190,36 +193,78 @@ def slug_collisions(docs: DataFrame) -> DataFrame:
     return docs.groupBy("doc_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_set("title")).alias("titles")).where("n > 1")
 
 
-def token_batches(pending: DataFrame, budget: int = 8000, per_part: int = 1000, ordered: bool = False) -> DataFrame:
-    """part, batch added to ``pending(id, tokens)``: in the order of ids, a new batch begins where the sum would pass the budget.
+def _openings(tokens: np.ndarray, budget: int) -> dict[str, list]:
+    """What a range of rows makes of the batch that is open before it.
 
-    A part is what begins within ``per_part`` budgets of the running sum of tokens, and its first row begins a batch, so
-    the result depends on ids and tokens alone, however many tasks there are; ``ordered`` is one part, and one task.
+    From each row that may begin the range's first batch of its own, pointers to the next batch's first row are followed by doubling.
+    An entry holds for openings that leave room for ``limit`` tokens and not for the next entry's; the first one, for openings that take no row at all.
+    ``begins``: whether the range begins a batch; ``more``: batches behind the first such; ``filled``: the tokens of the last one so far, or of the whole range.
     """
-    ranged = staged(pending.repartitionByRange("id", "tokens").withColumn("_range", F.spark_partition_id()))
-    # one row of each range: how many tokens stand before it
-    sums = ranged.groupBy("_range").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n")).collect()
-    ahead, total = [], 0
-    for r in sorted(sums, key=lambda r: r["_range"]):
-        ahead.append((r["_range"], total))
-        total += r["n"]
-    offsets = F.broadcast(pending.sparkSession.createDataFrame(ahead, "_range int, _ahead long"))
-    before = F.coalesce(F.sum("tokens").over(Window.partitionBy("_range").orderBy("id", "tokens").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    part = F.lit(0) if ordered else F.floor((F.col("_ahead") + before) / (budget * per_part)).cast("int")
-    parts = ranged.join(offsets, "_range").withColumn("part", part).select(*pending.columns, "part")
-    schema = T.StructType([*parts.schema.fields, T.StructField("batch", T.IntegerType())])
+    n = len(tokens)
+    before = np.concatenate(([0], np.cumsum(tokens)))
+    # the first row behind the batch that begins at each row; a row over the budget is a batch of its own
+    jump = np.maximum(np.searchsorted(before, before[:-1] + budget, "right") - 1, np.arange(1, n + 1))
+    count = (jump < n).astype(np.int64)
+    jump = np.where(jump < n, jump, np.arange(n))
+    while (jump[jump] != jump).any():
+        count, jump = count + count[jump], jump[jump]
+    fits = np.arange(np.searchsorted(before, budget, "right"))
+    fits = fits[np.append(before[fits][1:] != before[fits][:-1], True)]  # rows without tokens fit, too
+    first = np.append(0, fits)
+    begins, at = first < n, np.minimum(first, n - 1)
+    filled = np.where(begins, before[n] - before[jump[at]], before[n])
+    more = np.where(begins, count[at], 0)
+    # most openings soon fall together
+    new = np.ones(len(first), bool)
+    new[2:] = (filled[2:] != filled[1:-1]) | (more[2:] != more[1:-1]) | (begins[2:] != begins[1:-1])
+    return {"limit": np.append(-1, before[fits])[new].tolist(), "begins": begins[new].tolist(), "more": more[new].tolist(), "filled": filled[new].tolist()}
+
+
+def token_batches(pending: DataFrame, budget: int = 8000) -> DataFrame:
+    """batch added to ``pending(id, tokens)``: in the one order of ids, a new batch begins where the sum would pass the budget; null tokens count as none.
+
+    Rows are ranged by id, and written. Each range says what it makes of any batch that is open before it, in a few numbers;
+    the driver follows these from range to range, and then each range numbers its rows. Rows equal in id and tokens come in any one order.
+    """
+    own, schema = pending.columns, T.StructType([*pending.schema.fields, T.StructField("batch", T.LongType())])
+    rows = pending.select(*[F.col(f"`{c}`") for c in own], F.coalesce(F.col("tokens").cast("long"), F.lit(0)).alias("_tokens"), F.rand(1).alias("_tie"))
+    ranged = staged(rows.repartitionByRange("id", "_tokens", "_tie").withColumn("_range", F.spark_partition_id()))
+    dealt = lambda *more: ranged.select("_range", "_tokens", "_tie", *more).repartition("_range").sortWithinPartitions("_range", "id", "_tokens", "_tie")
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, number, filled = None, 0, 0
+    def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
         for b in batches:
-            numbers = []
-            for p, n in zip(b.column("part").to_pylist(), b.column("tokens").to_pylist(), strict=True):
-                if p != at:
-                    at, number, filled = p, 0, 0
-                elif filled and filled + n > budget:
-                    number, filled = number + 1, 0
-                filled += n
-                numbers.append(number)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(numbers, pa.int32())], names=[*b.schema.names, "batch"])
-
-    return parts.repartition("part").sortWithinPartitions("part", "id", "tokens").mapInArrow(run, schema)
+            number = b.column("_range").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(number)]
+            yield from ((int(number[x]), b.slice(x, y - x)) for x, y in zip(cuts, cuts[1:], strict=False) if y > x)
+
+    def describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, held in groupby(slices(batches), lambda x: x[0]):
+            found = _openings(np.concatenate([b.column("_tokens").to_numpy() for _, b in held]), budget)
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), *(pa.array([v], pa.list_(pa.bool_() if c == "begins" else pa.int64())) for c, v in found.items())], names=["_range", *found])
+
+    known = dealt("id").mapInArrow(describe, "_range int, limit array<long>, begins array<boolean>, more array<long>, filled array<long>").collect()
+    opened, batch, filled = {}, -1, budget + 1  # before each range: the open batch and its tokens; none is as a full one
+    for r in sorted(known, key=lambda r: r["_range"]):
+        opened[r["_range"]] = (batch, filled)
+        k = max(0, bisect_right(r.limit, budget - filled) - 1)
+        batch, filled = (batch + 1 + r.more[k], r.filled[k]) if r.begins[k] else (batch, filled + r.filled[k])
+    shared = pending.sparkSession.sparkContext.broadcast(opened)
+
+    def number(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, batch, filled = None, 0, 0
+        for of, b in slices(batches):
+            if of != at:
+                at, (batch, filled) = of, shared.value[of]
+            tokens = b.column("_tokens").to_numpy()
+            before = np.concatenate(([0], np.cumsum(tokens)))
+            out, i = np.empty(len(tokens), np.int64), 0
+            while i < len(tokens):
+                to = max(i, int(np.searchsorted(before, before[i] + budget - filled, "right")) - 1)
+                out[i:to] = batch
+                filled += int(before[to] - before[i])
+                if to < len(tokens):
+                    batch, filled, out[to] = batch + 1, int(tokens[to]), batch + 1
+                i = to + 1
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.array(out)], names=[*own, "batch"])
+
+    return dealt(*[F.col(f"`{c}`") for c in own]).mapInArrow(number, schema)

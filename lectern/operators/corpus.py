@@ -138,7 +138,7 @@ def pending_embeddings(chunks: DataFrame) -> DataFrame:
 
 
 def embed_batches(batched: DataFrame, embed: Callable[[list[str]], list[list[float]]]) -> DataFrame:
-    """id, embedding: the caller's function is applied to each batch of ``batched(id, body, part, batch)``."""
+    """id, embedding: the caller's function is applied to each batch of ``batched(id, body, batch)``, whose rows one task gets in the order of their ids."""
 
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[str, str]] = []
@@ -149,16 +149,17 @@ def embed_batches(batched: DataFrame, embed: Callable[[list[str]], list[list[flo
             return pa.RecordBatch.from_arrays([pa.array([i for i, _ in held], pa.string()), pa.array(vectors, pa.list_(pa.float32()))], names=["id", "embedding"])
 
         for b in rows:
-            for i, body, part, n in zip(*(b.column(c).to_pylist() for c in ("id", "body", "part", "batch")), strict=True):
-                if held and (part, n) != at:
+            for i, body, n in zip(*(b.column(c).to_pylist() for c in ("id", "body", "batch")), strict=True):
+                if held and n != at:
                     yield flush()
                     held = []
-                at = (part, n)
+                at = n
                 held.append((i, body))
         if held:
             yield flush()
 
-    return batched.select(F.col("id").cast("string").alias("id"), "body", "part", "batch").mapInArrow(run, "id string, embedding array<float>")
+    rows = batched.select(F.col("id").cast("string").alias("id"), "body", "batch").repartition("batch").sortWithinPartitions("batch", "id")
+    return rows.mapInArrow(run, "id string, embedding array<float>")
 
 
 def union_sources(*frames: DataFrame) -> DataFrame:

@@ -391,10 +391,10 @@ def e2_pending_embeddings(spark, sf_dir):
 
 
 @query("""WITH RECURSIVE t AS (SELECT doc_id AS id, ceil(length(text) / 4)::int AS tokens FROM documents),
-o AS MATERIALIZED (SELECT *, row_number() OVER w AS n, floor((sum(tokens) OVER w - tokens) / 8000000)::int AS part FROM t WINDOW w AS (ORDER BY id, tokens ROWS UNBOUNDED PRECEDING)),
-r AS (SELECT 0::bigint AS n, -1 AS part, 0 AS batch, 0::bigint AS filled UNION ALL
-SELECT o.n, o.part, CASE WHEN o.part <> r.part THEN 0 WHEN r.filled > 0 AND r.filled + o.tokens > 8000 THEN r.batch + 1 ELSE r.batch END, CASE WHEN o.part <> r.part OR (r.filled > 0 AND r.filled + o.tokens > 8000) THEN o.tokens ELSE r.filled + o.tokens END FROM r JOIN o ON o.n = r.n + 1)
-SELECT id, tokens, o.part, batch FROM o JOIN r USING (n)""")
+o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY id, tokens) AS n FROM t),
+r AS (SELECT 0::bigint AS n, -1::bigint AS batch, 8001::bigint AS filled UNION ALL
+SELECT o.n, r.batch + CASE WHEN r.filled + o.tokens > 8000 THEN 1 ELSE 0 END, CASE WHEN r.filled + o.tokens > 8000 THEN o.tokens ELSE r.filled + o.tokens END FROM r JOIN o ON o.n = r.n + 1)
+SELECT id, tokens, batch FROM o JOIN r USING (n)""")
 def e4_token_batches(spark, sf_dir):
     pending = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), t.estimate_tokens("text").alias("tokens"))
     return chunking.token_batches(pending)

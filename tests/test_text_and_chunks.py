@@ -1,10 +1,12 @@
 """Text functions, chunking, pages and catalogs on rows made by hand, and against plain versions."""
 
+import bisect
 import io
 import random
 import re
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,30 +170,45 @@ def test_catalog(spark):
 
 
 def test_token_batches(spark):
-    sizes = [3000, 5000, 1, 9000, 2, 7999, 1]
-    rows = chunking.token_batches(spark.createDataFrame([(f"c{i}", n) for i, n in enumerate(sizes)], "id string, tokens int"), ordered=True).orderBy("id").collect()
-    assert [r.batch for r in rows] == [0, 0, 1, 2, 3, 4, 4] or [r.batch for r in rows] == plain_batches(sizes)
+    sizes = [3000, 5000, 1, 9000, 0, 7999, 1, 0, 0, 8000, 0, 1]
+    rows = chunking.token_batches(spark.createDataFrame([(f"c{i:02d}", n) for i, n in enumerate(sizes)], "id string, tokens int")).orderBy("id").collect()
+    assert [r.batch for r in rows] == [0, 0, 1, 2, 3, 3, 3, 3, 3, 4, 4, 5] == plain_batches(sizes)
 
 
 @pytest.mark.parametrize("tasks", [1, 3, 8])
-def test_token_batches_do_not_depend_on_tasks(spark, tasks):
-    sizes = [(i * 7919) % 40 + (i % 50 == 0) * 200 for i in range(400)]
-    rows = chunking.token_batches(spark.createDataFrame(list(enumerate(sizes)), "id long, tokens int").repartition(tasks), budget=100, per_part=7).orderBy("id").collect()
-    parts, total = [], 0
-    for n in sizes:
-        parts.append(total // 700)
-        total += n
-    want = []
-    for p in dict.fromkeys(parts):
-        want += [(p, k) for k in plain_batches([n for n, q in zip(sizes, parts, strict=True) if q == p], 100)]
-    assert [(r.part, r.batch) for r in rows] == want
+@pytest.mark.parametrize("seed", range(3))
+def test_token_batches_are_one_order_whatever_the_tasks(spark, tasks, seed):
+    dice = random.Random(seed)
+    sizes = [dice.choice([0, 0, dice.randrange(40), dice.randrange(5), 240, 100]) for _ in range(1500)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", str(tasks * 5))
+    try:
+        rows = chunking.token_batches(spark.createDataFrame([(i, n or None, "x") for i, n in enumerate(sizes)], "id long, tokens int, body string").repartition(tasks), budget=100).orderBy("id").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert [r.batch for r in rows] == plain_batches(sizes, 100)
     assert chunking.token_batches(spark.createDataFrame([], "id long, tokens int")).collect() == []
 
 
+def test_openings_hold_for_every_open_batch():
+    dice = random.Random(3)
+    for _ in range(200):
+        sizes = [dice.choice([0, dice.randrange(12), 25]) for _ in range(dice.randrange(1, 30))]
+        found = chunking._openings(np.array(sizes), 20)
+        for filled in range(26):
+            k = max(0, bisect.bisect_right(found["limit"], 20 - filled) - 1)
+            got = (1 + found["more"][k], found["filled"][k]) if found["begins"][k] else (0, filled + found["filled"][k])
+            number, total = 0, filled
+            for n in sizes:
+                number, total = (number + 1, n) if total + n > 20 else (number, total + n)
+            assert got == (number, total)
+
+
 def plain_batches(sizes, budget=8000):
-    out, total, number = [], 0, 0
+    out, number, total = [], -1, None
     for n in sizes:
-        if total and total + n > budget:
+        if total is None or total + n > budget:
             number, total = number + 1, 0
         total += n
         out.append(number)
