@@ -5,14 +5,16 @@ one class, whose members are listed once and never paired. Candidate pairs of cl
 come from prefix filtering: under one global order of shingles, frequent ones last, two
 sets that reach the threshold share a shingle within short prefixes of both. Shingles
 count as frequent by a list of bounded length, which tasks get by broadcast, so only
-prefixes leave a row.
+prefixes leave a row. Two classes that meet are a candidate only if their sizes and the shingle's places in both
+prefixes leave room for the overlap that is needed; a shingle of very many classes is dealt out in two-sided blocks.
+
+The greedy rule first goes by leaders where lists are long: a class that is the first of all its lists is kept
+for certain, and what is like it goes, so n near copies of one text cost n pairs and not all of them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
-from functools import reduce
-from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -63,7 +65,7 @@ def _frequent(classes: DataFrame, longest_list: int = 1_000_000, least: int = 32
 
 
 def _prefixes(classes: DataFrame, threshold: float, by: list[str]) -> DataFrame:
-    """cls, size, *by, t: the shingles of each class's prefix."""
+    """t, *by (as text), cls, size, place: the shingles of each class's prefix."""
     shared = classes.sparkSession.sparkContext.broadcast(_frequent(classes))
     schema = T.StructType([*(classes.schema[c] for c in ("cls", *by)), T.StructField("size", T.IntegerType()), T.StructField("o", T.ArrayType(T.LongType()))])
 
@@ -81,7 +83,26 @@ def _prefixes(classes: DataFrame, threshold: float, by: list[str]) -> DataFrame:
             offsets = pa.array(np.concatenate(([0], np.cumsum(keep))).astype(np.int32))
             yield pa.RecordBatch.from_arrays([b.column("cls"), *(b.column(c) for c in by), pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(flat[place < keep[owner]]))], names=["cls", *by, "size", "o"])
 
-    return classes.mapInArrow(cut, schema).select("cls", "size", *by, F.explode("o").alias("t"))
+    named = [F.coalesce(F.col(c).cast("string"), F.lit("\0")).alias(f"_{c}") for c in by]
+    return classes.mapInArrow(cut, schema).select("cls", "size", *named, F.posexplode("o").alias("place", "t"))
+
+
+def _room(threshold: float) -> Callable[[str, str], Column]:
+    """Whether two classes that meet under a shingle can reach the threshold, by their sizes and the shingle's places."""
+
+    def near(a: str, b: str) -> Column:
+        n, m = F.col(f"size{a}"), F.col(f"size{b}")
+        left = F.least(n - F.col(f"place{a}"), m - F.col(f"place{b}"))
+        return (F.least(n, m) >= F.greatest(n, m) * threshold - 1e-9) & (left >= (n + m) * (threshold / (1 + threshold)) - 1e-9)
+
+    return near
+
+
+def _compared(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """a, b, similarity of ``pairs(a, b)`` that reach the threshold."""
+    both = pairs.join(classes.select(F.col("cls").alias("a"), F.col("s").alias("sa")), "a").join(classes.select(F.col("cls").alias("b"), F.col("s").alias("sb")), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return both.select("a", "b", (shared / (F.size("sa") + F.size("sb") - shared)).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def meeting_pairs(entries: DataFrame, value: list[str], near: Callable[[str, str], Column], block: int = 4096) -> DataFrame:
@@ -106,14 +127,8 @@ def meeting_pairs(entries: DataFrame, value: list[str], near: Callable[[str, str
 def similar_classes(classes: DataFrame, threshold: float = THRESHOLD, by: list[str] | None = None) -> DataFrame:
     """a, b, similarity of all pairs of classes a < b that reach the threshold."""
     by = by or []
-    prefix = _prefixes(classes, threshold, by)
-    left, right = prefix.select(F.col("cls").alias("a"), F.col("size").alias("na"), "t", *by), prefix.select(F.col("cls").alias("b"), F.col("size").alias("nb"), "t", *by)
-    near = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9)
-    on = reduce(and_, [left[c].eqNullSafe(right[c]) for c in by], left["t"] == right["t"])
-    candidates = left.join(right, on).where(near).select("a", "b").distinct()
-    both = candidates.join(classes.select(F.col("cls").alias("a"), F.col("s").alias("sa")), "a").join(classes.select(F.col("cls").alias("b"), F.col("s").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.select("a", "b", (shared / (F.size("sa") + F.size("sb") - shared)).alias("similarity")).where(F.col("similarity") >= threshold)
+    met = meeting_pairs(_prefixes(classes, threshold, by), ["t", *(f"_{c}" for c in by)], _room(threshold))
+    return _compared(met.select(F.col("cls_l").alias("a"), F.col("cls_r").alias("b")).distinct(), classes, threshold)
 
 
 def jaccard_pairs(docs: DataFrame, threshold: float = THRESHOLD, key: str = "key", text: str = "text", n: int = 5, by: list[str] | None = None) -> DataFrame:
@@ -175,29 +190,64 @@ def _settle(edges: DataFrame) -> DataFrame:
             return settled
 
 
-def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, key: str = "key", text: str = "text", by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, key: str = "key", text: str = "text", by: list[str] | None = None, long_lists: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
     """(kept, dupes(kept, dropped, similarity)): longest first, a row is dropped if a kept row
     before it is similar, and names the first such row.
 
     A class goes as its first row does: if that is kept, the others are its duplicates, and if not,
-    all have the same kept rows before them. So only first rows are compared.
+    all have the same kept rows before them. So only first rows are compared. While the lists of prefixes hold over
+    ``long_lists`` pairs and leaders at least halve them, leaders go first; what is left is compared in full.
     """
+    by = by or []
     members, classes = shingle_classes(docs, key, text, by=by)
     place = docs.select(F.col(key).alias("key"), (-F.length(text)).alias("l"))
     ordered = members.join(place, "key")
     first = staged(ordered.groupBy("cls").agg(F.min(F.struct("l", "key")).alias("f")))
+    value, near = ["t", *(f"_{c}" for c in by)], _room(threshold)
+    lists = staged(_prefixes(classes, threshold, by).join(first, "cls"))
+    edges, led, gone = [], [], []  # by rounds: similar pairs (p, q, similarity), p first; leaders; what they drop
+    open_, load = lists, None
+    while True:
+        sizes = open_.groupBy(*value).agg(F.count("*").alias("m"), F.min(F.struct("f", "cls", "size", "place")).alias("lead")).where("m > 1")
+        now = sizes.agg(F.coalesce(F.sum(F.col("m") * (F.col("m") - 1) / 2), F.lit(0.0))).first()[0]
+        if now <= long_lists or load is not None and now > load / 2:  # short lists, or those of unlike classes that leaders don't shorten
+            break
+        load = now
+        met = staged(open_.join(sizes, value).select("cls", "size", "place", "f", F.col("lead.cls").alias("cls_h"), F.col("lead.size").alias("size_h"), F.col("lead.place").alias("place_h"), F.col("lead.f").alias("f_h")))
+        ahead = staged(met.groupBy("cls", "f").agg(F.max(F.col("cls") != F.col("cls_h")).alias("behind")).where("not behind").select("cls", "f"))
+        tested = met.where("cls <> cls_h").join(ahead.select(F.col("cls").alias("cls_h")), "cls_h", "left_semi")
+        tested = tested.select(F.col("cls_h"), "size_h", "place_h", F.col("cls").alias("cls_m"), F.col("size").alias("size_m"), F.col("place").alias("place_m")).where(near("_h", "_m"))
+        found = staged(_compared(tested.select(F.col("cls_h").alias("a"), F.col("cls_m").alias("b")).distinct(), classes, threshold))
+        edges, led, gone = [*edges, found], [*led, ahead.select("cls")], [*gone, found.select(F.col("b").alias("cls")).distinct()]
+        open_ = staged(open_.join(led[-1], "cls", "left_anti").join(gone[-1], "cls", "left_anti"))
     side = lambda c: first.select(F.col("cls").alias(c), F.col("f").alias(f"f{c}"))
-    pairs = similar_classes(classes, threshold, by).join(side("a"), "a").join(side("b"), "b")
     before = F.col("fa") < F.col("fb")
     pick = lambda x, y: F.when(before, F.col(x)).otherwise(F.col(y))
-    edges = staged(pairs.select(pick("fa", "fb").alias("p"), pick("fb", "fa").alias("q"), "similarity").select(F.col("p.key").alias("p"), F.col("p.l").alias("po"), F.col("q.key").alias("q"), F.col("q.l").alias("qo"), "similarity"))
-    settled = _settle(edges.select("p", "q", "po", "qo"))
-    gone = settled.where("not kept").select("q")
-    # kept rows: those that were settled so, and those that stand behind no similar one
-    match = edges.join(gone, "q", "left_semi").join(settled.select(F.col("q").alias("p"), "kept"), "p", "left").where("coalesce(kept, true)").groupBy("q").agg(F.min(F.struct("po", "p", "similarity")).alias("m"))
-    of_first = match.select("q", F.col("m.p").alias("kept"), "m.similarity")
-    named = ordered.join(first, "cls").join(of_first, F.col("f.key") == F.col("q"), "left")
-    dupes = named.where("q is not null or key <> f.key").select(F.coalesce("kept", "f.key").alias("kept"), F.col("key").alias("dropped"), F.round(F.coalesce("similarity", F.lit(1.0)), 3).alias("similarity"))
+    met = meeting_pairs(open_.drop("f"), value, near).select(F.col("cls_l").alias("a"), F.col("cls_r").alias("b")).distinct()
+    pairs = _compared(met, classes, threshold).join(side("a"), "a").join(side("b"), "b")
+    last = staged(pairs.select(pick("fa", "fb").alias("x"), pick("fb", "fa").alias("y"), pick("a", "b").alias("p"), pick("b", "a").alias("q"), "similarity").select("p", "q", F.col("x.l").alias("po"), F.col("x.key").alias("pk"), F.col("y.l").alias("qo"), F.col("y.key").alias("qk"), "similarity"))
+    settled = _settle(last.select(F.col("pk").alias("p"), F.col("qk").alias("q"), "po", "qo")).withColumnRenamed("q", "qk")
+    of_key = last.select("q", "qk").distinct()
+    dropped = settled.where("not kept").join(of_key, "qk").select(F.col("q").alias("cls"))
+    for more in gone:
+        dropped = dropped.unionByName(more)
+    dropped = staged(dropped.distinct().withColumn("gone", F.lit(True)))
+    similar = last.select("p", "q", "similarity")
+    for more in edges:
+        similar = similar.unionByName(more.select(F.col("a").alias("p"), F.col("b").alias("q"), "similarity"))
+    if edges:
+        # a leader of a later round, or a row that was settled last, may come before the leader that dropped a row
+        marked = lists.join(dropped, "cls", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
+        order = lambda a, b: F.when(F.col(f"gone{a}"), F.col(f"f{b}") < F.col(f"f{a}")).otherwise(F.col(f"f{a}") < F.col(f"f{b}"))
+        across = meeting_pairs(marked, value, lambda a, b: (F.col(f"gone{a}") != F.col(f"gone{b}")) & order(a, b) & near(a, b))
+        across = across.select(F.when(F.col("gone_l"), F.col("cls_r")).otherwise(F.col("cls_l")).alias("a"), F.when(F.col("gone_l"), F.col("cls_l")).otherwise(F.col("cls_r")).alias("b")).distinct()
+        across = across.join(staged(similar.select(F.col("p").alias("a"), F.col("q").alias("b"))), ["a", "b"], "left_anti")
+        similar = similar.unionByName(_compared(across, classes, threshold).select(F.col("a").alias("p"), F.col("b").alias("q"), "similarity"))
+    # of the kept rows that are like a dropped one, the first
+    of = similar.join(dropped.select(F.col("cls").alias("q")), "q", "left_semi").join(dropped.select(F.col("cls").alias("p")), "p", "left_anti").join(first.select(F.col("cls").alias("p"), "f"), "p")
+    match = of.groupBy("q").agg(F.min(F.struct("f", "similarity")).alias("m")).select(F.col("q").alias("cls"), F.col("m.f.key").alias("kept"), "m.similarity")
+    named = ordered.join(first, "cls").join(match, "cls", "left")
+    dupes = named.where("kept is not null or key <> f.key").select(F.coalesce("kept", "f.key").alias("kept"), F.col("key").alias("dropped"), F.round(F.coalesce("similarity", F.lit(1.0)), 3).alias("similarity"))
     dupes = staged(dupes)
     return docs.join(dupes.select(F.col("dropped").alias(key)), key, "left_anti"), dupes
 
