@@ -65,10 +65,12 @@ def t1_collapse_letter_spacing(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", t.text_md5(t.collapse_letter_spacing("text")).alias("m"))
 
 
-@query("""SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS pages FROM documents""")
+@query(f"""SELECT doc_id, count(*) AS pages, md5(string_agg(n || ':' || {sql.normalized(sql.collapsed('x'))}, '|' ORDER BY n)) AS m FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents) WHERE {sql.trim_all('x')} <> '' GROUP BY doc_id""")
 def t4_segments_from_pages(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.size(pages.segments_from_pages(F.translate("text", "\n", "\f"))).cast("long").alias("pages"))
+    """Each line a page: numbers and texts of the pages that are not blank."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", pages.segments_from_pages(F.translate("text", "\n", "\f")).alias("s"))
+    said = F.array_join(F.transform("s", lambda x: F.concat(x["ordinal"].cast("string"), F.lit(":"), t.trim_all(x["text"]))), "|")
+    return docs.where(F.size("s") > 0).select("doc_id", F.size("s").cast("long").alias("pages"), t.text_md5(said).alias("m"))
 
 
 @query("""SELECT page_id, substr(regexp_replace(regexp_replace(regexp_replace(lower(url), '\\.[a-z0-9]+$', ''), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 1, 80) AS slug FROM pages""")
@@ -260,11 +262,13 @@ def doc_chunks(spark, sf_dir) -> DataFrame:
     return chunking.chunk_documents(docs)
 
 
-@query(f"""SELECT doc_id, line_no, line AS heading FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents)
+@query(f"""SELECT doc_id, line_no, line AS heading FROM (SELECT doc_id, CASE WHEN line_no % 3 = 1 THEN upper(line) ELSE line END AS line, line_no FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents))
 WHERE length({sql.trim_all('line')}) BETWEEN 3 AND 90 AND NOT regexp_matches({sql.trim_all('line')}, '[.!?]$') AND length(regexp_replace(line, '[^A-Za-z]', '', 'g')) >= 3 AND regexp_replace(line, '[^A-Za-z]', '', 'g') = upper(regexp_replace(line, '[^A-Za-z]', '', 'g'))""")
 def c1_headings(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "heading"))
-    return lines.where(t.is_heading("heading")).select("doc_id", (F.col("p") + 1).cast("long").alias("line_no"), "heading")
+    """Every third line stands in capitals."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line"))
+    lines = lines.select("doc_id", (F.col("p") + 1).cast("long").alias("line_no"), F.when(F.col("p") % 3 == 0, F.upper("line")).otherwise(F.col("line")).alias("heading"))
+    return lines.where(t.is_heading("heading"))
 
 
 @query()
@@ -512,10 +516,10 @@ def r8_is_thin(spark, sf_dir):
     return retrieval.is_thin(questions(spark, sf_dir), hits(spark, sf_dir), min_lex=20.0)
 
 
-@query(f"{HITS_SQL} SELECT query_id, string_agg('Document ' || chunk_id || '#' || length(text), ' ' ORDER BY rank) AS blocks FROM h GROUP BY query_id")
+@query(f"{HITS_SQL} SELECT query_id, md5(string_agg('Document ' || chunk_id || '#' || text, ' ' ORDER BY rank)) AS blocks FROM h GROUP BY query_id")
 def r9_context_blocks(spark, sf_dir):
     b = retrieval.context_blocks(hits(spark, sf_dir))
-    return b.select("query_id", F.array_join(F.transform("blocks", lambda x: F.concat(x["title"], F.lit("#"), F.length(x["text"]).cast("string"))), " ").alias("blocks"))
+    return b.select("query_id", t.text_md5(F.array_join(F.transform("blocks", lambda x: F.concat(x["title"], F.lit("#"), x["text"])), " ")).alias("blocks"))
 
 
 @query(f"""{HITS_SQL}, asked AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9$]{{3,}}') AS w FROM benchmark), marks AS (SELECT item_id, list_filter(w, lambda x, i: list_position(w, x) = i) AS w FROM asked)
@@ -705,13 +709,13 @@ def l4_mirror_sheet(spark, sf_dir):
 def escalations(spark, sf_dir) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     turns = c.select(F.col("conv_id").alias("conversation_id"), F.col("turn").alias("seq"), "role", F.col("text").alias("content"))
-    requests = c.where("role = 'assistant' and turn % 2 = 1").select(F.col("conv_id").alias("conversation_id"), F.col("turn").alias("seq"), F.when(F.col("turn") % 4 == 1, F.substring("text", 1, 40)).alias("question"), F.lit(None).cast("string").alias("context"), F.lit("no_citation").alias("reason"))
+    requests = c.where("role = 'assistant' and turn % 2 = 1").select(F.col("conv_id").alias("conversation_id"), F.col("turn").alias("seq"), F.when(F.col("turn") % 4 == 1, F.col("text")).alias("question"), F.lit(None).cast("string").alias("context"), F.lit("no_citation").alias("reason"))
     leads = folds.merge_leads(folds.clean_lead_fields(lead_calls(spark, sf_dir)))
     return folds.build_escalations(requests, leads, turns)
 
 
 ESC_SQL = """u AS (SELECT conv_id, arg_max(text, turn) FILTER (role = 'user') AS last_user, count(*) AS n_turns FROM conversations GROUP BY conv_id),
-esc AS (SELECT sha256(c.conv_id || '#' || c.turn) AS id, c.conv_id AS conversation_id, coalesce(CASE WHEN turn % 4 = 1 THEN nullif(trim(substr(text, 1, 40), chr(10) || ' '), '') END, last_user, '(not stated)') AS question, n_turns, CASE WHEN email IS NOT NULL OR name IS NOT NULL THEN sha256(c.conv_id::varchar) END AS lead_id FROM conversations c JOIN u ON u.conv_id = c.conv_id LEFT JOIN leads l ON l.conversation_id = c.conv_id WHERE role = 'assistant' AND turn % 2 = 1)"""
+esc AS (SELECT sha256(c.conv_id || '#' || c.turn) AS id, c.conv_id AS conversation_id, coalesce(CASE WHEN turn % 4 = 1 THEN nullif(trim(text, chr(10) || ' '), '') END, last_user, '(not stated)') AS question, n_turns, CASE WHEN email IS NOT NULL OR name IS NOT NULL THEN sha256(c.conv_id::varchar) END AS lead_id FROM conversations c JOIN u ON u.conv_id = c.conv_id LEFT JOIN leads l ON l.conversation_id = c.conv_id WHERE role = 'assistant' AND turn % 2 = 1)"""
 
 
 @query(f"WITH {LEADS_SQL}, {ESC_SQL} SELECT id, conversation_id, md5(question) AS question, n_turns, lead_id FROM esc")
@@ -871,20 +875,20 @@ def s1_corpus_jsonl(spark, sf_dir):
     return files.read_corpus_jsonl(spark, path).select("id", "doc_id", t.text_md5("text").alias("m"))
 
 
-@query("SELECT lang, count(*) AS n FROM documents GROUP BY lang")
+@query("SELECT doc_id, md5(text) AS m FROM documents")
 def s6_versioned_index(spark, sf_dir):
     docs, root = table(spark, sf_dir, "documents"), _place(spark, "index")
     files.write_index({"chunks": docs.limit(0)}, root, "v1")
     files.write_index({"chunks": docs}, root, "v2")
-    return files.read_index(spark, root, ["chunks"])["chunks"].groupBy("lang").agg(F.count("*").alias("n"))
+    return files.read_index(spark, root, ["chunks"])["chunks"].select("doc_id", t.text_md5("text").alias("m"))
 
 
-@query("SELECT source, CASE WHEN source = 'src3' THEN 1 ELSE 0 END AS replaced, count(*) AS n FROM documents WHERE source <> 'src3' OR doc_id % 3 = 0 GROUP BY source")
+@query("SELECT doc_id, source, CASE WHEN source = 'src3' THEN 1 ELSE 0 END AS replaced FROM documents WHERE source <> 'src3' OR doc_id % 3 = 0")
 def s7_replace_slice(spark, sf_dir):
     docs, path = table(spark, sf_dir, "documents").select("doc_id", "source", F.lit(0).alias("replaced")), _place(spark, "slices")
     files.replace_slice(docs, path, "source")
     files.replace_slice(docs.where("source = 'src3' and doc_id % 3 = 0").withColumn("replaced", F.lit(1)), path, "source")
-    return spark.read.parquet(path).groupBy("source", "replaced").agg(F.count("*").alias("n"))
+    return spark.read.parquet(path).select("doc_id", "source", "replaced")
 
 
 @query(f"""SELECT path, CASE WHEN sheet THEN 0 ELSE n END::int AS segments, CASE WHEN sheet THEN 'unsupported format .xlsx' WHEN n = 0 THEN 'no text' END AS error
@@ -1031,18 +1035,23 @@ def x2_stream_leads(spark, sf_dir):
     return _run(jobs.stream_leads(calls), spark).drop("source_url")
 
 
-@query(f"""WITH d AS (SELECT DISTINCT text, length(text) % 9 = 0 AS exe, {sql.trim_all('text')} = '' AS bare, strlen(text) AS n FROM documents)
-SELECT CASE WHEN exe THEN 'unsupported type exe' WHEN n > 26214400 THEN 'larger than 25 MB' WHEN n <= 0 THEN 'empty' WHEN bare THEN 'no text' ELSE 'live' END AS status, count(*) AS n FROM d GROUP BY 1""")
+@query(f"""WITH d AS (SELECT DISTINCT text, sha256(text) AS sha256, length(text) % 9 = 0 AS exe, {sql.trim_all('text')} = '' AS bare, strlen(text) AS n, len(regexp_extract_all({sql.collapsed('text')}, '[^{sql.SPACE}]+'))::bigint AS w FROM documents),
+s AS (SELECT *, CASE WHEN exe THEN 'unsupported type exe' WHEN n > 26214400 THEN 'larger than 25 MB' WHEN n <= 0 THEN 'empty' WHEN bare THEN 'no text' END AS reason FROM d)
+SELECT sha256, CASE WHEN reason IS NULL THEN 'live' ELSE 'failed' END AS status, reason, CASE WHEN reason IS NULL OR (bare AND NOT exe AND n > 0) THEN w END AS words,
+CASE WHEN reason IS NULL THEN 'queued>extracting>chunking>embedding>live' WHEN reason = 'no text' THEN 'queued>extracting>failed' ELSE 'queued>failed' END AS stages, CASE WHEN reason IS NULL THEN 1 ELSE 0 END AS embedded FROM s""")
 def x1_stream_uploads(spark, sf_dir):
-    """Every document an upload: equal bytes are taken once, whole or not at all."""
+    """Every document an upload: equal bytes are taken once, whole or not at all, through all stages."""
     schema = table(spark, sf_dir, "documents").schema
     docs = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(f"{sf_dir}/*.parquet")
     ext = F.when(F.length("text") % 9 == 0, ".exe").otherwise(".txt")
-    uploads = docs.select(F.concat(F.col("doc_id").cast("string"), ext).alias("path"), F.col("text").cast("binary").alias("content"), F.octet_length("text").cast("long").alias("size_bytes"))
+    uploads = docs.select(F.concat(F.col("doc_id").cast("string"), ext).alias("path"), F.col("text").cast("binary").alias("content"), F.octet_length("text").cast("long").alias("size_bytes"), F.current_timestamp().alias("arrived"))
     place = _place(spark, "uploads")
-    jobs.stream_uploads(uploads, f"{place}/chunks", f"{place}/failures", f"{place}/state").awaitTermination()
-    live = spark.read.parquet(f"{place}/chunks").select("doc_id").distinct().select(F.lit("live").alias("status"))
-    return live.unionByName(spark.read.parquet(f"{place}/failures").select(F.col("reason").alias("status"))).groupBy("status").agg(F.count("*").alias("n"))
+    jobs.stream_uploads(uploads, place, f"{place}/state", lambda bodies: [[float(len(b))] for b in bodies]).awaitTermination()
+    found = jobs.upload_statuses(jobs.upload_log(spark, place))
+    # whether all chunks of a live document have their vector
+    whole = jobs.live_chunks(spark, place).groupBy("doc_id").agg(F.min(F.col("embedding").isNotNull().cast("int")).alias("embedded"))
+    whole = whole.join(spark.read.parquet(f"{place}/documents").select("doc_id", "sha256"), "doc_id").select("sha256", "embedded")
+    return found.join(whole, "sha256", "left").select("sha256", "status", "reason", "words", "stages", F.coalesce("embedded", F.lit(0)).alias("embedded"))
 
 
 # -- one job ------------------------------------------------------------------------------------------------------

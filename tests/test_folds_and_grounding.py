@@ -211,15 +211,70 @@ def test_streams(spark, tmp_path):
     assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
 
 
+def uploads(spark, folder):
+    schema = spark.read.format("binaryFile").load(str(folder)).schema
+    files = spark.readStream.format("binaryFile").schema(schema).load(str(folder))
+    return files.select("path", "content", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("arrived"))
+
+
 def test_stream_uploads(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    for name, data in {"a.txt": b"Some words.", "b.txt": b"Some words.", "c.exe": b"x", "d.docx": b"broken"}.items():
-        (tmp_path / "in" / name).write_bytes(data)
-    schema = spark.read.format("binaryFile").load(str(tmp_path / "in")).schema
-    files = spark.readStream.format("binaryFile").schema(schema).load(str(tmp_path / "in")).select("path", "content", F.col("length").alias("size_bytes"))
-    jobs.stream_uploads(files, str(tmp_path / "chunks"), str(tmp_path / "failed"), str(tmp_path / "state")).awaitTermination()
-    assert [r.text for r in spark.read.parquet(str(tmp_path / "chunks")).collect()] == ["Some words."]
-    assert sorted(r.reason.split(":")[0] for r in spark.read.parquet(str(tmp_path / "failed")).collect()) == ["extraction failed", "unsupported type exe"]
+    folder, place = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    put = lambda **named: [(folder / name.replace("__", ".")).write_bytes(data) for name, data in named.items()]
+    put(a__txt=b"Some words.", b__txt=b"Some words.", c__exe=b"x", d__docx=b"broken", e__txt=b" \n ")
+    embed = lambda bodies: [[float(len(x))] for x in bodies]
+    run = lambda: jobs.stream_uploads(uploads(spark, folder), place, str(tmp_path / "state"), embed).awaitTermination()
+    run()
+    now = {r.stages: r for r in jobs.upload_statuses(jobs.upload_log(spark, place)).collect()}
+    assert set(now) == {"queued>extracting>chunking>embedding>live", "queued>failed", "queued>extracting>failed"}
+    live = now["queued>extracting>chunking>embedding>live"]
+    assert (live.status, live.words, live.chunk_count) == ("live", 2, 1)
+    assert [(r.text, r.embedding) for r in spark.read.parquet(f"{place}/chunks").collect()] == [("Some words.", [11.0])]
+    # bytes that came before are not taken again, new ones are
+    put(f__txt=b"Some words.", g__md=b"Other words here.")
+    run()
+    assert sorted(r.text for r in spark.read.parquet(f"{place}/chunks").collect()) == ["Other words here.", "Some words."]
+
+
+def test_uploads_after_a_crash_in_the_middle(spark, tmp_path):
+    folder, place = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    for k in range(6):
+        (folder / f"{k}.txt").write_bytes(f"Text number {k}.".encode())
+
+    def down(bodies):
+        raise OSError("the embedding service is down")
+
+    query = jobs.stream_uploads(uploads(spark, folder), place, str(tmp_path / "state"), down)
+    with pytest.raises(Exception, match="down"):
+        query.awaitTermination()
+    left = jobs.upload_statuses(jobs.upload_log(spark, place)).collect()
+    assert {r.status for r in left} == {"embedding"} and len(left) == 6  # what was being done
+    assert jobs.live_uploads(spark, place).count() == 0
+    jobs.stream_uploads(uploads(spark, folder), place, str(tmp_path / "state"), lambda bodies: [[1.0] for _ in bodies]).awaitTermination()
+    assert {r.status for r in jobs.upload_statuses(jobs.upload_log(spark, place)).collect()} == {"live"}
+    assert sorted(r.text for r in jobs.live_chunks(spark, place).collect()) == [f"Text number {k}." for k in range(6)]
+
+
+def test_watch_reports_stuck_uploads(spark, tmp_path):
+    import time
+
+    place = str(tmp_path / "log")
+    at = F.current_timestamp().alias("at")
+    rows = spark.createDataFrame([("a", "queued"), ("a", "extracting"), ("b", "queued"), ("b", "live"), ("c", "embedding"), ("d", "failed")], "sha256 string, status string").select("*", at)
+    rows.write.parquet(place)
+    log = spark.readStream.schema(rows.schema).parquet(place)
+    seen = []
+    query = jobs.watch_uploads(log, 2000).writeStream.outputMode("update").foreachBatch(lambda batch, n: seen.extend(batch.collect())).option("checkpointLocation", str(tmp_path / "state")).trigger(processingTime="500 milliseconds").start()
+    try:
+        for _ in range(120):
+            if sum(r.stuck for r in seen) >= 2:
+                break
+            time.sleep(0.5)
+        assert {(r.sha256, r.status) for r in seen if not r.stuck} == {("a", "extracting"), ("b", "live"), ("c", "embedding"), ("d", "failed")}
+        assert {(r.sha256, r.status) for r in seen if r.stuck} == {("a", "extracting"), ("c", "embedding")}
+    finally:
+        query.stop()
 
 
 def test_draft_policy(spark):
