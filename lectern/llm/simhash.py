@@ -103,28 +103,28 @@ def fingerprint_tables(docs: DataFrame, width: int, tables: int) -> DataFrame:
     return rows.mapInArrow(compute, ", ".join(f"{c} long" for c in ["doc_id", "text_hash", *names]))
 
 
-def links(distinct: DataFrame, small: int = 64) -> DataFrame:
-    """Links (a, b), a < b, between the distinct fingerprints ``fp`` within two bits: all pairs
+def links(distinct: DataFrame, small: int = 64, by: tuple[str, ...] = ()) -> DataFrame:
+    """Links (a, b), a < b, between the distinct fingerprints ``fp`` within two bits, of each ``by``: all pairs
     that meet in small entries, stars in the others."""
     fp = F.col("fp")
     part = lambda segment: F.shiftrightunsigned(fp, 32 * segment).bitwiseAND(HALF)
     entry = lambda segment, value: F.struct(F.lit(segment).alias("segment"), value.alias("value"))
-    index = distinct.select("fp", F.inline(F.array(*[entry(i, part(i)) for i in (0, 1)])))
-    size = index.groupBy("segment", "value").agg(F.count("*").alias("n"))
-    key = ["segment", "value"]
+    index = distinct.select(*by, "fp", F.inline(F.array(*[entry(i, part(i)) for i in (0, 1)])))
+    key = [*by, "segment", "value"]
+    size = index.groupBy(*key).agg(F.count("*").alias("n"))
     held = index.join(size.where(F.col("n") <= small), key).groupBy(*key).agg(F.sort_array(F.collect_list("fp")).alias("held"))
     large = size.where(F.col("n") > small).select(*key)
     bits = F.array(*[F.when(F.getbit(fp, F.lit(32 * i + j)) == 1, entry(i, part(i).bitwiseAND(F.lit(HALF & ~(1 << j))))) for i in (0, 1) for j in range(32)])
-    lookups = distinct.select("fp", F.inline(F.array_compact(bits)))
+    lookups = distinct.select(*by, "fp", F.inline(F.array_compact(bits)))
     near = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= 2
     pair = lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     # by shuffle: Spark takes a table's look-ups to be as small as the table, and would broadcast them
-    found = lookups.join(held.hint("merge"), key).select(F.inline(F.transform(F.filter("held", lambda y: near(fp, y)), lambda y: pair(fp, y))))
-    same = held.where(F.size("held") > 1).select(F.inline(F.flatten(F.transform("held", lambda x: F.transform(F.filter("held", lambda y: (x < y) & near(x, y)), lambda y: pair(x, y))))))
+    found = lookups.join(held.hint("merge"), key).select(*by, F.inline(F.transform(F.filter("held", lambda y: near(fp, y)), lambda y: pair(fp, y))))
+    same = held.where(F.size("held") > 1).select(*by, F.inline(F.flatten(F.transform("held", lambda x: F.transform(F.filter("held", lambda y: (x < y) & near(x, y)), lambda y: pair(x, y))))))
     # the exact way for what meets in large entries
-    crowd = index.join(large, key).select("fp").unionByName(lookups.join(large.hint("merge"), key).select("fp")).distinct()
-    centre = crowd.select("fp", F.explode(F.array(fp, *[fp.bitwiseXOR(F.shiftleft(F.lit(1).cast("long"), j)) for j in range(64)])).alias("centre"))
-    stars = centre.groupBy("centre").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("all")).where(F.size("all") > 1).select("a", F.explode("all").alias("b")).where("a < b")
+    crowd = index.join(large, key).select(*by, "fp").unionByName(lookups.join(large.hint("merge"), key).select(*by, "fp")).distinct()
+    centre = crowd.select(*by, "fp", F.explode(F.array(fp, *[fp.bitwiseXOR(F.shiftleft(F.lit(1).cast("long"), j)) for j in range(64)])).alias("centre"))
+    stars = centre.groupBy(*by, "centre").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("all")).where(F.size("all") > 1).select(*by, "a", F.explode("all").alias("b")).where("a < b")
     return found.unionByName(same).unionByName(stars).distinct()
 
 
@@ -154,20 +154,16 @@ def digests(found: DataFrame) -> DataFrame:
 def _rooted_tables(classes: DataFrame, tables: int, small: int) -> DataFrame:
     """node, root of the rows of ``classes(node, f0, f1, ...)`` that are linked to others, within two bits in one table at least."""
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edges, held = None, []
-    for k in range(tables):
-        own = classes.select("node", F.col(f"f{k}").alias("fp"))
-        first = staged(own.groupBy("fp").agg(F.min("node").alias("first")))
-        same = own.join(first, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-        side = lambda c: first.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_first"))  # noqa: B023, E731
-        across = links(first.select("fp").repartition(parts, "fp"), small).join(side("a"), "a").join(side("b"), "b")
-        found = staged(same.unionByName(across.select(F.least("a_first", "b_first").alias("a"), F.greatest("a_first", "b_first").alias("b"))))
-        drop_staged(first)
-        held.append(found)
-        edges = found if edges is None else edges.unionByName(found)
-    out = staged(connected(edges.distinct()))
-    for table in held:
-        drop_staged(table)
+    own = classes.select("node", F.posexplode(F.array(*[F.col(f"f{k}") for k in range(tables)])).alias("table", "fp"))
+    first = staged(own.groupBy("table", "fp").agg(F.min("node").alias("first")))
+    same = own.join(first, ["table", "fp"]).where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    side = lambda c: first.select("table", F.col("fp").alias(c), F.col("first").alias(f"{c}_first"))
+    near = links(first.select("table", "fp").repartition(parts, "table", "fp"), small, ("table",))
+    across = near.join(side("a"), ["table", "a"]).join(side("b"), ["table", "b"]).where("a_first <> b_first")
+    edges = staged(same.unionByName(across.select(F.least("a_first", "b_first").alias("a"), F.greatest("a_first", "b_first").alias("b"))).distinct())
+    drop_staged(first)
+    out = staged(connected(edges))
+    drop_staged(edges)
     return out
 
 

@@ -94,7 +94,7 @@ def test_simhash_documents(spark):
     docs += [(1000, None), (1001, ""), (1002, " \n"), (1003, "One two"), (1004, "ONE two"), (1004, "ONE two"), (1005, "ein")]
     got = sorted(tuple(r) for r in s.digests(s.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))).collect())
     assert got == plain_components([(i, plain_fingerprint(t)) for i, t in docs])
-    kept = s.drop_near_duplicates(spark.createDataFrame([(a, b, 1) for a, b in docs], "doc_id long, text string, fp int"))
+    kept = s.drop_near_duplicates(spark.createDataFrame([(a, b, 1) for a, b in docs], "doc_id long, text string, fp int"), width=3, tables=1)
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in got}) and kept.columns == ["doc_id", "text", "fp"]
     assert s.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
