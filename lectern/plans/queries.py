@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as t
 from lectern.functions.english import english_lexemes
-from lectern.operators import chunking, corpus, dedup, folds, grounding, index, pages, retrieval
+from lectern.operators import chunking, corpus, dedup, folds, grounding, index, pages, retrieval, segments
 from lectern.plans import sql
 from lectern.sources import files
 from lectern.sources.staging import shared_folder, spread, staged
@@ -349,6 +349,18 @@ def i7_refresh_stats(spark, sf_dir):
     return new["lexemes"]
 
 
+@query(f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 7 = 1 THEN text || ' edited again' WHEN doc_id % 10 = 3 THEN text || ' refreshed wording' ELSE text END AS text FROM documents),
+w AS (SELECT DISTINCT doc_id, unnest({sql.tokens('text')}) AS word FROM d) SELECT word, count(*) AS ndoc FROM w GROUP BY word""")
+def i7_segments(spark, sf_dir):
+    """A segment of all documents, edits in segments of their own, and these compacted."""
+    docs, root = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "doc_id", "text"), _place(spark, "segments")
+    segments.write_segment(docs, root)
+    for keep, more in (("doc_id % 10 = 3", " refreshed wording"), ("doc_id % 7 = 1", " edited again")):
+        segments.write_segment(docs.where(keep).withColumn("text", F.concat("text", F.lit(more))), root)
+    segments.compact(spark, root, tier=2)
+    return segments.read_segments(spark, root)["lexemes"]
+
+
 @query("""SELECT source AS source_type, count(*) AS docs, sum(n_chars)::bigint AS chunks, sum(len(regexp_extract_all(text, '[^ \\n]+')))::bigint AS words FROM documents GROUP BY ROLLUP (source)""")
 def i8_corpus_report(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("source").alias("source_type"), F.col("n_chars").alias("chunk_count"), t.word_count("text").cast("long").alias("words"))

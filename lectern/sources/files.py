@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+from collections.abc import Callable
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,23 +51,74 @@ def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return found.select("path", "content", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"))
 
 
-def write_index(tables: dict[str, DataFrame], root: str, version: str) -> str:
-    """Write all tables into a folder of their own, then point to it: readers see the old version or the new one, never a mix.
+def _fs(spark: SparkSession, path: str):
+    """(file system, path) of a folder or file."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def commits(spark: SparkSession, root: str) -> list[tuple[int, str]]:
+    """(number, content) of the commits below ``root``, in order. A file whose writer has not finished, or never will, is none."""
+    fs, place = _fs(spark, f"{root}/_commits")
+    if not fs.exists(place):
+        return []
+    rows = spark.read.text(f"{root}/_commits", wholetext=True).select("value", F.input_file_name().alias("name")).collect()
+    return sorted((int(r.name.rsplit("/", 1)[1]), r.value[:-1]) for r in rows if r.value.endswith("\n"))
+
+
+def commit(spark: SparkSession, root: str, content: Callable[[str | None], str], attempts: int = 50, patience: float = 60.0) -> int:
+    """Make ``content(of the last commit)`` the next one and return its number.
 
-    The pointer is one small table whose newest row counts; files are only added.
+    The next number's file is created exclusively. If another writer has it, what it committed is read and ``content`` is asked again.
+    A file that stays unfinished for ``patience`` seconds is a dead writer's, and its number is passed over.
     """
+    fs, folder = _fs(spark, f"{root}/_commits")
+    for attempt in range(attempts):
+        known = commits(spark, root)
+        last = known[-1][0] if known else 0
+        text = content(known[-1][1] if known else None)
+        later = {int(s.getPath().getName()): s.getModificationTime() for s in fs.listStatus(folder) if s.getPath().getName().isdigit()} if fs.exists(folder) else {}
+        dead = [n for n, at in later.items() if n > last and time.time() - at / 1000 > patience]
+        try:
+            out = fs.create(_fs(spark, f"{root}/_commits/{max(dead, default=last) + 1:012d}")[1], False)
+        except Py4JJavaError as e:
+            if "AlreadyExists" not in str(e.java_exception):
+                raise
+            time.sleep(0.02 * (attempt + 1))  # another writer was first
+            continue
+        out.write(bytearray(f"{text}\n".encode()))
+        out.close()
+        return max(dead, default=last) + 1
+    raise RuntimeError(f"no commit in {attempts} attempts")
+
+
+def write_index(tables: dict[str, DataFrame], root: str, version: str) -> str:
+    """Write all tables into a folder of their own, then commit it: readers see the old version or the new one, never a mix."""
     spark = next(iter(tables.values())).sparkSession
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{root}/{version}/{name}")
-    spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at")).coalesce(1).write.mode("append").parquet(f"{root}/current")
-    return f"{root}/{version}"
+    name = f"{version}-{uuid.uuid4().hex[:8]}"
+    for table, df in tables.items():
+        df.write.parquet(f"{root}/{name}/{table}")
+    commit(spark, root, lambda _: name)
+    return f"{root}/{name}"
 
 
 def read_index(spark: SparkSession, root: str, names: list[str]) -> dict[str, DataFrame]:
-    version = spark.read.parquet(f"{root}/current").agg(F.max_by("version", "at")).first()[0]
+    version = commits(spark, root)[-1][1]
     return {n: spark.read.parquet(f"{root}/{version}/{n}") for n in names}
 
 
+def expire_versions(spark: SparkSession, root: str, keep: int = 2) -> list[str]:
+    """Remove all versions but the last ``keep``, which running readers may still use; the removed ones. Commits are removed first, so no reader starts on a version that goes."""
+    old = commits(spark, root)[:-keep]
+    for number, _ in old:
+        fs, place = _fs(spark, f"{root}/_commits/{number:012d}")
+        fs.delete(place, False)
+    for _, version in old:
+        fs, place = _fs(spark, f"{root}/{version}")
+        fs.delete(place, True)
+    return [version for _, version in old]
+
+
 def replace_slice(new: DataFrame, path: str, by: str = "source_type") -> None:
     """Overwrite only the partitions that ``new`` has rows of."""
     new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)

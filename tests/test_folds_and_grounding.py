@@ -211,6 +211,87 @@ def test_streams(spark, tmp_path):
     assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
 
 
+def test_two_writers_both_commit(spark, tmp_path):
+    root = str(tmp_path / "index")
+    calls = []
+
+    def slow(last):
+        calls.append(last)
+        if len(calls) == 1:  # another writer comes in between
+            src.commit(spark, root, lambda x: f"{x or ''}b")
+        return f"{last or ''}a"
+
+    src.commit(spark, root, lambda x: "0")
+    src.commit(spark, root, slow)
+    assert calls == ["0", "0b"] and [c for _, c in src.commits(spark, root)] == ["0", "0b", "0ba"]
+
+
+def test_writers_in_threads_all_commit(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = str(tmp_path / "index")
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda k: src.commit(spark, root, lambda last: f"{last or ''}{k}"), "abcdefgh"))
+    last = src.commits(spark, root)[-1][1]
+    assert sorted(last) == list("abcdefgh")
+
+
+def test_a_dead_writers_commit_is_passed_over(spark, tmp_path):
+    root = tmp_path / "index"
+    src.commit(spark, str(root), lambda x: "one")
+    (root / "_commits" / f"{2:012d}").write_text("half")
+    with pytest.raises(RuntimeError):
+        src.commit(spark, str(root), lambda x: "two", attempts=2, patience=60)
+    assert src.commit(spark, str(root), lambda x: f"{x} two", patience=0) == 3
+    assert src.commits(spark, str(root)) == [(1, "one"), (3, "one two")]
+
+
+def test_old_versions_expire(spark, tmp_path):
+    root = str(tmp_path / "index")
+    for k in range(4):
+        src.write_index({"t": spark.createDataFrame([(k,)], "x int")}, root, f"v{k}")
+    gone = src.expire_versions(spark, root, keep=2)
+    assert [x[:2] for x in gone] == ["v0", "v1"] and not (tmp_path / "index" / gone[0]).exists()
+    assert src.read_index(spark, root, ["t"])["t"].first().x == 3
+
+
+def merged_equals_rebuild(spark, root, rows):
+    from lectern.operators import index, segments
+
+    got, want = segments.read_segments(spark, root), index.build_index(spark.createDataFrame(rows, "id string, doc_id string, text string"))
+    for name, columns in {"terms": ["chunk_id", "word", "tf", "token_count"], "places": ["chunk_id", "word", "gaps"], "lexemes": ["word", "ndoc"], "stats": ["chunk_count", "avg_len"]}.items():
+        a, b = (sorted(map(str, t[name].select(*columns).collect())) for t in (got, want))
+        assert a == b, name
+
+
+def test_segments_equal_a_rebuild(spark, tmp_path):
+    import random
+
+    from lectern.operators import segments
+
+    dice = random.Random(4)
+    words = [f"word{i}" for i in range(60)]
+    root, docs = str(tmp_path / "segments"), {}
+    write = lambda ids: {d: [(f"{d}#{k}", d, " ".join(dice.choices(words, k=dice.randrange(0, 12)))) for k in range(dice.randrange(1, 4))] for d in ids}
+    rows = lambda of: [r for x in of.values() for r in x]
+    for ids in (range(40), [3], [7, 100], [3, 101], [102], [7]):
+        new = write(f"d{i}" for i in ids)
+        docs |= new
+        segments.write_segment(spark.createDataFrame(rows(new), "id string, doc_id string, text string"), root)
+        if ids == [3]:  # an edit writes the rows of its document only
+            last = segments.segments(spark, root)[-1]
+            assert spark.read.parquet(f"{root}/{last['name']}/counted").count() == len(new["d3"]) == last["rows"]
+    merged_equals_rebuild(spark, root, rows(docs))
+    assert len(segments.segments(spark, root)) == 6
+    assert segments.compact(spark, root, tier=4) == 5
+    assert len(segments.segments(spark, root)) == 2
+    merged_equals_rebuild(spark, root, rows(docs))
+    new = write(["d3", "d5"])
+    docs |= new
+    segments.write_segment(spark.createDataFrame(rows(new), "id string, doc_id string, text string"), root)
+    merged_equals_rebuild(spark, root, rows(docs))
+
+
 def uploads(spark, folder):
     schema = spark.read.format("binaryFile").load(str(folder)).schema
     files = spark.readStream.format("binaryFile").schema(schema).load(str(folder))
