@@ -1,7 +1,7 @@
 """Event logs folded into current tables: leads, escalations, conversations,
 versions, uploads. Folds are combining aggregates (max_by on the event's
 sequence), so a key of very many events is folded where it is read and no key
-is buffered; the same aggregates run as streams.
+is buffered; the same aggregates run as streams. What looks back is a segmented scan over ranges.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import trim_all
+from lectern.sources.staging import staged
 
 EMAIL = r"^[^\s@]+@[^\s@]+\.[^\s@]{2,}$"
 LEAD_FIELDS = ["name", "email", "company", "interest", "booking_route", "source_url"]
@@ -109,18 +110,35 @@ def resolve_route(df: DataFrame, routes: DataFrame, fallback: str = "general") -
     return j.withColumn("route", F.when(F.col("url").isNull(), fallback).otherwise(F.col("route"))).withColumn("url", F.coalesce("url", "_url")).drop("_url")
 
 
+def previous_values(events: DataFrame, key: str = "key", seq: str = "seq", value: str = "value") -> DataFrame:
+    """``events`` with ``_previous``, the value of the key's row before (null for its first, or if that is null).
+
+    A segmented scan: rows are ranged by key and place, and written, so a key of very many rows spreads over ranges; each
+    range looks back within itself, and its first row to the last one of the range before, of which there is one row a range.
+    """
+    ranged = staged(events.repartitionByRange(key, seq).withColumn("_range", F.spark_partition_id()))
+    own = Window.partitionBy("_range").orderBy(key, seq)
+    last = ranged.groupBy("_range").agg(F.max(F.struct(F.col(key).alias("k"), F.col(seq).alias("s"), F.col(value).alias("v"))).alias("last"))
+    # one row a range
+    border = last.select("_range", F.lag("last").over(Window.orderBy("_range")).alias("_before"))
+    back = F.lag(F.struct(F.col(key).alias("k"), F.col(seq).alias("s"), F.col(value).alias("v"))).over(own)
+    seen = ranged.withColumn("_back", back).join(F.broadcast(border), "_range")
+    before = F.coalesce("_back", "_before")
+    return seen.withColumn("_previous", F.when(before["k"] == F.col(key), before["v"])).select(*[F.col(f"`{c}`") for c in events.columns], "_previous")
+
+
 def version_trail(edits: DataFrame, defaults: DataFrame | None = None) -> DataFrame:
     """key, seq, ts, value, who: the value that each edit replaced, of edits that change it.
 
     A null value is a reset: the default is back and no version is written.
     """
     default = F.lit("")
+    seen = previous_values(edits.select("key", "seq", "ts", "value", "who"))
     if defaults is not None:
-        edits = edits.join(defaults.select("key", F.col("value").alias("_default")), "key", "left")
+        seen = seen.join(defaults.select("key", F.col("value").alias("_default")), "key", "left")
         default = F.coalesce("_default", F.lit(""))
-    order = Window.partitionBy("key").orderBy("seq")
-    previous = F.coalesce(F.lag("value").over(order), default)
-    out = edits.withColumn("_previous", previous).where(F.col("value").isNotNull() & (F.col("value") != F.col("_previous")))
+    seen = seen.withColumn("_previous", F.coalesce("_previous", default))
+    out = seen.where(F.col("value").isNotNull() & (F.col("value") != F.col("_previous")))
     return out.select("key", "seq", "ts", F.col("_previous").alias("value"), "who")
 
 

@@ -268,22 +268,36 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
-def _cosine(shared, limit: int):
+def _cosine(shared, limit: int, rows: int = 1024):
+    """Scores of ``rows`` chunks at a time, of which each question keeps its best ``limit``: what could be among them by score is picked in one partition, and ranked in one sort over all questions."""
+
+    def best_of(ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if scores.shape[1] <= limit:
+            return ids, scores
+        # scores are compared to nine decimals, as the final ranking does; ties with the last one stay for the sort
+        even = np.round(scores, 9)
+        least = np.partition(even, even.shape[1] - limit, axis=1)[:, even.shape[1] - limit]
+        owner, place = np.nonzero(even >= least[:, None])
+        order = np.lexsort((ids[owner, place], -even[owner, place], owner))
+        owner, place = owner[order], place[order]
+        first = np.searchsorted(owner, np.arange(len(scores)))
+        keep = np.arange(len(owner)) - first[owner] < limit
+        place = place[keep].reshape(len(scores), limit)
+        return np.take_along_axis(ids, place, 1), np.take_along_axis(scores, place, 1)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = shared.value
         best_ids, best = None, None
-        for b in batches:
-            column = b.column("embedding")
-            vectors = _unit(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1))
-            scores = matrix @ vectors.T
-            own = np.broadcast_to(b.column("chunk_id").to_numpy(zero_copy_only=False), scores.shape)
-            if best is not None:
-                scores, own = np.concatenate((best, scores), axis=1), np.concatenate((best_ids, own), axis=1)
-            if scores.shape[1] > limit:
-                # by score, then id, so that ties are cut as the final ranking cuts them
-                order = np.stack([np.lexsort((own[i], -scores[i]))[:limit] for i in range(len(scores))])
-                scores, own = np.take_along_axis(scores, order, 1), np.take_along_axis(own, order, 1)
-            best, best_ids = scores, own
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows):
+                b = whole.slice(at, rows)
+                column = b.column("embedding")
+                vectors = _unit(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1))
+                scores = matrix @ vectors.T
+                own = np.broadcast_to(b.column("chunk_id").to_numpy(zero_copy_only=False), scores.shape)
+                if best is not None:
+                    scores, own = np.concatenate((best, scores), axis=1), np.concatenate((best_ids, own), axis=1)
+                best_ids, best = best_of(own, scores)
         if best is not None:
             n = best.shape[1]
             yield pa.RecordBatch.from_arrays([pa.array([q for q in ids for _ in range(n)]), pa.array(best_ids.reshape(-1)), pa.array(best.reshape(-1))], names=["query_id", "chunk_id", "raw"])

@@ -211,6 +211,28 @@ def test_streams(spark, tmp_path):
     assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
 
 
+def test_a_hot_key_spreads_over_ranges(spark):
+    """A third of all edits are one key's; keys end and begin inside ranges and at their borders."""
+    import random
+
+    dice = random.Random(6)
+    rows = [(k, i, dice.choice([None, "a", "b", "c"])) for i, k in enumerate(["hot"] * 500 + [f"k{dice.randrange(40)}" for _ in range(1000)])]
+    dice.shuffle(rows)
+    df = spark.createDataFrame(rows, "key string, seq int, value string")
+    last, want = {}, {}
+    for k, i, v in sorted(rows):
+        want[k, i], last[k] = last.get(k), v
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        got = folds.previous_values(df)
+        assert {(r.key, r.seq): r._previous for r in got.collect()} == want
+        assert folds.previous_values(df.limit(0)).collect() == []
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_two_writers_both_commit(spark, tmp_path):
     root = str(tmp_path / "index")
     calls = []
