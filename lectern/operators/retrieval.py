@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lectern.functions.analysis import tokenize
 from lectern.functions.text import mark_terms
@@ -256,7 +258,7 @@ def cosine_top_k(query_vecs: DataFrame, chunk_vecs: DataFrame, limit: int = PER_
         if not rows:
             continue
         shared = spark.sparkContext.broadcast(([r.query_id for r in rows], _unit(np.array([r.embedding for r in rows], np.float64))))
-        scored = chunk_vecs.where("embedding is not null").select("chunk_id", "embedding").mapInArrow(_cosine(shared, limit), f"query_id {kind}, chunk_id {chunk_kind}, raw double")
+        scored = chunk_vecs.where("embedding is not null").select("chunk_id", "embedding").mapInArrow(_cosine(shared, limit, to_arrow_type(query_vecs.schema["query_id"].dataType)), f"query_id {kind}, chunk_id {chunk_kind}, raw double")
         out = scored if out is None else out.unionByName(scored)
     if out is None:
         out = spark.createDataFrame([], f"query_id {kind}, chunk_id {chunk_kind}, raw double")
@@ -268,7 +270,7 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
-def _cosine(shared, limit: int, rows: int = 1024):
+def _cosine(shared, limit: int, kind: pa.DataType, rows: int = 1024):
     """Scores of ``rows`` chunks at a time, of which each question keeps its best ``limit``: what could be among them by score is picked in one partition, and ranked in one sort over all questions."""
 
     def best_of(ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -300,11 +302,106 @@ def _cosine(shared, limit: int, rows: int = 1024):
                 best_ids, best = best_of(own, scores)
         if best is not None:
             n = best.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array([q for q in ids for _ in range(n)]), pa.array(best_ids.reshape(-1)), pa.array(best.reshape(-1))], names=["query_id", "chunk_id", "raw"])
+            yield pa.RecordBatch.from_arrays([pa.array([q for q in ids for _ in range(n)], kind), pa.array(best_ids.reshape(-1)), pa.array(best.reshape(-1))], names=["query_id", "chunk_id", "raw"])
 
     return run
 
 
+def build_vector_index(chunk_vecs: DataFrame, lists: int | None = None, sample: int = 20_000, rounds: int = 10) -> dict[str, object]:
+    """Inverted lists of unit vectors: ``rows(chunk_id, embedding, list)`` of every row with a vector, ``centres``, and each list's ``radius``, the widest angle of a row to its centre.
+
+    Centres are fitted by spherical k-means on ``sample`` rows at most, those of smallest hash; by default there are as many lists as the root of the rows, 4,096 at most.
+    """
+    spark = chunk_vecs.sparkSession
+    given = chunk_vecs.where("embedding is not null and size(embedding) > 0").select("chunk_id", "embedding")
+    n = given.count()
+    lists = lists or max(1, min(4096, int(n**0.5)))
+    few = given.withColumn("h", F.pmod(F.xxhash64("chunk_id"), F.lit(1 << 32))).where(F.col("h") < (1 << 32) * min(1.0, 2 * sample / max(1, n))).orderBy("h").limit(sample)
+    held = [r.embedding for r in few.select("embedding").collect()]
+    points = _unit(np.array(held, np.float64)) if held else np.zeros((0, 1))
+    centres = points[np.linspace(0, len(points) - 1, min(lists, len(points))).astype(int)] if len(points) else np.zeros((0, 0))
+    for _ in range(rounds if len(points) else 0):
+        own = np.argmax(points @ centres.T, axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, points)
+        centres = np.where(np.linalg.norm(sums, axis=1, keepdims=True) > 0, _unit(sums), centres)
+    shared = spark.sparkContext.broadcast(centres)
+
+    def assign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            column = b.column("embedding")
+            scores = _unit(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)) @ shared.value.T
+            own = np.argmax(scores, axis=1)
+            angle = np.arccos(np.clip(scores[np.arange(len(own)), own], -1, 1))
+            yield pa.RecordBatch.from_arrays([b.column("chunk_id"), column, pa.array(own, pa.int32()), pa.array(angle)], names=["chunk_id", "embedding", "list", "angle"])
+
+    kinds = dict(given.dtypes)
+    rows = staged(given.mapInArrow(assign, f"chunk_id {kinds['chunk_id']}, embedding {kinds['embedding']}, list int, angle double").repartitionByRange("list", "chunk_id").sortWithinPartitions("list", "chunk_id"))
+    radius = np.zeros(len(centres))
+    for r in rows.groupBy("list").agg(F.max("angle").alias("radius")).collect():
+        radius[r.list] = r.radius
+    return {"rows": rows.drop("angle"), "centres": centres, "radius": radius}
+
+
+def vector_index_top_k(query_vecs: DataFrame, built: dict[str, object], limit: int = PER_ARM, probes: int = 8, exact: bool = True, block: int = 4096) -> DataFrame:
+    """query_id, chunk_id, pos, raw: cosine top-k from an index's lists.
+
+    A question's ``probes`` nearest lists are scored first. With ``exact``, so are those that may hold a better row than its ``limit``-th best so far, as
+    no row is nearer to a question than its list's centre less the list's radius. Scores are exact in either case.
+    """
+    spark = query_vecs.sparkSession
+    queries = query_vecs.where("embedding is not null and size(embedding) > 0").select("query_id", "embedding")
+    parts, kinds = max(1, -(-queries.count() // block)), (dict(queries.dtypes)["query_id"], dict(built["rows"].dtypes)["chunk_id"])
+    schema = f"query_id {kinds[0]}, chunk_id {kinds[1]}, raw double"
+    out = spark.createDataFrame([], schema)
+    for k in range(parts if len(built["centres"]) else 0):
+        held = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == k).collect()
+        if not held:
+            continue
+        ids, matrix = [r.query_id for r in held], _unit(np.array([r.embedding for r in held], np.float64))
+        angles = np.arccos(np.clip(matrix @ built["centres"].T, -1, 1))
+        near = np.argsort(angles, axis=1, kind="stable")[:, :probes]
+        asked = np.zeros(angles.shape, bool)
+        np.put_along_axis(asked, near, True, axis=1)
+        first = staged(limit_per_query(_score_lists(spark, built["rows"], ids, matrix, asked, limit, schema), limit).drop("pos"))
+        out = out.unionByName(first)
+        if exact:
+            worst = {r.query_id: r.raw for r in first.groupBy("query_id").agg(F.min("raw").alias("raw"), F.count("*").alias("n")).where(F.col("n") == limit).collect()}
+            reach = np.array([np.arccos(np.clip(worst[q], -1, 1)) if q in worst else np.pi for q in ids])
+            more = ~asked & (angles - built["radius"] <= reach[:, None] + 1e-9)
+            if more.any():
+                out = out.unionByName(_score_lists(spark, built["rows"], ids, matrix, more, limit, schema))
+    return limit_per_query(out, limit)
+
+
+def _score_lists(spark, rows: DataFrame, ids: list, matrix: np.ndarray, asked: np.ndarray, limit: int, schema: str) -> DataFrame:
+    """The best ``limit`` rows of each task for each question, of the lists that it asks for; lists that no question asks for are not read."""
+    wanted = np.flatnonzero(asked.any(axis=0)).tolist()
+    shared = spark.sparkContext.broadcast((ids, matrix, asked))
+    kind = to_arrow_type(T._parse_datatype_string(schema)["query_id"].dataType)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, matrix, asked = shared.value
+        found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for b in batches:
+            number = b.column("list").to_numpy()
+            for one in np.unique(number):
+                part = b.filter(pa.array(number == one))
+                column, mine = part.column("embedding"), np.flatnonzero(asked[:, one])
+                scores = matrix[mine] @ _unit(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)).T
+                own = part.column("chunk_id").to_numpy(zero_copy_only=False)
+                for q, s in zip(mine.tolist(), scores, strict=True):
+                    before = found.get(q)
+                    i, s = (own, s) if before is None else (np.concatenate((before[0], own)), np.concatenate((before[1], s)))
+                    order = np.lexsort((i, -np.round(s, 9)))[:limit]
+                    found[q] = (i[order], s[order])
+        if found:
+            size = [len(s) for _, s in found.values()]
+            yield pa.RecordBatch.from_arrays([pa.array([ids[q] for q, n in zip(found, size, strict=True) for _ in range(n)], kind), pa.array(np.concatenate([i for i, _ in found.values()])), pa.array(np.concatenate([s for _, s in found.values()]))], names=["query_id", "chunk_id", "raw"])
+
+    return rows.where(F.col("list").isin(wanted)).mapInArrow(run, schema)
+
+
 def keyword_rank(bm25_hits: DataFrame, strict_hits: DataFrame, bonus: float = STRICT_BONUS) -> DataFrame:
     """query_id, chunk_id, pos, raw, bm25_raw: the two lexical arms as one vote.
 

@@ -452,6 +452,14 @@ def r3_cosine_top_k(spark, sf_dir):
     return retrieval.cosine_top_k(e.where("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "query_id"), e).select("query_id", "chunk_id", F.round("raw", 5).alias("raw"))
 
 
+@query(f"WITH {sql.cosine('vec_id % 50 = 0')} SELECT query_id, chunk_id, round(raw, 5) AS raw FROM sem")
+def r3_vector_index(spark, sf_dir):
+    """The same rows from inverted lists, by their bounds."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    found = retrieval.vector_index_top_k(e.where("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "query_id"), retrieval.build_vector_index(e))
+    return found.select("query_id", "chunk_id", F.round("raw", 5).alias("raw"))
+
+
 def semantic_arm(spark, sf_dir) -> DataFrame:
     """Of the benchmark's questions: the vector of a question's id is its own."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
