@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lectern.functions.analysis import shingled
-from lectern.sources.staging import staged
+from lectern.sources.staging import drop_staged, staged
 
 THRESHOLD = 0.6
 
@@ -185,7 +185,8 @@ def _settle(edges: DataFrame) -> DataFrame:
         new = staged(open_.repartitionByRange("qo", "q").sortWithinPartitions("qo", "q", "po", "p").select("q", "p", "p_kept").mapInArrow(walk, schema))
         settled = new if settled is None else settled.unionByName(new)
         rest = open_.join(new.select("q"), "q", "left_anti").join(new.select(F.col("q").alias("p"), F.col("kept").alias("now")), "p", "left")
-        open_ = staged(rest.withColumn("p_kept", F.coalesce("p_kept", "now")).drop("now"))
+        before, open_ = open_, staged(rest.withColumn("p_kept", F.coalesce("p_kept", "now")).drop("now"))
+        drop_staged(before)
         if open_.isEmpty():
             return settled
 
@@ -219,7 +220,8 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, key: str
         tested = tested.select(F.col("cls_h"), "size_h", "place_h", F.col("cls").alias("cls_m"), F.col("size").alias("size_m"), F.col("place").alias("place_m")).where(near("_h", "_m"))
         found = staged(_compared(tested.select(F.col("cls_h").alias("a"), F.col("cls_m").alias("b")).distinct(), classes, threshold))
         edges, led, gone = [*edges, found], [*led, ahead.select("cls")], [*gone, found.select(F.col("b").alias("cls")).distinct()]
-        open_ = staged(open_.join(led[-1], "cls", "left_anti").join(gone[-1], "cls", "left_anti"))
+        before, open_ = open_, staged(open_.join(led[-1], "cls", "left_anti").join(gone[-1], "cls", "left_anti"))
+        drop_staged(met, *([] if before is lists else [before]))
     side = lambda c: first.select(F.col("cls").alias(c), F.col("f").alias(f"f{c}"))
     before = F.col("fa") < F.col("fb")
     pick = lambda x, y: F.when(before, F.col(x)).otherwise(F.col(y))
@@ -249,6 +251,7 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, key: str
     named = ordered.join(first, "cls").join(match, "cls", "left")
     dupes = named.where("kept is not null or key <> f.key").select(F.coalesce("kept", "f.key").alias("kept"), F.col("key").alias("dropped"), F.round(F.coalesce("similarity", F.lit(1.0)), 3).alias("similarity"))
     dupes = staged(dupes)
+    drop_staged(lists, last, first, *edges, *([] if open_ is lists else [open_]))
     return docs.join(dupes.select(F.col("dropped").alias(key)), key, "left_anti"), dupes
 
 

@@ -23,10 +23,22 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read back: what follows is computed once, and lost executors lose nothing."""
+    """Write to the shared folder and read back: cuts the lineage, what follows is computed once, and lost executors lose
+    nothing. ``drop_staged`` removes what is no longer needed."""
     path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def drop_staged(*tables: DataFrame) -> None:
+    """Remove what ``staged`` wrote of these tables, once nothing reads them any more."""
+    for df in tables:
+        path = getattr(df, "_staged_at", None)
+        if path:
+            place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
