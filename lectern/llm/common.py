@@ -7,8 +7,6 @@ does not depend on how many rows an Arrow batch holds.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -17,54 +15,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.sources.staging import spread
+from lectern.sources.staging import drop_staged, shared_folder, spread, staged  # noqa: F401  (this subpackage's modules take them from here)
 
 #: ASCII white space, as in ``[^\x20\x09-\x0D]+``.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Lower-cases A-Z and nothing else.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
-_own_folder: list[str] = []
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only a local master may go without; it then gets a temporary folder.
-    """
-    given = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if given:
-        return given.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _own_folder:
-        _own_folder.append(tempfile.mkdtemp(prefix="spark-"))
-    return f"file://{_own_folder[0]}"
-
-
-def staged(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read back: cuts the lineage and survives
-    lost executors. ``drop_staged`` removes what is no longer needed."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._staged_at = path
-    return out
-
-
-def drop_staged(df: DataFrame) -> None:
-    path = getattr(df, "_staged_at", None)
-    if path:
-        spark = df.sparkSession
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
 def row_of(df: DataFrame) -> Column:
     """The given row as one column ``given``, beside which helper columns can't clash with its own."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("given")
