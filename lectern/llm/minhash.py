@@ -138,6 +138,7 @@ def _least_needed(percent: int, k: int, floor: int) -> np.ndarray:
 
 
 def _needed(na: Column, nb: Column, percent: int, k: int, floor: int) -> Column:
+    na, nb = na.cast("long"), nb.cast("long")
     o = F.floor((percent * (na + nb) + 99 + percent) / (100 + percent))
     return F.when((na <= k) & (nb <= k), o).otherwise(F.greatest(F.lit(k) - (na + nb - 2 * o), F.lit(floor)))
 
@@ -229,6 +230,25 @@ def _entries(classes: DataFrame, percent: int, k: int, floor: int, longest: int
     return classes.select("cls", "n", "sketch").mapInArrow(run, "value long, cls long, n int, place int")
 
 
+MARKS = 16  # words of 64 bits
+
+
+def _marks(classes: DataFrame) -> DataFrame:
+    """cls, n, held (values of the sketch), bits: a bit for each value of the sketch, by its last bits."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = b.column("sketch").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = b.column("sketch").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            bits = np.zeros((len(sizes), MARKS * 64), np.uint8)
+            bits[np.repeat(np.arange(len(sizes)), sizes), (flat % np.uint64(MARKS * 64)).astype(np.int64)] = 1
+            words = np.packbits(bits, axis=1, bitorder="little").view("<i8").reshape(-1)
+            at = pa.array(np.arange(len(sizes) + 1) * MARKS, pa.int32())
+            yield batch({"cls": (b.column("cls"), None), "n": (b.column("n"), None), "held": (sizes, pa.int32()), "bits": (pa.ListArray.from_arrays(at, pa.array(words)), None)})
+
+    return classes.select("cls", "n", "sketch").mapInArrow(run, "cls long, n int, held int, bits array<bigint>")
+
+
 class Sets:
     """The classes of a table: ``classes(cls, sign, n, sketch, rep)``, and the full sets of some of them."""
 
@@ -238,10 +258,11 @@ class Sets:
         grouped = signs(docs, width, k).groupBy("sign").agg(rep, F.count("*").alias("rows"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
         # numbers of partition and row: fixed, as the table is written
         self.classes = staged(grouped.withColumn("cls", F.monotonically_increasing_id()))
+        self.marks = staged(_marks(self.classes))
 
     def near(self, a: str, b: str) -> Column:
         """Whether sizes and places leave room for the overlap that is needed."""
-        n, p = F.col(f"n{a}"), F.col(f"n{b}")
+        n, p = F.col(f"n{a}").cast("long"), F.col(f"n{b}").cast("long")
         sketch = lambda c: F.least(c, F.lit(self.k))
         room = F.least(sketch(n) - F.col(f"place{a}"), sketch(p) - F.col(f"place{b}"))
         return (F.least(n, p) * 100 >= F.greatest(n, p) * self.percent) & (room >= _needed(n, p, self.percent, self.k, self.floor))
@@ -261,14 +282,23 @@ class Sets:
         return found.mapInArrow(run, "cls long, full array<bigint>").groupBy("cls").agg(F.first("full").alias("full"))
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """a, b of ``pairs(a, b)`` whose full sets reach the threshold."""
-        side = lambda c: self.classes.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+        """a, b of ``pairs(a, b)`` whose full sets reach the threshold.
+
+        A value whose bit the other sketch lacks is not in it, so bits bound the overlap from above; few pairs are left whose sketches have to meet.
+        """
+        mark = lambda c: self.marks.select(F.col("cls").alias(c), *[F.col(x).alias(f"{x}{c}") for x in ("n", "held", "bits")])
+        alone = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseAND(F.bitwise_not(v)))), F.lit(0), lambda n, k: n + k)
+        room = F.least(F.col("helda") - alone("bitsa", "bitsb"), F.col("heldb") - alone("bitsb", "bitsa"))
+        pairs = staged(pairs.join(mark("a"), "a").join(mark("b"), "b").where(room >= _needed(F.col("na"), F.col("nb"), self.percent, self.k, self.floor)).select("a", "b"))
+        members = staged(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
+        own = staged(self.classes.join(members, "cls", "left_semi").select("cls", "n", "sketch"))
+        side = lambda c: own.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b")
         shared = F.array_intersect("sa", "sb")
         whole = (F.col("na") <= self.k) & (F.col("nb") <= self.k)
         union = F.slice(F.sort_array(F.array_union("sa", "sb")), 1, self.k)
         estimate = F.size(F.array_intersect(shared, union))
-        linked = lambda n: n * (100 + self.percent) >= (F.col("na") + F.col("nb")) * self.percent
+        linked = lambda n: n.cast("long") * (100 + self.percent) >= (F.col("na").cast("long") + F.col("nb")) * self.percent
         kept = F.when(whole, linked(F.size(shared))).otherwise(estimate >= _needed(F.col("na"), F.col("nb"), self.percent, self.k, self.floor))
         passed = staged(both.where(kept).select("a", "b", "na", "nb", whole.alias("whole")))
         rest = passed.where("not whole")
@@ -276,8 +306,7 @@ class Sets:
         sets = lambda c: full.select(F.col("cls").alias(c), F.col("full").alias(f"f{c}"))
         exact = rest.join(sets("a"), "a").join(sets("b"), "b").where(linked(F.size(F.array_intersect("fa", "fb"))))
         out = staged(passed.where("whole").select("a", "b").unionByName(exact.select("a", "b")))
-        drop_staged(passed)
-        drop_staged(full)
+        drop_staged(pairs, members, own, passed, full)
         return out
 
 
@@ -310,6 +339,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, k: int =
     sets = Sets(docs, width, k, percent, share)
     rooted = sets.classes.select("cls", "sign", "rep", "rows").join(links(sets, block), "cls", "left").select("sign", F.coalesce("root", "cls").alias("root"), "rep", "rows")
     rooted = staged(rooted)
+    drop_staged(sets.marks, sets.classes)
     least = rooted.groupBy("root").agg(F.min("rep").alias("least")).select("root", F.col("least.doc_id").alias("component_id"))
     named = staged(rooted.join(least, "root").select("sign", "component_id", "rows"))
     drop_staged(rooted)
