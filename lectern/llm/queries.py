@@ -65,6 +65,18 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 ORACLES: dict[str, str] = {
+    "op5_decontaminate": """
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+        ), b AS (
+            SELECT item_id, least(10, len(w)) AS k, w FROM (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark)
+        ), windows AS (SELECT DISTINCT item_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS x FROM b WHERE k > 0),
+        places AS (SELECT r, k, unnest(range(1, len(w) - k + 2)) AS i, w FROM d JOIN (SELECT DISTINCT k FROM windows) ON len(w) >= k),
+        hits AS (SELECT r, p.k, i, item_id FROM (SELECT r, k, i, array_to_string(w[i:i + k - 1], ' ') AS x FROM places) p JOIN windows v ON v.k = p.k AND v.x = p.x),
+        covered AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest(range(i, i + k)) AS j FROM hits) GROUP BY r),
+        items AS (SELECT r, count(DISTINCT item_id) AS n, string_agg(DISTINCT item_id::varchar, ',' ORDER BY item_id::varchar) AS said FROM hits GROUP BY r)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(covered.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items, sha256(coalesce(said, '')) AS items_sha256, coalesce(covered.n, 0) > 0 AS contaminated
+        FROM d LEFT JOIN covered USING (r) LEFT JOIN items USING (r)""",
     "op11_minhash": """
         WITH RECURSIVE said AS (
             SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
