@@ -124,6 +124,37 @@ HTML = """<html><head><title>Plans | Site 9 - x</title></head><body><nav>Menu</n
 <main><h1>Call</h1><p>Ask a <b>question<p>Second &amp; third x<div aria-hidden="true">gone</div><ul><li>one<li>two</ul><script>var t="</p>";</script></main><footer>f</footer></body></html>"""
 
 
+def test_chunks_lose_nothing_of_a_whole_table(spark):
+    """Of every document: numbered chunks whose pieces, less what each repeats of the one before, are its text; sizes and the manifest's counts."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    found = {}
+    lines = F.replace("text", F.lit("\n"), F.lit("\n\n"))  # each line a paragraph
+    chunks = chunking.chunk_documents(docs.select("doc_id", chunking.flat_segments(lines).alias("segments")))
+    for r in chunks.collect():
+        found.setdefault(r.doc_id, []).append(r)
+    bare = lambda x: "".join(x.split())
+    several = unlike = 0
+    for d, text in docs.collect():
+        own = sorted(found.get(d, []), key=lambda r: r.chunk_index)
+        assert [r.id for r in own] == [f"{d}#{k}" for k in range(len(own))] and all(r.char_count == len(r.text) for r in own)
+        assert all(len(r.text) >= chunking.LEAST for r in own) or len(own) == 1 or not bare(text or "")
+        whole, before = "", []
+        for r in own:
+            pieces = r.text.split("\n\n")
+            again = next((m for m in range(len(before) - 1, 0, -1) if pieces[:m] == before[-m:]), 0)
+            several += again > 0
+            assert len("\n\n".join(pieces[again:])) <= chunking.MOST + chunking.LEAST + 2 or any(len(p) > chunking.MOST for p in pieces)
+            whole, before = whole + "".join(pieces[again:]), pieces
+        said = [x for x in (text or "").split("\n") if x.strip()]
+        # where lines repeat, what was carried over can't be told from what came again
+        assert bare(whole) == bare(text or "") or len(set(said)) < len(said), d
+        unlike += len(set(said)) == len(said) and len(own) > 1
+    assert several > 50 and unlike > 50
+    counted, skipped = chunking.build_manifest(docs.drop("text"), chunks)
+    assert {r.doc_id: r.chunk_count for r in counted.collect()} == {d: len(c) for d, c in found.items()}
+    assert {r.doc_id for r in skipped.collect()} == {d for d, _ in docs.collect()} - found.keys()
+
+
 def test_html(spark):
     df = spark.createDataFrame([(1, "/plans", HTML, "clash"), (2, "/", "<body>plain<br>two</body>", ""), (3, "/none", None, "")], "id int, url string, html string, text string")
     rows = {r.id: r for r in pages.html_to_text(df, suffix="Site 9").collect()}
