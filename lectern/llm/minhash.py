@@ -29,7 +29,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -230,23 +231,22 @@ def _entries(classes: DataFrame, percent: int, k: int, floor: int, longest: int
     return classes.select("cls", "n", "sketch").mapInArrow(run, "value long, cls long, n int, place int")
 
 
-MARKS = 16  # words of 64 bits
+MARKS = [f"m{i}" for i in range(8)]  # words of 64 bits
 
 
 def _marks(classes: DataFrame) -> DataFrame:
-    """cls, n, held (values of the sketch), bits: a bit for each value of the sketch, by its last bits."""
+    """cls, n, held (values of the sketch), m0 to m7: a bit for each value of the sketch, by its last bits."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes = b.column("sketch").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             flat = b.column("sketch").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            bits = np.zeros((len(sizes), MARKS * 64), np.uint8)
-            bits[np.repeat(np.arange(len(sizes)), sizes), (flat % np.uint64(MARKS * 64)).astype(np.int64)] = 1
-            words = np.packbits(bits, axis=1, bitorder="little").view("<i8").reshape(-1)
-            at = pa.array(np.arange(len(sizes) + 1) * MARKS, pa.int32())
-            yield batch({"cls": (b.column("cls"), None), "n": (b.column("n"), None), "held": (sizes, pa.int32()), "bits": (pa.ListArray.from_arrays(at, pa.array(words)), None)})
+            bits = np.zeros((len(sizes), len(MARKS) * 64), np.uint8)
+            bits[np.repeat(np.arange(len(sizes)), sizes), (flat % np.uint64(len(MARKS) * 64)).astype(np.int64)] = 1
+            words = np.packbits(bits, axis=1, bitorder="little").view("<i8")
+            yield batch({"cls": (b.column("cls"), None), "n": (b.column("n"), None), "held": (sizes, pa.int32())} | {m: (np.ascontiguousarray(words[:, i]), None) for i, m in enumerate(MARKS)})
 
-    return classes.select("cls", "n", "sketch").mapInArrow(run, "cls long, n int, held int, bits array<bigint>")
+    return classes.select("cls", "n", "sketch").mapInArrow(run, "cls long, n int, held int, " + ", ".join(f"{m} long" for m in MARKS))
 
 
 class Sets:
@@ -267,6 +267,12 @@ class Sets:
         room = F.least(sketch(n) - F.col(f"place{a}"), sketch(p) - F.col(f"place{b}"))
         return (F.least(n, p) * 100 >= F.greatest(n, p) * self.percent) & (room >= _needed(n, p, self.percent, self.k, self.floor))
 
+    def tight(self, a: str, b: str) -> Column:
+        """Whether the sketches' bits leave room for it: a value whose bit the other sketch lacks is not in it, so bits bound the overlap from above."""
+        alone = lambda x, y: reduce(add, [F.bit_count(F.col(f"{m}{x}").bitwiseAND(F.bitwise_not(f"{m}{y}"))) for m in MARKS])
+        room = F.least(F.col(f"held{a}") - alone(a, b), F.col(f"held{b}") - alone(b, a))
+        return room >= _needed(F.col(f"n{a}"), F.col(f"n{b}"), self.percent, self.k, self.floor)
+
     def full(self, wanted: DataFrame) -> DataFrame:
         """cls, full: the whole sets of the classes ``wanted(cls)``, from their representatives' texts."""
         of = self.classes.join(wanted, "cls", "left_semi").select("cls", F.col("rep.doc_id").alias("r_id"), F.col("rep.text_hash").alias("r_hash"))
@@ -284,12 +290,10 @@ class Sets:
     def verified(self, pairs: DataFrame) -> DataFrame:
         """a, b of ``pairs(a, b)`` whose full sets reach the threshold.
 
-        A value whose bit the other sketch lacks is not in it, so bits bound the overlap from above; few pairs are left whose sketches have to meet.
+        Few pairs are left by the sketches' bits, and only their sketches have to meet.
         """
-        mark = lambda c: self.marks.select(F.col("cls").alias(c), *[F.col(x).alias(f"{x}{c}") for x in ("n", "held", "bits")])
-        alone = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseAND(F.bitwise_not(v)))), F.lit(0), lambda n, k: n + k)
-        room = F.least(F.col("helda") - alone("bitsa", "bitsb"), F.col("heldb") - alone("bitsb", "bitsa"))
-        pairs = staged(pairs.join(mark("a"), "a").join(mark("b"), "b").where(room >= _needed(F.col("na"), F.col("nb"), self.percent, self.k, self.floor)).select("a", "b"))
+        mark = lambda c: self.marks.select(F.col("cls").alias(c), *[F.col(x).alias(f"{x}{c}") for x in ("n", "held", *MARKS)])
+        pairs = staged(pairs.join(mark("a"), "a").join(mark("b"), "b").where(self.tight("a", "b")).select("a", "b"))
         members = staged(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
         own = staged(self.classes.join(members, "cls", "left_semi").select("cls", "n", "sketch"))
         side = lambda c: own.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
@@ -325,8 +329,8 @@ def links(sets: Sets, block: int = 4096) -> DataFrame:
     # lists whose members are not yet all in one component
     rooted = lists.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("value", "cls", "n", "place", F.coalesce("root", "cls").alias("root"))
     apart = rooted.groupBy("value").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("value")
-    rest = staged(rooted.join(apart, "value"))
-    met = meeting_pairs(rest, ["value"], lambda a, b: (F.col(f"root{a}") != F.col(f"root{b}")) & sets.near(a, b), block)
+    rest = staged(rooted.join(apart, "value").join(sets.marks.drop("n"), "cls"))
+    met = meeting_pairs(rest, ["value"], lambda a, b: (F.col(f"root{a}") != F.col(f"root{b}")) & sets.near(a, b) & sets.tight(a, b), block)
     second = met.select(F.col("cls_l").alias("a"), F.col("cls_r").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     more = sets.verified(second)
     for table in (lists, first, roots, rest):
