@@ -294,7 +294,7 @@ class Sets:
         """
         mark = lambda c: self.marks.select(F.col("cls").alias(c), *[F.col(x).alias(f"{x}{c}") for x in ("n", "held", *MARKS)])
         pairs = staged(pairs.join(mark("a"), "a").join(mark("b"), "b").where(self.tight("a", "b")).select("a", "b"))
-        members = staged(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
+        members = staged(pairs.select(F.col("a").alias("cls")).distinct().unionByName(pairs.select(F.col("b").alias("cls")).distinct()).distinct())
         own = staged(self.classes.join(members, "cls", "left_semi").select("cls", "n", "sketch"))
         side = lambda c: own.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -306,7 +306,7 @@ class Sets:
         kept = F.when(whole, linked(F.size(shared))).otherwise(estimate >= _needed(F.col("na"), F.col("nb"), self.percent, self.k, self.floor))
         passed = staged(both.where(kept).select("a", "b", "na", "nb", whole.alias("whole")))
         rest = passed.where("not whole")
-        full = staged(self.full(rest.select(F.explode(F.array("a", "b")).alias("cls")).distinct()))
+        full = staged(self.full(rest.select(F.col("a").alias("cls")).distinct().unionByName(rest.select(F.col("b").alias("cls")).distinct()).distinct()))
         sets = lambda c: full.select(F.col("cls").alias(c), F.col("full").alias(f"f{c}"))
         exact = rest.join(sets("a"), "a").join(sets("b"), "b").where(linked(F.size(F.array_intersect("fa", "fb"))))
         out = staged(passed.where("whole").select("a", "b").unionByName(exact.select("a", "b")))
