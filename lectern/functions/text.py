@@ -31,6 +31,18 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: Letters whose full upper case is several letters, and what each is when letters map to one letter at most: itself, unless it has one capital.
+SEVERAL = "".join(c for c in map(chr, range(0x80, 0x10000)) if len(c.upper()) > 1)
+ONE_EACH = "".join("\u1E9E" if c == "\u00DF" else c.title() if len(c.title()) == 1 else c for c in SEVERAL)
+
+
+def upper_one_to_one(c: Column | str) -> Column:
+    """Upper case letter by letter, so that lengths stay: a sharp s becomes its capital and not two letters."""
+    apart = F.split(_col(c), f"(?<=[{SEVERAL}])|(?=[{SEVERAL}])")
+    each = F.transform(apart, lambda x: F.when(x.rlike(f"[{SEVERAL}]"), F.translate(x, SEVERAL, ONE_EACH)).otherwise(F.upper(x)))
+    return F.when(_col(c).rlike(f"[{SEVERAL}]"), F.array_join(each, "")).otherwise(F.upper(_col(c)))
+
+
 def trim_all(c: Column | str) -> Column:
     """Trim every kind of white space, not only spaces."""
     return F.regexp_replace(F.regexp_replace(_col(c), f"^[{SPACE}]+", ""), f"[{SPACE}]+$", "")

@@ -267,7 +267,7 @@ WHERE length({sql.trim_all('line')}) BETWEEN 3 AND 90 AND NOT regexp_matches({sq
 def c1_headings(spark, sf_dir):
     """Every third line stands in capitals."""
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line"))
-    lines = lines.select("doc_id", (F.col("p") + 1).cast("long").alias("line_no"), F.when(F.col("p") % 3 == 0, F.upper("line")).otherwise(F.col("line")).alias("heading"))
+    lines = lines.select("doc_id", (F.col("p") + 1).cast("long").alias("line_no"), F.when(F.col("p") % 3 == 0, t.upper_one_to_one("line")).otherwise(F.col("line")).alias("heading"))
     return lines.where(t.is_heading("heading"))
 
 

@@ -252,3 +252,17 @@ def test_manifest_and_collisions(spark):
     kept, skipped = chunking.build_manifest(docs, chunks)
     assert {r.chunk_count for r in kept.collect()} == {2} and [r.doc_id for r in skipped.collect()] == ["b"]
     assert chunking.slug_collisions(docs).first().n == 2
+
+
+def test_capitals_keep_their_number(spark):
+    """A sharp s has one capital, a ligature none."""
+    rows = [("geßsch straße",), ("ﬁn ŉa ᾀ ῼ é \U00010428",), ("plain",), (None,), ("ßß",), ("",)]
+    got = [r.y for r in spark.createDataFrame(rows, "x string").coalesce(1).select(t.upper_one_to_one("x").alias("y")).collect()]
+    assert got == ["GEẞSCH STRAẞE", "ﬁN ŉA ᾈ ῼ É \U00010400", "PLAIN", None, "ẞẞ", ""]
+
+
+def test_headings_in_capitals(spark, tmp_path):
+    from lectern.plans import queries
+
+    spark.createDataFrame([(1, "die große straße\nzwei"), (2, "no heading.")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [tuple(r) for r in queries.c1_headings(spark, str(tmp_path)).collect()] == [(1, 1, "DIE GROẞE STRAẞE")]
