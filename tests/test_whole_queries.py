@@ -75,3 +75,11 @@ def test_all_languages_and_bytes(spark, tmp_path):
     assert {(r.source, r.cohort): r.n for r in queries.f6_pattern_mentions(spark, d).collect()} == mentions and {i for i, _ in mentions} == {1, 2, 3}
     assert tuple(queries.f7_audit_cohorts(spark, d).first()) == ("Of FOR|Of for|The that", True)
     assert {1, 2, 3, 5} >= {r.chunk_id for r in queries.i2_english_lexemes(spark, d).collect()} >= {3, 5}
+
+
+def test_uploads_of_a_table_in_a_folder_of_parts(spark, tmp_path):
+    """A table may be a file or a folder of files."""
+    rows = spark.createDataFrame([(i, f"some words of number {i} " * 20) for i in range(8)], "doc_id long, text string")
+    rows.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["x1_stream_uploads"](spark, str(tmp_path)).collect()
+    assert len(got) == 8 and {r.status for r in got} <= {"live", "failed"} and any(r.status == "live" and r.embedded == 1 for r in got)
