@@ -82,6 +82,20 @@ _TERM = pa.struct([("word", pa.string()), ("tf", pa.int32())])
 COUNTED = "token_count int, terms array<struct<word:string,tf:int>>, gaps array<array<int>>"
 
 
+def pieces(batches: Iterable[pa.RecordBatch], limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Halve batches until each holds ``limit`` bytes or one row, in order: Spark bounds a batch by its rows, and what a helper
+    makes of a text takes many times the text's room."""
+    for batch in batches:
+        left = [batch]
+        while left:
+            b = left.pop()
+            if b.num_rows > 1 and b.nbytes > limit:
+                half = b.num_rows // 2
+                left += [b.slice(half), b.slice(0, half)]
+            else:
+                yield b
+
+
 def counted(rows: DataFrame, words: Words, placed: Callable[[str | None], list[tuple[str, int]]] | None = None) -> DataFrame:
     """chunk_id, token_count, terms array<struct<word, tf>>, gaps of ``rows(chunk_id, text)``. No shuffle.
 
@@ -89,7 +103,7 @@ def counted(rows: DataFrame, words: Words, placed: Callable[[str | None], list[t
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             texts = b.column("text").to_pylist()
             if placed is None:
                 found = list(map(words, texts))
@@ -149,7 +163,7 @@ def shingled(rows: DataFrame, n: int = 5) -> DataFrame:
     kept = [c for c in rows.columns if c != "text"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             offsets, hashes = shingle_hashes(b.column("text").to_pylist(), n)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(hashes))], names=[*kept, "s"])
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.functions.analysis import pieces
 from lectern.functions.text import SPACE, module_of, trim_all
 from lectern.sources.staging import staged
 
@@ -128,7 +129,7 @@ def chunk_documents(docs: DataFrame, **sizes) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = CHUNKS.names
         types = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
-        for b in batches:
+        for b in pieces(batches):
             rows: list[dict] = []
             for doc_id, segments in zip(b.column("doc_id").to_pylist(), b.column("segments").to_pylist(), strict=True):
                 rows += chunk_document(doc_id, segments or [], **sizes)

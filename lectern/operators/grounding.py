@@ -7,9 +7,14 @@ blocks are few, so lists per response are bounded by one answer's length.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from lectern.functions.analysis import pieces
 from lectern.functions.text import SPACE, trim_all
 
 MIN_CITED_RATIO = 0.2
@@ -110,11 +115,16 @@ def find_cohort_mentions(docs: DataFrame, pattern: str = COHORT, before: int = 6
 
     compiled = re.compile(pattern)
 
-    @F.pandas_udf("array<struct<cohort:string,excerpt:string>>")
-    def mentions(texts):
-        return texts.map(lambda t: [{"cohort": " ".join([m[1].capitalize(), *[g for g in m.groups()[1:] if g]]), "excerpt": " ".join(t[max(0, m.start() - before) : m.start() + after].split())} for m in compiled.finditer(t or "")])
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            texts = b.column("text").to_pylist()
+            found = [(i, m) for i, t in enumerate(texts) for m in compiled.finditer(t or "")]
+            cohorts = [" ".join([m[1].capitalize(), *[g for g in m.groups()[1:] if g]]) for _, m in found]
+            excerpts = [" ".join(texts[i][max(0, m.start() - before) : m.start() + after].split()) for i, m in found]
+            yield pa.RecordBatch.from_arrays([b.column("source").take(pa.array([i for i, _ in found], pa.int64())), pa.array(cohorts, pa.string()), pa.array(excerpts, pa.string())], names=["source", "cohort", "excerpt"])
 
-    return docs.select(F.col(label).alias("source"), F.inline(mentions(F.coalesce("text", F.lit("")))))
+    rows = docs.select(F.col(label).alias("source"), "text")
+    return rows.mapInArrow(run, T.StructType([rows.schema["source"], T.StructField("cohort", T.StringType()), T.StructField("excerpt", T.StringType())]))
 
 
 def audit_cohorts(mentions: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.analysis import pieces
 from lectern.functions.text import normalize_whitespace, trim_all
 
 #: Elements without content for a reader, those that end a line, and those that have no end tag.
@@ -127,7 +128,7 @@ def html_to_text(pages: DataFrame, html: str = "html", suffix: str | None = None
     schema = T.StructType([*(pages.schema[c] for c in kept), T.StructField("text", T.StringType()), T.StructField("title", T.StringType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             found = [page_text(x) for x in b.column(html).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.string())], names=[*kept, "text", "title"])
 
@@ -168,7 +169,7 @@ def expand_archives(files: DataFrame, path: str = "path", content: str = "conten
     """archive, path, content, error: a row per member of each zip file, folders left out; a broken archive is a row with its error."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             for name, data in zip(b.column(path).to_pylist(), b.column(content).to_pylist(), strict=True):
                 rows: list[tuple] = []
                 try:
@@ -210,7 +211,7 @@ def extract_text(files: DataFrame) -> DataFrame:
     kind = pa.list_(pa.struct([("ordinal", pa.int32()), ("ordinal_label", pa.string()), ("text", pa.string())]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             out, errors = [], []
             for name, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
                 ext = re.search(r"\.[^.]+$", (name or "").lower())

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as t
+from lectern.functions.analysis import pieces
 from lectern.functions.english import english_lexemes
 from lectern.operators import chunking, corpus, dedup, folds, grounding, index, pages, retrieval, segments
 from lectern.plans import sql
@@ -1000,7 +1001,7 @@ def _zipped(docs: DataFrame, members: Callable[[str], dict[str, bytes]]) -> Data
     """path, content: a zip file of each of ``docs(doc_id, text)``."""
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             out = []
             for text in b.column("text").to_pylist():
                 held = io.BytesIO()

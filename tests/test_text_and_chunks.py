@@ -266,3 +266,17 @@ def test_headings_in_capitals(spark, tmp_path):
 
     spark.createDataFrame([(1, "die große straße\nzwei"), (2, "no heading.")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert [tuple(r) for r in queries.c1_headings(spark, str(tmp_path)).collect()] == [(1, 1, "DIE GROẞE STRAẞE")]
+
+
+def test_helpers_work_on_few_bytes_at_once():
+    """A batch of many long texts is cut by bytes, whatever its columns; no row is lost or cut."""
+    import pyarrow as pa
+
+    from lectern.functions.analysis import pieces
+
+    texts = ["x" * (k % 7 * 1000) for k in range(3000)] + ["y" * 5_000_000, None]
+    for column in (pa.array(texts), pa.array([[{"ordinal": 1, "text": x}] for x in texts])):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), column], names=["id", "text"])
+        got = list(pieces([batch, batch.slice(0, 0)]))
+        assert max(b.nbytes for b in got if b.num_rows > 1) <= 2 << 20 and max(b.num_rows for b in got) < 3000
+        assert pa.Table.from_batches(got).combine_chunks().equals(pa.Table.from_batches([batch]))
