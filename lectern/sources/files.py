@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import time
 import uuid
 from collections.abc import Callable
@@ -66,6 +67,25 @@ def commits(spark: SparkSession, root: str) -> list[tuple[int, str]]:
     return sorted((int(r.name.rsplit("/", 1)[1]), r.value[:-1]) for r in rows if r.value.endswith("\n"))
 
 
+def _create(spark: SparkSession, path: str, data: bytes) -> None:
+    """Write a file that must not exist; of several writers at once one succeeds. Hadoop's local file system looks first and creates then, so there the system's own exclusive creation is used."""
+    fs, place = _fs(spark, path)
+    if fs.getScheme() == "file":
+        local = place.toUri().getPath()
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        with open(local, "xb") as out:
+            out.write(data)
+        return
+    try:
+        out = fs.create(place, False)
+    except Py4JJavaError as e:
+        if "AlreadyExists" not in str(e.java_exception):
+            raise
+        raise FileExistsError(path) from e
+    out.write(bytearray(data))
+    out.close()
+
+
 def commit(spark: SparkSession, root: str, content: Callable[[str | None], str], attempts: int = 50, patience: float = 60.0) -> int:
     """Make ``content(of the last commit)`` the next one and return its number.
 
@@ -80,14 +100,10 @@ def commit(spark: SparkSession, root: str, content: Callable[[str | None], str],
         later = {int(s.getPath().getName()): s.getModificationTime() for s in fs.listStatus(folder) if s.getPath().getName().isdigit()} if fs.exists(folder) else {}
         dead = [n for n, at in later.items() if n > last and time.time() - at / 1000 > patience]
         try:
-            out = fs.create(_fs(spark, f"{root}/_commits/{max(dead, default=last) + 1:012d}")[1], False)
-        except Py4JJavaError as e:
-            if "AlreadyExists" not in str(e.java_exception):
-                raise
+            _create(spark, f"{root}/_commits/{max(dead, default=last) + 1:012d}", f"{text}\n".encode())
+        except FileExistsError:
             time.sleep(0.02 * (attempt + 1))  # another writer was first
             continue
-        out.write(bytearray(f"{text}\n".encode()))
-        out.close()
         return max(dead, default=last) + 1
     raise RuntimeError(f"no commit in {attempts} attempts")
 
