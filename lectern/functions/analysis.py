@@ -158,13 +158,13 @@ def shingle_hashes(texts: Iterable[str | None], n: int = 5) -> tuple[np.ndarray,
     return np.searchsorted(owner[first], np.arange(len(split) + 1)), runs[first]
 
 
-def shingled(rows: DataFrame, n: int = 5) -> DataFrame:
-    """``rows`` with ``s``, the sorted distinct hashes of its text's shingles, in the place of ``text``. No shuffle."""
-    kept = [c for c in rows.columns if c != "text"]
+def shingled(rows: DataFrame, n: int = 5, of: str = "text") -> DataFrame:
+    """``rows`` with ``s``, the sorted distinct hashes of the shingles of the text ``of``, in its place. No shuffle."""
+    kept = [c for c in rows.columns if c != of]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            offsets, hashes = shingle_hashes(b.column("text").to_pylist(), n)
+            offsets, hashes = shingle_hashes(b.column(of).to_pylist(), n)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(hashes))], names=[*kept, "s"])
 
-    return rows.select(*kept, "text").mapInArrow(run, T.StructType([*(rows.schema[c] for c in kept), T.StructField("s", T.ArrayType(T.LongType()))]))
+    return rows.select(*kept, of).mapInArrow(run, T.StructType([*(rows.schema[c] for c in kept), T.StructField("s", T.ArrayType(T.LongType()))]))

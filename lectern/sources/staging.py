@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -24,9 +25,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 def staged(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage, what follows is computed once, and lost executors lose
-    nothing. ``drop_staged`` removes what is no longer needed."""
+    nothing. Spark removes the shuffles behind it once it is written. ``drop_staged`` removes what is no longer needed."""
     path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(CLEAN, None)
+    conf.set(CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.unset(CLEAN) if before is None else conf.set(CLEAN, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out
