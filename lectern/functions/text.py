@@ -52,9 +52,10 @@ def collapse_letter_spacing(c: Column | str) -> Column:
     """``W O R D`` -> ``WORD`` for runs of four or more single letters or digits: a
     space goes if it stands within such a run, whichever its place there."""
     one, edge_left, edge_right = "[A-Za-z0-9]", "(?<![A-Za-z0-9])", "(?![A-Za-z0-9])"
-    before = {n: f"(?<={edge_left}{' '.join([one] * n)})" for n in (1, 2, 3)}
+    # the space comes first, as all other places fail there at once
+    before = {n: f"(?<={edge_left}{' '.join([one] * n)} )" for n in (1, 2, 3)}
     after = {n: f"(?={' '.join([one] * n)}{edge_right})" for n in (1, 2, 3)}
-    return F.regexp_replace(_col(c), "|".join(f"{before[n]} {after[4 - n]}" for n in (1, 2, 3)), "")
+    return F.regexp_replace(_col(c), f" (?:{'|'.join(before[n] + after[4 - n] for n in (1, 2, 3))})", "")
 
 
 def normalize_whitespace(c: Column | str, letters: bool = True) -> Column:

@@ -232,4 +232,6 @@ def extract_text(files: DataFrame) -> DataFrame:
 
     raw = files.select("path", "content").mapInArrow(run, "path string, segments array<struct<ordinal:int,ordinal_label:string,text:string>>, error string")
     clean = F.filter(F.transform("segments", lambda s: F.struct(s["ordinal"].alias("ordinal"), s["ordinal_label"].alias("ordinal_label"), normalize_whitespace(s["text"]).alias("text"))), lambda s: s["text"] != "")
-    return raw.withColumn("segments", clean).withColumn("error", F.when(F.col("error").isNull() & (F.size("segments") == 0), "no text").otherwise(F.col("error")))
+    # a row of a generator: a filter on what is made of it would make it again below
+    cleaned = raw.select("path", F.explode(F.array(clean)).alias("segments"), "error")
+    return cleaned.withColumn("error", F.when(F.col("error").isNull() & (F.size("segments") == 0), "no text").otherwise(F.col("error")))
