@@ -69,7 +69,8 @@ def t1_collapse_letter_spacing(spark, sf_dir):
 @query(f"""SELECT doc_id, count(*) AS pages, md5(string_agg(n || ':' || {sql.normalized(sql.collapsed('x'))}, '|' ORDER BY n)) AS m FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents) WHERE {sql.trim_all('x')} <> '' GROUP BY doc_id""")
 def t4_segments_from_pages(spark, sf_dir):
     """Each line a page: numbers and texts of the pages that are not blank."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", pages.segments_from_pages(F.translate("text", "\n", "\f")).alias("s"))
+    # a row of a generator: the filter would make the segments again
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(pages.segments_from_pages(F.translate("text", "\n", "\f")))).alias("s"))
     said = F.array_join(F.transform("s", lambda x: F.concat(x["ordinal"].cast("string"), F.lit(":"), t.trim_all(x["text"]))), "|")
     return docs.where(F.size("s") > 0).select("doc_id", F.size("s").cast("long").alias("pages"), t.text_md5(said).alias("m"))
 

@@ -280,3 +280,11 @@ def test_helpers_work_on_few_bytes_at_once():
         got = list(pieces([batch, batch.slice(0, 0)]))
         assert max(b.nbytes for b in got if b.num_rows > 1) <= 2 << 20 and max(b.num_rows for b in got) < 3000
         assert pa.Table.from_batches(got).combine_chunks().equals(pa.Table.from_batches([batch]))
+
+
+@pytest.mark.parametrize("name", ["t4_segments_from_pages", "t5_office_text"])
+def test_a_filter_does_not_clean_texts_again(spark, name):
+    from lectern.plans.queries import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("\\n{3,}") + plan.count("\n{3,}") == 1
