@@ -7,7 +7,8 @@ Inverted lists. Of two sets that reach the threshold, the sketches share so many
 (``_needed``) that, under one global order, each shares a value within a short prefix of the
 other. Prefixes are taken with the values of few documents first, so passages that many documents
 hold hardly make lists. What meets in a list is kept only if the sizes and the places in both prefixes leave room
-for the overlap that is needed. Of pairs, the union's sketch (the k smallest values
+for the overlap that is needed, and if bits of both sketches and the parities of both full sets do: of many long texts that are alike but
+not linked, few pairs are left by these. Of pairs, the union's sketch (the k smallest values
 of both) estimates the similarity, and what passes is verified on the full sets, which the sketches are for sets of up to k.
 
 Groups. First every list's members meet its hub only, the class whose prefix reaches the value
@@ -43,6 +44,7 @@ from lectern.llm.components import connected
 from lectern.operators.dedup import meeting_pairs
 
 K, SHARE = 256, 0.65
+PARITY = 1024  # bits
 PIECE = 1 << 20
 BASE, INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _WHITE = re.compile(rb"[\x20\x09-\x0D]")
@@ -107,15 +109,20 @@ def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     return out
 
 
+def _parity(s: np.ndarray) -> bytes:
+    """For each of ``PARITY`` remainders, a bit: whether the set has an odd number of hashes of it."""
+    return np.packbits((np.bincount(s & (PARITY - 1), minlength=PARITY) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
 def signs(docs: DataFrame, width: int = 3, sketched: int | None = None) -> DataFrame:
-    """doc_id, text_hash, sign (of the whole set), n (its size) of every row; ``sketched``: also sketch, so many of its smallest hashes, in order."""
-    schema = "doc_id long, text_hash long, sign binary, n int" + (", sketch array<bigint>" if sketched else "")
+    """doc_id, text_hash, sign (of the whole set), n (its size) of every row; ``sketched``: also sketch, so many of its smallest hashes, in order, and the set's parity."""
+    schema = "doc_id long, text_hash long, sign binary, n int" + (", sketch array<bigint>, parity binary" if sketched else "")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text", PIECE):
             sets = shingle_sets(piece.column("text").to_pylist(), width)
             made = {"doc_id": (piece.column("doc_id"), None), "text_hash": (piece.column("text_hash"), None), "sign": ([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), "n": ([len(s) for s in sets], pa.int32())}
-            yield batch(made | ({"sketch": (_lists([s[:sketched] for s in sets]), None)} if sketched else {}))
+            yield batch(made | ({"sketch": (_lists([s[:sketched] for s in sets]), None), "parity": (list(map(_parity, sets)), pa.binary())} if sketched else {}))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), utf8().alias("text"))
     return rows.mapInArrow(run, schema)
@@ -231,11 +238,11 @@ def _entries(classes: DataFrame, percent: int, k: int, floor: int, longest: int
     return classes.select("cls", "n", "sketch").mapInArrow(run, "value long, cls long, n int, place int")
 
 
-MARKS = [f"m{i}" for i in range(8)]  # words of 64 bits
+MARKS, ODD = [f"m{i}" for i in range(8)], [f"o{i}" for i in range(PARITY // 64)]  # words of 64 bits
 
 
 def _marks(classes: DataFrame) -> DataFrame:
-    """cls, n, held (values of the sketch), m0 to m7: a bit for each value of the sketch, by its last bits."""
+    """cls, n, held (values of the sketch), m0 to m7: a bit for each value of the sketch, by its last bits; o0 to o15: the whole set's parity."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -243,19 +250,20 @@ def _marks(classes: DataFrame) -> DataFrame:
             flat = b.column("sketch").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             bits = np.zeros((len(sizes), len(MARKS) * 64), np.uint8)
             bits[np.repeat(np.arange(len(sizes)), sizes), (flat % np.uint64(len(MARKS) * 64)).astype(np.int64)] = 1
-            words = np.packbits(bits, axis=1, bitorder="little").view("<i8")
-            yield batch({"cls": (b.column("cls"), None), "n": (b.column("n"), None), "held": (sizes, pa.int32())} | {m: (np.ascontiguousarray(words[:, i]), None) for i, m in enumerate(MARKS)})
+            odd = np.frombuffer(b"".join(b.column("parity").to_pylist()), "<i8").reshape(-1, len(ODD))
+            words = np.concatenate((np.packbits(bits, axis=1, bitorder="little").view("<i8"), odd), axis=1)
+            yield batch({"cls": (b.column("cls"), None), "n": (b.column("n"), None), "held": (sizes, pa.int32())} | {m: (np.ascontiguousarray(words[:, i]), None) for i, m in enumerate(MARKS + ODD)})
 
-    return classes.select("cls", "n", "sketch").mapInArrow(run, "cls long, n int, held int, " + ", ".join(f"{m} long" for m in MARKS))
+    return classes.select("cls", "n", "sketch", "parity").mapInArrow(run, "cls long, n int, held int, " + ", ".join(f"{m} long" for m in MARKS + ODD))
 
 
 class Sets:
-    """The classes of a table: ``classes(cls, sign, n, sketch, rep)``, and the full sets of some of them."""
+    """The classes of a table: ``classes(cls, sign, n, sketch, parity, rep)``, and the full sets of some of them."""
 
     def __init__(self, docs: DataFrame, width: int, k: int, percent: int, share: float):
         self.docs, self.width, self.k, self.percent, self.floor = docs, width, k, percent, int(np.ceil(share * k))
         rep = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("rep")
-        grouped = signs(docs, width, k).groupBy("sign").agg(rep, F.count("*").alias("rows"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+        grouped = signs(docs, width, k).groupBy("sign").agg(rep, F.count("*").alias("rows"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("parity").alias("parity"))
         # numbers of partition and row: fixed, as the table is written
         self.classes = staged(grouped.withColumn("cls", F.monotonically_increasing_id()))
         self.marks = staged(_marks(self.classes))
@@ -268,10 +276,21 @@ class Sets:
         return (F.least(n, p) * 100 >= F.greatest(n, p) * self.percent) & (room >= _needed(n, p, self.percent, self.k, self.floor))
 
     def tight(self, a: str, b: str) -> Column:
-        """Whether the sketches' bits leave room for it: a value whose bit the other sketch lacks is not in it, so bits bound the overlap from above."""
+        """Whether the sketches' bits leave room for it: a value whose bit the other sketch lacks is not in it, so bits bound the overlap from above.
+
+        And whether the sets' parities do: each bit that differs takes a shingle of its own that only one of the sets has, so they bound the overlap of
+        the whole sets, whatever their sizes.
+        """
         alone = lambda x, y: reduce(add, [F.bit_count(F.col(f"{m}{x}").bitwiseAND(F.bitwise_not(f"{m}{y}"))) for m in MARKS])
         room = F.least(F.col(f"held{a}") - alone(a, b), F.col(f"held{b}") - alone(b, a))
-        return room >= _needed(F.col(f"n{a}"), F.col(f"n{b}"), self.percent, self.k, self.floor)
+        differ = reduce(add, [F.bit_count(F.col(f"{o}{a}").bitwiseXOR(F.col(f"{o}{b}"))) for o in ODD])
+        sizes = F.col(f"n{a}").cast("long") + F.col(f"n{b}")
+        return (room >= _needed(F.col(f"n{a}"), F.col(f"n{b}"), self.percent, self.k, self.floor)) & ((sizes - differ) * (100 + self.percent) >= sizes * 2 * self.percent)
+
+    def tightly(self, pairs: DataFrame) -> DataFrame:
+        """a, b of ``pairs(a, b)`` that are ``tight``."""
+        mark = lambda c: self.marks.select(F.col("cls").alias(c), *[F.col(x).alias(f"{x}{c}") for x in ("n", "held", *MARKS, *ODD)])
+        return pairs.join(mark("a"), "a").join(mark("b"), "b").where(self.tight("a", "b")).select("a", "b")
 
     def full(self, wanted: DataFrame) -> DataFrame:
         """cls, full: the whole sets of the classes ``wanted(cls)``, from their representatives' texts."""
@@ -288,12 +307,7 @@ class Sets:
         return found.mapInArrow(run, "cls long, full array<bigint>").groupBy("cls").agg(F.first("full").alias("full"))
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """a, b of ``pairs(a, b)`` whose full sets reach the threshold.
-
-        Few pairs are left by the sketches' bits, and only their sketches have to meet.
-        """
-        mark = lambda c: self.marks.select(F.col("cls").alias(c), *[F.col(x).alias(f"{x}{c}") for x in ("n", "held", *MARKS)])
-        pairs = staged(pairs.join(mark("a"), "a").join(mark("b"), "b").where(self.tight("a", "b")).select("a", "b"))
+        """a, b of the written ``pairs(a, b)``, which are ``tight``, whose full sets reach the threshold."""
         members = staged(pairs.select(F.col("a").alias("cls")).distinct().unionByName(pairs.select(F.col("b").alias("cls")).distinct()).distinct())
         own = staged(self.classes.join(members, "cls", "left_semi").select("cls", "n", "sketch"))
         side = lambda c: own.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
@@ -310,7 +324,7 @@ class Sets:
         sets = lambda c: full.select(F.col("cls").alias(c), F.col("full").alias(f"f{c}"))
         exact = rest.join(sets("a"), "a").join(sets("b"), "b").where(linked(F.size(F.array_intersect("fa", "fb"))))
         out = staged(passed.where("whole").select("a", "b").unionByName(exact.select("a", "b")))
-        drop_staged(pairs, members, own, passed, full)
+        drop_staged(members, own, passed, full)
         return out
 
 
@@ -323,17 +337,17 @@ def links(sets: Sets, block: int = 4096) -> DataFrame:
     hubs = lists.groupBy("value").agg(F.min(F.struct("place", "cls", "n")).alias("hub")).select("value", *[F.col(f"hub.{c}").alias(f"{c}_h") for c in ("cls", "n", "place")])
     named = lists.select("value", *[F.col(c).alias(f"{c}_m") for c in ("cls", "n", "place")])
     met = named.join(hubs, "value").where((F.col("cls_m") != F.col("cls_h")) & sets.near("_m", "_h"))
-    first = staged(met.select(F.least("cls_m", "cls_h").alias("a"), F.greatest("cls_m", "cls_h").alias("b")).distinct())
+    first = staged(sets.tightly(met.select(F.least("cls_m", "cls_h").alias("a"), F.greatest("cls_m", "cls_h").alias("b")).distinct()))
     found = sets.verified(first)
     roots = staged(connected(found))
     # lists whose members are not yet all in one component
     rooted = lists.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("value", "cls", "n", "place", F.coalesce("root", "cls").alias("root"))
     apart = rooted.groupBy("value").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("value")
-    rest = staged(rooted.join(apart, "value").join(sets.marks.drop("n"), "cls"))
-    met = meeting_pairs(rest, ["value"], lambda a, b: (F.col(f"root{a}") != F.col(f"root{b}")) & sets.near(a, b) & sets.tight(a, b), block)
-    second = met.select(F.col("cls_l").alias("a"), F.col("cls_r").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    rest = staged(rooted.join(apart, "value"))
+    met = meeting_pairs(rest, ["value"], lambda a, b: (F.col(f"root{a}") != F.col(f"root{b}")) & sets.near(a, b) & sets.tight(a, b), block, sets.marks.drop("n"))
+    second = staged(met.select(F.col("cls_l").alias("a"), F.col("cls_r").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
     more = sets.verified(second)
-    for table in (lists, first, roots, rest):
+    for table in (lists, first, second, roots, rest):
         drop_staged(table)
     return connected(found.unionByName(more)).select(F.col("node").alias("cls"), "root")
 

@@ -100,6 +100,25 @@ def test_near_copies_cost_rows_in_proportion(spark):
     assert seen[1] < 3 * seen[0] and seen[1] < 12 * 1200
 
 
+def test_long_texts_that_are_alike_but_not_linked_leave_few_pairs(spark):
+    """Texts of one base with edits of their own, 0.6 to 0.8 alike: more shingles than a sketch holds, and all pairs share prefix values."""
+    dice = random.Random(11)
+    base = [f"w{i}" for i in range(420)]
+    rows = []
+    for d in range(200):
+        words = list(base)
+        for k, i in enumerate(dice.sample(range(0, 420, 6), dice.choice([11, 13, 15]))):
+            words[i] = f"own{d}x{k}"
+        rows.append((d, " ".join(words)))
+    docs = spark.createDataFrame([*rows, (200, rows[0][1] + " end")], "doc_id long, text string")
+    sets, counted = minhash.Sets(docs, 3, 256, 85, 0.65), []
+    verify = sets.verified
+    sets.verified = lambda pairs: counted.append(pairs.count()) or verify(pairs)
+    linked = sets.classes.join(minhash.links(sets), "cls").groupBy("root").agg(F.sort_array(F.collect_list("rep.doc_id")).alias("ids"))
+    assert [r.ids for r in linked.collect()] == [[0, 200]]
+    assert sum(counted) <= 20
+
+
 def plain_alignment(rows):
     both = token_alignment.sides()
     a, b = both.plainly([t or "" for _, t in rows])
