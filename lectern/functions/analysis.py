@@ -96,6 +96,54 @@ def pieces(batches: Iterable[pa.RecordBatch], limit: int = 2 << 20) -> Iterator[
                 yield b
 
 
+def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """The batches, joined and cut so that none parts rows of equal ``keys``, which are numbers; equal ones come one behind the other."""
+    held: list[pa.RecordBatch] = []
+    last: tuple = ()
+
+    def joined() -> pa.RecordBatch:
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key = [b.column(k).to_numpy() for k in keys]
+        turns = np.flatnonzero(np.any([np.diff(k) != 0 for k in key], axis=0)) + 1
+        first, at = tuple(k[0] for k in key), int(turns[-1]) if len(turns) else 0
+        if held and (at or first != last):
+            if at:
+                held.append(b.slice(0, at))
+            yield joined()
+            held = []
+        elif at:
+            yield b.slice(0, at)
+        held.append(b.slice(at))
+        last = tuple(k[-1] for k in key)
+    if held:
+        yield joined()
+
+
+def starts_of(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of rows of equal keys start."""
+    return np.flatnonzero(np.concatenate(([True], np.any([np.diff(k) != 0 for k in keys], axis=0)))) if len(keys[0]) else np.zeros(0, np.int64)
+
+
+def pairs_up_to(ends: np.ndarray, limit: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(left, right): each row with every later one before ``ends`` of it, about ``limit`` pairs at once."""
+    row = np.arange(len(ends))
+    count = np.maximum(ends - row - 1, 0)
+    done = np.cumsum(count)
+    start = 0
+    while start < len(row):
+        before = done[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(done, before + limit, "right")))
+        n = count[start:end]
+        left = np.repeat(row[start:end], n)
+        if len(left):
+            yield left, left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n)
+        start = end
+
+
 def counted(rows: DataFrame, words: Words, placed: Callable[[str | None], list[tuple[str, int]]] | None = None) -> DataFrame:
     """chunk_id, token_count, terms array<struct<word, tf>>, gaps of ``rows(chunk_id, text)``. No shuffle.
 

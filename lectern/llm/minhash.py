@@ -12,8 +12,8 @@ not linked, few pairs are left by these. Of pairs, the union's sketch (the k sma
 of both) estimates the similarity, and what passes is verified on the full sets, which the sketches are for sets of up to k.
 
 Groups. First every list's members meet its hub only, the class whose prefix reaches the value
-first, which of near copies has least of its own; verified links make components. Then pairs of different components meet,
-in two-sided blocks where a list is long. So a group of n near copies costs n pairs, and no link between
+first, which of near copies has least of its own; verified links make components. Then pairs of different components meet, many told at once
+by a helper, in two-sided blocks where a list is long. So a group of n near copies costs n pairs, and no link between
 components is lost. Copies and members of a component are never expanded into pairs.
 
 Linked sets share o shingles or more, as sketches do that are the sets. Else the union's sketch holds k values, of
@@ -39,9 +39,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.analysis import pairs_up_to, starts_of, whole_groups
 from lectern.llm.common import LOWER, batch, drop_staged, pieces, staged, utf8, with_class
 from lectern.llm.components import connected
-from lectern.operators.dedup import meeting_pairs
+from lectern.operators.dedup import tiles
 
 K, SHARE = 256, 0.65
 PARITY = 1024  # bits
@@ -292,6 +293,47 @@ class Sets:
         mark = lambda c: self.marks.select(F.col("cls").alias(c), *[F.col(x).alias(f"{x}{c}") for x in ("n", "held", *MARKS, *ODD)])
         return pairs.join(mark("a"), "a").join(mark("b"), "b").where(self.tight("a", "b")).select("a", "b")
 
+    def meeting(self, entries: DataFrame, block: int) -> DataFrame:
+        """a, b (a < b) of ``entries(value, cls, n, place, root)``: pairs of unlike roots that meet under a value and are ``near`` and ``tight``, once or more.
+
+        A task has its lists' members in the order of their sizes, so that each meets those only that are no larger than may be, and
+        tells many pairs at once.
+        """
+        k, percent, floor, spread = self.k, self.percent, self.floor, 1 << 32
+        dealt = tiles(entries, ["value"], block).join(self.marks.drop("n"), "cls")
+        rows = dealt.repartition("value", "_i", "_j").sortWithinPartitions("value", "_i", "_j", "n")
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in whole_groups(batches, ["value", "_i", "_j"]):
+                of = lambda c: b.column(c).to_numpy()  # noqa: B023, E731
+                cls, n, place, root, slot, held = of("cls"), of("n").astype(np.int64), of("place").astype(np.int64), of("root"), of("_slot"), of("held").astype(np.int64)
+                within = of("_i") == of("_j")
+                start = np.zeros(len(cls), np.int64)
+                start[starts_of(of("value"), of("_i"), of("_j"))] = 1
+                group = np.cumsum(start) * spread
+                ends = np.searchsorted(group + n, group + n * 100 // percent, "right")
+                bits, odd = (np.column_stack([of(c) for c in words]).view(np.uint64) for words in (MARKS, ODD))
+                sketch = np.minimum(n, k)
+                for x, y in pairs_up_to(ends):
+                    meet = (root[x] != root[y]) & (within[x] | (slot[x] != slot[y]))
+                    x, y = x[meet], y[meet]
+                    sizes = n[x] + n[y]
+                    shared = -(-percent * sizes // (100 + percent))
+                    needed = np.where((n[x] <= k) & (n[y] <= k), shared, np.maximum(k - (sizes - 2 * shared), floor))
+                    near = np.minimum(sketch[x] - place[x], sketch[y] - place[y]) >= needed
+                    x, y, sizes, needed = x[near], y[near], sizes[near], needed[near]
+                    alone = lambda p, q: np.bitwise_count(bits[p] & ~bits[q]).sum(1, dtype=np.int64)  # noqa: B023, E731
+                    tight = np.minimum(held[x] - alone(x, y), held[y] - alone(y, x)) >= needed
+                    x, y, sizes = x[tight], y[tight], sizes[tight]
+                    differ = np.bitwise_count(odd[x] ^ odd[y]).sum(1, dtype=np.int64)
+                    tight = (sizes - differ) * (100 + percent) >= sizes * 2 * percent
+                    x, y = cls[x[tight]], cls[y[tight]]
+                    if len(x):
+                        pairs = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y))), axis=1)
+                        yield batch({"a": (pairs[0], pa.int64()), "b": (pairs[1], pa.int64())})
+
+        return rows.mapInArrow(run, "a long, b long")
+
     def full(self, wanted: DataFrame) -> DataFrame:
         """cls, full: the whole sets of the classes ``wanted(cls)``, from their representatives' texts."""
         of = self.classes.join(wanted, "cls", "left_semi").select("cls", F.col("rep.doc_id").alias("r_id"), F.col("rep.text_hash").alias("r_hash"))
@@ -344,8 +386,7 @@ def links(sets: Sets, block: int = 4096) -> DataFrame:
     rooted = lists.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("value", "cls", "n", "place", F.coalesce("root", "cls").alias("root"))
     apart = rooted.groupBy("value").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("value")
     rest = staged(rooted.join(apart, "value"))
-    met = meeting_pairs(rest, ["value"], lambda a, b: (F.col(f"root{a}") != F.col(f"root{b}")) & sets.near(a, b) & sets.tight(a, b), block, sets.marks.drop("n"))
-    second = staged(met.select(F.col("cls_l").alias("a"), F.col("cls_r").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
+    second = staged(sets.meeting(rest, block).distinct().join(first, ["a", "b"], "left_anti"))
     more = sets.verified(second)
     for table in (lists, first, second, roots, rest):
         drop_staged(table)

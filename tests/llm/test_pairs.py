@@ -119,6 +119,28 @@ def test_long_texts_that_are_alike_but_not_linked_leave_few_pairs(spark):
     assert sum(counted) <= 20
 
 
+@pytest.mark.parametrize("block", [7, 4096])
+def test_members_of_lists_meet_as_by_plain_conditions(spark, block):
+    """The second round's helper against the conditions that the first round's joins use, on lists of sets of many sizes."""
+    dice = random.Random(3)
+    base = [f"w{i}" for i in range(500)]
+    rows = []
+    for d in range(60):
+        words = base[: dice.randrange(60, 500)]
+        for k in range(dice.randrange(1, 6)):
+            words[dice.randrange(len(words))] = f"own{d}x{k}"
+        rows.append((d, " ".join(words)))
+    sets = minhash.Sets(spark.createDataFrame(rows, "doc_id long, text string"), 3, 128, 85, 0.65)
+    entries = minhash._entries(sets.classes, sets.percent, sets.k, sets.floor).withColumn("root", F.col("cls") % 5).cache()
+    side = lambda end: entries.select("value", *[F.col(c).alias(f"{c}{end}") for c in ("cls", "n", "place", "root")])
+    met = side("_x").join(side("_y"), "value").where((F.col("cls_x") < F.col("cls_y")) & (F.col("root_x") != F.col("root_y")) & sets.near("_x", "_y"))
+    want = sets.tightly(met.select(F.col("cls_x").alias("a"), F.col("cls_y").alias("b")).distinct())
+    found = sorted(map(tuple, sets.meeting(entries, block).distinct().collect()))
+    assert found == sorted(map(tuple, want.collect())) and len(found) > 20
+    # no join makes these pairs, so their number is no row's of a join
+    assert "root_l" not in sets.meeting(entries, block)._jdf.queryExecution().toString()
+
+
 def plain_alignment(rows):
     both = token_alignment.sides()
     a, b = both.plainly([t or "" for _, t in rows])
