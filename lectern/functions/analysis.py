@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -183,27 +184,62 @@ def counted(rows: DataFrame, words: Words, placed: Callable[[str | None], list[t
     return rows.select("chunk_id", "text").mapInArrow(run, schema)
 
 
-SHINGLE_WORD = re.compile("[a-z0-9']+")
+_SHINGLE_WORD = np.zeros(256, bool)
+_SHINGLE_WORD[list(b"abcdefghijklmnopqrstuvwxyz0123456789'")] = True
+BASE, INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+WINDOW = 1 << 20  # bytes
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64 bits that spreads every bit."""
+    h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return h ^ h >> np.uint64(31)
+
+
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2^64."""
+    up, down = np.full(n, BASE, np.uint64), np.full(n, INVERSE, np.uint64)
+    up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down)
+
+
+def word_hashes(data: bytes, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, start) of each run of the bytes ``is_word``: the polynomial of its bytes, from differences of one running sum, then mixed. About ``WINDOW`` bytes at once."""
+    raw = np.frombuffer(data, np.uint8)
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], is_word[raw], [False])).astype(np.int8)))
+    start, end = edge[::2], edge[1::2]
+    out = np.zeros(len(start), np.uint64)
+    at = 0
+    while at < len(start):
+        to = max(at + 1, int(np.searchsorted(end, start[at] + WINDOW, "right")))
+        first, size = int(start[at]), int(end[to - 1] - start[at])
+        up, down = _powers(WINDOW + 1 if size <= WINDOW else 1 << size.bit_length())
+        total = np.zeros(size + 1, np.uint64)
+        np.cumsum((raw[first : first + size].astype(np.uint64) + np.uint64(1)) * up[:size], out=total[1:])
+        out[at:to] = mixed((total[end[at:to] - first] - total[start[at:to] - first]) * down[start[at:to] - first])
+        at = to
+    return out, start
 
 
 def shingle_hashes(texts: Iterable[str | None], n: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, hashes): the sorted distinct hashes of each text's runs of ``n`` words, one text behind the other."""
-    split = [SHINGLE_WORD.findall((t or "").lower()) for t in texts]
-    sizes = np.fromiter(map(len, split), np.int64, len(split))
-    words = pa.array([w for s in split for w in s], pa.string()).dictionary_encode()
-    known = pd.util.hash_array(words.dictionary.to_numpy(zero_copy_only=False), categorize=False) if len(words.dictionary) else np.zeros(0, np.uint64)
-    word = known[words.indices.to_numpy(zero_copy_only=False)]
+    said = [(t or "").lower().encode() for t in texts]
+    word, start = word_hashes(b"\n".join(said), _SHINGLE_WORD)
+    cut = np.searchsorted(start, np.cumsum([0, *(len(t) + 1 for t in said)]))
     runs = np.zeros(max(0, len(word) - n + 1), np.uint64)
     for k in range(n):
         runs = (runs ^ runs >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) + word[k : k + len(runs)]
-    owner = np.repeat(np.arange(len(split)), sizes)
+    owner = np.repeat(np.arange(len(said)), np.diff(cut))
     inside = owner[: len(runs)] == owner[n - 1 :] if len(runs) else np.zeros(0, bool)
     owner, runs = owner[: len(runs)][inside], runs[inside].view(np.int64)
-    order = np.lexsort((runs, owner))
-    owner, runs = owner[order], runs[order]
+    own = np.searchsorted(owner, np.arange(len(said) + 1))
+    for a, b in zip(own.tolist(), own[1:].tolist(), strict=False):
+        runs[a:b].sort()
     first = np.ones(len(runs), bool)
     first[1:] = (owner[1:] != owner[:-1]) | (runs[1:] != runs[:-1])
-    return np.searchsorted(owner[first], np.arange(len(split) + 1)), runs[first]
+    return np.searchsorted(owner[first], np.arange(len(said) + 1)), runs[first]
 
 
 def shingled(rows: DataFrame, n: int = 5, of: str = "text") -> DataFrame:
