@@ -73,14 +73,15 @@ def impact_blocks(index: dict[str, DataFrame], size: int = 128, k1: float = 1.2,
     """word, range, best, postings array<struct<chunk_id, tf, token_count>>: the postings of a word in a range of chunks, with the best of their weights.
 
     A range is about ``size`` chunks, by a hash of their id, so a row holds few postings, and one of a word that all chunks hold no more than others.
-    Written in the order of words, so that a scan for some words skips the others' row groups.
+    Postings move once, by range, chunk behind chunk. Each file is written in the order of words, so that a scan for some words skips the others' row groups.
     """
-    stats = index["stats"].select(F.col("chunk_count").alias("n"), F.greatest("avg_len", F.lit(1.0)).alias("avg_len"))
-    rows = index["terms"].crossJoin(F.broadcast(stats))
+    stats = F.broadcast(index["stats"].select(F.col("chunk_count").alias("n"), F.greatest("avg_len", F.lit(1.0)).alias("avg_len")))
+    ranged = index["terms"].crossJoin(stats).select("word", F.pmod(F.xxhash64("chunk_id"), F.ceil(F.col("n") / size)).alias("range"), "chunk_id", "tf", "token_count")
+    # a word and its ranges lie in the partitions of the ranges, so grouping moves nothing
+    rows = ranged.repartition("range").crossJoin(stats)
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("token_count") / F.col("avg_len")))
-    rows = rows.select("word", F.pmod(F.xxhash64("chunk_id"), F.ceil(F.col("n") / size)).alias("range"), weight.alias("weight"), F.struct("chunk_id", "tf", "token_count").alias("posting"))
-    blocks = rows.groupBy("word", "range").agg(F.max("weight").alias("best"), F.collect_list("posting").alias("postings"))
-    return staged(blocks.repartitionByRange("word", "range").sortWithinPartitions("word", "range"))
+    blocks = rows.groupBy("word", "range").agg(F.max(weight).alias("best"), F.collect_list(F.struct("chunk_id", "tf", "token_count")).alias("postings"))
+    return staged(blocks.sortWithinPartitions("word", "range"))
 
 
 def token_count(chunks: DataFrame, analyzer: Analyzer = tokenize, id_col: str = "id", text_col: str = "text") -> DataFrame:
